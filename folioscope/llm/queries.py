@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import line_dedup, simhash, token_counts
+from folioscope.llm import line_dedup, packing, simhash, token_counts, token_files, warc
 from folioscope.llm.common import table
 
 
@@ -17,10 +17,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_warc(table(spark, sf_dir, "pages"), revisit_from=0)
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write_token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(spark, folder)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
     return out.select("doc_id", F.col("text").alias("kept_text"), "dropped_lines", "dropped_words")
@@ -31,9 +41,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts, op8_line_dedup, op9_simhash)}
+    return {f.__name__: f for f in (op2_warc, op5_token_counts, op7_token_files, op8_line_dedup, op9_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.oracle() + line_dedup.DIGEST_SQL.format(table="documents")}
+    return {"op2_warc": warc.oracle(), "op8_line_dedup": line_dedup.oracle() + line_dedup.DIGEST_SQL.format(table="documents")}
