@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import line_dedup, packing, simhash, token_counts, token_files, warc
-from folioscope.llm.common import table
+from folioscope.llm import ann, language_id, line_dedup, packing, quality, simhash, token_counts, token_files, warc
+from folioscope.llm.common import held_out, table
 
 
 def _tokenizer(name: str) -> str:
@@ -17,11 +17,27 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_warc(table(spark, sf_dir, "pages"), revisit_from=0)
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(~held_out("doc_id")))
+    return language_id.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = quality.learn(docs, labels.where(~held_out("doc_id")))
+    return quality.score(docs, field, threshold=0.7).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
@@ -46,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op5_token_counts, op7_token_files, op8_line_dedup, op9_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_ann, op2_warc, op3_language_id, op4_quality, op5_token_counts, op7_token_files, op8_line_dedup, op9_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
