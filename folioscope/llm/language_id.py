@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ NAMES = ["other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
 _EDGES = np.array([x for _, a, b in SCRIPTS for x in (a, b + 1)])
 _CLASS = np.array([0, *[x for name, _, _ in SCRIPTS for x in (NAMES.index(name), 0)]])
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_CACHED, _LONGEST = 300_000, 40
+_CACHED = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -91,11 +92,8 @@ class Labeller:
             self.scores = np.concatenate([self.scores, self.model.word_scores(fresh)])
         sizes = np.array([len(d) for d in docs])
         order = np.argsort(-sizes, kind="stable")
-        flat = np.fromiter((self.known[w] for d in docs for w in d), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
         first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-        if len(self.known) > _CACHED:
-            for w in [w for w in fresh if len(w) > _LONGEST]:
-                del self.known[w]
         return self._viterbi(flat, first, sizes, order)
 
     def _viterbi(self, flat, first, sizes, order) -> list[np.ndarray]:

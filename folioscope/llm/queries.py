@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, language_id, line_dedup, packing, quality, simhash, token_counts, token_files, warc
+from folioscope.llm import ann, decontamination, language_id, line_dedup, packing, quality, simhash, token_counts, token_files, warc
 from folioscope.llm.common import held_out, table
 
 
@@ -42,6 +42,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
     return token_files.read_token_files(spark, folder)
@@ -62,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_warc, op3_language_id, op4_quality, op5_token_counts, op7_token_files, op8_line_dedup, op9_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_ann, op2_warc, op3_language_id, op4_quality, op5_token_counts, op6_decontamination, op7_token_files, op8_line_dedup, op9_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
