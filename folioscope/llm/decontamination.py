@@ -186,16 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     ship(spark)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, covered_words long, share double, first_word long, last_word long"
-    parts, held, size = [], [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text")
-    for row in rows.toLocalIterator():
-        held.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= block_bytes:
-            parts.append(_pass(docs, prepare(held), schema))
-            held, size = [], 0
-    if held or not parts:
-        parts.append(_pass(docs, prepare(held), schema))
+    parts = [_pass(docs, block, schema) for block in _blocks(benchmark, block_bytes)]
     found = parts[0]
     for more in parts[1:]:
         found = found.unionAll(more)
@@ -203,6 +194,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.covered_words", "best.share", (-F.col("best.f")).alias("first_word"), "best.last_word")
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Items]:
+    """The benchmark's distinct items, prepared in blocks of limited size; one block at least."""
+    held, size, made = [], 0, 0
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text")
+    for row in rows.toLocalIterator():
+        held.append((row[0], row[1]))
+        size += len(row[1])
+        if size >= block_bytes:
+            yield prepare(held)
+            held, size, made = [], 0, made + 1
+    if held or not made:
+        yield prepare(held)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that leak no item (see ``leaks``), all columns as they are; nothing is shuffled."""
+    ship(docs.sparkSession)
+    for block in _blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs
+
+
+def _filter(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon()
+        for batch in batches:
+            for part in sliced(batch):
+                leaking = {hit[0] for hit in matches(shared.value, canon, part.column("text").to_pylist())}
+                yield part.filter(pa.array([i not in leaking for i in range(part.num_rows)], pa.bool_()))
+
+    return run
+
+
 def _pass(docs: DataFrame, block: Items, schema: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)  # a block of limited size
 

@@ -212,8 +212,27 @@ def score(docs: DataFrame, field: LineField, threshold: float = 0.7, id_col: str
                 active, sizes, lengths = features(part.column("text").to_pylist())
                 p = field.marginals(active, sizes)
                 first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-                mean = np.clip(np.add.reduceat(p * (lengths + 1), first) / np.add.reduceat(lengths + 1, first), 0, 1)
+                mean = means(p, sizes, lengths)
                 lines = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)), pa.int32()), pa.array(p))
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(mean), pa.array((mean >= threshold).astype(np.int32)), lines], names=[id_col, "score", "predicted", "lines"])
 
     return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, score double, predicted int, lines array<double>")
+
+
+def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score (see ``score``) reaches ``threshold``, all columns as they are."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                active, sizes, lengths = features(part.column("text").to_pylist())
+                yield part.filter(pa.array(means(field.marginals(active, sizes), sizes, lengths) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def means(p: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each text's mean of its lines' ``p``, weighted by their lengths and one."""
+    first = (np.cumsum(sizes) - sizes).astype(np.int64)
+    return np.clip(np.add.reduceat(p * (lengths + 1), first) / np.add.reduceat(lengths + 1, first), 0, 1)

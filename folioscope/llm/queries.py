@@ -65,8 +65,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_warc, op3_language_id, op4_quality, op5_token_counts, op6_decontamination, op7_token_files, op8_line_dedup, op9_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_ann, op2_warc, op3_language_id, op4_quality, op5_token_counts, op6_decontamination, op7_token_files, op8_line_dedup, op9_simhash, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

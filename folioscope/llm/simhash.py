@@ -76,13 +76,13 @@ def segments(distance: int, count: int = 3) -> list[tuple[int, int, int]]:
     return list(zip(shifts, widths, radii))
 
 
-def _keys(fp, distance: int) -> F.Column:
-    """(segment and value, whether it is a probe) of all lookups of a fingerprint."""
+def _keys(words: list[str], tables: list[tuple[int, int, int, int]]) -> F.Column:
+    """(table and value, whether it is a probe) of all lookups; tables: (word, shift, width, radius)."""
     out = []
-    for i, (shift, width, radius) in enumerate(segments(distance)):
+    for i, (word, shift, width, radius) in enumerate(tables):
         if radius < 0:
             continue
-        value = F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1)
+        value = F.shiftrightunsigned(F.col(words[word]), shift).bitwiseAND((1 << width) - 1)
         tag = i << 40
         out.append(F.array(F.struct((value + F.lit(tag)).alias("key"), F.lit(False).alias("probe"))))
         for flips in range(1, radius + 1):
@@ -95,29 +95,63 @@ def _keys(fp, distance: int) -> F.Column:
     return F.flatten(F.array_compact(F.array(*out)))
 
 
-def _forest(fps: np.ndarray, ids: np.ndarray, distance: int, out: list) -> None:
-    """Links that span the components of one block (all pairs within the distance)."""
-    open_, todo = np.arange(len(fps)), []
+def span(ids: np.ndarray, near, out: list) -> None:
+    """Links that span the components of one block; ``near(x, open)`` tells which of ``open`` link with ``x``."""
+    open_, todo = np.arange(len(ids)), []
     while len(open_):
         if not todo:
-            todo, open_ = [open_[0]], open_[1:]
+            todo, open_ = [int(open_[0])], open_[1:]
         x = todo.pop()
         if not len(open_):
             break
-        near = np.bitwise_count(fps[open_] ^ fps[x]) <= distance
-        if near.any():
-            found = open_[near]
+        linked = near(x, open_)
+        if linked.any():
+            found = open_[linked]
             out.append((np.full(len(found), ids[x]), ids[found]))
             todo.extend(found.tolist())
-            open_ = open_[~near]
+            open_ = open_[~linked]
 
 
-def _verify(distance: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def by_group(links):
+    """An Arrow map over rows sorted by ``group`` that calls ``links`` with whole groups only."""
 
-    def links(group: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        fps = fps.view(np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
+            if not now:
+                continue
+            group = now[0].column("group").to_numpy()
+            cut = int(np.argmax(group == group[-1]))  # the last group may go on
+            rest = now[0].slice(cut)
+            if cut:
+                yield links(now[0].slice(0, cut))
+        if rest is not None:
+            yield links(rest)
+
+    return run
+
+
+def link_batch(out: list) -> pa.RecordBatch:
+    a, b = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+    keep = a != b
+    return pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
+
+
+def dealt_pairs(rows: DataFrame, key: str, size: str, block: int, own) -> DataFrame:
+    """``rows`` with a ``group``: crowds of a key (``size`` rows) in pairs of blocks of about ``block`` rows."""
+    rows = rows.withColumn("blocks", F.ceil(F.col(size) / block).cast("int"))
+    mine = F.pmod(F.xxhash64(own), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j))
+    return rows.withColumn("pair", F.explode(pairs)).withColumn("group", F.xxhash64(key, "pair"))
+
+
+def _verify(words: list[str], distance: int):
+    def links(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list = []
+        group, ids = batch.column("group").to_numpy(), batch.column("id").to_numpy()
+        fps = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in words], 1)
+        apart = lambda x, y: np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
         edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
         sizes = np.diff(edges)
         small = np.repeat(sizes <= 24, sizes)
@@ -126,46 +160,28 @@ def _verify(distance: int):
             same = np.flatnonzero(g[step:] == g[:-step])
             if not len(same):
                 break
-            same = same[np.bitwise_count(f[same] ^ f[same + step]) <= distance]
+            same = same[apart(f[same], f[same + step]) <= distance]
             out.append((d[same], d[same + step]))
         for k in np.flatnonzero(sizes > 24):
-            _forest(fps[edges[k] : edges[k + 1]], ids[edges[k] : edges[k + 1]], distance, out)
-        a, b = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
-        keep = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("group", "fp", "id")]
-            if rest:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0] == now[0][-1], True))  # the last group may go on
-            rest = [x[cut:] for x in now]
-            if cut:
-                yield links(*(x[:cut] for x in now))
-        if rest:
-            yield links(*rest)
+            some, own = fps[edges[k] : edges[k + 1]], ids[edges[k] : edges[k + 1]]
+            span(own, lambda x, open_: apart(some[open_], some[x]) <= distance, out)  # noqa: B023
+        return link_batch(out)
 
-    return run
+    return by_group(links)
 
 
-def near_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b): links of ids whose fingerprints differ in ``distance`` bits at most.
+def near_links(distinct: DataFrame, words: list[str], tables: list[tuple[int, int, int, int]], distance: int) -> DataFrame:
+    """(a, b): links of ids whose fingerprints meet in a table and differ in ``distance`` bits at most.
 
-    ``distinct`` has one row (id long, fp long) per fingerprint. The links reach every pair's
-    component: each crowded lookup returns a spanning forest of its verified pairs.
+    ``distinct`` has one row per fingerprint: id (long) and the columns ``words`` (64 bits each).
+    The links reach every pair's component: each crowded lookup returns a spanning forest of its
+    verified pairs.
     """
-    rows = distinct.select("id", "fp", F.explode(_keys(F.col("fp"), distance)).alias("x")).select("id", "fp", "x.key", "x.probe")
+    rows = distinct.select("id", *words, F.explode(_keys(words, tables)).alias("x")).select("id", *words, "x.key", "x.probe")
     crowd = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("none")).where("n > 1 and not none")
-    met = rows.join(crowd, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    dealt = met.withColumn("pair", F.explode(pairs)).select(F.xxhash64("key", "pair").alias("group"), "fp", "id")
+    dealt = dealt_pairs(rows.join(crowd, "key"), "key", "n", BLOCK, "id").select("group", "id", *words)
     dealt = dealt.repartition(slots(distinct.sparkSession), "group").sortWithinPartitions("group")
-    return dealt.mapInArrow(_verify(distance), "a long, b long")
+    return dealt.mapInArrow(_verify(words, distance), "a long, b long")
 
 
 def near_groups(docs: DataFrame, size: int = 4, distance: int = 4, id_col: str = "doc_id") -> DataFrame:
@@ -179,7 +195,8 @@ def near_groups(docs: DataFrame, size: int = 4, distance: int = 4, id_col: str =
     prints = materialize(fingerprints(docs, size, id_col), "fingerprints").withColumnRenamed(id_col, "own_id")
     distinct = prints.where("own_id is not null").groupBy("fp").agg(F.min(F.col("own_id").cast("long")).alias("id"))
     distinct = materialize(distinct, "distinct")
-    roots = components(near_links(distinct, distance))
+    tables = [(0, *x) for x in segments(distance)]
+    roots = components(near_links(distinct, ["fp"], tables, distance))
     named = distinct.join(roots, distinct.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return prints.join(named, "fp", "left").select(F.col("own_id").alias(id_col), "fp", "component_id")
 
