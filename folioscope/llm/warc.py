@@ -110,13 +110,16 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 64
     parts = max(1, min(MOST_PARTS, -(-pages.count() // ROWS_A_PART)))
     bounds = even_bounds(rows.select("page_id"), "page_id", parts)
     ids = rows.select("page_id", "sha", "size").distinct().join(first, ["sha", "size"]).where("page_id is null or page_id <> first")
-    later = ids.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), F.col("first"))
-    joined = rows.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
-    dealt = joined.select(_part(bounds).alias("part"), "page_id", "url", "payload", F.col("first").alias("refers_to"), "sha")
-    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "sha", "url")
+    # decisions go to the writer's tasks beside the payloads, ahead of the rows they are for: payloads move once
+    order = ["part", "page_id", "kind", "sha", "url", "payload", "refers_to"]
+    decided = ids.select(_part(bounds).alias("part"), "page_id", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("first").alias("refers_to"))
+    written = rows.select(_part(bounds).alias("part"), "page_id", F.lit(1).alias("kind"), "sha", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    dealt = decided.select(*order).unionAll(written.select(*order))
+    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "kind", "sha", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done, part, number, size, count = [], [], None, 0, 0, 0
+        page, first = None, {}  # what is decided for the page at hand, by payload
 
         def flush():
             name = f"part-{part:05d}-{number:05d}.warc.gz"
@@ -125,13 +128,18 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 64
             done.append((part, number, name, count, len(data), zlib.crc32(data)))
 
         for batch in batches:
-            for row in _rows(batch):
-                if held and (row[0] != part or size >= roll_bytes):
+            for own, page_id, kind, sha, url, payload, refers_to in _rows(batch):
+                if page != (own, page_id):
+                    page, first = (own, page_id), {}
+                if not kind:
+                    first[sha] = refers_to
+                    continue
+                if held and (own != part or size >= roll_bytes):
                     flush()
-                    number = 0 if row[0] != part else number + 1
+                    number = 0 if own != part else number + 1
                     held, size, count = [], 0, 0
-                part = row[0]
-                held.append(record(*row[1:5], date))
+                part = own
+                held.append(record(page_id, url, payload, first.get(sha), date))
                 size += len(held[-1])
                 count += 1
         if held:
