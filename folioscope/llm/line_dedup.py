@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import slots
+
 #: White space between words, as in the SQL form.
 _WORDS = r"[^ \t\r\x0B\f]+"
 
@@ -20,7 +22,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, h, words): the lines that hold a word; th tells texts of one id apart."""
     lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = lines.select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(_WORDS)).alias("words")).where("words > 0")
-    dealt = rows.repartition("doc_id", "th")
+    dealt = rows.repartition(slots(docs.sparkSession), "doc_id", "th")
     return dealt.groupBy("doc_id", "th", "pos").agg(F.first("h").alias("h"), F.first("words").alias("words"))  # repeated rows count once
 
 
