@@ -32,9 +32,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 20
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(tokenizer_path)
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, 8 << 20):
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), to_ids.encode(part.column("text").to_pylist())):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), to_ids.encode(part.column("text"))):
                     ids += end
                     n = len(ids) // 4
                     for at in range(0, n, capacity):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import rans
 from folioscope.llm.chunked_encoding import encoder
-from folioscope.llm.common import fresh_folder, map_texts, materialize, ship, slots
+from folioscope.llm.common import fresh_folder, materialize, ship, sliced, slots
 from folioscope.llm.files import commit_file, even_bounds, read_file
 
 ROWS_A_PART, MOST_PARTS, IDS_A_FILE = 4096, 20_000, 1 << 24
@@ -33,16 +33,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     bounds = np.array(even_bounds(docs.select("doc_id"), "doc_id", parts), np.int64)
     end = int(end_id).to_bytes(4, "little")
 
-    def make():
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(tokenizer_path)
+        for batch in batches:
+            for rows in sliced(batch, 8 << 20):
+                own = rows.column("doc_id").to_pylist()
+                part = [0 if d is None else int(np.searchsorted(bounds, d, "right")) for d in own]
+                ids = [_narrow(x + end) for x in to_ids.encode(rows.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
-        def work(texts, kept):
-            part = [0 if d is None else int(np.searchsorted(bounds, d, "right")) for d in kept["doc_id"]]
-            return {"part": part, "doc_id": kept["doc_id"], "ids": [_narrow(x + end) for x in to_ids.encode(texts)]}
-
-        return work
-
-    encoded = materialize(map_texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "part int, doc_id long, ids binary", ["doc_id"], make), "ids")
+    ship(spark)
+    encoded = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(convert, "part int, doc_id long, ids binary"), "ids")
     sums = encoded.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per token at most
     counts = np.zeros(int(sums["id"].max()) + 1 if len(sums) else 0, np.int64)
     counts[sums["id"]] = sums["n"]
