@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, ship
+from folioscope.llm.common import materialize, ship, tidy
 
 SAMPLE, GROUP, TARGET, SEED = 20_000, 4096, 0.98, 7
 _MOST_LISTS, _CODES = 1024, 256
@@ -141,7 +141,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
                 names=["id", "list", "codes", "raw"],
             )
 
-    stored = materialize(good.mapInArrow(index, flat), "index")
+    stored = materialize(good.mapInArrow(tidy(index), flat), "index")
     groups = -(-total // GROUP)
     blocks = {r["list"]: -(-r["count"] // GROUP) for r in stored.groupBy("list").count().collect()}  # a row per list: bounded
     count = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(blocks.items()) for x in kv]), F.col("list"))
@@ -153,7 +153,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
             seen = shape.value.visited(matrix(batch.column(1), dim))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in matrix(batch.column(1), dim)], pa.binary())], names=["id", "lists", "raw"])
 
-    asked = good.where(F.col("id") % every == 0).mapInArrow(route, "id long, lists array<int>, raw binary")
+    asked = good.where(F.col("id") % every == 0).mapInArrow(tidy(route), "id long, lists array<int>, raw binary")
     each = asked.select("id", "raw", F.explode("lists").alias("list"))
     each = each.select("id", "raw", "list", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"))
     sent = each.groupBy(_group(F.col("list"), F.col("block"), groups).alias("g"), "id", "raw").agg(F.array_sort(F.collect_set("list")).alias("lists"))
@@ -180,7 +180,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
                 who = np.repeat(asks.column("id").to_numpy(), [len(x[0]) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(who), *(pa.array(np.concatenate([x[i] for x in found])) for i in (0, 1))], names=["query_id", "vec_id", "score"])
 
-    hits = dealt.mapInArrow(look, "query_id long, vec_id long, score double")
+    hits = dealt.mapInArrow(tidy(look), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

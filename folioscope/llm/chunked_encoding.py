@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from folioscope.llm.common import resident
+
 _LONGEST, _CACHED, _BATCH = 48, 700_000, 20_000
 #: Texts with such characters are encoded whole: beyond Latin, or separators that libraries see in different ways.
 _ODD = "[^\\x02-\\x1b\\x20-\\x{84}\\x{86}-\\x{9f}\\x{a1}-\\x{12f}\\x{131}-\\x{24f}]"
@@ -131,11 +133,6 @@ class ChunkedEncoder:
         return values
 
 
-_encoders: dict[str, ChunkedEncoder] = {}
-
-
 def encoder(path: str) -> ChunkedEncoder:
-    """The worker's encoder for a vocabulary file; its cache lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = ChunkedEncoder(path)
-    return _encoders[path]
+    """The worker's encoder for a vocabulary file; its cache lives on while tasks ``keeps=path`` follow each other."""
+    return resident(path, lambda: ChunkedEncoder(path))

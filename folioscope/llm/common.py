@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -83,7 +84,34 @@ def slots(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def map_texts(df: DataFrame, schema: str, keep: list[str], make: Callable[[], Callable[[list, dict], dict]]) -> DataFrame:
+#: What a worker keeps from task to task (caches of encoded words), by name; maps drop what others have left.
+RESIDENT: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], object]):
+    if name not in RESIDENT:
+        RESIDENT[name] = make()
+    return RESIDENT[name]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as an Arrow map that gives unused memory back at its end: workers idle on beside the next stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [x for x in RESIDENT if x != keeps]:
+            del RESIDENT[name]
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def map_texts(df: DataFrame, schema: str, keep: list[str], make: Callable[[], Callable[[list, dict], dict]], keeps: str = "") -> DataFrame:
     """Arrow map over rows in slices of bounded text size.
 
     ``keep`` lists the columns that are passed to the function; ``make()`` runs once a task and
@@ -102,7 +130,7 @@ def map_texts(df: DataFrame, schema: str, keep: list[str], make: Callable[[], Ca
                 got = work(part.column("text").to_pylist(), {k: part.column(k).to_pylist() for k in keep})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
-    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidy(run, keeps), schema)
 
 
 def sliced(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

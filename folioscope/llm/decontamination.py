@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ship, sliced
+from folioscope.llm.common import ship, sliced, tidy
 
 WINDOW, LITERALS, BLOCK_BYTES = 8, 5, 16 << 20
 #: Words taken as units and as numbers.
@@ -212,7 +212,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     """The rows of ``docs`` that leak no item (see ``leaks``), all columns as they are; nothing is shuffled."""
     ship(docs.sparkSession)
     for block in _blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(tidy(_filter(docs.sparkSession.sparkContext.broadcast(block))), docs.schema)
     return docs
 
 
@@ -241,4 +241,4 @@ def _pass(docs: DataFrame, block: Items, schema: str) -> DataFrame:
                     (lambda h: h[3], pa.int64()), (lambda h: h[4], pa.int64()))]
                 yield pa.RecordBatch.from_arrays([own, *numbers], names=["doc_id", "item_id", "covered_words", "share", "first_word", "last_word"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ship, sliced
+from folioscope.llm.common import ship, sliced, tidy
 
 SLOTS, ORDERS, PENALTY = 1 << 16, 4, 8.0
 #: First and last code point of scripts, from the public Unicode block list.
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, sample_bytes: int = 16 << 20) -> LanguageModel:
         lang, slot = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(slot, pa.int32()), pa.array(total[lang, slot], pa.int64())], names=["lang", "slot", "n"])
 
-    sums = sample.mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # languages x slots at most
+    sums = sample.mapInArrow(tidy(count), "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # languages x slots at most
     counts = np.zeros((len(languages), SLOTS + len(NAMES)))
     counts[sums["lang"], sums["slot"]] = sums["n"]
     seen, scripts = counts[:, :SLOTS] + 0.5, counts[:, SLOTS:]
@@ -203,4 +203,4 @@ def predict(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY, id_
                     scores.append(float(totals.max() / totals.sum()))
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], names=[id_col, "lang_pred", "score", "spans"])
 
-    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, spans array<struct<lang string, first_word long, words long, letters long>>")
+    return docs.select(id_col, "text").mapInArrow(tidy(run), f"{id_col} {kind}, lang_pred string, score double, spans array<struct<lang string, first_word long, words long, letters long>>")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import map_texts, materialize, ship, sliced, slots
+from folioscope.llm.common import map_texts, materialize, ship, sliced, slots, tidy
 from folioscope.llm.components import components
 from folioscope.llm.simhash import by_group, dealt_pairs, link_batch, near_links, shingle_hashes, span
 
@@ -132,10 +132,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5) ->
     crowd = member.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
     wanted = member.join(crowd, "root").select("root", "node", "members", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("root", "node", "members", "text")
-    sets = texts.mapInArrow(lambda it: _sets(it, size), "root long, node long, members long, set binary")
+    sets = texts.mapInArrow(tidy(lambda it: _sets(it, size)), "root long, node long, members long, set binary")
     dealt = dealt_pairs(sets, "root", "members", BLOCK, "node").select("group", "node", "set")
     dealt = dealt.repartition(slots(spark), "group").sortWithinPartitions("group")
-    roots = components(dealt.mapInArrow(_exact(similarity), "a long, b long"))
+    roots = components(dealt.mapInArrow(tidy(_exact(similarity)), "a long, b long"))
     named = distinct.join(roots, distinct.id == roots.node, "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root"), "rep.doc_id")
     named = materialize(named, "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

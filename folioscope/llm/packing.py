@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.chunked_encoding import encoder
-from folioscope.llm.common import materialize, ship, sliced
+from folioscope.llm.common import materialize, ship, sliced, tidy
 
 _BUCKET = 512  # pieces of a length that are ranked together
 
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 20
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, keeps=tokenizer_path), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -133,4 +133,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *more], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

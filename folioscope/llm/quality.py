@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ship, sliced
+from folioscope.llm.common import ship, sliced, tidy
 
 ROUNDS, RATE, DECAY = 120, 0.1, 1e-3
 #: Characters that count as the punctuation of sentences.
@@ -216,7 +216,7 @@ def score(docs: DataFrame, field: LineField, threshold: float = 0.7, id_col: str
                 lines = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)), pa.int32()), pa.array(p))
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(mean), pa.array((mean >= threshold).astype(np.int32)), lines], names=[id_col, "score", "predicted", "lines"])
 
-    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, score double, predicted int, lines array<double>")
+    return docs.select(id_col, "text").mapInArrow(tidy(run), f"{id_col} {kind}, score double, predicted int, lines array<double>")
 
 
 def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.7) -> DataFrame:
@@ -229,7 +229,7 @@ def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.7) -> Data
                 active, sizes, lengths = features(part.column("text").to_pylist())
                 yield part.filter(pa.array(means(field.marginals(active, sizes), sizes, lengths) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def means(p: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import map_texts, materialize, slots
+from folioscope.llm.common import map_texts, materialize, slots, tidy
 from folioscope.llm.components import components
 
 SEED, BLOCK = 42, 512
@@ -181,7 +181,7 @@ def near_links(distinct: DataFrame, words: list[str], tables: list[tuple[int, in
     crowd = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("none")).where("n > 1 and not none")
     dealt = dealt_pairs(rows.join(crowd, "key"), "key", "n", BLOCK, "id").select("group", "id", *words)
     dealt = dealt.repartition(slots(distinct.sparkSession), "group").sortWithinPartitions("group")
-    return dealt.mapInArrow(_verify(words, distance), "a long, b long")
+    return dealt.mapInArrow(tidy(_verify(words, distance)), "a long, b long")
 
 
 def near_groups(docs: DataFrame, size: int = 4, distance: int = 4, id_col: str = "doc_id") -> DataFrame:

@@ -13,10 +13,10 @@ from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import map_texts
+from folioscope.llm.common import map_texts, resident
 
 SPACE = "▁"
-_LONGEST, _CACHED = 48, 600_000
+_LONGEST, _CACHED = 48, 400_000
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -112,13 +112,8 @@ class PieceCounter:
         return n - merges + sum(len(x.encode()) - 1 for x in symbols if x and x not in rank)
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
 def counter(path: str) -> PieceCounter:
-    if path not in _counters:
-        _counters[path] = PieceCounter(path)
-    return _counters[path]
+    return resident(path, lambda: PieceCounter(path))
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id") -> DataFrame:
@@ -137,4 +132,4 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
         return work
 
-    return map_texts(docs, f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean", [id_col], make)
+    return map_texts(docs, f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean", [id_col], make, keeps=model_path)

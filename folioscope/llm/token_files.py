@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import rans
 from folioscope.llm.chunked_encoding import encoder
-from folioscope.llm.common import fresh_folder, materialize, ship, sliced, slots
+from folioscope.llm.common import fresh_folder, materialize, ship, sliced, slots, tidy
 from folioscope.llm.files import commit_file, even_bounds, read_file
 
 ROWS_A_PART, MOST_PARTS, IDS_A_FILE = 4096, 20_000, 1 << 24
@@ -43,8 +43,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     ship(spark)
-    encoded = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(convert, "part int, doc_id long, ids binary"), "ids")
-    sums = encoded.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per token at most
+    encoded = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(convert, keeps=tokenizer_path), "part int, doc_id long, ids binary"), "ids")
+    sums = encoded.select("ids").mapInArrow(tidy(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per token at most
     counts = np.zeros(int(sums["id"].max()) + 1 if len(sums) else 0, np.int64)
     counts[sums["id"]] = sums["n"]
     freq = rans.quantized(counts)
@@ -79,7 +79,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         )
 
     dealt = encoded.select("part", "doc_id", "ids").repartitionById(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "doc_id", "ids")
-    files = sorted(tuple(r) for r in dealt.mapInArrow(write, "part int, number int, name string, docs long, ids long").collect())  # a row per file
+    files = sorted(tuple(r) for r in dealt.mapInArrow(tidy(write), "part int, number int, name string, docs long, ids long").collect())  # a row per file
     start, listed = 0, []
     for _, _, name, n_docs, n_ids in files:
         listed.append({"name": name, "docs": n_docs, "ids": n_ids, "start": start})
@@ -117,7 +117,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.createDataFrame([(f["name"], f["start"]) for f in manifest["files"]], "name string, start long")
     files = files.repartition(max(1, min(len(manifest["files"]), 8 * slots(spark))))
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _narrow(ids: bytes) -> bytes:

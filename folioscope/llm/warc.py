@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import fresh_folder, ship, slots
+from folioscope.llm.common import fresh_folder, ship, slots, tidy
 from folioscope.llm.files import commit_file, even_bounds, read_file
 
 ROWS_A_PART, MOST_PARTS = 1024, 4096
@@ -148,7 +148,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 64
         names = ["part", "number", "name", "records", "bytes", "crc"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done)) or [()] * 6, kinds)], names=names)
 
-    made = sorted(tuple(r) for r in dealt.mapInArrow(write, "part int, number int, name string, records long, bytes long, crc long").collect())  # a row per file
+    made = sorted(tuple(r) for r in dealt.mapInArrow(tidy(write), "part int, number int, name string, records long, bytes long, crc long").collect())  # a row per file
     files = [dict(zip(("name", "records", "bytes", "crc32"), r[2:])) for r in made]
     commit_file(f"{folder}/manifest.json", json.dumps({"format": "WARC/1.1", "files": files}).encode())
     return folder
@@ -211,7 +211,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
 
     files = spark.createDataFrame([(f["name"], f["crc32"]) for f in manifest["files"]], "name string, crc long")
-    return files.repartition(max(1, min(len(manifest["files"]), 8 * slots(spark)))).mapInArrow(run, schema)
+    return files.repartition(max(1, min(len(manifest["files"]), 8 * slots(spark)))).mapInArrow(tidy(run), schema)
 
 
 def oracle(revisit_from: int = 0) -> str:
