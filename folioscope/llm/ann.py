@@ -46,9 +46,9 @@ class Quantizer:
         """Inner products of a query's parts with every code: parts x codes."""
         return np.einsum("pcd,pd->pc", self.books, padded(q[None], self.cut).reshape(len(self.books), self.cut))
 
-    def visited(self, q: np.ndarray) -> np.ndarray:
+    def visited(self, q: np.ndarray, probes: int) -> np.ndarray:
         """The lists that each query visits, best centroid first."""
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes]
 
 
 def padded(x: np.ndarray, cut: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def fit(sample: np.ndarray, total: int, k: int, target: float = TARGET, cut: int
     """
     rng = np.random.default_rng(SEED)
     x = sample.astype(np.float32)
-    lists = int(min(_MOST_LISTS, max(1, len(x) // 20), max(8, total**0.5 / 2)))
+    lists = int(min(_MOST_LISTS, max(1, len(x) // 20), max(1, total // 200), max(8, total**0.5 / 2)))
     centroids = kmeans(x, lists, 10, rng)
     own = nearest(x, centroids)
     rest = padded(x - centroids[own], cut)
@@ -143,18 +143,21 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
 
     stored = materialize(good.mapInArrow(tidy(index), flat), "index")
     groups = -(-total // GROUP)
-    blocks = {r["list"]: -(-r["count"] // GROUP) for r in stored.groupBy("list").count().collect()}  # a row per list: bounded
+    held = dict(stored.groupBy("list").count().collect())  # a row per list: bounded
+    blocks = {x: -(-n // GROUP) for x, n in held.items()}
+    least = np.cumsum(sorted(held.get(x, 0) for x in range(len(shape.value.centroids))))
+    probes = max(shape.value.probes, int(np.searchsorted(least, k + 1)) + 1)  # any so many lists hold k others
     count = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(blocks.items()) for x in kv]), F.col("list"))
     block = F.pmod(F.xxhash64("id"), count).cast("int")
     placed = stored.select(_group(F.col("list"), block, groups).alias("g"), F.lit(0).alias("kind"), "id", "codes", "raw", F.array("list").alias("lists"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = shape.value.visited(matrix(batch.column(1), dim))
+            seen = shape.value.visited(matrix(batch.column(1), dim), probes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in matrix(batch.column(1), dim)], pa.binary())], names=["id", "lists", "raw"])
 
     asked = good.where(F.col("id") % every == 0).mapInArrow(tidy(route), "id long, lists array<int>, raw binary")
-    each = asked.select("id", "raw", F.explode("lists").alias("list"))
+    each = asked.select("id", "raw", F.explode("lists").alias("list")).where(F.col("list").isin(sorted(blocks)))
     each = each.select("id", "raw", "list", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"))
     sent = each.groupBy(_group(F.col("list"), F.col("block"), groups).alias("g"), "id", "raw").agg(F.array_sort(F.collect_set("list")).alias("lists"))
     both = placed.unionByName(sent.select("g", F.lit(1).alias("kind"), "id", F.lit(None).cast("binary").alias("codes"), "raw", "lists"))

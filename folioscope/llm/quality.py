@@ -177,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes:
 
     At most about ``sample`` documents with ``sample_bytes`` of text in all are used, chosen by a
     hash of their id. Rows without a text, an id or a label teach nothing; a document with several
-    labels is used with each.
+    labels is used with each. Without any labelled text every line gets 0.5.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
     share = min(1.0, sample / max(1, known.count()))
