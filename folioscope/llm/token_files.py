@@ -34,17 +34,24 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     end = int(end_id).to_bytes(4, "little")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(tokenizer_path)
+        to_ids, counts = encoder(tokenizer_path), np.zeros(0, np.int64)
+        names = ["part", "doc_id", "ids"]
         for batch in batches:
             for rows in sliced(batch, 8 << 20):
                 own = rows.column("doc_id").to_pylist()
                 part = [0 if d is None else int(np.searchsorted(bounds, d, "right")) for d in own]
-                ids = [_narrow(x + end) for x in to_ids.encode(rows.column("text"))]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+                ids = [x + end for x in to_ids.encode(rows.column("text"))]
+                more = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                if len(more) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(len(more) - len(counts), np.int64)])
+                counts[: len(more)] += more
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(map(_narrow, ids), pa.binary())], names=names)
+        if len(counts):  # the task's counts, as a row of no part
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
 
     ship(spark)
     encoded = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(convert, keeps=tokenizer_path), "part int, doc_id long, ids binary"), "ids")
-    sums = encoded.select("ids").mapInArrow(tidy(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per token at most
+    sums = encoded.where("part < 0").select("ids").mapInArrow(tidy(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per token at most
     counts = np.zeros(int(sums["id"].max()) + 1 if len(sums) else 0, np.int64)
     counts[sums["id"]] = sums["n"]
     freq = rans.quantized(counts)
@@ -78,7 +85,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "number", "name", "docs", "ids"]
         )
 
-    dealt = encoded.select("part", "doc_id", "ids").repartitionById(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "doc_id", "ids")
+    dealt = encoded.where("part >= 0").select("part", "doc_id", "ids").repartitionById(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "doc_id", "ids")
     files = sorted(tuple(r) for r in dealt.mapInArrow(tidy(write), "part int, number int, name string, docs long, ids long").collect())  # a row per file
     start, listed = 0, []
     for _, _, name, n_docs, n_ids in files:
@@ -131,13 +138,9 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each id occurs in a task's rows."""
-    counts = np.zeros(0, np.int64)
+    """(id, n) of the counts that tasks have left."""
     for batch in batches:
         for raw in batch.column(0).to_pylist():
-            more = np.bincount(_wide(raw))
-            if len(more) > len(counts):
-                counts = np.concatenate([counts, np.zeros(len(more) - len(counts), np.int64)])
-            counts[: len(more)] += more
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
+            counts = np.frombuffer(raw, "<i8")
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
