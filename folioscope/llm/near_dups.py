@@ -22,7 +22,7 @@ from folioscope.llm.common import map_texts, materialize, ship, sliced, slots, t
 from folioscope.llm.components import components
 from folioscope.llm.simhash import by_group, dealt_pairs, link_batch, near_links, shingle_hashes, span
 
-RECALL, BLOCK, PAIR = 0.98, 1024, 2
+RECALL, BLOCK, PAIR, MANY = 0.98, 1024, 2, 48
 _ODD = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(16)]
 
 
@@ -89,7 +89,12 @@ def _exact(similarity: float):
                 own = open_[fits]
                 mark[:] = 0  # noqa: B023
                 mark[flat[first[x] : first[x] + sizes[x]]] = 1  # noqa: B023
-                both = np.array([mark[flat[first[y] : first[y] + sizes[y]]].sum() for y in own.tolist()], np.int64)  # noqa: B023
+                if len(own) > MANY:  # one pass over the whole block
+                    shared = np.zeros(len(sizes), np.int64)  # noqa: B023
+                    shared[sizes > 0] = np.add.reduceat(mark[flat], first[sizes > 0])  # noqa: B023
+                    both = shared[own]
+                else:
+                    both = np.array([mark[flat[first[y] : first[y] + sizes[y]]].sum() for y in own.tolist()], np.int64)  # noqa: B023
                 found = np.zeros(len(open_), bool)
                 found[fits] = both >= similarity * (sizes[own] + sizes[x] - both)  # noqa: B023
                 return found
