@@ -23,19 +23,38 @@ def fixed_windows(rows: DataFrame, width: int = 400, overlap: int = 80) -> DataF
 
 
 def greedy(blocks: DataFrame, limit: int) -> DataFrame:
-    """(version_id, chunk, first, last, kind, size): consecutive blocks packed up to ``limit`` characters.
+    """(version_id, chunk, first, last, kind, section, size): consecutive blocks packed up to ``limit`` characters.
 
     Blocks (version_id, position, section, kind, text) join with two characters between them;
     special kinds stand alone and a new section begins a new chunk. A fold over each version's
     ordered blocks, inside the JVM.
     """
     own = F.struct("position", F.coalesce("section", F.lit("")).alias("section"), F.when(F.col("kind").isin(SPECIAL), F.col("kind")).otherwise("text").alias("kind"), F.length("text").alias("n"))
-    listed = blocks.groupBy("version_id").agg(F.array_sort(F.collect_list(own)).alias("blocks"))
+    return _packed(blocks.select("version_id", own.alias("b")).select("version_id", "b.*"), limit)
+
+
+def _packed(rows: DataFrame, limit: int) -> DataFrame:
+    """The fold over each version's rows (version_id, position, section, kind, n)."""
+    listed = rows.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("position", "section", "kind", "n"))).alias("blocks"))
     fold = """aggregate(blocks, cast(array() as array<struct<first:int,last:int,kind:string,section:string,size:int>>), (acc, b) ->
       if(size(acc) > 0 and b.kind = 'text' and element_at(acc, -1).kind = 'text' and element_at(acc, -1).section = b.section and element_at(acc, -1).size + 2 + b.n <= {limit},
         concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', cast(b.position as int), 'kind', 'text', 'section', b.section, 'size', element_at(acc, -1).size + 2 + b.n))),
         concat(acc, array(named_struct('first', cast(b.position as int), 'last', cast(b.position as int), 'kind', b.kind, 'section', b.section, 'size', b.n)))))"""
-    return listed.select("version_id", F.posexplode(F.expr(fold.format(limit=limit))).alias("chunk", "c")).select("version_id", "chunk", "c.first", "c.last", "c.kind", "c.size")
+    return listed.select("version_id", F.posexplode(F.expr(fold.format(limit=limit))).alias("chunk", "c")).select("version_id", "chunk", "c.first", "c.last", "c.kind", "c.section", "c.size")
+
+
+def parents(children: DataFrame, limit: int) -> DataFrame:
+    """(version_id, parent, first, last, kind, size): consecutive children of ``greedy`` packed up to ``limit`` characters.
+
+    A new section or a special child, before or after, begins a new parent.
+    """
+    own = children.select("version_id", F.col("chunk").alias("position"), "section", "kind", F.col("size").alias("n"))
+    return _packed(own, limit).select("version_id", F.col("chunk").alias("parent"), "first", "last", "kind", "size")
+
+
+def source_ids(source, index, piece) -> F.Column:
+    """The id of a piece by its source, its number and its content, the same at every run."""
+    return F.concat_ws("::", F.coalesce(source, F.lit("")), index, F.substring(F.md5(piece), 1, 12))
 
 
 def neighbours(chunks: DataFrame) -> DataFrame:

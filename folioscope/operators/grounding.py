@@ -76,3 +76,39 @@ def filled(given: DataFrame, required: DataFrame, key: str) -> DataFrame:
 
 def first_of_each(rows: DataFrame, group: list[str], order: list) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("__n = 1").drop("__n")
+
+#: Claims about a whole field.
+FIELD_CLAIM = "(?i)领域|世界|首次|首创|state[- ]of[- ]the[- ]art|first ever"
+
+
+def expanded(seeds: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Proposals (question_id, ord, step, chunk_id, reason, seed), the first of each chunk, in the order to be budgeted.
+
+    Seeds (question_id, ord, chunk_id) bring their parent, both neighbours and related chunks, as
+    ``chunks`` (chunk_id, parent_id, previous_id, next_id, related) tells; an unknown seed stands alone.
+    """
+    offer = lambda c, why: F.struct(c.alias("id"), F.lit(why).alias("reason"))
+    four = F.array(offer(F.col("chunk_id"), "reranked"), offer(F.col("parent_id"), "parent"), offer(F.col("previous_id"), "adjacent"), offer(F.col("next_id"), "adjacent"))
+    more = F.transform(F.coalesce("related", F.array()), lambda x: F.struct(x.alias("id"), F.lit("special_relation").alias("reason")))
+    rows = seeds.join(chunks, "chunk_id", "left").select("question_id", "ord", F.col("chunk_id").alias("seed"), F.posexplode(F.concat(four, more)).alias("step", "o"))
+    known = rows.where("o.id is not null").select("question_id", "ord", "step", F.col("o.id").alias("chunk_id"), "o.reason", "seed")
+    return first_of_each(known, ["question_id", "chunk_id"], ["ord", "step"])
+
+
+def missing_sections(given: DataFrame) -> DataFrame:
+    """Summaries' sections (id, level, name): the required ones of the level that aren't there, in their order."""
+    required = F.create_map(*[x for k, v in SECTIONS.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
+    held = given.groupBy("id", "level").agg(F.collect_set("name").alias("names"))
+    return held.select("id", "level", F.array_except(F.element_at(required, F.col("level")), "names").alias("missing"))
+
+
+def novelty_verdict(text, citations, compared, scope) -> F.Column:
+    """Why a claim of novelty can't stand, else ``accepted``: field-wide, uncited, or compared beyond the scope."""
+    beyond = F.size(F.array_except(F.coalesce(compared, F.array()), scope)) > 0
+    return F.when(text.rlike(FIELD_CLAIM), "field_claim").when(F.coalesce(F.size(citations), F.lit(0)) <= 0, "uncited").when(beyond, "beyond_scope").otherwise("accepted")
+
+
+def prompts(context: DataFrame, mark: str = "\n---\n") -> DataFrame:
+    """Context (query_id, question, rank, text) to one prompt per question: its texts by rank, then the question."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
+    return context.groupBy("query_id", "question").agg(F.array_join(texts, mark).alias("context")).select("query_id", F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "question").alias("prompt"))

@@ -41,3 +41,61 @@ def task_states(events: DataFrame, stale_hours: int = 24) -> DataFrame:
     attempts = events.groupBy("task_id").agg(F.count_if(F.col("status") == "queued").alias("attempts"))
     joined = state.join(F.broadcast(end), F.lit(True)).join(attempts, "task_id")
     return joined.select("task_id", F.when((F.col("status") == "running") & old, "failed").otherwise(F.col("status")).alias("state"), "attempts", (F.coalesce("attempts", F.lit(0)) + 1).alias("next_attempt"))
+
+#: Kinds of failures that another attempt may mend.
+RETRYABLE = ["glm", "vector_index", "keyword_index", "database", "filesystem"]
+
+
+def next_step(kind, attempt, most: int = 3) -> F.Column:
+    return F.when(kind.isin(RETRYABLE) & (attempt < most), "retry").otherwise("give_up")
+
+
+def active_conflicts(tasks: DataFrame) -> DataFrame:
+    """Tasks (version_id, task_id, status): versions with more than one task queued or running."""
+    active = tasks.where(F.col("status").isin("queued", "running"))
+    return active.groupBy("version_id").agg(F.count("*").alias("active")).where("active > 1")
+
+
+def still_valid(results: DataFrame, active: DataFrame) -> DataFrame:
+    """Results' inputs (id, paper_id, version_id): valid while every one of them is an active version (paper_id, version_id)."""
+    known = active.select("paper_id", "version_id", F.lit(True).alias("known")).distinct()
+    return results.join(known, ["paper_id", "version_id"], "left").groupBy("id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("valid"))
+
+
+def touched(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Keys of the rows (key, paper_ids) whose scope holds a deleted paper (paper_id)."""
+    return rows.select(key, F.explode("paper_ids").alias("paper_id")).join(gone, "paper_id", "left_semi").select(key).distinct()
+
+
+def scope_changes(rows: DataFrame) -> DataFrame:
+    """Events (id, at, event_id, scope): those whose scope differs from the one before, which comes along."""
+    before = F.lag("scope").over(Window.partitionBy("id").orderBy("at", "event_id"))
+    return rows.withColumn("previous", before).where(~F.col("scope").eqNullSafe(F.col("previous"))).drop("at")
+
+
+def worst(parts: DataFrame, key: str) -> DataFrame:
+    """Parts' statuses rolled up: unavailable before warning before available."""
+    has = lambda x: F.bool_or(F.col("status") == x)
+    return parts.groupBy(key).agg(F.when(has("unavailable"), "unavailable").when(has("warning"), "warning").otherwise("available").alias("status"))
+
+
+def question_problem(text, most: int = 8000) -> F.Column:
+    """Why a question is turned away, else null."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(bare == "", "empty").when(F.length(bare) > most, "too_long")
+
+
+def compressed(messages: DataFrame, most: int = 8, keep: int = 3, summary=lambda text: F.left(text, F.lit(150))) -> DataFrame:
+    """Histories (conv_id, turn, role, text) of over ``most`` messages: the first, a summary, and the last ``keep``.
+
+    ``summary`` makes the summary's column of the other messages' text, joined by line feeds; a
+    model can be put there.
+    """
+    own = Window.partitionBy("conv_id")
+    at, back = F.row_number().over(own.orderBy("turn")), F.row_number().over(own.orderBy(F.desc("turn")))
+    placed = messages.select("conv_id", "turn", "role", "text", at.alias("at"), back.alias("back"), F.count("*").over(own).alias("total"))
+    stays = (F.col("total") <= most) | (F.col("at") == 1) | (F.col("back") <= keep)
+    old = placed.where(~stays).groupBy("conv_id").agg(F.min("turn").alias("turn"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    joined = F.array_join(F.transform("m", lambda x: x["text"]), "\n")
+    told = old.select("conv_id", "turn", F.lit("system").alias("role"), summary(joined).alias("text"))
+    return placed.where(stays).select("conv_id", "turn", "role", "text").unionByName(told)

@@ -89,3 +89,29 @@ def quality(pages: DataFrame) -> DataFrame:
         F.when(F.col("garbled") > 0.1, "garbled_text"), F.when(F.col("confidence") < 0.6, "low_ocr_confidence"),
     ))
     return out.withColumn("level", level).withColumn("warnings", F.array_join(notes, ","))
+
+
+def page_metrics(boxes: DataFrame) -> DataFrame:
+    """Text boxes (version_id, page_no, x0, y0, x1, y1, text, width, height) to one row per page.
+
+    Coverage is the boxes' area within the page over the page's area, 1 at most; few characters,
+    little coverage or many garbled ones ask for OCR. A page without area has coverage 0.
+    """
+    across = F.greatest(F.lit(0.0), F.least("x1", "width") - F.greatest("x0", F.lit(0.0)))
+    down = F.greatest(F.lit(0.0), F.least("y1", "height") - F.greatest("y0", F.lit(0.0)))
+    chars = F.coalesce(F.length(F.regexp_replace("text", r"\s", "")), F.lit(0))
+    bad = F.coalesce(F.length(F.regexp_replace("text", "[^\\x{FFFD}\\p{Cc}]|\\s", "")), F.lit(0))
+    page = boxes.groupBy("version_id", "page_no").agg(
+        F.sum(chars).alias("chars"), F.sum(bad).alias("bad"), F.sum(across * down).alias("area"), F.max(F.col("width") * F.col("height")).alias("whole"),
+    )
+    measured = page.select(
+        "version_id", "page_no", "chars", F.round(F.least(F.lit(1.0), F.coalesce(F.try_divide("area", "whole"), F.lit(0.0))), 9).alias("coverage"),
+        F.round(F.coalesce(F.try_divide("bad", "chars"), F.lit(0.0)), 9).alias("garbled"),
+    )
+    return measured.withColumn("needs_ocr", (F.col("chars") < 40) | (F.col("coverage") < 0.002) | (F.col("garbled") > 0.1))
+
+
+def page_level(covered, garbled, ocr_status, confidence) -> F.Column:
+    """The level of one page; the report of its version is ``quality``."""
+    worse = (garbled > 0.1) | (ocr_status == "failed") | (confidence < 0.6)
+    return F.when(~covered, "failed").when(worse, "partially_ready").otherwise("ready")

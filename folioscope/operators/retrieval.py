@@ -110,3 +110,34 @@ def diverse(hits: DataFrame, k: int = 4, weight: float = 0.5) -> DataFrame:
         return rows.loc[picked, ["query_id", "chunk_id"]].assign(rank=range(1, len(picked) + 1))
 
     return hits.groupBy("query_id").applyInPandas(choose, "query_id long, chunk_id long, rank int")
+
+
+def two_stage(hits: DataFrame, questions: DataFrame, chunks: DataFrame, limit: int = 3) -> DataFrame:
+    """Recalled hits (query_id, chunk_id), scored as pairs of question and text: the best ``limit`` of each question."""
+    pairs = hits.select("query_id", "chunk_id").join(questions.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    scored = pairs.select("query_id", "chunk_id", F.round(lexical_score(F.col("query"), F.col("text")), 9).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
+def route_health(attempts: DataFrame, routes: int = 2) -> DataFrame:
+    """Attempts (query_id, route, failed): degraded when any failed or one of the routes never succeeded."""
+    good = F.count_distinct(F.when(~F.col("failed"), F.col("route")))
+    counts = attempts.groupBy("query_id").agg(F.count_if("failed").alias("failures"), good.alias("succeeded"))
+    return counts.select("query_id", "failures", ((F.col("failures") > 0) | (F.col("succeeded") < routes)).alias("degraded"))
+
+
+def spread_over_facets(ranked: DataFrame, limit: int = 12) -> DataFrame:
+    """Ranked hits (query_id, rank, chunk_id, facet): the best unseen chunk of each facet first, then the others by rank.
+
+    A chunk counts once; a facet whose best chunk another facet has taken gives its next one. A null
+    or empty facet only takes part in filling up. A fold over each question's hits, whose number
+    the retrieval limits bound.
+    """
+    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.coalesce("facet", F.lit("")).alias("facet")))).alias("hits"))
+    first = """aggregate(hits, named_struct('ids', cast(array() as array<bigint>), 'facets', cast(array() as array<string>)), (a, x) ->
+      if(x.facet = '' or array_contains(a.facets, x.facet) or array_contains(a.ids, x.chunk_id), a,
+        named_struct('ids', array_append(a.ids, x.chunk_id), 'facets', array_append(a.facets, x.facet)))).ids"""
+    led = listed.withColumn("led", F.expr(first))
+    every = F.array_distinct(F.concat("led", F.transform("hits", lambda x: x["chunk_id"])))
+    return led.select("query_id", F.posexplode(F.slice(every, 1, limit)).alias("place", "chunk_id")).withColumn("place", F.col("place") + 1)

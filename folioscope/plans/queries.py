@@ -71,11 +71,10 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.keyword_search(_questions(spark, d), _docs(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query(_BM25.replace("cross join n group", "cross join n where chunk_id % 3 = 0 group") + "select query_id, chunk_id, round(score, 6) as score, rank from r where rank <= 10")
+@query(_BM25.replace("cross join n group", "cross join n where chunk_id in (select doc_id from documents where lang = 'de') group") + "select query_id, chunk_id, round(score, 6) as score, rank from r where rank <= 10")
 def keyword_search_scoped(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    scope = docs.where("chunk_id % 3 = 0").select("chunk_id")
-    return retrieval.keyword_search(_questions(spark, d), docs, scope=scope).withColumn("score", F.round("score", 6))
+    scope = table(spark, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("chunk_id"))
+    return retrieval.keyword_search(_questions(spark, d), _docs(spark, d), scope=scope).withColumn("score", F.round("score", 6))
 
 
 @query(f"with t as (select {_T} as terms from documents), p as (select unnest(terms) as term from t) select term, count(*) as n from p group by term")
@@ -124,12 +123,20 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return fused.select("query_id", "chunk_id", "paper_id", F.round("rrf", 9).alias("rrf"), F.size("traces").cast("long").alias("routes"), "rank")
 
 
-@query()
+_SCORES = f"""tq as (select item_id as query_id, list_distinct({_T}) as q from benchmark), td as (select doc_id as chunk_id, list_distinct({_T}) as t from documents),
+pairs as (select c.*, round(case when len(q) > 0 then len(list_intersect(q, t))::double / len(q) else 0 end, 9) as score from c join tq using (query_id) join td using (chunk_id))
+"""
+
+
+@query(_FUSE.rsplit("\nselect", 1)[0].replace(", c as (", ", c0 as (").replace("\nc as (", "\nc0 as (").replace("from c)", "from c0)") + f""", c as (select query_id, chunk_id, paper_id, rrf from z where place <= 24), {_SCORES},
+l as (select *, row_number() over (partition by query_id, paper_id order by score desc, rrf desc, chunk_id) as lead from pairs where score >= 0.1)
+select * from (select query_id, chunk_id, score, round(rrf, 9) as rrf, paper_id, 1 as matched,
+  row_number() over (partition by query_id order by case when lead = 1 then paper_id end nulls last, score desc, l.rrf desc, chunk_id) as rank from l) where rank <= 12""")
 def rerank_comparison(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).select("chunk_id", "text")
     asked = _questions(spark, d).select("query_id", F.col("text").alias("query"))
     candidates = retrieval.fuse(_routes(spark, d), limit=24).join(docs, "chunk_id").join(asked, "query_id")
-    return retrieval.rerank(candidates, by_paper=True).withColumn("matched", F.size("matched"))
+    return retrieval.rerank(candidates, by_paper=True).withColumn("matched", F.size("matched")).withColumn("rrf", F.round("rrf", 9))
 
 
 @query()
@@ -257,13 +264,13 @@ def context_budgets(spark: SparkSession, d: str) -> DataFrame:
 _LEVELS = "case event_type when 'click' then 'direct' when 'view' then 'inference' when 'error' then 'conflict' else 'insufficient' end"
 
 
-@query(f"""with e as (select user_id as question_id, event_id % 3 as part, {_LEVELS} as level from events where event_id % 11 < 3),
+@query(f"""with e as (select event_id // 3 as question_id, event_id % 3 as part, {_LEVELS} as level from events),
 p as (select question_id, part, case when bool_or(level = 'conflict') then 'conflict' when bool_or(level = 'direct') then 'direct' when bool_or(level = 'inference') then 'inference' else 'insufficient' end as level from e group by all)
 select question_id, case when count_if(level = 'insufficient') = count(*) then 'insufficient_evidence' when count_if(level = 'insufficient') > 0 then 'partially_answered' when count_if(level = 'conflict') > 0 then 'conflicted' else 'answered' end as status,
   count(*) as parts, count_if(level = 'insufficient') as unanswered from p group by question_id""")
 def answer_sufficiency(spark: SparkSession, d: str) -> DataFrame:
     levels = F.expr(_LEVELS)
-    return grounding.sufficiency(table(spark, d, "events").where("event_id % 11 < 3").select(F.col("user_id").alias("question_id"), (F.col("event_id") % 3).alias("part"), levels.alias("level")))
+    return grounding.sufficiency(table(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("question_id"), (F.col("event_id") % 3).alias("part"), levels.alias("level")))
 
 
 @query(f"""with c as (select user_id as answer_id, event_id as claim, {_LEVELS} as level, [event_id % 97, event_id % 89] as ids from events),
@@ -347,3 +354,6 @@ def history_windows(spark: SparkSession, d: str) -> DataFrame:
 select min(doc_id) as first_id, count(*) as copies from k group by k having count(*) > 1""")
 def duplicate_contents(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy(tx.content_key(F.col("text")).alias("k")).agg(F.min("chunk_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("k")
+
+
+from folioscope.plans import library  # noqa: E402,F401  registers the queries of the library
