@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 PARSED = (
     "texts array<struct<label:string,text:string,prov:array<struct<page_no:int>>>>, "
-    "tables array<struct<text:string,data:struct<table_cells:array<struct<text:string>>>,prov:array<struct<page_no:int>>>>"
+    "tables array<struct<text:string,data:struct<table_cells:array<struct<text:string>>>,prov:array<struct<page_no:int>>>>, "
+    "pictures array<struct<text:string,prov:array<struct<page_no:int>>>>"
 )
+CASES = "id string, fixture string, question string, scope array<string>, evidence array<string>, layer string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,11 @@ def pdf_files(spark: SparkSession, path: str, most: int = 200 << 20, known: Data
     return rows if known is None else rows.join(known.select("sha256"), "sha256", "left_anti")
 
 
+def cases(spark: SparkSession, path: str) -> DataFrame:
+    """Acceptance cases: a JSON array of objects."""
+    return spark.read.schema(CASES).json(path, multiLine=True)
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """Text of web pages: scripts, styles and navigation go, tags become blanks."""
     body = F.regexp_replace("html", r"(?is)<(script|style|nav)[^>]*>.*?</\1>", " ")
@@ -37,10 +44,11 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def parsed_items(rows: DataFrame) -> DataFrame:
-    """Parser JSON (version_id, json) to items in order: texts, then tables, each with all its pages (page 1 if none)."""
+    """Parser JSON (version_id, json) to items in order: texts, tables, pictures, each with all its pages (page 1 if none)."""
     doc = rows.select("version_id", F.from_json("json", PARSED).alias("d"))
     cells = lambda t: F.array_join(F.filter(F.transform(t["data"]["table_cells"], lambda c: c["text"]), lambda x: x != ""), "\n")
     texts = F.transform(F.coalesce("d.texts", F.array()), lambda t: F.struct(t["label"].alias("label"), t["text"].alias("text"), t["prov"].alias("prov")))
     tables = F.transform(F.coalesce("d.tables", F.array()), lambda t: F.struct(F.lit("table").alias("label"), F.coalesce(t["text"], cells(t)).alias("text"), t["prov"].alias("prov")))
-    items = doc.select("version_id", F.posexplode(F.concat(texts, tables)).alias("pos", "i"))
+    pictures = F.transform(F.coalesce("d.pictures", F.array()), lambda t: F.struct(F.lit("picture").alias("label"), t["text"].alias("text"), t["prov"].alias("prov")))
+    items = doc.select("version_id", F.posexplode(F.concat(texts, tables, pictures)).alias("pos", "i"))
     return items.select("version_id", "pos", "i.label", "i.text", F.explode_outer("i.prov").alias("p")).select("version_id", "pos", "label", "text", F.coalesce("p.page_no", F.lit(1)).alias("page_no"))
