@@ -1,9 +1,10 @@
-"""Near-duplicate documents: SimHash candidates, exact similarity of their word shingles.
+"""Near-duplicate documents: candidates by bits of minima, exact similarity of their word shingles.
 
 Documents are similar when the sets of their shingles (five words, A-Z lower-cased) have a Jaccard
-similarity of 0.8 or more. At that similarity the fingerprints of the shingles themselves differ
-in far more bits than balls can reach, so the fingerprints here are taken over the distinct word
-pairs, which fewer edits touch; as many tables of segments are searched as the wanted recall needs
+similarity of 0.8 or more. At that similarity SimHash differs in 15 of 100 bits where a block of
+text is added, cut or replaced, which takes too many lookups. The fingerprints here have one bit of
+each of many minima of the set (MinHash): such a bit differs with half of one minus the similarity,
+10 of 100, whatever the edit; as many tables of segments are searched as the wanted recall needs
 (both grow with the logarithm of the corpus, to keep table entries sparse). Fingerprints that are
 near over all their bits form loose components; inside these the shingle sets are compared exactly.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from folioscope.llm.common import map_texts, materialize, ship, sliced, slots, t
 from folioscope.llm.components import components
 from folioscope.llm.simhash import by_group, dealt_pairs, link_batch, near_links, shingle_hashes, span
 
-RECALL, BLOCK, PAIR, MANY = 0.98, 1024, 2, 48
-_ODD = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(16)]
+RECALL, BLOCK, MANY = 0.98, 1024, 48
+_PART = 1024
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -32,27 +34,31 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def pair_print(text: str | None, count: int) -> list[int]:
-    """``count`` signed 64-bit words of the SimHash over distinct word pairs."""
-    features, out = shingle_set(text, PAIR), []
-    for k in range(count):
-        h = features * np.uint64(_ODD[k])
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 4096):
-            ones += np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True))
-    return out
+@cache
+def _orders(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of ``count`` orders of 32-bit values, as columns."""
+    import xxhash
+
+    made = [[xxhash.xxh32_intdigest(k.to_bytes(4, "big"), seed) for k in range(count)] for seed in (1, 2)]
+    return np.array(made[0], np.uint32)[:, None] | np.uint32(1), np.array(made[1], np.uint32)[:, None]
+
+
+def minima_print(shingles: np.ndarray, count: int) -> list[int]:
+    """``count`` signed 64-bit words: a bit of the set's least value in each of as many orders as bits."""
+    times, plus = _orders(64 * count)
+    values, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(64 * count, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(values), _PART):
+        np.minimum(least, (times * values[at : at + _PART] + plus).min(1), out=least)
+    bits = (least ^ (least >> np.uint32(15))) * np.uint32(0x846CA68B) >> np.uint32(31)
+    return np.packbits(bits.astype(bool)).view(">i8").tolist()
 
 
-def layout(count: int, similarity: float, size: int) -> tuple[list[tuple[int, int, int, int]], int, int]:
+def layout(count: int, similarity: float) -> tuple[list[tuple[int, int, int, int]], int, int]:
     """Tables (word, shift, width, radius), words of the fingerprint, and the distance that still counts.
 
-    Similar texts share 2s/(1+s) of their shingles at least; an edit that spoils ``size`` shingles
-    spoils two word pairs, which gives the share of bits that differ.
+    Two sets share their least value as often as their Jaccard similarity says; where not, half the bits differ.
     """
-    shared = 1 - (1 - 2 * similarity / (1 + similarity)) * PAIR / size
-    flip = math.acos(shared) / math.pi * 1.05
+    flip = (1 - similarity) / 2 * 1.05
     width = min(32, max(16, math.ceil(math.log2(max(2, count))) + 2))
     hit = (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
     tables = max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - hit)))
@@ -116,14 +122,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5) ->
     spark = docs.sparkSession
     ship(spark)
     count = docs.count()
-    tables, words, distance = layout(count, similarity, size)
+    tables, words, distance = layout(count, similarity)
     names = [f"f{k}" for k in range(words)]
 
     def make():
         def work(texts, kept):
-            prints = [pair_print(t, words) for t in texts]
-            nodes = [_node(shingle_set(t, size)) for t in texts]
-            return kept | {"node": nodes} | {f: [p[k] for p in prints] for k, f in enumerate(names)}
+            sets = [shingle_set(t, size) for t in texts]
+            prints = [minima_print(x, words) for x in sets]
+            return kept | {"node": [_node(x) for x in sets]} | {f: [p[k] for p in prints] for k, f in enumerate(names)}
 
         return work
 

@@ -166,3 +166,26 @@ def test_line_runs(spark):
     docs = spark.createDataFrame([(1, f"top\n{run}\nend"), (2, f"other\n{run}\nlast"), (3, "top\nend"), (4, "a " * 55 + "\nb\n" + "a " * 55)], "doc_id long, text string")
     got = {r.doc_id: plain(tuple(r)[1:]) for r in line_dedup.dedup_lines(docs).collect()}
     assert got[2] == ["other\nlast", 6, 66] and got[3] == ["top\nend", 0, 0] and got[4] == ["a " * 55 + "\nb", 1, 55] and got[1][1] == 0
+
+
+def test_near_duplicates_by_edits_of_a_block(spark):
+    """Lone pairs with a block of words appended, cut or replaced, at similarities of 0.8 to 0.9."""
+    rng, texts, fresh = random.Random(11), [], iter(range(10**9))
+    words = lambda n: [f"v{next(fresh)}" for _ in range(n)]
+    for k in range(450):
+        base, share = words(rng.randrange(120, 400)), rng.choice([0.8, 0.8, 0.85, 0.9])
+        n = len(base) - 4
+        at = rng.randrange(10, n // 2)
+        more = int(n * (1 / share - 1))  # appended: n of n + more shingles are shared
+        cut = int(n * (1 - share)) - 8  # the seam spoils four shingles more and makes four
+        new = int(n * (1 - share) / (1 + share)) - 4
+        texts += [base, (base + words(more), base[:at] + base[at + cut :], base[:at] + words(new) + base[at + new :])[k % 3]]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(near_dups.shingle_set(t, 5).tolist()) for t in texts]
+    wanted = [i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(wanted) > 400
+    for kind in range(3):
+        own = [i for i in wanted if i // 2 % 3 == kind]
+        assert np.mean([got[i + 1] == i for i in own]) >= 0.95
+    assert all(got[i] == i for i in range(0, len(texts), 2)) and all(got[i + 1] == i + 1 for i in range(0, len(texts), 2) if i not in wanted)
