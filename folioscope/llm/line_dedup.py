@@ -26,8 +26,14 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return dealt.groupBy("doc_id", "th", "pos").agg(F.first("h").alias("h"), F.first("words").alias("words"))  # repeated rows count once
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, th, runs): the line ranges to delete, as array<struct<a, b>>, first and last line."""
+def repeated_runs(docs: DataFrame, min_words: int = 50, from_start: bool = False) -> DataFrame:
+    """(doc_id, th, runs): the line ranges to delete, as array<struct<a, b>>, first and last line.
+
+    What is left of a run behind its last window has fewer than ``min_words`` words, so lines that
+    start within so many words of a window's end reach the end of the match. ``from_start``
+    measures them from the window's start and two times ``min_words`` on, as the SQL does; what
+    stands behind a long line is then left.
+    """
     by_doc = Window.partitionBy("doc_id", "th")
     before = by_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -36,13 +42,18 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
         .withColumn("total", F.sum("words").over(by_doc).cast("long"))
     )
     window = by_doc.orderBy("at").rangeBetween(0, min_words - 1)
-    behind = by_doc.orderBy("at").rangeBetween(min_words, 2 * min_words - 1)
+    if from_start:
+        behind = F.collect_list(F.struct("h", "pos")).over(by_doc.orderBy("at").rangeBetween(min_words, 2 * min_words - 1))
+    else:
+        placed = placed.withColumn("lines", F.collect_list(F.struct("h", "pos")).over(window))
+        placed = placed.withColumn("next", F.lead("lines").over(by_doc.orderBy("at")))
+        behind = F.coalesce(F.last("next").over(window), F.slice("lines", 1, 0))
     ahead = by_doc.orderBy("at").rangeBetween(-min_words, -1)
     windows = (
         placed.withColumn("least", F.min("h").over(window))
         .withColumn("inside", F.collect_list("h").over(window))
         .withColumn("last", F.max("pos").over(window))
-        .withColumn("after", F.collect_list(F.struct("h", "pos")).over(behind))
+        .withColumn("after", behind)
         .withColumn("ahead", F.reverse(F.collect_list(F.struct("h", "pos")).over(ahead)))
         .where(F.col("total") - F.col("at") >= min_words)
     )
@@ -84,18 +95,18 @@ def _merged(ranges: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50, from_start: bool = False) -> DataFrame:
     """``docs`` with the text that is left, and two columns more: dropped_lines and dropped_words.
 
     A line goes where it belongs to a run of lines, of at least ``min_words`` words together, that
     stood before: in a document of smaller doc_id (null is smallest) or earlier in the same one.
-    Runs are extended along their match with the earliest place of each window by lines starting
-    up to ``min_words`` words beyond it. Lines without words are never deleted; line breaks of
+    Runs are extended along their match with the earliest place of each window to the match's end
+    (``from_start``: less far behind long lines, see ``repeated_runs``). Lines without words are never deleted; line breaks of
     deleted lines go with them. Null and empty texts stay as they are. Rows equal in id and text
     count as one document and get the same result; of texts with the same id, the order is that of
     their 64-bit hash. Other columns are passed through.
     """
-    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("runs").alias("__runs"))
+    runs = repeated_runs(docs, min_words, from_start).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("runs").alias("__runs"))
     joined = docs.withColumn("__th", F.xxhash64("text")).join(runs, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
     gone = lambda i: F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"]))
     words = lambda line: F.regexp_count(line, F.lit(_WORDS))

@@ -52,7 +52,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50, from_start=True)  # as its SQL
     return out.select("doc_id", F.col("text").alias("kept_text"), "dropped_lines", "dropped_words")
 
 

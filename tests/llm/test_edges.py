@@ -189,3 +189,11 @@ def test_near_duplicates_by_edits_of_a_block(spark):
         own = [i for i in wanted if i // 2 % 3 == kind]
         assert np.mean([got[i + 1] == i for i in own]) >= 0.95
     assert all(got[i] == i for i in range(0, len(texts), 2)) and all(got[i + 1] == i + 1 for i in range(0, len(texts), 2) if i not in wanted)
+
+
+def test_line_runs_behind_long_lines(spark):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    run = f"{words('a', 120)}\n{words('b', 40)}"
+    rows = [(1, f"{run}\nend"), (2, f"other\n{run}\nlast"), (3, run), (4, f"{words('a', 120)}\nx\n{words('b', 40)}")]
+    got = {r.doc_id: plain(tuple(r)[1:]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][1] == 0 and got[2] == ["other\nlast", 2, 160] and got[3] == ["", 2, 160] and got[4] == [f"x\n{words('b', 40)}", 1, 120]
