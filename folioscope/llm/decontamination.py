@@ -4,6 +4,7 @@ Numbers, names and units become typed placeholders, so that a question with othe
 template. Windows of eight canonical words meet in a hash join whose build side is a block of the
 benchmark of limited size (a larger benchmark takes several passes over the documents). Matches on
 one alignment must fill the slots consistently: equal values stay equal, different ones different.
+What has too few plain words for a template is met as it is, in windows of the words themselves.
 """
 
 from __future__ import annotations
@@ -70,8 +71,8 @@ class Canon:
             self.hash.append(xxhash.xxh64_intdigest(low))
             self.flag.append(kind | (8 if word[:1].isupper() else 0) | (16 if any(c in ".!?" for c in tail) else 0))
 
-    def sequence(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all words that are not skipped: canonical hash, kind, their text (number), their place there."""
+    def sequence(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words that are not skipped: canonical hash, kind, their text (number), their place there, own hash (case aside)."""
         if len(self.known) > _CACHED:
             self.__init__()
         self.learn(set().union(*docs).difference(self.known) if docs else set())
@@ -86,7 +87,7 @@ class Canon:
         kind = np.where((kind == _LITERAL) & (flag & 8 > 0) & ~start, _NAME, kind)
         keep = kind != _SKIP
         canon = np.where(kind == _LITERAL, hashes, _MARKS[kind])
-        return canon[keep], kind[keep], doc[keep], place[keep]
+        return canon[keep], kind[keep], doc[keep], place[keep], hashes[keep]
 
 
 def rolled(canon: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,37 +104,41 @@ def rolled(canon: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, n
 
 @dataclass
 class Items:
-    """A block of the benchmark: its windows by size, sorted by hash."""
+    """A block of the benchmark: its windows by form (True: the words themselves) and size, sorted by hash."""
 
     ids: list[int]
     lengths: list[int]
     words: list[list[str]]  # canonical items: the plain words
     kinds: list[np.ndarray]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # size -> hash, item, first word
-    maps: dict[int, np.ndarray] = field(default_factory=dict)
+    windows: dict[tuple[bool, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # (form, size) -> hash, item, first word
+    maps: dict[tuple[bool, int], np.ndarray] = field(default_factory=dict)
 
 
 def prepare(rows: list[tuple[int, str]]) -> Items:
-    """Windows with ``LITERALS`` plain words at least; an item of fewer than ``WINDOW`` words is one window."""
+    """Templates with ``LITERALS`` plain words at least, the other windows as they are; an item of fewer than ``WINDOW`` words is one window."""
     canon = Canon()
     split = [(t or "").split() for _, t in rows]
-    c, kind, doc, place = canon.sequence(split)
+    c, kind, doc, place, raw = canon.sequence(split)
     items = Items([i for i, _ in rows], np.bincount(doc, minlength=len(rows)).tolist(), [], [])
     first = np.concatenate(([0], np.cumsum(items.lengths))).astype(np.int64)
     for i in range(len(rows)):
         at = slice(first[i], first[i + 1])
         items.words.append([_EDGE.sub("", split[i][p]).lower() for p in place[at]])
         items.kinds.append(kind[at])
-    for size in sorted({min(WINDOW, n) for n in items.lengths if n >= LITERALS}):
+    for size in sorted({min(WINDOW, n) for n in items.lengths if n}):
         h, whole = rolled(c, doc, size)
         plain = np.convolve(kind == _LITERAL, np.ones(size, np.int64), "valid")[: len(h)]
         own = np.array(items.lengths)[doc[: len(h)]]
-        at = np.flatnonzero(whole & (plain >= LITERALS) & (np.minimum(own, WINDOW) == size))
-        at = at[np.argsort(h[at], kind="stable")]
-        items.windows[size] = h[at], doc[at], at - first[doc[at]]
-        seen = np.zeros(1 << 20, bool)
-        seen[(h[at] >> np.uint64(44)).astype(np.int64)] = True
-        items.maps[size] = seen
+        fits = whole & (np.minimum(own, WINDOW) == size)
+        for exact, hashes, at in ((False, h, fits & (plain >= LITERALS)), (True, rolled(raw, doc, size)[0], fits & (plain < LITERALS))):
+            at = np.flatnonzero(at)
+            if not len(at):
+                continue
+            at = at[np.argsort(hashes[at], kind="stable")]
+            items.windows[exact, size] = hashes[at], doc[at], at - first[doc[at]]
+            seen = np.zeros(1 << 20, bool)
+            seen[(hashes[at] >> np.uint64(44)).astype(np.int64)] = True
+            items.maps[exact, size] = seen
     return items
 
 
@@ -145,29 +150,29 @@ def enough(length: int, least: int = 13, share: float = 0.4) -> int:
 def matches(items: Items, canon: Canon, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, covered words, first and last word matched) of every leak."""
     docs = [(t or "").split() for t in texts]
-    c, _, doc, place = canon.sequence(docs)
-    found: dict[tuple[int, int], dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
-    for size, (hashes, item, start) in items.windows.items():
-        h, whole = rolled(c, doc, size)
-        at = np.flatnonzero(items.maps[size][(h >> np.uint64(44)).astype(np.int64)] & whole)
+    c, _, doc, place, raw = canon.sequence(docs)
+    found: dict[tuple[int, int], dict[int, list[tuple[int, int, int, bool]]]] = defaultdict(lambda: defaultdict(list))
+    for (exact, size), (hashes, item, start) in items.windows.items():
+        h, whole = rolled(raw if exact else c, doc, size)
+        at = np.flatnonzero(items.maps[exact, size][(h >> np.uint64(44)).astype(np.int64)] & whole)
         low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
         for p, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
             for k in range(a, b):
-                found[int(doc[p]), int(item[k])][p - int(start[k])].append((p, int(start[k]), size))
+                found[int(doc[p]), int(item[k])][p - int(start[k])].append((p, int(start[k]), size, exact))
     out = []
     for (d, i), diagonals in found.items():
         covered, spots = set(), []
         for hits in diagonals.values():
             ways, back, sound = {}, {}, True
-            for p, j, size in hits:
-                for k in range(size):
+            for p, j, size, exact in hits:
+                for k in range(0 if exact else size):
                     if items.kinds[i][j + k] != _LITERAL:
                         word = _EDGE.sub("", docs[d][place[p + k]]).lower()
                         key = (int(items.kinds[i][j + k]), items.words[i][j + k])
                         sound &= ways.setdefault(key, word) == word and back.setdefault((key[0], word), key) == key
-            if sound:
-                covered.update(x for _, j, size in hits for x in range(j, j + size))
-                spots += [p for p, _, _ in hits] + [p + size - 1 for p, _, size in hits]
+            hits = [x for x in hits if sound or x[3]]
+            covered.update(x for _, j, size, _ in hits for x in range(j, j + size))
+            spots += [p for p, *_ in hits] + [p + size - 1 for p, _, size, _ in hits]
         if covered and len(covered) >= enough(items.lengths[i]):
             out.append((d, i, len(covered), int(place[min(spots)]), int(place[max(spots)])))
     return out
@@ -177,9 +182,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     """(doc_id, item_id, covered_words, share, first_word, last_word) of every item that a document leaks.
 
     An item leaks where consistent matches cover ``enough`` of its canonical words; ``first_word``
-    and ``last_word`` bound the matches among the document's words (cut at white space). Items
-    with fewer than five plain words, null or empty items and texts, and rows with a null item_id
-    give nothing; null doc_ids are kept; repeated rows give one row. Items that share an id are
+    and ``last_word`` bound the matches among the document's words (cut at white space). Windows
+    and items with fewer than five plain words are found with the same values only, a short item
+    wherever all its words stand in a row. Null or empty items and texts, and rows with a null
+    item_id give nothing; null doc_ids are kept; repeated rows give one row. Items that share an id are
     matched each, and the one with most words covered counts. Documents are not shuffled.
     """
     spark = docs.sparkSession

@@ -197,3 +197,14 @@ def test_line_runs_behind_long_lines(spark):
     rows = [(1, f"{run}\nend"), (2, f"other\n{run}\nlast"), (3, run), (4, f"{words('a', 120)}\nx\n{words('b', 40)}")]
     got = {r.doc_id: plain(tuple(r)[1:]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1][1] == 0 and got[2] == ["other\nlast", 2, 160] and got[3] == ["", 2, 160] and got[4] == [f"x\n{words('b', 40)}", 1, 120]
+
+
+def leaked(items, texts):
+    found = decontamination.matches(decontamination.prepare(list(enumerate(items))), decontamination.Canon(), texts)
+    return sorted(m[:2] for m in found)
+
+
+def test_items_of_few_plain_words():
+    items = ["Alice, Bob, Carol and Dave each have 3, 5, 7 and 9 coins.", "Add 3 and 5", "12 kg"]
+    texts = [f"so we ask that {x} and then go on" for x in items] + ["Alice, Bob, Carol and Dave each have 3, 5, 7 and 8 coins.", "add 3 to 5 and 12 mg", None]
+    assert leaked(items, texts) == [(0, 0), (1, 1), (2, 2)]
