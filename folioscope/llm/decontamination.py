@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so that a question with othe
 template. Windows of eight canonical words meet in a hash join whose build side is a block of the
 benchmark of limited size (a larger benchmark takes several passes over the documents). Matches on
 one alignment must fill the slots consistently: equal values stay equal, different ones different.
-What has too few plain words for a template is met as it is, in windows of the words themselves.
+Windows of the words themselves, case aside, meet too: they find copies in lower case and what has
+too few plain words for a template.
 """
 
 from __future__ import annotations
@@ -115,29 +116,40 @@ class Items:
 
 
 def prepare(rows: list[tuple[int, str]]) -> Items:
-    """Templates with ``LITERALS`` plain words at least, the other windows as they are; an item of fewer than ``WINDOW`` words is one window."""
+    """All windows as they are, those with ``LITERALS`` plain words at least as templates too.
+
+    An item of fewer than ``WINDOW`` words is one window. A capitalised first word is plain here but
+    a name where the item stands inside a sentence, so its window has a template of either kind.
+    """
     canon = Canon()
     split = [(t or "").split() for _, t in rows]
     c, kind, doc, place, raw = canon.sequence(split)
     items = Items([i for i, _ in rows], np.bincount(doc, minlength=len(rows)).tolist(), [], [])
     first = np.concatenate(([0], np.cumsum(items.lengths))).astype(np.int64)
+    named = c.copy()
     for i in range(len(rows)):
         at = slice(first[i], first[i + 1])
         items.words.append([_EDGE.sub("", split[i][p]).lower() for p in place[at]])
         items.kinds.append(kind[at])
+        if items.lengths[i] and kind[first[i]] == _LITERAL and _EDGE.sub("", split[i][place[first[i]]])[:1].isupper():
+            named[first[i]] = _MARKS[_NAME]
     for size in sorted({min(WINDOW, n) for n in items.lengths if n}):
         h, whole = rolled(c, doc, size)
         plain = np.convolve(kind == _LITERAL, np.ones(size, np.int64), "valid")[: len(h)]
         own = np.array(items.lengths)[doc[: len(h)]]
         fits = whole & (np.minimum(own, WINDOW) == size)
-        for exact, hashes, at in ((False, h, fits & (plain >= LITERALS)), (True, rolled(raw, doc, size)[0], fits & (plain < LITERALS))):
-            at = np.flatnonzero(at)
+        enough_plain = fits & (plain >= LITERALS)
+        other = rolled(named, doc, size)[0]
+        at, more, every = np.flatnonzero(enough_plain), np.flatnonzero(enough_plain & (other != h)), np.flatnonzero(fits)
+        own_hash = rolled(raw, doc, size)[0][every]
+        for exact, hashes, at in ((False, np.concatenate([h[at], other[more]]), np.concatenate([at, more])), (True, own_hash, every)):
             if not len(at):
                 continue
-            at = at[np.argsort(hashes[at], kind="stable")]
-            items.windows[exact, size] = hashes[at], doc[at], at - first[doc[at]]
+            order = np.argsort(hashes, kind="stable")
+            hashes, at = hashes[order], at[order]
+            items.windows[exact, size] = hashes, doc[at], at - first[doc[at]]
             seen = np.zeros(1 << 20, bool)
-            seen[(hashes[at] >> np.uint64(44)).astype(np.int64)] = True
+            seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
             items.maps[exact, size] = seen
     return items
 
@@ -163,6 +175,7 @@ def matches(items: Items, canon: Canon, texts: list[str | None]) -> list[tuple[i
     for (d, i), diagonals in found.items():
         covered, spots = set(), []
         for hits in diagonals.values():
+            hits = [x for x in hits if x[1] or x[3] or items.kinds[i][0] != _LITERAL or _EDGE.sub("", docs[d][place[x[0]]]).lower() == items.words[i][0]]
             ways, back, sound = {}, {}, True
             for p, j, size, exact in hits:
                 for k in range(0 if exact else size):

@@ -208,3 +208,9 @@ def test_items_of_few_plain_words():
     items = ["Alice, Bob, Carol and Dave each have 3, 5, 7 and 9 coins.", "Add 3 and 5", "12 kg"]
     texts = [f"so we ask that {x} and then go on" for x in items] + ["Alice, Bob, Carol and Dave each have 3, 5, 7 and 8 coins.", "add 3 to 5 and 12 mg", None]
     assert leaked(items, texts) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_short_items_inside_sentences_and_in_lower_case():
+    items = ["Which of the two trains will reach the town first", "Tell Anna and Peter where the old house stood", "How many apples are left when he gives 5 of them"]
+    texts = [f"Question: {items[0]}", f"and - {items[1]} so", items[1].lower(), "Question: How many apples are left when he gives 7 of them", "Answer: Few many apples are left when he gives 7 of them"]
+    assert leaked(items, texts) == [(0, 0), (1, 1), (2, 1), (3, 2)]
