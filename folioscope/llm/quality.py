@@ -176,23 +176,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes:
     """Fit on labelled documents (doc_id, text) and (doc_id, quality 0 or 1).
 
     At most about ``sample`` documents with ``sample_bytes`` of text in all are used, chosen by a
-    hash of their id. Rows without a text, an id or a label teach nothing; a document with several
-    labels is used with each. Without any labelled text every line gets 0.5.
+    hash of their id; texts longer than a 16th of the bytes come last, so that they can't displace
+    the rest. Rows without a text, an id or a label teach nothing; a document with several labels is
+    used with each. Without any labelled text every line gets 0.5.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about ``sample`` rows
-    size = F.sum(F.octet_length("text")).over(_running())
+    size = F.sum(F.octet_length("text")).over(_running(sample_bytes // 16))
     kept = rows.withColumn("at", size).where(F.col("at") <= sample_bytes)
     got = kept.orderBy(F.xxhash64("doc_id"), "quality", "text").select("text", "quality").toPandas()
     return fit(got["text"].tolist(), got["quality"].to_numpy())
 
 
-def _running():
+def _running(long: int):
     from pyspark.sql import Window
 
-    return Window.orderBy(F.xxhash64("doc_id"), "quality", "text").rowsBetween(Window.unboundedPreceding, 0)  # of the bounded sample
+    return Window.orderBy(F.octet_length("text") > long, F.xxhash64("doc_id"), "quality", "text").rowsBetween(Window.unboundedPreceding, 0)  # of the bounded sample
 
 
 def score(docs: DataFrame, field: LineField, threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -214,3 +215,11 @@ def test_short_items_inside_sentences_and_in_lower_case():
     items = ["Which of the two trains will reach the town first", "Tell Anna and Peter where the old house stood", "How many apples are left when he gives 5 of them"]
     texts = [f"Question: {items[0]}", f"and - {items[1]} so", items[1].lower(), "Question: How many apples are left when he gives 7 of them", "Answer: Few many apples are left when he gives 7 of them"]
     assert leaked(items, texts) == [(0, 0), (1, 1), (2, 1), (3, 2)]
+
+
+def test_a_long_labelled_text_leaves_the_others(spark):
+    first = spark.range(200).orderBy(F.xxhash64("id")).first().id
+    texts = [(i, "fine words of sense" if i % 2 else "junk junk junk") for i in range(200)]
+    docs = spark.createDataFrame([(i, t * 2000 if i == first else t) for i, t in texts], "doc_id long, text string")
+    field = quality.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), sample_bytes=16_000)
+    assert [r.predicted for r in quality.score(docs.where("doc_id <= 41"), field, threshold=0.7).orderBy("doc_id").collect()] == [i % 2 for i in range(42)]
