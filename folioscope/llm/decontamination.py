@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import ship, sliced, tidy
 
-WINDOW, LITERALS, BLOCK_BYTES = 8, 5, 16 << 20
+WINDOW, LITERALS, RUN, BLOCK_BYTES = 8, 5, 13, 16 << 20
 #: Words taken as units and as numbers.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes ounce ounces lb lbs pound pounds ml l liter liters litre litres "
@@ -159,6 +159,15 @@ def enough(length: int, least: int = 13, share: float = 0.4) -> int:
     return min(length, max(least, -(-length * share // 1)))
 
 
+def longest(words: set[int]) -> int:
+    """The length of the longest run of successive numbers."""
+    best = run = 0
+    for x in sorted(words):
+        run = run + 1 if x - 1 in words else 1
+        best = max(best, run)
+    return best
+
+
 def matches(items: Items, canon: Canon, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, covered words, first and last word matched) of every leak."""
     docs = [(t or "").split() for t in texts]
@@ -173,7 +182,7 @@ def matches(items: Items, canon: Canon, texts: list[str | None]) -> list[tuple[i
                 found[int(doc[p]), int(item[k])][p - int(start[k])].append((p, int(start[k]), size, exact))
     out = []
     for (d, i), diagonals in found.items():
-        covered, spots = set(), []
+        covered, spots, run = set(), [], 0
         for hits in diagonals.values():
             hits = [x for x in hits if x[1] or x[3] or items.kinds[i][0] != _LITERAL or _EDGE.sub("", docs[d][place[x[0]]]).lower() == items.words[i][0]]
             ways, back, sound = {}, {}, True
@@ -184,9 +193,11 @@ def matches(items: Items, canon: Canon, texts: list[str | None]) -> list[tuple[i
                         key = (int(items.kinds[i][j + k]), items.words[i][j + k])
                         sound &= ways.setdefault(key, word) == word and back.setdefault((key[0], word), key) == key
             hits = [x for x in hits if sound or x[3]]
-            covered.update(x for _, j, size, _ in hits for x in range(j, j + size))
+            own = {x for _, j, size, _ in hits for x in range(j, j + size)}
+            covered |= own
+            run = max(run, longest(own))
             spots += [p for p, *_ in hits] + [p + size - 1 for p, _, size, _ in hits]
-        if covered and len(covered) >= enough(items.lengths[i]):
+        if covered and (run >= RUN or len(covered) >= enough(items.lengths[i])):
             out.append((d, i, len(covered), int(place[min(spots)]), int(place[max(spots)])))
     return out
 
@@ -194,7 +205,8 @@ def matches(items: Items, canon: Canon, texts: list[str | None]) -> list[tuple[i
 def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, covered_words, share, first_word, last_word) of every item that a document leaks.
 
-    An item leaks where consistent matches cover ``enough`` of its canonical words; ``first_word``
+    An item leaks where consistent matches cover ``enough`` of its canonical words, or ``RUN`` of
+    them in a row on one alignment; ``first_word``
     and ``last_word`` bound the matches among the document's words (cut at white space). Windows
     and items with fewer than five plain words are found with the same values only, a short item
     wherever all its words stand in a row. Null or empty items and texts, and rows with a null

@@ -223,3 +223,8 @@ def test_a_long_labelled_text_leaves_the_others(spark):
     docs = spark.createDataFrame([(i, t * 2000 if i == first else t) for i, t in texts], "doc_id long, text string")
     field = quality.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), sample_bytes=16_000)
     assert [r.predicted for r in quality.score(docs.where("doc_id <= 41"), field, threshold=0.7).orderBy("doc_id").collect()] == [i % 2 for i in range(42)]
+
+
+def test_passages_of_long_items():
+    words = [f"plain{k}" for k in range(100)]
+    assert leaked([" ".join(words)], [" ".join(["x", *words[20 : 20 + n], "y"]) for n in (12, 13, 39, 40)]) == [(1, 0), (2, 0), (3, 0)]
