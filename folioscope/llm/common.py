@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Where it is unset (local sessions, tests), a fresh temporary folder becomes the checkpoint
-    folder of the session.
+    Where it is unset in a local session (tests), a fresh temporary folder becomes the checkpoint
+    folder of the session; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -74,6 +76,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, count: int) -> list[str]:
+    """Column names that ``df`` doesn't have."""
+    taken, made, n = {c.lower() for c in df.columns}, [], 0
+    while len(made) < count:
+        if f"own_{n}" not in taken:
+            made.append(f"own_{n}")
+        n += 1
+    return made
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -1,10 +1,11 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-A window is a line and the lines after it up to ``min_words`` words. Its least line hash is its
-fingerprint, so every repeated run of at least ``min_words`` words shares the fingerprint of each
-window inside it. Windows meet where fingerprint and content are equal; the earliest place (by
-doc_id, then line) keeps its lines, each later one is extended line by line to both sides along
-its match with the earliest, and the lines of the extended runs are deleted.
+A window is a line and the lines after it (or before it) up to ``min_words`` words. Of each window
+the line of the least hash is selected: a repeated run of at least ``min_words`` words holds a whole
+window, so both of its places select the same line, and only selected lines are looked up. Selected
+lines whose hash stands at one selected place only are done with. Where several meet, a match is
+extended both ways by the windows around the selected line: it goes left and right with each window
+that is the same at an earlier place, whichever document that is in, and so to the match's end.
 """
 
 from __future__ import annotations
@@ -12,77 +13,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import slots
+from folioscope.llm.common import free_names, materialize, slots
 
 #: White space between words, as in the SQL form.
 _WORDS = r"[^ \t\r\x0B\f]+"
+#: A key with more than this share of all places is met by a broadcast of at most as many keys.
+_HOT = 1000
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, h, words): the lines that hold a word; th tells texts of one id apart."""
+    """(doc_id, th, pos, h, g, words): the lines that hold a word, with two hashes; th tells texts of one id apart."""
     lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = lines.select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(_WORDS)).alias("words")).where("words > 0")
-    dealt = rows.repartition(slots(docs.sparkSession), "doc_id", "th")
-    return dealt.groupBy("doc_id", "th", "pos").agg(F.first("h").alias("h"), F.first("words").alias("words"))  # repeated rows count once
+    rows = lines.select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.regexp_count("line", F.lit(_WORDS)).alias("words"))
+    dealt = rows.where("words > 0").repartition(slots(docs.sparkSession), "doc_id", "th")
+    return dealt.groupBy("doc_id", "th", "pos").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.first("words").alias("words"))  # repeated rows count once
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 50, from_start: bool = False) -> DataFrame:
-    """(doc_id, th, runs): the line ranges to delete, as array<struct<a, b>>, first and last line.
+def selected_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, th, pos, h, windows): window minima, each with the windows that select it.
 
-    What is left of a run behind its last window has fewer than ``min_words`` words, so lines that
-    start within so many words of a window's end reach the end of the match. ``from_start``
-    measures them from the window's start and two times ``min_words`` on, as the SQL does; what
-    stands behind a long line is then left.
+    A window (a, b, c, d) has its first and last line and two hashes of all its lines. Windows
+    reach from every line forwards and from every line backwards to ``min_words`` words, the
+    latter only where they aren't also one of the former. A window has ``min_words`` lines at most.
     """
     by_doc = Window.partitionBy("doc_id", "th")
-    before = by_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        line_rows(docs)
-        .withColumn("at", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("long"))
-        .withColumn("total", F.sum("words").over(by_doc).cast("long"))
-    )
-    window = by_doc.orderBy("at").rangeBetween(0, min_words - 1)
-    if from_start:
-        behind = F.collect_list(F.struct("h", "pos")).over(by_doc.orderBy("at").rangeBetween(min_words, 2 * min_words - 1))
-    else:
-        placed = placed.withColumn("lines", F.collect_list(F.struct("h", "pos")).over(window))
-        placed = placed.withColumn("next", F.lead("lines").over(by_doc.orderBy("at")))
-        behind = F.coalesce(F.last("next").over(window), F.slice("lines", 1, 0))
-    ahead = by_doc.orderBy("at").rangeBetween(-min_words, -1)
-    windows = (
-        placed.withColumn("least", F.min("h").over(window))
-        .withColumn("inside", F.collect_list("h").over(window))
-        .withColumn("last", F.max("pos").over(window))
-        .withColumn("after", behind)
-        .withColumn("ahead", F.reverse(F.collect_list(F.struct("h", "pos")).over(ahead)))
-        .where(F.col("total") - F.col("at") >= min_words)
-    )
-    spots = windows.select(
-        "least", F.xxhash64("inside").alias("content"), F.size("inside").alias("size"), "doc_id", "th", "pos", "last", "after", "ahead"
-    )
-    key = ["least", "content", "size"]
-    first = spots.groupBy(*key).agg(
-        F.min(F.struct(F.col("doc_id"), F.col("th"), F.col("pos"), F.col("after.h").alias("after"), F.col("ahead.h").alias("ahead"))).alias("first"),
-        F.count("*").alias("n"),
-    ).where("n > 1")
-    later = spots.join(first, key).where("not (doc_id <=> first.doc_id and th = first.th and pos = first.pos)")
-    ranges = later.select(
-        "doc_id", "th",
-        _reach("ahead", "first.ahead", F.col("pos")).alias("a"),
-        _reach("after", "first.after", F.col("last")).alias("b"),
-    )
-    return _merged(ranges)
+    placed = line_rows(docs).withColumn("upto", F.sum("words").over(by_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    placed = placed.withColumn("at", F.col("upto") - F.col("words"))
+
+    def window(frame) -> F.Column:
+        return F.struct(
+            F.min(F.struct("h", "pos")).over(frame).alias("least"), F.min("pos").over(frame).alias("a"), F.max("pos").over(frame).alias("b"),
+            F.xxhash64(F.collect_list("h").over(frame)).alias("c"), F.hash(F.collect_list("g").over(frame)).alias("d"), F.sum("words").over(frame).alias("n"),
+        )
+
+    ahead = placed.withColumn("ahead", window(by_doc.orderBy("at").rangeBetween(0, min_words - 1)))
+    both = ahead.withColumn("back", window(by_doc.orderBy("upto").rangeBetween(1 - min_words, 0)))
+    full = F.array_compact(F.array(
+        F.when(F.col("ahead.n") >= min_words, F.col("ahead")),
+        F.when(F.col("back.n") - F.col("words") >= min_words, F.col("back")),
+    ))
+    windows = both.select("doc_id", "th", F.explode(full).alias("w"))
+    chosen = windows.groupBy("doc_id", "th", F.col("w.least.pos").alias("pos"), F.col("w.least.h").alias("h"))
+    return chosen.agg(F.collect_list(F.struct("w.a", "w.b", "w.c", "w.d")).alias("windows"))
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """(doc_id, th, runs): the line ranges to delete, as array<struct<a, b>>, first and last line, in order.
+
+    Selected lines meet by their hash, then their windows by hash and content; no pairs are made.
+    A line or window that holds over a thousandth of all places is met by broadcast (there are
+    fewer than a thousand such), so that it isn't one task's.
+    """
+    chosen = materialize(selected_lines(docs, min_words), "selected-lines")
+    met = _met(chosen, ["h"], chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), chosen.count())
+    windows = materialize(met.select("doc_id", "th", "h", F.explode("windows").alias("w")).select("doc_id", "th", "h", "w.*"), "met-windows")
+    key = ["h", "c", "d"]
+    first = windows.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = _met(windows, key, first, windows.count()).where("not (doc_id <=> first.doc_id and th = first.th and a = first.a)")
+    return _merged(later.select("doc_id", "th", "a", "b"))
 
 
-def _reach(own: str, other: str, start) -> F.Column:
-    """The position of the last line of ``own`` that still equals its partner in ``other``."""
-    pairs = F.arrays_zip(F.col(own).alias("own"), F.col(other).alias("other"))
-    begin = F.struct(start.cast("int").alias("pos"), F.lit(True).alias("on"))
-    step = lambda s, x: F.struct(
-        F.when(s["on"] & F.coalesce(x["own"]["h"] == x["other"], F.lit(False)), x["own"]["pos"]).otherwise(s["pos"]).cast("int").alias("pos"),
-        (s["on"] & F.coalesce(x["own"]["h"] == x["other"], F.lit(False))).alias("on"),
-    )
-    return F.aggregate(pairs, begin, step, lambda s: s["pos"])
+def _met(rows: DataFrame, key: list[str], keys: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (one row a key, with its count ``n``), the hot ones by broadcast."""
+    keys = materialize(keys, "keys")
+    hot = keys.where(F.col("n") * _HOT > total).drop("n")  # fewer than _HOT rows
+    cold = keys.where(F.col("n") * _HOT <= total).drop("n")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
@@ -92,65 +88,59 @@ def _merged(ranges: DataFrame) -> DataFrame:
     upto = by_doc.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)
     marked = ranges.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(before) + 1, F.lit(True)).cast("int"))
     runs = marked.withColumn("run", F.sum("new").over(upto)).groupBy("doc_id", "th", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    return runs.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, from_start: bool = False) -> DataFrame:
-    """``docs`` with the text that is left, and two columns more: dropped_lines and dropped_words.
+def dedup_lines(docs: DataFrame, min_words: int = 50, names: tuple[str, str] = ("dropped_lines", "dropped_words")) -> DataFrame:
+    """``docs`` with the text that is left, and two columns more, ``names``: lines and words dropped.
 
     A line goes where it belongs to a run of lines, of at least ``min_words`` words together, that
     stood before: in a document of smaller doc_id (null is smallest) or earlier in the same one.
-    Runs are extended along their match with the earliest place of each window to the match's end
-    (``from_start``: less far behind long lines, see ``repeated_runs``). Lines without words are never deleted; line breaks of
-    deleted lines go with them. Null and empty texts stay as they are. Rows equal in id and text
-    count as one document and get the same result; of texts with the same id, the order is that of
-    their 64-bit hash. Other columns are passed through.
+    Lines without words are never deleted and don't interrupt a run; line breaks of deleted lines
+    go with them. Null and empty texts stay as they are. Rows equal in id and text count as one
+    document and get the same result; of texts with the same id, the order is that of their 64-bit
+    hash. Lines and windows are compared by hashes of 96 bits together. A text of any length is
+    taken whole: its lines are sorted in one task, which spills. Other columns are passed through,
+    whatever their names, but for columns called ``names``, which are replaced.
     """
-    runs = repeated_runs(docs, min_words, from_start).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("runs").alias("__runs"))
-    joined = docs.withColumn("__th", F.xxhash64("text")).join(runs, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
-    gone = lambda i: F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"]))
+    docs = docs.drop(*names)
+    d, t, h, r, x = free_names(docs, 5)
+    runs = repeated_runs(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("runs").alias(r))
+    joined = docs.withColumn(h, F.xxhash64("text")).join(runs, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
+    joined = joined.withColumn(x, F.when(F.col(r).isNotNull(), F.split("text", "\n")))
     words = lambda line: F.regexp_count(line, F.lit(_WORDS))
-    lines = F.split("text", "\n")
-    pairs = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (gone(i) & (words(x) > 0)).alias("gone")))
-    out = joined.withColumn("__lines", F.when(F.col("__runs").isNotNull(), pairs))
-    lost = F.filter("__lines", lambda x: x["gone"])
-    kept = F.array_join(F.transform(F.filter("__lines", lambda x: ~x["gone"]), lambda x: x["line"]), "\n")
-    return out.select(
-        *[(F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns],
-        F.when(F.col("__lines").isNull(), 0).otherwise(F.size(lost)).cast("long").alias("dropped_lines"),
-        F.when(F.col("__lines").isNull(), 0).otherwise(F.aggregate(lost, F.lit(0).cast("long"), lambda s, x: s + words(x["line"]))).cast("long").alias("dropped_words"),
+    own = lambda run: F.slice(x, run["a"] + 1, run["b"] - run["a"] + 1)
+    start = lambda i: F.coalesce(F.get(r, i - 1)["b"] + 1, F.lit(0))  # noqa: E731  of the lines before run i
+    parts = F.transform(r, lambda run, i: F.concat(F.slice(x, start(i) + 1, run["a"] - start(i)), F.filter(own(run), lambda line: words(line) == 0)))
+    rest = F.slice(x, F.element_at(r, -1)["b"] + 2, F.size(x))
+    kept = F.array_join(F.concat(F.flatten(parts), rest), "\n")
+    lost = F.flatten(F.transform(r, lambda run: F.filter(own(run), lambda line: words(line) > 0)))
+    some = F.col(r).isNotNull()
+    return joined.select(
+        *[(F.when(some, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns],
+        F.when(some, F.size(lost)).otherwise(0).cast("long").alias(names[0]),
+        F.when(some, F.aggregate(lost, F.lit(0).cast("long"), lambda s, line: s + words(line))).otherwise(0).cast("long").alias(names[1]),
     )
 
 
 def oracle(table: str = "documents", min_words: int = 50) -> str:
-    """The same in DuckDB SQL: windows are compared as texts."""
+    """What goes by definition, in DuckDB SQL: all windows of both directions, compared as texts."""
     return f"""
 with l as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
   from {table} where text is not null),
 w as (select doc_id, pos, line, len(regexp_extract_all(line, '[^ \\t\\r\\x0B\\f]+')) as words from l),
-p as (
-  select doc_id, pos, line, words,
-    coalesce(sum(words) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as w0,
-    (sum(words) over (partition by doc_id))::bigint as total
-  from w where words > 0),
+p as (select *, (sum(words) over (partition by doc_id order by pos))::bigint as upto from w where words > 0),
 s as (
-  select doc_id, pos, total - w0 as rest,
-    list(line) over i as inside, max(pos) over i as last,
-    list({{'h': line, 'pos': pos}}) over b as after, list({{'h': line, 'pos': pos}}) over a as ahead
-  from p window
-    i as (partition by doc_id order by w0 range between current row and {min_words - 1} following),
-    b as (partition by doc_id order by w0 range between {min_words} following and {2 * min_words - 1} following),
-    a as (partition by doc_id order by w0 range between {min_words} preceding and 1 preceding)),
-k as (select doc_id, pos, last, coalesce(after, []) as after, list_reverse(coalesce(ahead, [])) as ahead, array_to_string(inside, chr(10)) as content from s where rest >= {min_words}),
-f as (select *, first_value(doc_id) over o as d0, first_value(pos) over o as p0, first_value(after) over o as after0, first_value(ahead) over o as ahead0
-  from k window o as (partition by content order by doc_id, pos)),
-m as (
-  select doc_id, pos, last, after, ahead,
-    coalesce(list_min([i for i in range(1, len(after) + 1) if coalesce(after[i].h != after0[i].h, true)]), len(after) + 1) - 1 as more,
-    coalesce(list_min([i for i in range(1, len(ahead) + 1) if coalesce(ahead[i].h != ahead0[i].h, true)]), len(ahead) + 1) - 1 as less
-  from f where not (doc_id = d0 and pos = p0)),
-r as (select doc_id, case when less > 0 then ahead[less].pos else pos end as a, case when more > 0 then after[more].pos else last end as b from m),
+  select doc_id, pos, list(line) over f as ahead, max(pos) over f as b, sum(words) over f as n,
+    list(line) over k as back, min(pos) over k as a, sum(words) over k as m
+  from (select *, upto - words as w0 from p) window
+    f as (partition by doc_id order by w0 range between current row and {min_words - 1} following),
+    k as (partition by doc_id order by upto range between {min_words - 1} preceding and current row)),
+c as (
+  select doc_id, pos as a, b, array_to_string(ahead, chr(10)) as content from s where n >= {min_words}
+  union all select doc_id, a, pos, array_to_string(back, chr(10)) from s where m >= {min_words}),
+r as (select * from (select *, rank() over (partition by content order by doc_id, a) as place from c) where place > 1),
 g as (select distinct w.doc_id, w.pos from w join r on w.doc_id = r.doc_id and w.pos between r.a and r.b where w.words > 0),
 t as (
   select w.doc_id, string_agg(w.line, chr(10) order by w.pos) filter (g.pos is null) as text,

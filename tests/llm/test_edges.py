@@ -228,3 +228,39 @@ def test_a_long_labelled_text_leaves_the_others(spark):
 def test_passages_of_long_items():
     words = [f"plain{k}" for k in range(100)]
     assert leaked([" ".join(words)], [" ".join(["x", *words[20 : 20 + n], "y"]) for n in (12, 13, 39, 40)]) == [(1, 0), (2, 0), (3, 0)]
+
+
+def plain_line_dedup(texts, least):
+    """Lines to delete, by comparing every run of lines with every earlier place of it."""
+    own = [[(p, x) for p, x in enumerate(t.split("\n")) if x.split()] for t in texts]
+    seen, gone = set(), [set() for _ in texts]
+    for d, lines in enumerate(own):
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = tuple(x for _, x in lines[a : b + 1])
+                if sum(len(x.split()) for x in run) >= least:
+                    if run in seen:
+                        gone[d].update(p for p, _ in lines[a : b + 1])
+                    seen.add(run)
+    return ["\n".join(x for p, x in enumerate(t.split("\n")) if p not in g) for t, g in zip(texts, gone)]
+
+
+def test_line_dedup_equals_all_runs(spark):
+    pick = random.Random(9)
+    line = lambda k: " ".join([f"t{k}"] * (1 + k * 7 % 9))
+    texts = ["\n".join(pick.choice(["", "  ", line(pick.randrange(5)), line(pick.randrange(12))]) for _ in range(pick.randrange(40))) for _ in range(60)]
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    a, b, y = words("a", 11), "b", words("y", 9)
+    texts += ["\n".join(x) for x in ([a, b, "x"], [a, b, y, "z2"], [a, b, y, "z3"])]  # the run A B Y stands whole in the second only
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=12).orderBy("doc_id").collect()
+    assert [r.text for r in got] == plain_line_dedup(texts, 12)
+    assert got[-1].text == "z3" and got[-2].text == f"{y}\nz2"
+
+
+def test_line_dedup_of_clashing_names_nulls_and_repeats(spark):
+    run = "\n".join(f"line {i} " + "x " * 9 for i in range(6))
+    rows = [(None, run, 1, 7), (1, run, 2, 7), (1, run, 3, 7), (2, None, 4, 7), (3, "", 5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped_lines int, own_0 int")
+    got = line_dedup.dedup_lines(docs, names=("lost", "lost_words")).collect()
+    assert sorted((r.dropped_lines, r.text, r.lost, r.own_0) for r in got if r.text is not None) == [(1, run, 0, 7), (2, "", 6, 7), (3, "", 6, 7), (5, "", 0, 7)]
+    assert line_dedup.dedup_lines(docs).columns == ["doc_id", "text", "own_0", "dropped_lines", "dropped_words"]
