@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontamination, line_dedup, near_dups, packing, quality
-from folioscope.llm.common import fresh_folder, held_out, table
+from folioscope.llm.common import free_names, fresh_folder, held_out, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,11 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of 50 words and more that stood before.
 
     n_chars follows the text. A document that loses all its words goes; one that had none stays.
+    Columns of any name come through as they are.
     """
-    left = line_dedup.dedup_lines(docs, min_words=50)
-    kept = left.where("not (dropped_lines > 0 and text rlike '^\\\\s*$')")
+    lines, words = free_names(docs, 2)
+    left = line_dedup.dedup_lines(docs, min_words=50, names=(lines, words))
+    kept = left.where(~((F.col(lines) > 0) & F.col("text").rlike(r"^\s*$")))
     return _with_length(kept.select(*docs.columns), docs)
 
 
