@@ -35,8 +35,12 @@ _CACHED = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased. Fractions, superscripts and other numerals alone are no word."""
+    if not text:
+        return []
+    low = text.lower()
+    found = _WORD.findall(low)
+    return found if low.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +101,7 @@ class Labeller:
         return self._viterbi(flat, first, sizes, order)
 
     def _viterbi(self, flat, first, sizes, order) -> list[np.ndarray]:
-        out = np.zeros(len(flat), np.uint8)
+        out = np.zeros(len(flat), np.uint16)
         longest = int(sizes[order[0]]) if len(order) else 0
         ordered = sizes[order]
         active = np.searchsorted(-ordered, -np.arange(longest), side="left")  # texts with a word at each place
@@ -112,7 +116,7 @@ class Labeller:
             best = held.argmax(1)
             top = held[np.arange(n), best] - self.penalty
             switch = held < top[:, None]
-            steps.append((switch, best.astype(np.uint8)))
+            steps.append((switch, best.astype(np.uint16)))
             value = value.copy()
             value[:n] = np.where(switch, top[:, None], held) + s
         if longest:
@@ -131,7 +135,9 @@ def learn(docs: DataFrame, sample_bytes: int = 16 << 20) -> LanguageModel:
     """Learn from (text, lang) rows: those with a text and a language.
 
     At most about ``sample_bytes`` of text are used, rows being chosen by a hash of their text,
-    the same share of every language but at least ``sample_bytes`` / 32 of each.
+    the same share of every language but at least ``sample_bytes`` / 32 of each. Repeated rows
+    count each; an empty table, or one without letters, gives a model of ``und`` alone. At most
+    65,536 languages.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -175,7 +181,9 @@ def predict(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY, id_
 
     ``spans``: array of (lang, first_word, words, letters), in text order. The prediction is the
     language whose spans have the most letters (ties: the first in order), ``score`` its share.
-    A text that is null or has no letter is ``und`` with score 0 and no spans.
+    A text that is null or has no letter (category L) is ``und`` with score 0 and no spans. Texts
+    of any length are taken whole, in one task each; repeated rows get the same result each; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
