@@ -85,6 +85,9 @@ class Canon:
         start = np.ones(len(ids), bool)
         start[1:] = (flag[:-1] & 16 > 0) | (doc[1:] != doc[:-1])
         kind = flag & 7
+        number = np.zeros(len(ids), bool)
+        number[1:] = (kind[:-1] == _NUM) & (doc[1:] == doc[:-1])
+        kind = np.where((kind == _UNIT) & ~number, _LITERAL, kind)  # a unit stands behind a number only: "a" is a word else
         kind = np.where((kind == _LITERAL) & (flag & 8 > 0) & ~start, _NAME, kind)
         keep = kind != _SKIP
         canon = np.where(kind == _LITERAL, hashes, _MARKS[kind])
@@ -211,7 +214,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     and items with fewer than five plain words are found with the same values only, a short item
     wherever all its words stand in a row. Null or empty items and texts, and rows with a null
     item_id give nothing; null doc_ids are kept; repeated rows give one row. Items that share an id are
-    matched each, and the one with most words covered counts. Documents are not shuffled.
+    matched each, and the one with most words covered counts. Texts of any length are taken whole,
+    in one task each; empty tables give no rows. Documents are not shuffled.
     """
     spark = docs.sparkSession
     ship(spark)
