@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LEAST = -(1 << 63)  # stands for a null id: before all others
+_SLICE = 16 << 10
+
 
 def filesystem(uri: str):
-    """The store and the path in it of a URI (or a plain local path)."""
+    """The store and the path in it of a URI (or a plain local path).
+
+    Spark's names of stores are put in pyarrow's: s3a and s3n are s3, dbfs is its mount. Hadoop's
+    own file system needs libhdfs on the workers.
+    """
     from pyarrow import fs
 
+    uri = re.sub(r"^dbfs:/+", "/dbfs/", re.sub(r"^s3[an]://", "s3://", uri))
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -32,15 +43,28 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
-def even_bounds(rows: DataFrame, column: str, parts: int) -> list:
-    """Values that cut a column into about equal shares, from a hash sample: the same for the same rows.
+def read_slices(uri: str, crc: int) -> Iterator[bytes]:
+    """The file in slices; raises at its end where its crc32 is another."""
+    store, path = filesystem(uri)
+    seen = 0
+    with store.open_input_stream(path, compression=None, buffer_size=1 << 20) as f:
+        while some := f.read(_SLICE):
+            seen = zlib.crc32(some, seen)
+            yield some
+    if seen != crc:
+        raise ValueError(f"{uri} isn't the file of the manifest")
+
+
+def even_bounds(rows: DataFrame, column: str, tie: str, parts: int) -> list[tuple[int, int]]:
+    """Pairs that cut rows, in the order of a long column and a hash, into about equal shares: the same for the same rows.
 
-    The sample holds about 100 values a part (2,000 at least), chosen by their hash.
+    Nulls of the column are ``LEAST``. The sample holds about 100 pairs a part (2,000 at least),
+    chosen by their hash, equal ones once: many rows of one id are cut by their tie.
     """
     if parts < 2:
         return []
-    count = rows.count()
-    share = min(1.0, max(2_000, 100 * parts) / max(1, count))
-    kept = rows.where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(1 << 40)) < int(share * (1 << 40))))
-    values = sorted(r[0] for r in kept.select(column).collect())
+    pairs = rows.select(F.coalesce(F.col(column).cast("long"), F.lit(LEAST)).alias("a"), F.col(tie).alias("b"))
+    share = min(1.0, max(2_000, 100 * parts) / max(1, pairs.count()))
+    kept = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    values = sorted(tuple(r) for r in kept.distinct().collect())
     return sorted({values[len(values) * i // parts] for i in range(1, parts)}) if values else []

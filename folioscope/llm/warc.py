@@ -15,7 +15,7 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import fresh_folder, ship, slots, tidy
-from folioscope.llm.files import commit_file, even_bounds, read_file
+from folioscope.llm.files import LEAST, commit_file, even_bounds, read_file, read_slices
 
 ROWS_A_PART, MOST_PARTS = 1024, 4096
 _SPACE = uuid.UUID("7c1b5f0e-52cf-5d1b-9a53-0f7f6a3e9f11")
@@ -71,16 +71,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return pack.compress(text) + pack.flush()
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive; one gzip member a record."""
-    at = 0
-    view = memoryview(data)
-    while at < len(data):
-        unpack = zlib.decompressobj(31)
-        text = unpack.decompress(view[at:])
-        if not unpack.eof:
-            raise ValueError("a cut-off record")
-        at = len(data) - len(unpack.unused_data)
+def records(slices: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive, given in slices; one gzip member a record.
+
+    Only the record at hand is held, and what follows it is copied within its slice only.
+    """
+    for text in _members(slices):
         head, _, rest = text.partition(2 * _BREAK)
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):
@@ -92,30 +88,48 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+def _members(slices: Iterable[bytes]) -> Iterator[bytes]:
+    held: list[bytes] = []
+    unpack = None
+    for some in slices:
+        while some:
+            unpack = unpack or zlib.decompressobj(31)
+            held.append(unpack.decompress(some))
+            some = unpack.unused_data
+            if unpack.eof:
+                yield b"".join(held)
+                held, unpack = [], None
+    if unpack:
+        raise ValueError("a cut-off record")
+
+
 def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 64 << 20, revisit_from: int = 0, date: str = "2024-01-01T00:00:00Z") -> str:
     """Archive ``pages`` (page_id, url, html) and return the folder with its ``manifest.json``.
 
     Payload: the html in UTF-8, empty if null. Of the rows with one payload of ``revisit_from``
     bytes at least, those of the smallest page_id (null ids aside) are responses and the others
     revisits of it; smaller payloads are always responses. Rows with a null page_id come first and
-    carry no id. Repeated rows give repeated records. Files end once they hold ``roll_bytes``.
+    carry no id. Repeated rows give repeated records. Files end once they hold ``roll_bytes``. The
+    order is that of page_id, then of the payload's hash, and is cut by both: null or repeated ids
+    are dealt out over parts. A payload of any size is one record, held in one task's memory. An
+    empty table gives a manifest without files.
     """
     spark = pages.sparkSession
     ship(spark)
     folder = folder or fresh_folder(spark, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha", F.unhex(F.sha1("payload")))
+    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("tie", F.xxhash64("sha"))
     first = rows.where(F.col("size") >= revisit_from).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     parts = max(1, min(MOST_PARTS, -(-pages.count() // ROWS_A_PART)))
-    bounds = even_bounds(rows.select("page_id"), "page_id", parts)
-    ids = rows.select("page_id", "sha", "size").distinct().join(first, ["sha", "size"]).where("page_id is null or page_id <> first")
+    bounds = even_bounds(rows, "page_id", "tie", parts)
+    ids = rows.select("page_id", "sha", "tie", "size").distinct().join(first, ["sha", "size"]).where("page_id is null or page_id <> first")
     # decisions go to the writer's tasks beside the payloads, ahead of the rows they are for: payloads move once
-    order = ["part", "page_id", "kind", "sha", "url", "payload", "refers_to"]
-    decided = ids.select(_part(bounds).alias("part"), "page_id", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("first").alias("refers_to"))
-    written = rows.select(_part(bounds).alias("part"), "page_id", F.lit(1).alias("kind"), "sha", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    order = ["part", "page_id", "tie", "kind", "sha", "url", "payload", "refers_to"]
+    decided = ids.select(_part(bounds).alias("part"), "page_id", "tie", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("first").alias("refers_to"))
+    written = rows.select(_part(bounds).alias("part"), "page_id", "tie", F.lit(1).alias("kind"), "sha", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
     dealt = decided.select(*order).unionAll(written.select(*order))
-    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "kind", "sha", "url")
+    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "tie", "kind", "sha", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done, part, number, size, count = [], [], None, 0, 0, 0
@@ -128,9 +142,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 64
             done.append((part, number, name, count, len(data), zlib.crc32(data)))
 
         for batch in batches:
-            for own, page_id, kind, sha, url, payload, refers_to in _rows(batch):
-                if page != (own, page_id):
-                    page, first = (own, page_id), {}
+            for own, page_id, tie, kind, sha, url, payload, refers_to in _rows(batch):
+                if page != (own, page_id, tie):
+                    page, first = (own, page_id, tie), {}
                 if not kind:
                     first[sha] = refers_to
                     continue
@@ -155,13 +169,15 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 64
 
 
 def _part(bounds: list) -> F.Column:
-    """The number of bounds that are not above page_id (few for a part of fixed size; searched by halves)."""
+    """The number of bounds (page_id, tie) that are not above a row's (few for a part of fixed size; searched by halves)."""
+    own = F.coalesce("page_id", F.lit(LEAST))
 
     def between(low: int, high: int) -> F.Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        return F.when(F.col("page_id") >= bounds[mid], between(mid + 1, high)).otherwise(between(low, mid))
+        first, second = bounds[mid]
+        return F.when((own > first) | ((own == first) & (F.col("tie") >= second)), between(mid + 1, high)).otherwise(between(low, mid))
 
     return between(0, len(bounds)).cast("int")
 
@@ -176,15 +192,17 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of every record.
 
     ``payload`` is null for revisits; length and digest are those of the full payload: computed
-    from the payload of responses, from the headers of revisits.
+    from the payload of responses, from the headers of revisits. Files are read in slices, in time
+    proportional to their size; a file that isn't that of the manifest is an error. Without files
+    there are no rows.
     """
     ship(spark)
     manifest = json.loads(read_file(f"{folder}/manifest.json"))
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
 
-    def rows(data: bytes) -> Iterator[tuple]:
-        for fields, block in records(data):
+    def rows(slices: Iterable[bytes]) -> Iterator[tuple]:
+        for fields, block in records(slices):
             digest, size, payload = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"]), None
             if fields["WARC-Type"] == "response":
                 payload = block.partition(2 * _BREAK)[2]
@@ -197,11 +215,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for name, crc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = read_file(f"{folder}/{name}")
-                if zlib.crc32(data) != crc:
-                    raise ValueError(f"{name} isn't the file of the manifest")
                 held, size = [], 0
-                for row in rows(data):
+                for row in rows(read_slices(f"{folder}/{name}", crc)):
                     held.append(row)
                     size += len(row[6] or b"")
                     if size >= 4 << 20:
