@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.chunked_encoding import encoder
 from folioscope.llm.common import materialize, ship, sliced, tidy
 
-_BUCKET = 512  # pieces of a length that are ranked together
+_BUCKET = 16_384  # pieces of a length that are ranked together
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048) -> DataFrame:
@@ -103,7 +103,7 @@ def ranked(rows: DataFrame, histogram: DataFrame) -> DataFrame:
     the counts of the buckets before.
     """
     buckets = histogram.select("length", F.ceil(F.col("count") / _BUCKET).alias("buckets"))  # one row per length: bounded
-    dealt = rows.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets")))
+    dealt = rows.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets")))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
