@@ -52,7 +52,7 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/folioscope/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     Cuts the lineage in a place that survives lost executors; the table is kept, since results
@@ -60,16 +60,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = fresh_folder(spark, label)
+    path = path or fresh_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than this share of all rows is dealt out over as many tasks as ``_SALTS``.
+_HOT, _SALTS = 1000, 64
+
+
+def meet(rows: DataFrame, key: list[str], keys: DataFrame, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``keys``, which has one row a key and its count ``n`` among the rows.
+
+    A key with over a thousandth of all rows isn't one task's: its rows are dealt out by a salt from
+    their own hash, and its row of ``keys`` is repeated for each salt. There are fewer than a
+    thousand such keys, so they are known by broadcast.
+    """
+    keys = materialize(keys, "keys")
+    hot = F.col("n") * _HOT > total
+    salt, flag = free_names(rows, 2)
+    own = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "<" not in kind]), F.lit(_SALTS)).cast("int")
+    known = F.broadcast(keys.where(hot).select(*key, F.lit(True).alias(flag)))  # fewer than _HOT rows
+    dealt = rows.join(known, key, "left").withColumn(salt, F.when(F.col(flag), own).otherwise(0)).drop(flag)
+    every = F.when(hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(keys.withColumn(salt, F.explode(every)).drop("n"), [*key, salt]).drop(salt)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` has left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/folioscope")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, f"{shared_root(spark)}/folioscope")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,12 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import free_names, materialize, slots
+from folioscope.llm.common import free_names, materialize, meet, slots
 
 #: White space between words, as in the SQL form.
 _WORDS = r"[^ \t\r\x0B\f]+"
-#: A key with more than this share of all places is met by a broadcast of at most as many keys.
-_HOT = 1000
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -60,27 +58,18 @@ def selected_lines(docs: DataFrame, min_words: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, th, runs): the line ranges to delete, as array<struct<a, b>>, first and last line, in order.
 
-    Selected lines meet by their hash, then their windows by hash and content; no pairs are made.
-    A line or window that holds over a thousandth of all places is met by broadcast (there are
-    fewer than a thousand such), so that it isn't one task's.
+    Selected lines meet by their hash, then their windows by hash and content; no pairs are made,
+    and a line or window that holds many places is dealt out over tasks.
     """
     chosen = materialize(selected_lines(docs, min_words), "selected-lines")
-    met = _met(chosen, ["h"], chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), chosen.count())
+    met = meet(chosen, ["h"], chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), chosen.count())
     windows = materialize(met.select("doc_id", "th", "h", F.explode("windows").alias("w")).select("doc_id", "th", "h", "w.*"), "met-windows")
     key = ["h", "c", "d"]
     first = windows.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = _met(windows, key, first, windows.count()).where("not (doc_id <=> first.doc_id and th = first.th and a = first.a)")
+    later = meet(windows, key, first, windows.count()).where("not (doc_id <=> first.doc_id and th = first.th and a = first.a)")
     return _merged(later.select("doc_id", "th", "a", "b"))
 
 
-def _met(rows: DataFrame, key: list[str], keys: DataFrame, total: int) -> DataFrame:
-    """``rows`` joined with ``keys`` (one row a key, with its count ``n``), the hot ones by broadcast."""
-    keys = materialize(keys, "keys")
-    hot = keys.where(F.col("n") * _HOT > total).drop("n")  # fewer than _HOT rows
-    cold = keys.where(F.col("n") * _HOT <= total).drop("n")
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
-
-
 def _merged(ranges: DataFrame) -> DataFrame:
     """Overlapping or touching ranges of a document become one."""
     by_doc = Window.partitionBy("doc_id", "th")

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import map_texts, materialize, ship, sliced, slots, tidy
+from folioscope.llm.common import free_names, map_texts, materialize, meet, ship, sliced, slots, tidy
 from folioscope.llm.components import components
 from folioscope.llm.simhash import by_group, dealt_pairs, link_batch, near_links, shingle_hashes, span
 
-RECALL, BLOCK, MANY = 0.98, 1024, 48
+RECALL, BLOCK, MANY, UNIT = 0.98, 1024, 48, 8192  # UNIT: bytes of text that count as one row of a block
 _PART = 1024
 
 
@@ -117,7 +117,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5) ->
     ``th`` is xxhash64 of the text and tells rows of one id apart; ``node`` stands for the set of
     shingles. Groups are the components of exact similarity links among the candidates. Texts
     without words (null, empty, blank) are copies of one another. Repeated rows stay repeated;
-    null ids name a group only if it has no other (component_id is null then).
+    null ids name a group only if it has no other (component_id is null then). Texts of any length
+    are taken whole; those that are compared side by side are bounded by their bytes (``BLOCK``
+    times ``UNIT`` on average, one text at least). An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -135,13 +137,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5) ->
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
-    sketch = materialize(map_texts(rows, f"doc_id {kind}, th long, node long, " + ", ".join(f"{f} long" for f in names), ["doc_id", "th"], make), "sketch")
-    distinct = sketch.groupBy(F.col("node").alias("id")).agg(*[F.min(f).alias(f) for f in names], F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"))
+    units = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / UNIT).cast("long").alias("units")
+    sketch = materialize(map_texts(rows.select("*", units), f"doc_id {kind}, th long, units long, node long, " + ", ".join(f"{f} long" for f in names), ["doc_id", "th", "units"], make), "sketch")
+    distinct = sketch.groupBy(F.col("node").alias("id")).agg(*[F.min(f).alias(f) for f in names], F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "units")).alias("rep"))
     distinct = materialize(distinct, "distinct")
     loose = components(near_links(distinct, names, tables, distance))
     member = distinct.join(loose, distinct.id == loose.node, "left").select(F.coalesce("root", "id").alias("root"), F.col("id").alias("node"), "rep")
-    crowd = member.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
-    wanted = member.join(crowd, "root").select("root", "node", "members", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"))
+    member = materialize(member, "members")
+    crowd = member.groupBy("root").agg(F.count("*").alias("n"), F.sum("rep.units").alias("members")).where("n > 1")
+    wanted = meet(member, ["root"], crowd, distinct.count()).select("root", "node", "members", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("root", "node", "members", "text")
     sets = texts.mapInArrow(tidy(lambda it: _sets(it, size)), "root long, node long, members long, set binary")
     dealt = dealt_pairs(sets, "root", "members", BLOCK, "node").select("group", "node", "set")
@@ -149,8 +153,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5) ->
     roots = components(dealt.mapInArrow(tidy(_exact(similarity)), "a long, b long"))
     named = distinct.join(roots, distinct.id == roots.node, "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root"), "rep.doc_id")
     named = materialize(named, "named")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.join(least, "root").select("node", "component_id")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    by_node = meet(named, ["root"], least, distinct.count()).select("node", "component_id")
     return sketch.select("doc_id", "th", "node").join(by_node, "node").select("doc_id", "th", "node", "component_id")
 
 
@@ -164,11 +168,12 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
     """``docs`` less all near duplicates but one of each group, the one with the smallest doc_id.
 
     Of rows with that id in one group, one stays. In a group of null ids alone, one row of each
-    text stays.
+    text stays. Columns of any name come through as they are.
     """
+    d, t, h = free_names(docs, 3)
     groups = near_duplicates(docs, similarity, size)
     own_text = F.when(F.col("doc_id").isNull(), F.col("th"))
-    kept = groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__d"), "component_id", own_text.alias("own")).agg(F.min("th").alias("__t"))
-    own = docs.withColumn("__th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    joined = own.join(kept.select("__d", "__t"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")))
-    return joined.dropDuplicates(["__d", "__t"]).select(*docs.columns)
+    kept = groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias(d), "component_id", own_text.alias("own")).agg(F.min("th").alias(t))
+    own = docs.withColumn(h, F.coalesce(F.xxhash64("text"), F.lit(0)))
+    joined = own.join(kept.select(d, t), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)))
+    return joined.dropDuplicates([d, t]).select(*[F.col(f"`{c}`") for c in docs.columns])

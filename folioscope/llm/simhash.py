@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import map_texts, materialize, slots, tidy
+from folioscope.llm.common import map_texts, materialize, meet, slots, tidy
 from folioscope.llm.components import components
 
 SEED, BLOCK = 42, 512
@@ -67,7 +68,21 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id") -> Data
     return map_texts(docs, f"{id_col} {dict(docs.dtypes)[id_col]}, fp long", [id_col], make)
 
 
-def segments(distance: int, count: int = 3) -> list[tuple[int, int, int]]:
+def fitting(distance: int, prints: int) -> list[tuple[int, int, int]]:
+    """The segments that take the least work for so many distinct fingerprints.
+
+    Work is the lookups (half of a ball, see ``_keys``) and what they meet in tables that fill up
+    with the corpus: few wide segments with larger balls suit many fingerprints.
+    """
+
+    def work(own) -> float:
+        balls = [(w, sum(comb(w, k) for k in range(r + 1)) / 2 + 1) for _, w, r in own if r >= 0]
+        return sum(n * (1 + prints / 2**w) for w, n in balls)
+
+    return min((segments(distance, count) for count in range(2, min(8, distance + 1) + 1)), key=work)
+
+
+def segments(distance: int, count: int) -> list[tuple[int, int, int]]:
     """(shift, width, radius) of each segment; a negative radius means that it needs no lookup."""
     widths = [64 // count + (i < 64 % count) for i in range(count)]
     spare = distance - count + 1
@@ -116,22 +131,30 @@ def by_group(links):
     """An Arrow map over rows sorted by ``group`` that calls ``links`` with whole groups only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[pa.RecordBatch] = []  # of the last group, which may go on
+        last = None
         for batch in batches:
-            now = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
-            if not now:
+            if not batch.num_rows:
                 continue
-            group = now[0].column("group").to_numpy()
-            cut = int(np.argmax(group == group[-1]))  # the last group may go on
-            rest = now[0].slice(cut)
-            if cut:
-                yield links(now[0].slice(0, cut))
-        if rest is not None:
-            yield links(rest)
+            group = batch.column("group").to_numpy()
+            cut = int(np.argmax(group == group[-1]))
+            if cut or (held and group[0] != last):
+                yield links(_one([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+            last = group[-1]
+        if held:
+            yield links(_one(held))
 
     return run
 
 
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of all rows, of any size: binary columns get 64-bit offsets."""
+    kinds = pa.schema([(f.name, pa.large_binary() if pa.types.is_binary(f.type) else f.type) for f in batches[0].schema])
+    return pa.Table.from_batches(batches).cast(kinds).combine_chunks().to_batches()[0]
+
+
 def link_batch(out: list) -> pa.RecordBatch:
     a, b = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
     keep = a != b
@@ -177,9 +200,10 @@ def near_links(distinct: DataFrame, words: list[str], tables: list[tuple[int, in
     The links reach every pair's component: each crowded lookup returns a spanning forest of its
     verified pairs.
     """
-    rows = distinct.select("id", *words, F.explode(_keys(words, tables)).alias("x")).select("id", *words, "x.key", "x.probe")
-    crowd = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("none")).where("n > 1 and not none")
-    dealt = dealt_pairs(rows.join(crowd, "key"), "key", "n", BLOCK, "id").select("group", "id", *words)
+    rows = distinct.select("id", F.explode(_keys(words, tables)).alias("x")).select("id", "x.key", "x.probe")
+    crowd = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("none")).where("n > 1 and not none").select("key", "n", F.col("n").alias("size"))
+    met = meet(rows.select("id", "key"), ["key"], crowd, distinct.count())
+    dealt = dealt_pairs(met.join(distinct.select("id", *words), "id"), "key", "size", BLOCK, "id").select("group", "id", *words)
     dealt = dealt.repartition(slots(distinct.sparkSession), "group").sortWithinPartitions("group")
     return dealt.mapInArrow(tidy(_verify(words, distance)), "a long, b long")
 
@@ -190,12 +214,14 @@ def near_groups(docs: DataFrame, size: int = 4, distance: int = 4, id_col: str =
     Texts link when their fingerprints (see ``fingerprints``) differ in ``distance`` bits at most,
     those of texts without words included; components are transitive. Repeated rows stay
     repeated. Rows with a null id link nothing; they get the id of an equal fingerprint's
-    component, null if there is none. Copies are folded by fingerprint before any lookup.
+    component, null if there is none. Copies are folded by fingerprint before any lookup. Texts of
+    any length are taken whole; an empty table gives no rows. The segments follow the number of
+    distinct fingerprints (see ``fitting``), which changes the work and not the links.
     """
     prints = materialize(fingerprints(docs, size, id_col), "fingerprints").withColumnRenamed(id_col, "own_id")
     distinct = prints.where("own_id is not null").groupBy("fp").agg(F.min(F.col("own_id").cast("long")).alias("id"))
     distinct = materialize(distinct, "distinct")
-    tables = [(0, *x) for x in segments(distance)]
+    tables = [(0, *x) for x in fitting(distance, distinct.count())]
     roots = components(near_links(distinct, ["fp"], tables, distance))
     named = distinct.join(roots, distinct.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return prints.join(named, "fp", "left").select(F.col("own_id").alias(id_col), "fp", "component_id")
