@@ -264,3 +264,197 @@ def test_line_dedup_of_clashing_names_nulls_and_repeats(spark):
     got = line_dedup.dedup_lines(docs, names=("lost", "lost_words")).collect()
     assert sorted((r.dropped_lines, r.text, r.lost, r.own_0) for r in got if r.text is not None) == [(1, run, 0, 7), (2, "", 6, 7), (3, "", 6, 7), (5, "", 0, 7)]
     assert line_dedup.dedup_lines(docs).columns == ["doc_id", "text", "own_0", "dropped_lines", "dropped_words"]
+
+
+def test_neighbours_among_many_vectors_in_few_lists():
+    """Recall over whole lists, and the share of vectors looked at, of 50,000 vectors around 500 centres."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(500, 32))[rng.integers(0, 500, 50_000)] + rng.normal(0, 0.4, (50_000, 32))).astype(np.float32)
+    shape = ann.fit(x[rng.permutation(50_000)[:20_000]], len(x), 20)
+    own = shape.lists(x)
+    held = np.bincount(own, minlength=len(shape.centroids))
+    asked = rng.choice(len(x), 100, replace=False)
+    scores = x[asked] @ x.T
+    scores[np.arange(100), asked] = -np.inf
+    best = np.argsort(-scores, 1)[:, :20]
+    seen = shape.visited(x[asked], held, 21)
+    assert np.mean([np.isin(own[b], v).mean() for b, v in zip(best, seen)]) >= 0.9
+    assert np.mean([held[v].sum() for v in seen]) / len(x) < 0.25
+    assert len(shape.centroids) == 224
+
+
+def test_lists_of_two_levels_and_short_lists(monkeypatch):
+    monkeypatch.setattr(ann, "_DIRECT", 10)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 8)).astype(np.float32)
+    shape = ann.fit(x, len(x), 5)
+    assert shape.tops is not None and shape.below[-1] == len(shape.centroids)
+    assert np.mean(shape.lists(x) == ann.nearest(x, shape.centroids)) > 0.95
+    held = np.bincount(shape.lists(x), minlength=len(shape.centroids))
+    assert all(held[v].sum() >= 500 for v in shape.visited(x[:50], held, 500))
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rows = spark.createDataFrame([(i, [1.0 + i * 1e-12, 1e300 if i == 3 else 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    got = {r.query_id: r for r in ann.search(rows, k=1).collect()}
+    assert got[0].vec_id == 3 and got[0].score == 1e300 + 1.0 + 3e-12
+    one = ann.search(rows.where("vec_id <> 3"), k=3).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in one] == [29, 28, 27] and one[0].score == 2.0 + 29e-12
+
+
+def test_numerals_alone_are_no_language(spark):
+    docs = spark.createDataFrame([(1, "½ ² ① Ⅷ 12"), (2, "x² y"), (3, "__ !"), (4, "plain words here")], "doc_id long, text string")
+    model = language_id.learn(docs.where("doc_id = 4").selectExpr("text", "'en' as lang"))
+    assert [(r.lang_pred, r.score) for r in language_id.predict(docs, model).orderBy("doc_id").collect()] == [("und", 0.0), ("en", 1.0), ("und", 0.0), ("en", 1.0)]
+
+
+def test_units_stand_behind_numbers_only():
+    kind = lambda t: decontamination.Canon().sequence([t.split()])[1].tolist()
+    assert kind("a bar of 5 kg was a cent") == [0, 0, 0, 1, 2, 0, 0, 0]
+    item = "Why is a bar of a cent in a second h or in a minute s"
+    assert leaked([item], [f"so we ask {item.lower()} and then"]) == [(0, 0)]
+
+
+def test_archives_are_read_in_proportion_to_their_size():
+    made = [warc.record(i, "u", b"x" * (i % 50), None, "2024-01-01T00:00:00Z") for i in range(3000)]
+    data = b"".join(made)
+    for size in (1, 1000, 1 << 14, len(data)):
+        got = [int(f["X-Page-ID"]) for f, _ in warc.records(data[at : at + size] for at in range(0, len(data), size))]
+        assert got == list(range(3000))
+    with pytest.raises(ValueError):
+        list(warc.records([data[:-1]]))
+
+
+def test_null_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ROWS_A_PART", 16)
+    monkeypatch.setattr(token_files, "ROWS_A_PART", 16)
+    pages = spark.createDataFrame([(None if i % 3 else i, f"http://{i}", f"page {i}") for i in range(200)], "page_id long, url string, html string")
+    folder = warc.write_warc(pages)
+    assert len([1 for p in __import__("pathlib").Path(folder.removeprefix("file://")).glob("part-*")]) > 8
+    assert sorted((str(r.page_id), r.payload.decode()) for r in warc.read_warc(spark, folder).collect()) == sorted((str(r.page_id), r.html) for r in pages.collect())
+    docs = pages.selectExpr("page_id as doc_id", "html as text")
+    got = token_files.read_token_files(spark, token_files.write_token_files(docs, BPE("word_bpe_49k.json"), 2)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted([r.doc_id for r in got], key=lambda d: (d is not None, d)) and len(got) == 200
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+
+
+def test_files_of_ids_roll(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "IDS_A_FILE", 50)
+    docs = spark.createDataFrame([(i, " ".join(f"word{j}" for j in range(i * 7 % 60))) for i in range(40)], "doc_id long, text string")
+    whole = Tokenizer.from_file(BPE("word_bpe_49k.json"))
+    got = token_files.read_token_files(spark, token_files.write_token_files(docs, BPE("word_bpe_49k.json"), 2)).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.orderBy("doc_id").collect()]
+
+
+def plain_fingerprint(text):
+    """From the words of the contract, one bit at a time."""
+    import re
+
+    import xxhash
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_and_links_by_their_definition(spark):
+    pick = random.Random(8)
+    texts = [r[0] for r in ROWS[:0]] + [None, "", " \n", "One", "ÄÖ Two\x0bthree", LONG]
+    base = [f"w{i}" for i in range(60)]
+    texts += [" ".join(pick.choice(["X", w]) if pick.random() < 0.03 else w for w in base) for _ in range(120)]
+    prints = [plain_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 4:
+                    root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_groups(docs).select("doc_id", simhash.hex_print("fp").alias("f"), "component_id").orderBy("doc_id").collect()
+    assert [r.f for r in got] == [f"{p:016x}" for p in prints]
+    assert [r.component_id for r in got] == root
+
+
+def test_every_choice_of_segments_finds_all_near_prints(spark, monkeypatch):
+    pick = random.Random(4)
+    prints = [pick.getrandbits(64) for _ in range(60)]
+    prints += [p ^ sum(1 << b for b in pick.sample(range(64), 4)) for p in prints]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    rows = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
+    for count in (2, 3, 4, 5):
+        got = {tuple(sorted(r)) for r in simhash.near_links(rows, ["fp"], [(0, *x) for x in simhash.segments(4, count)], 4).collect()}
+        assert got == {(i, i + 60) for i in range(60)}
+    assert len(simhash.fitting(4, 10**10)) < len(simhash.fitting(4, 10**4))
+
+
+def test_components_by_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)], "a long, b long")
+    want = {i: 0 for i in range(41)} | {100: 100, 200: 100, 150: 100}
+    for small in (0, 10**6):
+        got = {r.node: r.root for r in components.components(edges, small).collect()}
+        assert all(got.get(x, x) == r for x, r in want.items())
+
+
+def test_groups_over_many_batches():
+    import pyarrow as pa
+
+    rows = [(g, i) for g, n in enumerate([1, 5, 30, 2, 40, 1]) for i in range(n)]
+    batches = [pa.RecordBatch.from_pydict({"group": [g for g, _ in rows[a : a + 7]], "raw": [bytes([i]) for _, i in rows[a : a + 7]]}) for a in range(0, len(rows), 7)]
+    out = list(simhash.by_group(lambda b: (b.column("group").to_pylist(), b.column("raw").to_pylist()))(iter(batches)))
+    assert [x for g, r in out for x in zip(g, r)] == [(g, bytes([i])) for g, i in rows]
+    assert sum(len(set(g)) for g, _ in out) == 6  # no group is cut
+
+
+def test_viterbi_equals_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    model = language_id.LanguageModel(["a", "b", "c"], np.zeros((language_id.SLOTS, 3), np.float32), np.ones((len(language_id.NAMES), 3), bool))
+    label = language_id.Labeller(model, 2.0)
+    label.known, label.scores = {f"w{i}": i for i in range(9)}, rng.normal(0, 3, (9, 3)).astype(np.float32)
+    docs = [[f"w{i}" for i in rng.integers(0, 9, n)] for n in (0, 1, 2, 5, 6)]
+    for words, states in zip(docs, label.states(docs)):
+        value = lambda path: sum(label.scores[label.known[w], s] for w, s in zip(words, path)) - 2 * sum(a != b for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        best = max((value(p) for p in product(range(3), repeat=len(words))), default=0)
+        assert len(states) == len(words) and np.isclose(value(states.tolist()), best, atol=1e-4)
+
+
+def test_marginals_equal_all_labellings():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    score, ties, sizes = rng.normal(0, 2, 11), np.array([0.7, -0.3]), np.array([1, 4, 6])
+    got, kept = quality._chains(score, ties, sizes)
+    want, pairs, first = [], np.zeros(2), 0
+    for n in sizes:
+        own = score[first : first + n]
+        ways = [(y, np.exp(sum(own[i] * y[i] for i in range(n)) + sum(ties[0] if a and b else ties[1] if not a and not b else 0 for a, b in zip(y, y[1:])))) for y in product((0, 1), repeat=int(n))]
+        total = sum(w for _, w in ways)
+        want += [sum(w for y, w in ways if y[i]) / total for i in range(n)]
+        pairs += [sum(w * sum(a == b == s for a, b in zip(y, y[1:])) for y, w in ways) / total for s in (1, 0)]
+        first += n
+    assert np.allclose(got, want) and np.allclose(kept, pairs)
+
+
+def test_values_of_edge_rows(spark):
+    docs = edge(spark)
+    words = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_groups(docs).where("doc_id is not null").collect()}
+    assert words[1] == words[2] == words[5] == (0, 1) and words[3] == words[4]
+    near = {(r.doc_id, r.component_id) for r in near_dups.near_duplicates(docs).collect()}
+    assert {(1, 1), (2, 1), (5, 1), (3, 3), (4, 3), (6, 6)} <= near
+    field = quality.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    marks = {r.doc_id: r for r in quality.score(docs, field).where("doc_id is not null").collect()}
+    assert marks[1].score == marks[2].score and len(marks[1].lines) == 1 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in marks.values())
+    assert quality.keep_good(docs, field, 0.0).count() == len(ROWS) and quality.keep_good(docs, field, 1.1).count() == 0
+    langs = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.learn(docs)).collect()}
+    assert langs[1] == langs[2] == langs[5] == "und" and langs[3] == langs[4] != "und"
+
+
+def test_reparameterised_leaks_through_the_query(spark):
+    bench = spark.createDataFrame([(1, "Tom has 12 apples and gives 5 of them to Mary before he walks 3 km home to see the old house again")], "item_id long, text string")
+    texts = ["so Anna has 7 apples and gives 4 of them to Peter before he walks 9 miles home to see the old house again", "Anna has 7 apples and gives 7 of them to Peter before he walks 9 miles home to see the old house again", "no leak at all"]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()) == [(0, 1), (3, 1)]
+    assert sorted(r.doc_id for r in decontamination.without_leaks(docs, bench).collect()) == [1, 2, 4, 5]
