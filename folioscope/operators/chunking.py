@@ -1,55 +1,226 @@
-"""Chunks: greedy children and parents, forced splits, fixed windows, recursive and semantic splits."""
+"""Chunks: children and parents of blocks, forced splits, fixed windows, recursive and semantic splits."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.functions.arrow import arrow_schema, batch_of
+from folioscope.operators import seams
 from folioscope.operators.normalize import SPECIAL
+from folioscope.operators.seams import CodePoints
+
+BETWEEN = "\n\n"
+CHUNKS = (
+    "version_id string, level string, seq int, chunk_id string, parent_chunk_id string, previous_id string, next_id string, text string, token_count int, "
+    "page_start int, page_end int, section_path array<string>, content_type string, quality_score double, block_ids array<string>, index_version string"
+)
+
+
+@dataclass(frozen=True)
+class ChunkSettings:
+    """Limits in tokens. The least sizes are recorded only; the most bind."""
+
+    child_min: int = 300
+    child_max: int = 600
+    parent_min: int = 1200
+    parent_max: int = 1800
+    overlap_ratio: float = 0.1
+    version: str = "parent-child-v1"
+
+    def parameters(self) -> dict:
+        return asdict(self)
 
 
 def forced_split(rows: DataFrame, limit: int, ratio: float) -> DataFrame:
     """Rows (id, text) in windows of ``limit`` characters; a tail no longer than the overlap isn't started."""
     overlap = round(limit * ratio)
     step = max(limit - overlap, 1)
-    n = F.length("text")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: (i == 0) | (n - i > overlap))
-    return rows.where(n > 0).select("id", F.posexplode(F.transform(starts, lambda i: F.substring("text", i + 1, F.lit(limit)))).alias("part", "piece"))
+    pieces = F.filter(tx.windows(F.col("text"), limit, limit - step), lambda x, i: (i == 0) | (F.length(x) > overlap))
+    return rows.select("id", F.posexplode(pieces).alias("part", "piece"))
 
 
 def fixed_windows(rows: DataFrame, width: int = 400, overlap: int = 80) -> DataFrame:
     return rows.select("id", F.posexplode(tx.windows(F.col("text"), width, overlap)).alias("part", "piece"))
 
 
-def greedy(blocks: DataFrame, limit: int) -> DataFrame:
-    """(version_id, chunk, first, last, kind, section, size): consecutive blocks packed up to ``limit`` characters.
+def token_windows(rows: DataFrame, tokenizer: seams.Tokenizer, width: int = 500, overlap: int = 80) -> DataFrame:
+    """Rows (id, text) as (id, part, piece): fixed windows of a tokenizer's tokens."""
 
-    Blocks (version_id, position, section, kind, text) join with two characters between them;
-    special kinds stand alone and a new section begins a new chunk. A fold over each version's
-    ordered blocks, inside the JVM.
-    """
-    own = F.struct("position", F.coalesce("section", F.lit("")).alias("section"), F.when(F.col("kind").isin(SPECIAL), F.col("kind")).otherwise("text").alias("kind"), F.length("text").alias("n"))
-    return _packed(blocks.select("version_id", own.alias("b")).select("version_id", "b.*"), limit)
+    @F.pandas_udf("array<string>")
+    def pieces(texts):
+        return texts.map(lambda t: [] if t is None else _pieces(tokenizer, tokenizer.encode(t), width, overlap))
+
+    return rows.select("id", F.posexplode(pieces("text")).alias("part", "piece"))
+
+
+def _pieces(tokenizer: seams.Tokenizer, tokens: list, limit: int, overlap: int) -> list[str]:
+    step = max(limit - overlap, 1)
+    starts = [i for i in range(0, len(tokens), step) if i == 0 or len(tokens) - i > overlap]
+    return [tokenizer.decode(tokens[i : i + limit]) for i in starts]
+
+
+@dataclass
+class _Piece:
+    text: str
+    size: int
+    first_page: int | None
+    last_page: int | None
+    section: list[str]
+    kind: str
+    quality: float | None
+    blocks: list[str]
+
+
+class _Packer:
+    """One document's blocks, in order, to its chunks, in one pass."""
+
+    def __init__(self, version: str | None, settings: ChunkSettings, tokenizer: seams.Tokenizer) -> None:
+        self.version, self.limits, self.tokenizer = version, settings, tokenizer
+        self.open: list[tuple[_Piece, list]] = []
+        self.children: list[_Piece] = []
+        # sizes add up when tokens are characters; other tokenizers look at the joined text
+        self.additive = isinstance(tokenizer, CodePoints)
+
+    def size(self, texts: list[str], known: int) -> int:
+        if self.additive:
+            return known
+        return len(self.tokenizer.encode(BETWEEN.join(texts)))
+
+    def add(self, block: _Piece) -> None:
+        tokens = self.tokenizer.encode(block.text)
+        block.size = len(tokens)
+        if block.kind in SPECIAL:
+            self.close()
+            self.split(block, tokens)
+            return
+        block.kind = "text"
+        if self.open:
+            held = [b for b, _ in self.open]
+            joined = self.size([b.text for b in held] + [block.text], sum(b.size for b in held) + block.size + len(BETWEEN) * len(held))
+            if held[-1].section != block.section or joined > self.limits.child_max:
+                self.close()
+        self.open.append((block, tokens))
+
+    def close(self) -> None:
+        if len(self.open) == 1:
+            self.split(*self.open[0])
+        elif self.open:
+            self.children.append(_merged([b for b, _ in self.open], self))
+        self.open = []
+
+    def split(self, block: _Piece, tokens: list) -> None:
+        limit = self.limits.child_max
+        if len(tokens) <= limit:
+            self.children.append(block)
+            return
+        for text in _pieces(self.tokenizer, tokens, limit, round(limit * self.limits.overlap_ratio)):
+            size = len(text) if self.additive else len(self.tokenizer.encode(text))
+            self.children.append(_Piece(text, size, block.first_page, block.last_page, block.section, block.kind, block.quality, block.blocks))
 
+    def groups(self) -> Iterator[list[int]]:
+        held: list[int] = []
+        total = 0
+        for i, child in enumerate(self.children):
+            last = self.children[held[-1]] if held else None
+            joined = self.size([self.children[k].text for k in held] + [child.text], total + len(BETWEEN) + child.size) if held else child.size
+            if last and (child.section != last.section or child.kind in SPECIAL or last.kind in SPECIAL or joined > self.limits.parent_max):
+                yield held
+                held, joined = [], child.size
+            held.append(i)
+            total = joined
+        if held:
+            yield held
 
-def _packed(rows: DataFrame, limit: int) -> DataFrame:
-    """The fold over each version's rows (version_id, position, section, kind, n)."""
-    listed = rows.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("position", "section", "kind", "n"))).alias("blocks"))
-    fold = """aggregate(blocks, cast(array() as array<struct<first:int,last:int,kind:string,section:string,size:int>>), (acc, b) ->
-      if(size(acc) > 0 and b.kind = 'text' and element_at(acc, -1).kind = 'text' and element_at(acc, -1).section = b.section and element_at(acc, -1).size + 2 + b.n <= {limit},
-        concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', cast(b.position as int), 'kind', 'text', 'section', b.section, 'size', element_at(acc, -1).size + 2 + b.n))),
-        concat(acc, array(named_struct('first', cast(b.position as int), 'last', cast(b.position as int), 'kind', b.kind, 'section', b.section, 'size', b.n)))))"""
-    return listed.select("version_id", F.posexplode(F.expr(fold.format(limit=limit))).alias("chunk", "c")).select("version_id", "chunk", "c.first", "c.last", "c.kind", "c.section", "c.size")
+    def rows(self) -> list[tuple]:
+        self.close()
+        name = lambda level, i, text: _id(level, self.version or "", self.limits.version, str(i), text)
+        ids = [name("child", i, c.text) for i, c in enumerate(self.children)]
+        out, family = [], {}
+        for n, group in enumerate(self.groups()):
+            own = [self.children[i] for i in group]
+            whole = _merged(own, self) if len(own) > 1 else own[0]
+            parent = name("parent", n, whole.text)
+            family.update(dict.fromkeys(group, parent))
+            out.append(self._row("parent", n, parent, None, None, None, whole))
+        for i, child in enumerate(self.children):
+            out.append(self._row("child", i, ids[i], family[i], ids[i - 1] if i else None, ids[i + 1] if i + 1 < len(ids) else None, child))
+        return out
 
+    def _row(self, level, seq, own, parent, before, after, c: _Piece) -> tuple:
+        return (self.version, level, seq, own, parent, before, after, c.text, c.size, c.first_page, c.last_page, c.section, c.kind, c.quality, c.blocks, self.limits.version)
 
-def parents(children: DataFrame, limit: int) -> DataFrame:
-    """(version_id, parent, first, last, kind, size): consecutive children of ``greedy`` packed up to ``limit`` characters.
 
-    A new section or a special child, before or after, begins a new parent.
+def _merged(parts: list[_Piece], packer: _Packer) -> _Piece:
+    """Several pieces as one: joined text, the span of their pages, one kind or mixed, the mean of known qualities, distinct blocks."""
+    texts = [p.text for p in parts]
+    known = [p.quality for p in parts if p.quality is not None]
+    kinds = {p.kind for p in parts}
+    size = packer.size(texts, sum(p.size for p in parts) + len(BETWEEN) * (len(parts) - 1))
+    pages = [x for p in parts for x in (p.first_page, p.last_page) if x is not None]
+    return _Piece(
+        BETWEEN.join(texts), size, min(pages, default=None), max(pages, default=None), parts[0].section, kinds.pop() if len(kinds) == 1 else "mixed",
+        sum(known) / len(known) if known else None, list(dict.fromkeys(b for p in parts for b in p.blocks)),
+    )
+
+
+def _id(*parts: str) -> str:
+    return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:32]
+
+
+def build(blocks: DataFrame, settings: ChunkSettings = ChunkSettings(), tokenizer: seams.Tokenizer | None = None) -> DataFrame:
+    """Children and their parents (see ``CHUNKS``) of blocks (version_id, position, page_no, section_path, kind, text, block_id, quality).
+
+    Consecutive ordinary blocks of a section join, with an empty line between, while the text stays
+    within ``child_max`` tokens. Tables, formulas, captions, pictures and references stand alone; a
+    block over the limit is cut into overlapping windows. Children of a section join likewise into
+    parents up to ``parent_max``, special ones alone. Children know their parent and neighbours.
+    Blocks are sorted by version and position and go through one pass; a document's chunks are held
+    until its end. Null texts are empty ones; blocks of a null version are one document.
     """
-    own = children.select("version_id", F.col("chunk").alias("position"), "section", "kind", F.col("size").alias("n"))
-    return _packed(own, limit).select("version_id", F.col("chunk").alias("parent"), "first", "last", "kind", "size")
+    tokenizer = tokenizer or CodePoints()
+    names = ["version_id", "position", "page_no", "section_path", "kind", "text", "block_id", "quality"]
+    cast = {"version_id": "string", "position": "long", "page_no": "int", "section_path": "array<string>", "kind": "string", "text": "string", "block_id": "string", "quality": "double"}
+    held = [F.col(c).cast(cast[c]).alias(c) if c in blocks.columns else F.lit(None).cast(cast[c]).alias(c) for c in names]
+    dealt = blocks.select(*held).repartition("version_id").sortWithinPartitions("version_id", "position", "block_id")
+
+    schema = arrow_schema(CHUNKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, made = None, []
+        for batch in batches:
+            for version, _, page, section, kind, text, block, quality in zip(*(c.to_pylist() for c in batch.columns)):
+                if packer is None or version != packer.version:
+                    made += packer.rows() if packer else []
+                    packer = _Packer(version, settings, tokenizer)
+                    if sum(len(r[7]) for r in made) > 1 << 20:
+                        yield batch_of(made, schema)
+                        made = []
+                packer.add(_Piece(text or "", 0, page, page, section or [], kind or "text", quality, [block] if block else []))
+        made += packer.rows() if packer else []
+        if made:
+            yield batch_of(made, schema)
+
+    return dealt.mapInArrow(run, CHUNKS)
+
+
+def children(chunks: DataFrame) -> DataFrame:
+    return chunks.where("level = 'child'")
+
+
+def parents(chunks: DataFrame) -> DataFrame:
+    return chunks.where("level = 'parent'")
+
+
+def block_links(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, position, block_id): the blocks of each chunk, in order."""
+    return chunks.select("chunk_id", F.posexplode("block_ids").alias("position", "block_id"))
 
 
 def source_ids(source, index, piece) -> F.Column:
@@ -57,11 +228,6 @@ def source_ids(source, index, piece) -> F.Column:
     return F.concat_ws("::", F.coalesce(source, F.lit("")), index, F.substring(F.md5(piece), 1, 12))
 
 
-def neighbours(chunks: DataFrame) -> DataFrame:
-    line = Window.partitionBy("version_id").orderBy("chunk")
-    return chunks.withColumn("previous", F.lag("chunk").over(line)).withColumn("next", F.lead("chunk").over(line))
-
-
 def semantic(sentences: DataFrame, percentile: float = 0.92) -> DataFrame:
     """Sentences (doc_id, pos, embedding) to groups, broken where the distance to the next is over the percentile."""
     line = Window.partitionBy("doc_id").orderBy("pos")
@@ -94,3 +260,13 @@ def split_recursively(text: str, size: int = 500, overlap: int = 80, separators:
                 held.pop(0)
         held.append(part)
     return out + ([mark.join(held)] if held else [])
+
+
+def recursive_split(rows: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
+    """Rows (id, text) as (id, part, piece) by ``split_recursively``; null and empty texts give none."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts):
+        return texts.map(lambda t: split_recursively(t, size, overlap) if t else [])
+
+    return rows.select("id", F.posexplode(pieces("text")).alias("part", "piece"))

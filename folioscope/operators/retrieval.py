@@ -2,100 +2,348 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.functions.arrow import arrow_schema, batch_of
+from folioscope.operators import seams
 
 K1, B = 1.2, 0.75
+ROUTES = ["vector", "keyword"]
+_BLOCK_BYTES, _HOT = 8 << 20, 1000
+
+
+# scopes
 
 
-def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of chunks (chunk_id, text): postings (term, chunk_id, tf, dl) and the one-row statistics (n_docs, avgdl)."""
-    terms = chunks.select("chunk_id", tx.search_tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    stats = terms.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    rows = terms.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return rows, stats
+def conjunction(conditions: list[Column]) -> Column | None:
+    """None of no conditions, the one itself, else all of them."""
+    return reduce(Column.__and__, conditions) if conditions else None
 
 
-def keyword_search(questions: DataFrame, chunks: DataFrame, limit: int = 10, scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): BM25 of each question's distinct terms.
+def scope_condition(columns: list[str]) -> Column | None:
+    """What a question's scope asks of a chunk, from the scope columns that are there.
 
-    Statistics are of all chunks; ``scope`` (chunk_id) only filters what may be returned. Terms
-    that most chunks hold get the weight 1e-6. Questions without terms return nothing.
+    ``paper_ids`` and ``version_ids`` (arrays) name the papers and versions allowed; null or empty
+    ones allow all. Chunks of content type reference are left out unless ``include_references``
+    is true; without that column they stay. A chunk of unknown paper, version or type fits no
+    list, and is no reference.
     """
-    rows, stats = postings(chunks)
-    asked = questions.select("query_id", F.explode(F.array_distinct(tx.search_tokens(F.col("text")))).alias("term"))
-    wanted = rows.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    if scope is not None:
-        wanted = wanted.join(scope.select("chunk_id"), "chunk_id", "left_semi")
-    plain = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(plain > 0, plain).otherwise(F.lit(1e-6))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    scored = wanted.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # one row of statistics
-    hits = scored.groupBy("query_id", "chunk_id").agg(F.sum(idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
-    hits = hits.withColumn("score", F.round("score", 9))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    found = []
+    for ids, own in (("paper_ids", "paper_id"), ("version_ids", "version_id")):
+        if ids in columns:
+            free = F.coalesce(F.size(ids), F.lit(0)) <= 0
+            found.append(free | F.coalesce(F.array_contains(ids, F.col(own)), F.lit(False)))
+    if "include_references" in columns:
+        found.append(F.coalesce("include_references", F.lit(False)) | (F.coalesce("content_type", F.lit("")) != "reference"))
+    return conjunction(found)
+
+
+_SCOPE = ["paper_ids", "version_ids", "include_references"]
+_META = ["paper_id", "version_id", "content_type"]
+
+
+def in_scope(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (query_id, chunk_id, ...) that their question's scope columns, if any, allow."""
+    scope = [c for c in _SCOPE if c in questions.columns]
+    if not scope:
+        return hits
+    asked = questions.select("query_id", *scope).dropDuplicates(["query_id"])
+    meta = chunks.select("chunk_id", *[c for c in _META if c in chunks.columns])
+    return hits.join(meta, "chunk_id").join(asked, "query_id").where(scope_condition(scope)).select(*hits.columns)
+
+
+def best(hits: DataFrame, limit: int, order: list[Column] | None = None) -> DataFrame:
+    """Hits with their rank among those of their question, up to ``limit``."""
+    if limit <= 0:
+        raise ValueError("a limit must be positive")
+    line = Window.partitionBy("query_id").orderBy(*(order or [F.desc("score"), F.asc("chunk_id")]))
+    return hits.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= limit)
+
+
+# keyword search
+
+
+@dataclass
+class KeywordIndex:
+    """A stored inverted index: ``docs`` (chunk_id, tokens, dl, ...), ``postings`` (term, chunk_id, tf, dl), ``terms`` (term, df)."""
+
+    docs: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    n_docs: int
+    avgdl: float
+
+    def phrases(self, questions: DataFrame) -> DataFrame:
+        """(query_id, phrase): the distinct terms of each question, each as its tokens side by side."""
+        value = questions.select("query_id", tx.search_value(F.col("text")).alias("value"))
+        terms = value.select("query_id", F.explode(tx.terms_of(F.col("value"))).alias("term"))
+        return terms.select("query_id", tx.phrase_of(F.col("term")).alias("phrase")).where(F.size("phrase") > 0)
+
+    def occurrences(self, phrases: DataFrame) -> DataFrame:
+        """(phrase, chunk_id, tf, dl, df): where each distinct phrase stands.
+
+        One token's come from the postings as they are. Of longer phrases, the chunks that hold all
+        tokens are looked through for them side by side.
+        """
+        wanted = phrases.select("phrase").distinct()
+        single = wanted.where(F.size("phrase") == 1).select("phrase", F.get("phrase", F.lit(0)).alias("term"))
+        known = self.terms.join(single, "term")
+        one = _met(self.postings, known, self.n_docs).select("phrase", "chunk_id", "tf", "dl", "df")
+        several = wanted.where(F.size("phrase") > 1)
+        if several.isEmpty():
+            return one
+        parts = several.select("phrase", F.explode(F.array_distinct("phrase")).alias("term"))
+        held = _met(self.postings.select("term", "chunk_id"), self.terms.join(parts, "term"), self.n_docs).groupBy("phrase", "chunk_id").agg(F.count("*").alias("n"))
+        whole = held.where(F.col("n") == F.size(F.array_distinct("phrase"))).join(self.docs.select("chunk_id", "tokens", "dl"), "chunk_id")
+        starts = F.sequence(F.lit(1), F.size("tokens") - F.size("phrase") + 1)
+        there = F.filter(starts, lambda i: (i > 0) & (F.slice("tokens", i, F.size("phrase")) == F.col("phrase")))
+        found = whole.where(F.size("tokens") >= F.size("phrase")).select("phrase", "chunk_id", F.size(there).cast("long").alias("tf"), "dl").where("tf > 0")
+        df = found.groupBy("phrase").agg(F.count("*").alias("df"))
+        return one.unionByName(found.join(df, "phrase"))
+
+    def search(self, questions: DataFrame, limit: int = 10, scope: DataFrame | None = None) -> DataFrame:
+        """(query_id, chunk_id, score, rank): BM25 of each question's (query_id, text) distinct terms.
+
+        A term of several tokens matches them side by side. Statistics are of all chunks; the
+        questions' scope columns (see ``scope_condition``) and ``scope`` (chunk_id) only filter what
+        may be returned. Terms that most chunks hold get the weight 1e-6. Questions without terms
+        (null, empty) return nothing.
+        """
+        phrases = self.phrases(questions)
+        plain = F.log((F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        idf = F.when(plain > 0, plain).otherwise(F.lit(1e-6))
+        norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl))
+        found = self.occurrences(phrases).withColumn("part", idf * F.col("tf") * (K1 + 1) / norm)
+        if scope is not None:
+            found = found.join(scope.select("chunk_id"), "chunk_id", "left_semi")
+        hits = found.join(phrases, "phrase").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
+        return best(in_scope(hits, questions, self.docs), limit)
+
+
+def _met(postings: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """Postings joined with ``known`` (term, df, ...): terms that many chunks hold by broadcast, so that they aren't one task's.
+
+    Of the asked terms, those in over a thousandth of all chunks are broadcast; there are at most
+    as many as the questions have words.
+    """
+    common = F.col("df") * _HOT > total
+    hot = postings.join(F.broadcast(known.where(common)), "term")
+    return hot.unionByName(postings.join(known.where(~common), "term"))
+
+
+def build_index(chunks: DataFrame, folder: str) -> KeywordIndex:
+    """Write the index of chunks (chunk_id, text, and any of paper_id, version_id, content_type) below ``folder``.
+
+    Texts are tokenised once. Postings are sorted by term within files that are dealt by term, so
+    that a search reads what its terms need. A null text has no tokens.
+    """
+    spark = chunks.sparkSession
+    value = chunks.withColumn("value", tx.search_value(F.col("text"))).withColumn("bare", tx.without_marks(F.col("value")))
+    tokens = F.coalesce(tx.tokens_of(F.col("value"), F.col("bare")), F.array().cast("array<string>"))
+    value.select("chunk_id", *[c for c in _META if c in chunks.columns], tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long")).write.parquet(f"{folder}/docs")
+    docs = spark.read.parquet(f"{folder}/docs")
+    rows = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    rows.select("term", "chunk_id", "tf", "dl").repartition("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
+    spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> KeywordIndex:
+    docs, postings, terms = (spark.read.parquet(f"{folder}/{name}") for name in ("docs", "postings", "terms"))
+    n, mean = docs.agg(F.count("*"), F.avg("dl")).first()
+    return KeywordIndex(docs, postings, terms, n, mean or 1.0)
+
+
+# vector search
 
 
 def vector_search(questions: DataFrame, vectors: DataFrame, limit: int = 10, metric: str = "cosine") -> DataFrame:
     """(query_id, chunk_id, score, rank): exact search; score is the cosine, or minus the squared distance.
 
-    Every question meets every vector; what is kept of a task is its best ``limit`` a question.
+    Questions (query_id, embedding, and any scope columns, see ``scope_condition``) go to the
+    vectors in blocks of limited size; a task keeps its best ``limit`` of each question. Scores
+    are in double precision, to nine digits; ties go to the smaller chunk_id. Null vectors, zero
+    ones (by cosine) and those of another length than the question take no part.
     """
-    both = questions.select("query_id", F.col("embedding").alias("q")).join(vectors.select("chunk_id", F.col("embedding").alias("v")), F.lit(True))
-    score = tx.cosine(F.col("q"), F.col("v")) if metric == "cosine" else 0.0 - tx.squared_distance(F.col("q"), F.col("v"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return both.select("query_id", "chunk_id", F.round(score, 9).alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    if limit <= 0:
+        raise ValueError("a limit must be positive")
+    scope = [c for c in _SCOPE if c in questions.columns]
+    meta = [c for c in _META if c in vectors.columns] if scope else []
+    kinds = dict(vectors.dtypes)
+    schema = f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    rows = vectors.where("embedding is not null").select("chunk_id", "embedding", *meta)
+    parts = [rows.mapInArrow(_nearest(block, limit, metric, schema), schema) for block in _blocks(questions, scope)]
+    found = reduce(DataFrame.unionAll, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
+    return best(found, limit)
+
+
+def _blocks(questions: DataFrame, scope: list[str]) -> Iterator[list[tuple]]:
+    """Questions as (id, vector, papers, versions, references) in blocks of limited size."""
+    held, size = [], 0
+    for r in questions.where("embedding is not null").select("query_id", "embedding", *scope).toLocalIterator():
+        got = r.asDict()
+        lists = [frozenset(got[c]) if got.get(c) else None for c in _SCOPE[:2]]
+        held.append((r.query_id, np.array(r.embedding, float), *lists, "include_references" not in scope or bool(got["include_references"])))
+        size += 8 * len(r.embedding)
+        if size >= _BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _nearest(block: list[tuple], limit: int, metric: str, schema: str):
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = [[] for _ in block]
+        by_size: dict[int, list[int]] = {}
+        for i, q in enumerate(block):
+            by_size.setdefault(len(q[1]), []).append(i)
+        sides = {n: np.stack([block[i][1] for i in own]) for n, own in by_size.items()}
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+            for n, own in by_size.items():
+                some = batch.filter(pa.array(sizes == n))
+                if not some.num_rows or not n:
+                    continue
+                v = some.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+                ids = np.array(some.column("chunk_id").to_pylist(), object)
+                score = _scores(sides[n], v, metric)
+                open_ = _allowed(some, [block[i] for i in own])
+                for row, i in enumerate(own):
+                    s = score[row] if open_ is None else np.where(open_[row], score[row], np.nan)
+                    at = np.flatnonzero(~np.isnan(s))
+                    if len(at) > limit:  # all that equal the last one stay: the smaller ids win below
+                        at = at[s[at] >= np.partition(s[at], len(at) - limit)[len(at) - limit]]
+                    held[i] = sorted([*held[i], *zip((-s[at]).tolist(), ids[at].tolist())])[:limit]
+        found = [(block[i][0], chunk, -s) for i, own in enumerate(held) for s, chunk in own]
+        yield batch_of(found, out)
+
+    return run
+
+
+def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = (q @ v.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None])
+    else:
+        s = -((q * q).sum(1)[:, None] - 2 * (q @ v.T) + (v * v).sum(1)[None])
+    return np.round(s, 9) + 0.0
+
+
+def _allowed(rows: pa.RecordBatch, asked: list[tuple]) -> np.ndarray | None:
+    """Questions x rows: what the scopes allow."""
+    if "paper_id" not in rows.schema.names and "content_type" not in rows.schema.names and "version_id" not in rows.schema.names:
+        return None
+    own = {c: rows.column(c).to_pylist() if c in rows.schema.names else [None] * rows.num_rows for c in _META}
+    out = np.ones((len(asked), rows.num_rows), bool)
+    plain = np.array([c != "reference" for c in own["content_type"]])
+    for row, (_, _, papers, versions, references) in enumerate(asked):
+        for ids, column in ((papers, "paper_id"), (versions, "version_id")):
+            if ids is not None:
+                out[row] &= np.fromiter((x in ids for x in own[column]), bool, rows.num_rows)
+        if not references:
+            out[row] &= plain
+    return out
+
+
+# fusion and reranking
+
+
+def recall_queries(plans: DataFrame) -> DataFrame:
+    """Plans (query_id, question, subqueries, paper_ids, clarification, include_references) to what each asks the routes.
+
+    (query_id, qord, text, paper_ids, include_references): the question and its sub-questions, distinct,
+    in order. Plans that need clarification or have no papers ask nothing.
+    """
+    ready = plans.where(F.col("clarification").isNull() & (F.coalesce(F.size("paper_ids"), F.lit(0)) > 0))
+    texts = F.array_distinct(F.concat(F.array("question"), F.coalesce("subqueries", F.array().cast("array<string>"))))
+    return ready.select("query_id", F.posexplode(texts).alias("qord", "text"), "paper_ids", "include_references")
+
+
+def recall(queries: DataFrame, routes: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Hits (query_id, qord, query, route, chunk_id, rank) of ``queries`` (see ``recall_queries``) by every route.
+
+    A route takes (query_id, text, ...), with one id for each question and sub-question, to
+    (query_id, chunk_id, rank).
+    """
+    asked = queries.withColumn("own", F.struct("query_id", "qord"))
+    keyed = asked.withColumn("query_id", F.to_json("own"))
+    out = []
+    for name, route in routes.items():
+        hits = route(keyed).select(F.col("query_id").alias("key"), "chunk_id", "rank")
+        out.append(hits.join(keyed.select(F.col("query_id").alias("key"), "own.query_id", "own.qord", F.col("text").alias("query")), "key").drop("key").withColumn("route", F.lit(name)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def fuse(hits: DataFrame, k: int = 60, limit: int = 50) -> DataFrame:
-    """Reciprocal rank fusion of hits (query_id, route, chunk_id, rank, paper_id, content).
+    """Reciprocal rank fusion of hits (query_id, route, chunk_id, rank, paper_id, content; qord and query where there are several).
 
     Candidates are ordered by fused score, then chunk_id; of one paper's equal contents the first
-    stays; then the limit holds. Returns query_id, chunk_id, paper_id, rrf, traces, rank.
+    stays; then the limit holds. Paper and content are those of the first hit by question, route
+    and rank. Returns query_id, chunk_id, paper_id, rrf, traces (qord, place of the route, route,
+    query, rank, in that order), rank.
     """
-    trace = F.struct(F.col("route"), F.col("rank"))
-    fused = hits.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("rrf"), F.min("paper_id").alias("paper_id"),
-        F.min_by("content", F.struct("route", "rank")).alias("content"), F.sort_array(F.collect_list(trace)).alias("traces"),
+    if "qord" not in hits.columns:
+        hits = hits.withColumn("qord", F.lit(0)).withColumn("query", F.lit(None).cast("string"))
+    place = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROUTES]), F.col("route")), F.lit(0))
+    trace = F.struct("qord", F.when(place > 0, place).otherwise(len(ROUTES) + 1).alias("place"), "route", "query", "rank")
+    fused = hits.withColumn("trace", trace).groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("rrf"), F.min_by("paper_id", "trace").alias("paper_id"),
+        F.min_by("content", "trace").alias("content"), F.sort_array(F.collect_list("trace")).alias("traces"),
     )
     order = [F.desc("rrf"), F.asc("chunk_id")]
     same = Window.partitionBy("query_id", "paper_id", tx.content_key(F.col("content"))).orderBy(*order)
     kept = fused.withColumn("copy", F.row_number().over(same)).where("copy = 1")
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= limit).select("query_id", "chunk_id", "paper_id", "rrf", "traces", "rank")
+    return best(kept, limit, order).select("query_id", "chunk_id", "paper_id", "rrf", "traces", "rank")
 
 
-def lexical_score(query, text) -> F.Column:
-    """The share of the question's distinct words that the text holds: the default, model-free pair scorer."""
-    q, t = F.array_distinct(tx.search_tokens(query)), F.array_distinct(tx.search_tokens(text))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(F.lit(0.0))
+def rerank(candidates: DataFrame, min_score: float = 0.1, limit: int = 12, by_paper: bool = False, scorer: seams.PairScorer = seams.lexical_score) -> DataFrame:
+    """Candidates (query_id, chunk_id, paper_id, query, text, rrf; qord, paper_ids, intent) by best score over their queries.
 
-
-def rerank(candidates: DataFrame, min_score: float = 0.1, limit: int = 12, by_paper: bool = False) -> DataFrame:
-    """Candidates (query_id, chunk_id, paper_id, query, text, rrf) by best score over their queries, from ``min_score`` on.
-
-    ``by_paper`` puts each paper's best first, papers in order of their id, for comparisons.
+    Those from ``min_score`` on stay, by score, fused score and chunk_id. Comparisons (``by_paper``,
+    or intent comparison) put each paper's best first, in the order of ``paper_ids`` (of the papers'
+    ids, where there is none). ``matched`` has the queries that reached ``min_score``, in order.
+    Candidates of a question for which the scorer gives a null come in their fused order instead,
+    ``degraded``, with their fused score.
     """
-    scored = candidates.withColumn("score", F.round(lexical_score(F.col("query"), F.col("text")), 9))
-    best = scored.groupBy("query_id", "chunk_id").agg(
-        F.max("score").alias("score"), F.max("rrf").alias("rrf"), F.min("paper_id").alias("paper_id"),
-        F.sort_array(F.collect_set(F.when(F.col("score") >= min_score, F.col("query")))).alias("matched"),
-    ).where(F.col("score") >= min_score)
+    for name, default in (("qord", F.lit(0)), ("paper_ids", F.lit(None).cast(f"array<{dict(candidates.dtypes)['paper_id']}>")), ("intent", F.lit(None).cast("string"))):
+        if name not in candidates.columns:
+            candidates = candidates.withColumn(name, default)
+    scored = scorer(candidates, "query", "text").withColumn("score", F.round("score", 9))
+    passed = F.when(F.col("score") >= min_score, F.struct("qord", "query"))
+    found = scored.groupBy("query_id", "chunk_id").agg(
+        F.max("score").alias("score"), F.max("rrf").alias("rrf"), F.first("paper_id").alias("paper_id"),
+        F.transform(F.sort_array(F.collect_set(passed)), lambda x: x["query"]).alias("matched"),
+        F.bool_or(F.col("score").isNull()).alias("failed"), F.first("paper_ids").alias("paper_ids"), F.first("intent").alias("intent"),
+    )
+    failed = F.bool_or("failed").over(Window.partitionBy("query_id"))
+    placed = found.withColumn("degraded", failed).where(F.col("degraded") | (F.col("score") >= min_score))
+    placed = placed.withColumn("score", F.when(F.col("degraded"), F.col("rrf")).otherwise(F.col("score")))
+    placed = placed.withColumn("matched", F.when(F.col("degraded"), F.array().cast("array<string>")).otherwise(F.col("matched")))
     order = [F.desc("score"), F.desc("rrf"), F.asc("chunk_id")]
-    lead = F.row_number().over(Window.partitionBy("query_id", "paper_id").orderBy(*order))
-    first = F.when((lead == 1) & F.lit(by_paper), F.col("paper_id"))
-    placed = best.withColumn("first", first)
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("first").asc_nulls_last(), *order)))
-    return ranked.where(F.col("rank") <= limit).drop("first")
+    lead = F.row_number().over(Window.partitionBy("query_id", "paper_id").orderBy(*order)) == 1
+    compares = (F.lit(by_paper) | (F.coalesce("intent", F.lit("")) == "comparison")) & ~F.col("degraded")
+    listed = F.array_position("paper_ids", F.col("paper_id"))
+    turn = F.when(F.col("paper_ids").isNull(), F.dense_rank().over(Window.partitionBy("query_id").orderBy("paper_id"))).when(listed > 0, listed)
+    ranked = best(placed.withColumn("first", F.when(lead & compares, turn)), limit, [F.col("first").asc_nulls_last(), *order])
+    return ranked.select("query_id", "chunk_id", "score", "rrf", "paper_id", "matched", "degraded", "rank")
 
 
 def diverse(hits: DataFrame, k: int = 4, weight: float = 0.5) -> DataFrame:
-    """Maximal marginal relevance of hits (query_id, chunk_id, q, v): k of each question, chosen one after the other."""
-    import numpy as np
+    """Maximal marginal relevance of hits (query_id, chunk_id, q, v): k of each question, chosen one after the other.
+
+    The hits of a question are few (the retrieval limit bounds them).
+    """
 
     def choose(rows):
         rows = rows.sort_values("chunk_id").reset_index(drop=True)
@@ -104,7 +352,7 @@ def diverse(hits: DataFrame, k: int = 4, weight: float = 0.5) -> DataFrame:
         near, picked = v @ (q / np.linalg.norm(q)), []
         while len(picked) < min(k, len(rows)):
             worst = (v @ v[picked].T).max(1) if picked else np.zeros(len(rows))
-            gain = np.round(weight * near - (1 - weight) * worst, 12) if picked else near.copy()
+            gain = np.round(weight * near - (1 - weight) * worst, 9) if picked else np.round(near, 9)
             gain[picked] = -np.inf
             picked.append(int(gain.argmax()))
         return rows.loc[picked, ["query_id", "chunk_id"]].assign(rank=range(1, len(picked) + 1))
@@ -112,12 +360,11 @@ def diverse(hits: DataFrame, k: int = 4, weight: float = 0.5) -> DataFrame:
     return hits.groupBy("query_id").applyInPandas(choose, "query_id long, chunk_id long, rank int")
 
 
-def two_stage(hits: DataFrame, questions: DataFrame, chunks: DataFrame, limit: int = 3) -> DataFrame:
+def two_stage(hits: DataFrame, questions: DataFrame, chunks: DataFrame, limit: int = 3, scorer: seams.PairScorer = seams.lexical_score) -> DataFrame:
     """Recalled hits (query_id, chunk_id), scored as pairs of question and text: the best ``limit`` of each question."""
     pairs = hits.select("query_id", "chunk_id").join(questions.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    scored = pairs.select("query_id", "chunk_id", F.round(lexical_score(F.col("query"), F.col("text")), 9).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    scored = scorer(pairs, "query", "text").select("query_id", "chunk_id", F.round("score", 9).alias("score"))
+    return best(scored, limit)
 
 
 def route_health(attempts: DataFrame, routes: int = 2) -> DataFrame:
@@ -127,6 +374,72 @@ def route_health(attempts: DataFrame, routes: int = 2) -> DataFrame:
     return counts.select("query_id", "failures", ((F.col("failures") > 0) | (F.col("succeeded") < routes)).alias("degraded"))
 
 
+# facets
+
+#: What is asked of each paper for an analysis, and the section titles that are looked for.
+FACETS = {
+    "summary": [
+        "abstract overview contributions", "introduction motivation problem", "method architecture workflow",
+        "experiments datasets baselines results", "conclusion findings", "limitations failure cases future work",
+    ],
+    "method": [
+        "method objective task", "method inputs outputs", "method assumptions", "architecture modules components", "method workflow algorithm steps",
+        "training objective loss function", "datasets data construction", "parameters implementation settings", "evaluation metrics experiments",
+    ],
+    "innovation": ["author stated contributions", "novel innovation proposed method", "comparison baselines improvements", "limitations future work"],
+}
+HINTS = {
+    "summary": [["abstract"], ["introduction"], ["method", "methodology"], ["experiment"], ["result"], ["conclusion"], ["limitation"]],
+    "method": [["method", "methodology"], ["2.1"], ["2.2"], ["2.3"], ["architecture", "framework"], ["experiment setup"], ["evaluation"]],
+    "innovation": [["abstract"], ["introduction"], ["conclusion"], ["limitation"]],
+}
+_INPUTS = 24
+
+
+def facet_queries(intent: str) -> list[str]:
+    return FACETS.get(intent, [intent])
+
+
+def facet_share(intent: str, inputs: int = _INPUTS) -> int:
+    """Candidates of each canned query that go to the reranker."""
+    return max(1, inputs // len(facet_queries(intent)))
+
+
+def hinted_section(section_path, hints: list[str]) -> Column:
+    """Whether a section's path holds one of the hints, case aside."""
+    path = tx.casefold(F.array_join(section_path, " > "))
+    return reduce(Column.__or__, [F.contains(path, F.lit(h.casefold())) for h in hints])
+
+
+def section_candidates(chunks: DataFrame, intent: str) -> DataFrame:
+    """Of each paper's chunks (paper_id, chunk_id, text, section_path, page_start, page_end, quality_score), one for each hint.
+
+    (paper_id, chunk_id, score, rrf, facet): the longest that fits and isn't of low quality; equal
+    ones by page_start, page_end and chunk_id. The score falls with the hint's place.
+    """
+    good = chunks.where(F.col("quality_score").isNull() | (F.col("quality_score") >= 0.5))
+    order = [F.desc(F.length("text")), "page_start", "page_end", "chunk_id"]
+    parts = []
+    for place, hints in enumerate(HINTS.get(intent, [])):
+        own = good.where(F.coalesce(hinted_section(F.col("section_path"), hints), F.lit(False)))
+        top = own.withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy(*order))).where("n = 1")
+        parts.append(top.select("paper_id", "chunk_id", F.lit(2.0 - place * 0.01).alias("score"), F.lit(1.0).alias("rrf"), F.lit(f"section:{hints[0]}").alias("facet")))
+    kind = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    empty = chunks.sparkSession.createDataFrame([], f"paper_id {kind['paper_id']}, chunk_id {kind['chunk_id']}, score double, rrf double, facet string")
+    return reduce(DataFrame.unionAll, parts) if parts else empty
+
+
+def facet_selection(reranked: DataFrame, sections: DataFrame, limit: int = 12) -> DataFrame:
+    """Per paper, reranked hits of its canned queries (paper_id, chunk_id, score, rrf, facet) and section candidates, spread over facets.
+
+    (paper_id, place, chunk_id); by score, fused score and chunk_id, the best of each facet first.
+    """
+    both = reranked.unionByName(sections)
+    line = Window.partitionBy("paper_id").orderBy(F.desc("score"), F.desc("rrf"), "chunk_id", "facet")
+    ranked = both.withColumn("rank", F.row_number().over(line)).withColumnRenamed("paper_id", "query_id")
+    return spread_over_facets(ranked, limit).withColumnRenamed("query_id", "paper_id")
+
+
 def spread_over_facets(ranked: DataFrame, limit: int = 12) -> DataFrame:
     """Ranked hits (query_id, rank, chunk_id, facet): the best unseen chunk of each facet first, then the others by rank.
 
@@ -134,8 +447,9 @@ def spread_over_facets(ranked: DataFrame, limit: int = 12) -> DataFrame:
     or empty facet only takes part in filling up. A fold over each question's hits, whose number
     the retrieval limits bound.
     """
+    kind = dict(ranked.dtypes)["chunk_id"]
     listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.coalesce("facet", F.lit("")).alias("facet")))).alias("hits"))
-    first = """aggregate(hits, named_struct('ids', cast(array() as array<bigint>), 'facets', cast(array() as array<string>)), (a, x) ->
+    first = f"""aggregate(hits, named_struct('ids', cast(array() as array<{kind}>), 'facets', cast(array() as array<string>)), (a, x) ->
       if(x.facet = '' or array_contains(a.facets, x.facet) or array_contains(a.ids, x.chunk_id), a,
         named_struct('ids', array_append(a.ids, x.chunk_id), 'facets', array_append(a.facets, x.facet)))).ids"""
     led = listed.withColumn("led", F.expr(first))

@@ -18,13 +18,13 @@ _KEY = "replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')
 select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from pairs) where rank <= 3""")
 def two_stage_recall(spark: SparkSession, d: str) -> DataFrame:
     asked, docs = base._questions(spark, d), base._docs(spark, d)
-    return retrieval.two_stage(retrieval.keyword_search(asked, docs, limit=5), asked, docs)
+    return retrieval.two_stage(base._index(spark, d).search(asked, limit=5), asked, docs)
 
 
 @query(base._BM25 + """, h as (select query_id, chunk_id, rank, row_number() over (partition by query_id, lang order by rank) = 1 as led from r join documents on doc_id = chunk_id where rank <= 50)
 select * from (select query_id, chunk_id, row_number() over (partition by query_id order by led desc, rank) as place from h) where place <= 12""")
 def facet_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.keyword_search(base._questions(spark, d), base._docs(spark, d), limit=50)
+    hits = base._index(spark, d).search(base._questions(spark, d), limit=50)
     facets = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("facet"))
     return retrieval.spread_over_facets(hits.join(facets, "chunk_id"))
 
@@ -46,7 +46,7 @@ def route_health(spark: SparkSession, d: str) -> DataFrame:
 select query_id, 'Context:' || chr(10) || string_agg(c.text, chr(10) || '---' || chr(10) order by rank) || chr(10) || chr(10) || 'Question: ' || any_value(b.text) as prompt from c join benchmark b on item_id = query_id group by query_id""")
 def question_prompts(spark: SparkSession, d: str) -> DataFrame:
     asked, docs = base._questions(spark, d), base._docs(spark, d)
-    hits = retrieval.keyword_search(asked, docs, limit=3).select("query_id", "chunk_id", "rank")
+    hits = base._index(spark, d).search(asked, limit=3).select("query_id", "chunk_id", "rank")
     return grounding.prompts(hits.join(docs, "chunk_id").join(asked.select("query_id", F.col("text").alias("question")), "query_id"))
 
 
@@ -69,12 +69,12 @@ def margin_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_LINES}, n as (select *, pos // 20 as page, replace(lower(regexp_replace(text, '\\s+', '', 'g')), 'ß', 'ss') as k from l)
-select version_id, count(*) as fresh from n o where pos % 2 = 1 and not exists (select 1 from n where n.version_id = o.version_id and n.page = o.page and n.k = o.k and n.pos % 2 = 0) group by version_id""")
+select version_id, count(*) as fresh from n o where pos % 2 = 1 and not exists (select 1 from n where n.version_id = o.version_id and n.page = o.page and n.k = o.k and n.k != '' and n.pos % 2 = 0) group by version_id""")
 def ocr_merge(spark: SparkSession, d: str) -> DataFrame:
     """Even lines as native text, odd ones as OCR lines."""
     rows = _lines(spark, d)
     merged = normalize.with_ocr(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
-    return merged.where("source = 'ocr'").groupBy("version_id").agg(F.count("*").alias("fresh"))
+    return merged.where("source = 'rapidocr'").groupBy("version_id").agg(F.count("*").alias("fresh"))
 
 
 @query(f"""with {_LINES}, b as (select version_id, pos // 20 + 1 as page_no, (pos % 3) * 300.0 - 50 as x0, (pos % 20) * 45.0 as y0, text, length(regexp_replace(text, '\\s', '', 'g')) as chars, length(regexp_replace(text, '[^\\x{{FFFD}}\\p{{Cc}}]|\\s', '', 'g')) as bad from l),
@@ -103,26 +103,21 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "part", chunking.source_ids(F.col("source"), F.col("part"), F.col("piece")).alias("chunk_id"))
 
 
-@query()
-def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
-    found = normalize.blocks(base._blocks(spark, d)).withColumn("section", F.array_join("section_path", " > "))
-    return chunking.parents(chunking.greedy(found, 600), 1800)
-
-
-@query("""with s as (select e.vec_id as q, unnest(range(5)) as o from embeddings e), t as (select q as question_id, o as ord, (q * 7 + o * 3) % 200 as id from s),
-p as (select question_id, ord, id as seed, unnest([id, 1000 + id // 10, case when id > 0 then id - 1 end, case when id < 199 then id + 1 end, case when id % 5 = 0 then id // 5 end]) as chunk_id, unnest(range(5)) as step from t),
-k as (select *, row_number() over (partition by question_id, chunk_id order by ord, step) as n from p where chunk_id is not null)
-select question_id, ord, step, chunk_id, ['reranked', 'parent', 'adjacent', 'adjacent', 'special_relation'][step + 1] as reason, seed from k where n = 1""")
+@query(base._CHILDREN + """, hits as (select item_id as question_id, unnest(range(5)) as ord, 'child' as level from benchmark),
+y as (select c.version_id, c.seq, c.chunk_id, p.chunk_id as parent_id, lag(c.chunk_id) over w as previous_id, lead(c.chunk_id) over w as next_id, case when c.kind = 'table' then lead(c.chunk_id) over w end as related
+  from c join h using (version_id, seq) join p on p.version_id = c.version_id and p.parent = h.grp window w as (partition by c.version_id order by seq)),
+s as (select question_id, ord, y.* from hits join y on y.version_id = (question_id * 7 + ord) % 100 and y.seq = ord * 2),
+o as (select question_id, ord, chunk_id as seed, unnest([chunk_id, parent_id, previous_id, next_id, related]) as id, unnest(range(5)) as step from s),
+k as (select *, row_number() over (partition by question_id, id order by ord, step) as n from o where id is not null)
+select question_id, ord::int as ord, step::int as step, id as chunk_id, ['reranked', 'parent', 'adjacent', 'adjacent', 'special_relation'][step + 1] as reason, seed from k where n = 1""")
 def context_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """A library of 200 chunks in a row; five seeds for each vector."""
-    i = F.col("id")
-    seeds = table(spark, d, "embeddings").select(F.col("vec_id").alias("question_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ord"))
-    seeds = seeds.withColumn("chunk_id", (F.col("question_id") * 7 + F.col("ord") * 3) % 200)
-    chunks = spark.range(200).select(
-        i.alias("chunk_id"), (1000 + F.floor(i / 10)).alias("parent_id"), F.when(i > 0, i - 1).alias("previous_id"), F.when(i < 199, i + 1).alias("next_id"),
-        F.when(i % 5 == 0, F.array(F.floor(i / 5))).alias("related"),
-    )
-    return grounding.expanded(seeds, chunks)
+    """Five chunks of the documents for each question, with their parents and neighbours; a table is related to what follows it."""
+    chunks = base._chunked(spark, d)
+    kids = chunking.children(chunks).withColumn("related", F.when(F.col("content_type") == "table", F.array_compact(F.array("next_id"))))
+    seeds = base._questions(spark, d).select(F.col("query_id").alias("question_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ord"))
+    place = seeds.select("question_id", "ord", ((F.col("question_id") * 7 + F.col("ord")) % 100).cast("string").alias("version_id"), (F.col("ord") * 2).alias("seq"))
+    chosen = place.join(kids.select("version_id", "seq", "chunk_id"), ["version_id", "seq"]).select("question_id", "ord", "chunk_id")
+    return grounding.expanded(chosen, kids.select("chunk_id", F.col("parent_chunk_id").alias("parent_id"), "previous_id", "next_id", "related"))
 
 
 _SECTIONS_SQL = "case level " + " ".join(f"when '{k}' then {v}" for k, v in grounding.SECTIONS.items()) + " end"

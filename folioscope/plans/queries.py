@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as tx
 from folioscope.operators import chunking, grounding, lifecycle, normalize, planner, retrieval
 from folioscope.sources.readers import page_texts, table
+from folioscope.sources.work import work_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,6 +42,27 @@ def _asked(spark, d) -> DataFrame:
     return items.join(_vectors(spark, d).select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id")
 
 
+_INDEXES: dict[tuple[str, str], retrieval.KeywordIndex] = {}
+
+
+def _index(spark, d) -> retrieval.KeywordIndex:
+    """The stored keyword index of a folder's documents, built once a session: ten papers, versions by language, French as references."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        kind = F.when(F.col("lang") == "fr", "reference").otherwise("text")
+        chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", (F.col("doc_id") % 10).alias("paper_id"), F.col("lang").alias("version_id"), kind.alias("content_type"))
+        _INDEXES[key] = retrieval.build_index(chunks, work_folder(spark, "keyword-index"))
+    return _INDEXES[key]
+
+
+def _scoped(questions: DataFrame) -> DataFrame:
+    """Questions with scopes: three papers for two of three, English and German versions for every other one, references for every fifth."""
+    i = F.col("query_id")
+    papers = F.when(i % 3 > 0, F.array(i % 10, (i + 3) % 10, (i + 6) % 10))
+    versions = F.when(i % 2 == 0, F.array(F.lit("en"), F.lit("de")))
+    return questions.withColumn("paper_ids", papers).withColumn("version_ids", versions).withColumn("include_references", i % 5 == 0)
+
+
 def _blocks(spark, d) -> DataFrame:
     """Documents as versions, lines as blocks: the first is a heading, every tenth a table, the next its caption."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
@@ -58,7 +80,8 @@ n as (select count(*) as n_docs, avg(len(terms)) as avgdl from t),
 p as (select chunk_id, len(terms) as dl, unnest(terms) as term from t),
 g as (select term, chunk_id, count(*) as tf, any_value(dl) as dl from p group by all),
 f as (select term, count(*) as df from g group by term),
-q as (select distinct item_id as query_id, unnest({_T}) as term from benchmark),
+q as (select query_id, translate(word, '{tx.MARKED}', '{tx.PLAIN}') as term from (
+  select distinct item_id as query_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')) as word from benchmark)),
 s as (select query_id, chunk_id, round(sum(case when ln((n_docs - df + 0.5) / (df + 0.5)) > 0 then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end
     * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) as score
   from q join g using (term) join f using (term) cross join n group by all),
@@ -68,19 +91,42 @@ r as (select *, row_number() over (partition by query_id order by score desc, ch
 
 @query(_BM25 + "select query_id, chunk_id, round(score, 6) as score, rank from r where rank <= 10")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.keyword_search(_questions(spark, d), _docs(spark, d)).withColumn("score", F.round("score", 6))
+    return _index(spark, d).search(_questions(spark, d)).withColumn("score", F.round("score", 6))
+
 
+_IN_SCOPE = """(query_id % 3 = 0 or {i} % 10 in (query_id % 10, (query_id + 3) % 10, (query_id + 6) % 10)) and (query_id % 2 = 1 or lang in ('en', 'de')) and (query_id % 5 = 0 or lang is distinct from 'fr')"""
 
-@query(_BM25.replace("cross join n group", "cross join n where chunk_id in (select doc_id from documents where lang = 'de') group") + "select query_id, chunk_id, round(score, 6) as score, rank from r where rank <= 10")
+
+@query(_BM25.replace("from s)", f"from s join documents on doc_id = chunk_id where {_IN_SCOPE.format(i='doc_id')})") + "select query_id, chunk_id, round(score, 6) as score, rank from r where rank <= 10")
 def keyword_search_scoped(spark: SparkSession, d: str) -> DataFrame:
-    scope = table(spark, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("chunk_id"))
-    return retrieval.keyword_search(_questions(spark, d), _docs(spark, d), scope=scope).withColumn("score", F.round("score", 6))
+    return _index(spark, d).search(_scoped(_questions(spark, d))).withColumn("score", F.round("score", 6))
+
 
+#: Two words side by side, as a question for an identifier of both.
+_PAIR = "(?:^|[^\\p{L}])([a-z]{3,}) ([a-z]{3,})(?:[^\\p{L}]|$)"
 
-@query(f"with t as (select {_T} as terms from documents), p as (select unnest(terms) as term from t) select term, count(*) as n from p group by term")
+
+@query(f"""with t as (select doc_id as chunk_id, {_T} as terms from documents), n as (select count(*) as n_docs, avg(len(terms)) as avgdl from t),
+w as (select item_id as query_id, regexp_extract(replace(lower(text), 'ß', 'ss'), '{_PAIR}', 1) as a, regexp_extract(replace(lower(text), 'ß', 'ss'), '{_PAIR}', 2) as b from benchmark),
+q as (select distinct query_id, unnest([[a], [b], [a, b]]) as phrase from w where a != ''),
+h as (select phrase, chunk_id, len(terms) as dl, len(list_filter(range(1, len(terms) - len(phrase) + 2), lambda i: terms[i] = phrase[1] and (len(phrase) = 1 or terms[i + 1] = phrase[2]))) as tf
+  from (select distinct phrase from q) join t on list_has_all(terms, phrase)),
+f as (select phrase, count(*) as df from h where tf > 0 group by phrase),
+s as (select query_id, chunk_id, round(sum(case when ln((n_docs - df + 0.5) / (df + 0.5)) > 0 then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end
+    * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) as score from q join h using (phrase) join f using (phrase) cross join n where tf > 0 group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s)
+select query_id, chunk_id, round(score, 6) as score, rank from r where rank <= 10""")
+def keyword_phrases(spark: SparkSession, d: str) -> DataFrame:
+    low = F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))
+    a, b = (F.regexp_extract(low, _PAIR, i) for i in (1, 2))
+    asked = _questions(spark, d).select("query_id", F.when(a != "", F.concat(a, F.lit("-"), b)).alias("text"))
+    return _index(spark, d).search(asked).withColumn("score", F.round("score", 6))
+
+
+@query(f"with t as (select {_T} as terms from documents), p as (select unnest(terms) as term from t) select term, count(*) as n, any_value(df) as df from p join (select term, count(*) as df from (select distinct term, i from (select unnest(terms) as term, i from (select terms, row_number() over () as i from t))) group by term) using (term) group by term")
 def keyword_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = retrieval.postings(_docs(spark, d))
-    return rows.groupBy("term").agg(F.sum("tf").alias("n"))
+    index = _index(spark, d)
+    return index.postings.groupBy("term").agg(F.sum("tf").alias("n")).join(index.terms, "term")
 
 
 _VEC = """with q as (select b.item_id as query_id, e.embedding::double[] as e from benchmark b join embeddings e on e.vec_id = b.item_id),
@@ -99,9 +145,21 @@ def vector_search_squared(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_search(_asked(spark, d), _vectors(spark, d), metric="squared").withColumn("score", F.round("score", 6))
 
 
+def _papers_of(vectors: DataFrame) -> DataFrame:
+    """Vectors of ten papers, versions by their number and references."""
+    i = F.col("chunk_id")
+    return vectors.withColumn("paper_id", i % 10).withColumn("version_id", F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "es")]), (1 + i % 3).cast("int"))).withColumn("content_type", F.when(i % 4 == 0, "reference").otherwise("text"))
+
+
+@query(_VEC.format(score="round(list_dot_product(e, v.embedding::double[]) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[]))), 9)").replace(
+    "from q, embeddings v)", "from q, (select *, ['en', 'de', 'es'][1 + vec_id % 3] as lang from embeddings) v where (query_id % 3 = 0 or vec_id % 10 in (query_id % 10, (query_id + 3) % 10, (query_id + 6) % 10)) and (query_id % 2 = 1 or lang in ('en', 'de')) and (query_id % 5 = 0 or vec_id % 4 > 0))"))
+def vector_search_scoped(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_search(_scoped(_asked(spark, d)), _papers_of(_vectors(spark, d))).withColumn("score", F.round("score", 6))
+
+
 def _routes(spark, d) -> DataFrame:
     vectors = retrieval.vector_search(_asked(spark, d), _vectors(spark, d), limit=50).select("query_id", "chunk_id", "rank", F.lit("vector").alias("route"))
-    words = retrieval.keyword_search(_questions(spark, d), _docs(spark, d), limit=50).select("query_id", "chunk_id", "rank", F.lit("keyword").alias("route"))
+    words = _index(spark, d).search(_questions(spark, d), limit=50).select("query_id", "chunk_id", "rank", F.lit("keyword").alias("route"))
     known = _docs(spark, d).select("chunk_id", F.col("text").alias("content"), (F.col("chunk_id") % 10).alias("paper_id"))
     return vectors.unionAll(words).join(known, "chunk_id")
 
@@ -136,10 +194,64 @@ def rerank_comparison(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).select("chunk_id", "text")
     asked = _questions(spark, d).select("query_id", F.col("text").alias("query"))
     candidates = retrieval.fuse(_routes(spark, d), limit=24).join(docs, "chunk_id").join(asked, "query_id")
-    return retrieval.rerank(candidates, by_paper=True).withColumn("matched", F.size("matched")).withColumn("rrf", F.round("rrf", 9))
+    return retrieval.rerank(candidates, by_paper=True).drop("degraded").withColumn("matched", F.size("matched")).withColumn("rrf", F.round("rrf", 9))
+
 
+_SUB = "list_slice(list_concat([resolved], list_filter(list_reverse(list_reverse({parts})), lambda p: p != resolved)), 1, 4)"
+_PARTS = "list_filter([trim(p, ' ，,。；;？?') for p in regexp_split_to_array({q}, '(?i)[；;？?]|并且|以及|同时|and also|and then')], lambda p: p != '')"
 
-@query()
+
+@query(_BM25.split("q as (")[0] + f"""z0 as (select item_id as query_id, replace(text, '. ', '? ') as resolved from benchmark),
+z1 as (select *, {_PARTS.format(q='resolved')} as parts from z0),
+z2 as (select query_id, resolved as text, -1 as p from z0 union all select query_id, unnest(parts), unnest(range(len(parts))) from z1),
+z3 as (select query_id, text, min(p) as p from z2 group by all),
+a as (select query_id, text, row_number() over (partition by query_id order by p) - 1 as qord from z3 qualify qord < 4),
+qw as (select distinct query_id, qord, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')) as word from a),
+q as (select query_id, qord, translate(word, '{tx.MARKED}', '{tx.PLAIN}') as term from qw),
+s as (select query_id, qord, chunk_id, round(sum(case when ln((n_docs - df + 0.5) / (df + 0.5)) > 0 then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end
+    * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) as score
+  from q join g using (term) join f using (term) cross join n join documents on doc_id = chunk_id where chunk_id % 10 in (1, 4, 7, query_id % 10) and lang is distinct from 'fr' group by all),
+r as (select *, row_number() over (partition by query_id, qord order by score desc, chunk_id) as rank from s),
+ve as (select query_id, qord, embedding::double[] as e from a join embeddings on vec_id = query_id * 4 + qord),
+vs as (select query_id, qord, vec_id as chunk_id, round(list_dot_product(e, v.embedding::double[]) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[]))), 9) as score
+  from ve, embeddings v where vec_id % 10 in (1, 4, 7, query_id % 10) and vec_id % 4 > 0),
+vr as (select *, row_number() over (partition by query_id, qord order by score desc, chunk_id) as rank from vs),
+h as (select query_id, qord, chunk_id, rank, 1 as place, 'vector' as route from vr where rank <= 50 union all select query_id, qord, chunk_id, rank, 2, 'keyword' from r where rank <= 50),
+u as (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 12) as rrf, count(*) as hits, first(qord || ':' || route || ':' || rank order by qord, place, rank) as first_trace from h join documents on doc_id = chunk_id group by all),
+c as (select u.*, chunk_id % 10 as paper_id, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') as k from u join documents on doc_id = chunk_id),
+w as (select *, row_number() over (partition by query_id, paper_id, k order by rrf desc, chunk_id) as copy from c),
+zz as (select *, row_number() over (partition by query_id order by rrf desc, chunk_id) as place from w where copy = 1)
+select query_id, chunk_id, paper_id, round(rrf, 9) as rrf, hits, first_trace, place as rank from zz where place <= 20""".replace("z3 as", "z3 as"))
+def hybrid_subquestions(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences as sub-questions, all recalled by both routes within the question's papers; their vectors are those of successive numbers."""
+    i = F.col("query_id")
+    asked = _questions(spark, d).select("query_id", F.replace("text", F.lit(". "), F.lit("? ")).alias("question"), F.array_distinct(F.array(F.lit(1).cast("long"), F.lit(4).cast("long"), F.lit(7).cast("long"), i % 10)).alias("paper_ids"))
+    plans = asked.withColumn("subqueries", planner.subquestions(F.col("question"))).withColumn("clarification", F.lit(None).cast("string")).withColumn("include_references", F.lit(False))
+    vectors = _papers_of(_vectors(spark, d)).select("chunk_id", "embedding", "paper_id", "version_id", "content_type")
+
+    def by_vector(queries: DataFrame) -> DataFrame:
+        own = queries.withColumn("vec_id", F.col("own.query_id") * 4 + F.col("own.qord"))
+        return retrieval.vector_search(own.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id"), vectors, 50)
+
+    hits = retrieval.recall(retrieval.recall_queries(plans), {"vector": by_vector, "keyword": lambda q: _index(spark, d).search(q, 50)})
+    known = _docs(spark, d).select("chunk_id", F.col("text").alias("content"), (F.col("chunk_id") % 10).alias("paper_id"))
+    fused = retrieval.fuse(hits.join(known, "chunk_id"), limit=20)
+    first = F.concat_ws(":", F.get("traces", F.lit(0))["qord"], F.get("traces", F.lit(0))["route"], F.get("traces", F.lit(0))["rank"])
+    return fused.select("query_id", "chunk_id", "paper_id", F.round("rrf", 9).alias("rrf"), F.size("traces").cast("long").alias("hits"), first.alias("first_trace"), "rank")
+
+
+@query("""with recursive v as (select vec_id as id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm from embeddings),
+q as (select b.item_id as query_id, v.e, v.norm from benchmark b join v on v.id = b.item_id),
+s as (select query_id, id, round(list_dot_product(q.e, v.e) / (q.norm * v.norm), 9) as score from q, v),
+t as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) where rank <= 12),
+p as (select a.query_id, a.id as x, b.id as y, list_dot_product(va.e, vb.e) / (va.norm * vb.norm) as alike from t a join t b using (query_id) join v va on va.id = a.id join v vb on vb.id = b.id),
+r as (
+  select query_id, 1 as step, [arg_max(id, score * 1e9 - id * 1e-4)] as picked from (select query_id, id, score, score - max(score) over (partition by query_id) as behind from t) where behind = 0 group by query_id
+  union all
+  select query_id, step + 1, list_append(picked, best) from (
+    select r.query_id, r.step, r.picked, t.id as best, row_number() over (partition by r.query_id order by round(0.5 * t.score_full - 0.5 * (select max(alike) from p where p.query_id = r.query_id and p.x = t.id and list_contains(r.picked, p.y)), 9) desc, t.id) as n
+    from r join (select t.*, list_dot_product(q.e, v.e) / (q.norm * v.norm) as score_full from t join q using (query_id) join v on v.id = t.id) t on t.query_id = r.query_id and not list_contains(r.picked, t.id) where r.step < 4) where n = 1)
+select query_id, unnest(picked) as chunk_id, unnest(range(1, 5))::int as rank from r where step = 4""")
 def diverse_search(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieval.vector_search(_asked(spark, d), _vectors(spark, d), limit=12)
     asked = _asked(spark, d).select("query_id", F.col("embedding").alias("q"))
@@ -151,42 +263,49 @@ _TEMPLATES = [
     "这篇论文的方法是什么？以及结果如何", "Plain fact", "why so?",
 ]
 _PLAN_VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TEMPLATES))
-_INTENT_SQL = "case " + " ".join("when " + " or ".join(f"contains(lower(q), '{w}')" for w in words) + f" then '{name}'" for name, words in planner.INTENTS) + " else 'factual' end"
-
-
-@query(f"""with t(n, q) as (values {_PLAN_VALUES}), u as (select conv_id, max(turn) as turns from conversations group by conv_id),
-x as (select conv_id, q, case when conv_id % 3 = 0 then 'p1' end as paper, case when conv_id % 2 = 0 then 'Before' end as previous from u join t on n = conv_id % {len(_TEMPLATES)}),
-y as (select *, regexp_matches(q, '(?i)(这|那|该)(篇|个)?(论文|文章|文献)|它(的|们)?|this paper') as pronoun, {_INTENT_SQL} as intent,
-  {' or '.join(f"starts_with(ltrim(lower(q)), '{x}')" for x in planner.FOLLOW_UPS)} as follows from x),
-z as (select *, case when pronoun and paper is not null then q || ' [paper_id=' || paper || ']' when follows and previous is not null then previous || '；追问：' || q else q end as resolved from y),
-s as (select *, list_filter([trim(p, ' ，,。；;？?') for p in regexp_split_to_array(resolved, '(?i)[；;？?]|并且|以及|同时|and also|and then')], lambda p: p != '') as parts from z)
-select conv_id, intent, resolved, array_to_string(list_slice(list_concat([resolved], list_filter(list_reverse(list_reverse(parts)), lambda p: p != resolved)), 1, 4), '|') as subqueries,
-  intent = 'related_work' as include_references, case when paper is null then 'empty_scope' end as clarification from s""")
+_INTENT_SQL = "case " + " ".join("when " + " or ".join(f"contains(low, '{w}')" for w in words) + f" then '{name}'" for name, words in planner.INTENTS) + " else 'factual' end"
+_PREFERENCE_SQL = "case intent " + " ".join(f"when '{k}' then '{','.join(v)}'" for k, v in planner.PREFERENCES.items()) + " end"
+
+
+@query(f"""with t(n, template) as (values {_PLAN_VALUES}), u as (select *, row_number() over (partition by conv_id order by turn) as k from conversations where role = 'user' and text is not null),
+x as (select conv_id, turn, trim(case when turn % 3 = 2 then text else template end) as q, ['p1', 'p2'][1:(conv_id % 3)::int] as papers, case when conv_id % 2 = 0 then 'library' else 'selected' end as mode,
+  lag(text) over (partition by conv_id order by turn) as previous from u join t on n = (conv_id + turn) % {len(_TEMPLATES)}),
+y as (select *, regexp_matches(q, '(?i)(这|那|该)(篇|个)?(论文|文章|文献)|它(的|们)?|this paper') as pronoun, {' or '.join(f"starts_with(lower(q), '{w}')" for w in planner.FOLLOW_UPS)} as follows from x),
+z as (select *, case when q = '' then 'empty_question' end as error, case when q != '' and pronoun and len(papers) != 1 then '{planner.AMBIGUOUS}' when q != '' and mode = 'selected' and len(papers) = 0 then '{planner.UNSCOPED}' end as clarification from y),
+v as (select *, case when clarification is not null then q when pronoun and len(papers) = 1 then q || ' [paper_id=' || papers[1] || ']' when follows and previous is not null then previous || '；追问：' || q else q end as resolved from z),
+w as (select *, replace(lower(resolved), 'ß', 'ss') as low, {_PARTS.format(q='resolved')} as parts, error is null and clarification is null as ready from v),
+i as (select *, {_INTENT_SQL} as intent from w)
+select conv_id, turn, error, clarification, resolved, intent, case when ready then array_to_string({_SUB.format(parts='parts')}, '|') else '' end as subqueries, case when ready then {_PREFERENCE_SQL} else '' end as preferences,
+  ready and intent = 'related_work' as include_references from i""")
 def question_plans(spark: SparkSession, d: str) -> DataFrame:
+    """The users' turns, two of three replaced by canned questions; each follows the user's turn before."""
     n = F.create_map(*[F.lit(x) for i, t in enumerate(_TEMPLATES) for x in (i, t)])
-    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turns"))
-    asked = talks.select(
-        "conv_id", F.element_at(n, (F.col("conv_id") % len(_TEMPLATES)).cast("int")).alias("question"),
-        F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("p1"))).alias("paper_ids"), F.when(F.col("conv_id") % 2 == 0, F.lit("Before")).alias("previous"),
+    users = table(spark, d, "conversations").where("role = 'user' and text is not null")
+    canned = F.element_at(n, ((F.col("conv_id") + F.col("turn")) % len(_TEMPLATES)).cast("int"))
+    asked = users.select(
+        "conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.col("text")).otherwise(canned).alias("question"), F.slice(F.array(F.lit("p1"), F.lit("p2")), F.lit(1), (F.col("conv_id") % 3).cast("int")).alias("paper_ids"),
+        F.when(F.col("conv_id") % 2 == 0, "library").otherwise("selected").alias("scope_mode"), F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"),
     )
-    return planner.plan(asked).select("conv_id", "intent", "resolved", F.array_join("subqueries", "|").alias("subqueries"), "include_references", "clarification")
+    return planner.plan(asked).select("conv_id", "turn", "error", "clarification", "resolved", "intent", F.array_join("subqueries", "|").alias("subqueries"), F.array_join("preferences", ",").alias("preferences"), "include_references")
 
 
-_BLOCKS = """b0 as (select doc_id as version_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
-b1 as (select version_id, pos // 20 + 1 as page_no, pos, text, case when pos = 0 then 'heading' when pos % 10 = 5 then 'table' when pos % 10 = 6 then 'caption' else 'text' end as kind from b0 where trim(text) != ''),
-b as (select *, last_value(case when kind = 'heading' then trim(text) end ignore nulls) over (partition by version_id order by pos) as title from b1)
+_STRIP = "regexp_replace(text, '^[\\x09-\\x0D\\x1C-\\x20\\x85\\p{Z}]+|[\\x09-\\x0D\\x1C-\\x20\\x85\\p{Z}]+$', '', 'g')"
+_BLOCKS = f"""b0 as (select doc_id as version_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+b1 as (select version_id, pos // 20 + 1 as page_no, pos, {_STRIP} as text, case when pos = 0 then 'heading' when pos % 10 = 5 then 'table' when pos % 10 = 6 then 'caption' else 'text' end as kind from b0),
+b as (select *, last_value(case when kind = 'heading' then text end ignore nulls) over (partition by version_id order by pos) as title,
+  substr(sha256('block' || chr(31) || version_id || chr(31) || page_no || chr(31) || pos || chr(31) || pos || chr(31) || kind || chr(31) || trim(regexp_replace(text, '[\\x09-\\x0D\\x1C-\\x20\\x85\\p{{Z}}]+', ' ', 'g')) || chr(31) || 'native_pdf'), 1, 32) as block_id from b1 where text != '')
 """
 
 
-@query(f"""with {_BLOCKS}, i as (select version_id, page_no, pos as position, kind, coalesce(title, '') as section,
-  substr(sha256(version_id || chr(31) || page_no || chr(31) || pos || chr(31) || pos || chr(31) || kind || chr(31) || trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 32) as block_id from b)
+@query(f"""with {_BLOCKS}, i as (select version_id, page_no, pos as position, kind, coalesce(title, '') as section, block_id, text,
+  substr(sha256('page' || chr(31) || version_id || chr(31) || page_no), 1, 32) as page_id from b)
 select *, lag(block_id) over (partition by version_id order by position) as previous_id, lead(block_id) over (partition by version_id order by position) as next_id from i""")
 def normalized_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return normalize.blocks(_blocks(spark, d)).select("version_id", "page_no", "position", "kind", F.array_join("section_path", " > ").alias("section"), "block_id", "previous_id", "next_id")
+    return normalize.blocks(_blocks(spark, d)).select("version_id", "page_no", "position", "kind", F.array_join("section_path", " > ").alias("section"), "block_id", "text", "page_id", "previous_id", "next_id")
 
 
-@query(f"""with {_BLOCKS}, p as (select s.version_id, s.pos as a, o.pos as o, row_number() over (partition by s.version_id, s.pos order by (o.kind = 'caption') desc, abs(s.pos - o.pos), o.pos) as n
-  from b s join b o on s.version_id = o.version_id and s.page_no = o.page_no where s.kind in ('table', 'picture', 'formula') and o.kind in ('caption', 'text')),
+@query(f"""with {_BLOCKS}, bp as (select *, row_number() over (partition by version_id order by pos) as place from b), p as (select s.version_id, s.pos as a, o.pos as o, row_number() over (partition by s.version_id, s.pos order by (o.kind = 'caption') desc, abs(s.place - o.place), o.place) as n
+  from bp s join bp o on s.version_id = o.version_id and s.page_no = o.page_no where s.kind in ('table', 'picture', 'formula') and o.kind in ('caption', 'text')),
 e as (select version_id, a as position, o as other from p where n = 1 union select version_id, o, a from p where n = 1)
 select version_id, position, string_agg(other::varchar, ',' order by other) as related from e group by all""")
 def related_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -195,20 +314,26 @@ def related_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with p as (select doc_id as version_id, unnest(range(1, 11)) as page_no, n_chars from documents)
-, x as (select version_id, (page_no * 37 + version_id) % 10 < version_id % 11 as covered, (version_id % 7) / 40.0 as garbled,
+, x as (select version_id, page_no, (page_no * 37 + version_id) % 10 < version_id % 11 as covered, (version_id % 7) / 40.0 as garbled,
   case when page_no = 3 and version_id % 5 = 0 then 'failed' when page_no < 3 then 'success' else 'skipped' end as ocr, case when page_no < 3 then (version_id % 10) / 10.0 end as confidence from p),
-a as (select version_id, count(*) as pages, count_if(covered) as with_text, round(avg(garbled), 9) as garbled, round(avg(confidence) filter (ocr = 'success'), 9) as confidence, count_if(ocr = 'failed') as failed_ocr from x group by version_id),
+a as (select version_id, count(*) as pages, count_if(covered) as with_text, round(avg(garbled), 9) as garbled, round(avg(confidence) filter (ocr = 'success'), 9) as confidence, count_if(ocr = 'failed') as failed_ocr,
+  string_agg(page_no::varchar, ', ' order by page_no) filter (not covered) as missing, string_agg(page_no::varchar, ', ' order by page_no) filter (ocr = 'failed') as failed from x group by version_id),
 c as (select *, round(with_text / pages, 9) as coverage from a)
 select version_id, pages, with_text, coverage, failed_ocr, case when coverage < 0.5 then 'failed' when coverage < 0.9 or garbled > 0.1 or coalesce(confidence, 1) < 0.6 or failed_ocr > 0 then 'partially_ready' else 'ready' end as level,
-  array_to_string(list_filter([case when coverage < 1 then 'missing_pages' end, case when failed_ocr > 0 then 'failed_ocr' end, case when garbled > 0.1 then 'garbled_text' end, case when confidence < 0.6 then 'low_ocr_confidence' end], lambda x: x is not null), ',') as warnings from c""")
+  array_to_string(list_filter(['Missing text on PDF pages: ' || missing, 'OCR failed on PDF pages: ' || failed, case when garbled > 0.1 then 'Garbled character ratio is high: ' || printf('%.3f', garbled::double) end,
+    case when confidence < 0.6 then 'OCR confidence is low: ' || printf('%.3f', confidence::double) end, case when version_id % 4 = 0 then 'No section structure was detected' end], lambda x: x is not null), ';') as warnings,
+  substr(sha256('quality' || chr(31) || version_id), 1, 32) as quality_report_id from c""")
 def quality_reports(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("page_no"))
+    """Ten pages for each document; every fourth has blocks but no headings."""
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("version_id"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("page_no"))
     v, p = F.col("version_id"), F.col("page_no")
     pages = rows.select(
         "version_id", "page_no", ((p * 37 + v) % 10 < v % 11).alias("covered"), ((v % 7) / 40.0).alias("garbled"),
         F.when((p == 3) & (v % 5 == 0), "failed").when(p < 3, "success").otherwise("skipped").alias("ocr_status"), F.when(p < 3, (v % 10) / 10.0).alias("confidence"),
     )
-    return normalize.quality(pages).select("version_id", "pages", "with_text", "coverage", "failed_ocr", "level", "warnings")
+    counts = docs.select(F.col("doc_id").alias("version_id"), F.lit(5).alias("blocks"), F.when(F.col("doc_id") % 4 == 0, 0).otherwise(1).alias("headings"))
+    return normalize.quality(pages, counts).select("version_id", "pages", "with_text", "coverage", "failed_ocr", "level", F.array_join("warnings", ";").alias("warnings"), "quality_report_id")
 
 
 @query("""with s as (select doc_id as id, text, length(text) as n from documents), w as (select id, text, n, unnest(range(0, n, 90)) as i from s where n > 0),
@@ -224,10 +349,46 @@ def window_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.fixed_windows(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query()
+_CHILDREN = f"""with recursive {_BLOCKS},
+n as (select version_id, row_number() over (partition by version_id order by pos) as i, page_no, pos, kind, kind in ('table', 'formula', 'caption', 'picture', 'reference') as special, coalesce(title, '') as title, text, length(text) as n, block_id,
+  case when pos % 3 > 0 then (pos % 7) / 10.0 end as quality from b),
+g as (select version_id, i, 1 as grp, n as size, special, title from n where i = 1
+  union all select n.version_id, n.i, g.grp + (n.special or g.special or n.title != g.title or g.size + 2 + n.n > 600)::int, case when n.special or g.special or n.title != g.title or g.size + 2 + n.n > 600 then n.n else g.size + 2 + n.n end, n.special, n.title
+  from g join n on n.version_id = g.version_id and n.i = g.i + 1),
+c0 as (select version_id, grp, string_agg(text, chr(10) || chr(10) order by i) as text, min(page_no) as page_start, max(page_no) as page_end, any_value(n.title) as section, case when bool_or(n.special) then any_value(kind) else 'text' end as kind,
+  avg(quality) as quality, string_agg(block_id, ',' order by i) as block_ids from g join n using (version_id, i) group by all),
+c1 as (select * exclude (text), text as piece, 0 as part from c0 where length(text) <= 600
+  union all select * exclude (text, k), substr(text, k + 1, 600), k from (select *, unnest(range(0, length(text), 540)) as k from c0 where length(text) > 600) where k = 0 or length(text) - k > 60),
+c2 as (select *, row_number() over (partition by version_id order by grp, part) - 1 as seq from c1),
+c as (select *, substr(sha256('child' || chr(31) || version_id || chr(31) || 'parent-child-v1' || chr(31) || seq || chr(31) || piece), 1, 32) as chunk_id, kind in ('table', 'formula', 'caption', 'picture', 'reference') as special, length(piece) as n from c2),
+h as (select version_id, seq, 0 as grp, n as size, special, section from c where seq = 0
+  union all select c.version_id, c.seq, h.grp + (c.special or h.special or c.section != h.section or h.size + 2 + c.n > 1800)::int, case when c.special or h.special or c.section != h.section or h.size + 2 + c.n > 1800 then c.n else h.size + 2 + c.n end, c.special, c.section
+  from h join c on c.version_id = h.version_id and c.seq = h.seq + 1),
+p0 as (select version_id, h.grp as parent, string_agg(piece, chr(10) || chr(10) order by seq) as text, min(page_start) as page_start, max(page_end) as page_end, any_value(c.section) as section, case when count(distinct kind) = 1 then any_value(kind) else 'mixed' end as kind,
+  avg(quality) as quality, list(block_ids order by seq) as lists from h join c using (version_id, seq) group by all),
+p as (select *, substr(sha256('parent' || chr(31) || version_id || chr(31) || 'parent-child-v1' || chr(31) || parent || chr(31) || text), 1, 32) as chunk_id from p0)
+"""
+
+
+def _chunked(spark, d) -> DataFrame:
+    pos = F.col("position")
+    found = normalize.blocks(_blocks(spark, d)).withColumn("quality", F.when(pos % 3 > 0, (pos % 7) / 10.0))
+    return chunking.build(found).withColumn("section", F.array_join("section_path", " > ")).withColumn("quality", F.round("quality_score", 6))
+
+
+@query(_CHILDREN + """select c.version_id::varchar as version_id, seq::int as seq, c.chunk_id, p.chunk_id as parent_chunk_id, lag(c.chunk_id) over w as previous_id, lead(c.chunk_id) over w as next_id, piece as text, n::int as token_count,
+  c.page_start::int as page_start, c.page_end::int as page_end, c.section, c.kind as content_type, round(c.quality, 6) as quality, block_ids
+from c join h using (version_id, seq) join p on p.version_id = c.version_id and p.parent = h.grp window w as (partition by c.version_id order by seq)""")
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
-    found = normalize.blocks(_blocks(spark, d)).withColumn("section", F.array_join("section_path", " > "))
-    return chunking.neighbours(chunking.greedy(found, 600))
+    own = chunking.children(_chunked(spark, d)).withColumn("block_ids", F.array_join("block_ids", ","))
+    return own.select("version_id", "seq", "chunk_id", "parent_chunk_id", "previous_id", "next_id", "text", "token_count", "page_start", "page_end", "section", "content_type", "quality", "block_ids")
+
+
+@query(_CHILDREN + """select version_id::varchar as version_id, parent::int as seq, chunk_id, text, length(text)::int as token_count, page_start::int as page_start, page_end::int as page_end, section, kind as content_type, round(quality, 6) as quality,
+  len(list_distinct(flatten([string_split(x, ',') for x in lists])))::int as blocks from p""")
+def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
+    own = chunking.parents(_chunked(spark, d)).withColumn("blocks", F.size("block_ids"))
+    return own.select("version_id", "seq", "chunk_id", "text", "token_count", "page_start", "page_end", "section", "content_type", "quality", "blocks")
 
 
 @query("""with l as (select vec_id, label as doc_id, row_number() over (partition by label order by vec_id) as pos, embedding::double[] as e from embeddings),
@@ -251,26 +412,39 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", grounding.evidence_id(F.lit("v1"), i, first, last).alias("evidence_id"), label.alias("label"))
 
 
-@query()
+@query("""with recursive v as (select vec_id as id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm from embeddings),
+s as (select b.item_id as question_id, v.id, round(list_dot_product(q.e, v.e) / (q.norm * v.norm), 9) as score from benchmark b join v q on q.id = b.item_id, v),
+t as (select * from (select *, row_number() over (partition by question_id order by score desc, id) as ord from s) where ord <= 12),
+x as (select question_id, ord, id, coalesce(length(text), 0) as tokens, text is not null and id % 7 > 0 as fine, (id % 10) || '|' || coalesce(replace(lower(trim(regexp_replace(text, '[\\x09-\\x0D\\x1C-\\x20\\x85\\p{Z}]+', ' ', 'g'))), 'ß', 'ss'), '') as k from t left join documents on doc_id = id),
+r as (select distinct question_id, 0::bigint as ord, 0::bigint as used, []::bigint[] as kept, []::bigint[] as omitted, []::varchar[] as keys from x
+  union all select r.question_id, x.ord,
+    case when x.fine and not list_contains(keys, k) and used + tokens <= 8192 then used + tokens else used end,
+    case when x.fine and not list_contains(keys, k) and used + tokens <= 8192 then list_append(kept, x.id) else kept end,
+    case when not x.fine or (not list_contains(keys, k) and used + tokens > 8192) then list_append(omitted, x.id) else omitted end,
+    case when x.fine and not list_contains(keys, k) and used + tokens <= 8192 then list_append(keys, k) else keys end
+  from r join x on x.question_id = r.question_id and x.ord = r.ord + 1)
+select question_id, used, array_to_string(kept, ',') as kept, array_to_string(omitted, ',') as omitted from r where ord = (select max(x.ord) from x where x.question_id = r.question_id)""")
 def context_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest documents of each question's vector, of ten papers; vectors beyond the documents are unknown items."""
     hits = retrieval.vector_search(_asked(spark, d), _vectors(spark, d), limit=12)
-    rows = hits.join(_docs(spark, d), "chunk_id").select(
-        F.col("query_id").alias("question_id"), F.col("rank").alias("ord"), F.col("chunk_id").alias("item_id"), F.length("text").cast("long").alias("tokens"),
-        F.when(F.col("chunk_id") % 7 == 0, 0.1).otherwise(0.9).alias("quality"), F.col("text").alias("content"),
+    rows = hits.join(_docs(spark, d), "chunk_id", "left").select(
+        F.col("query_id").alias("question_id"), F.col("rank").alias("ord"), F.col("chunk_id").alias("item_id"), F.coalesce(F.length("text"), F.lit(0)).alias("tokens"),
+        F.when(F.col("chunk_id") % 7 == 0, 0.1).otherwise(0.9).alias("quality"), F.col("text").alias("content"), (F.col("chunk_id") % 10).alias("paper_id"), F.col("text").isNotNull().alias("known"),
     )
-    return grounding.budgeted(rows, 8192)
+    return grounding.budgeted(rows, grounding.evidence_budget(16384, 0.5)).drop("items")
 
 
 _LEVELS = "case event_type when 'click' then 'direct' when 'view' then 'inference' when 'error' then 'conflict' else 'insufficient' end"
 
 
-@query(f"""with e as (select event_id // 3 as question_id, event_id % 3 as part, {_LEVELS} as level from events),
+@query(f"""with e as (select event_id // 3 as question_id, event_id % 3 as part, case when value is null or value >= 10 then {_LEVELS} end as level from events),
 p as (select question_id, part, case when bool_or(level = 'conflict') then 'conflict' when bool_or(level = 'direct') then 'direct' when bool_or(level = 'inference') then 'inference' else 'insufficient' end as level from e group by all)
-select question_id, case when count_if(level = 'insufficient') = count(*) then 'insufficient_evidence' when count_if(level = 'insufficient') > 0 then 'partially_answered' when count_if(level = 'conflict') > 0 then 'conflicted' else 'answered' end as status,
+select question_id, coalesce(array_to_string(list(part order by part) filter (level = 'insufficient'), ','), '') as unanswered_items, case when count_if(level = 'insufficient') = count(*) then 'insufficient_evidence' when count_if(level = 'insufficient') > 0 then 'partially_answered' when count_if(level = 'conflict') > 0 then 'conflicted' else 'answered' end as status,
   count(*) as parts, count_if(level = 'insufficient') as unanswered from p group by question_id""")
 def answer_sufficiency(spark: SparkSession, d: str) -> DataFrame:
-    levels = F.expr(_LEVELS)
-    return grounding.sufficiency(table(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("question_id"), (F.col("event_id") % 3).alias("part"), levels.alias("level")))
+    """Events as judgements; their value over 20 is the evidence's quality."""
+    judged = table(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("question_id"), (F.col("event_id") % 3).alias("part"), F.expr(_LEVELS).alias("level"), (F.col("value") / 20).alias("quality"))
+    return grounding.sufficiency(judged).withColumn("unanswered_items", F.array_join("unanswered_items", ","))
 
 
 @query(f"""with c as (select user_id as answer_id, event_id as claim, {_LEVELS} as level, [event_id % 97, event_id % 89] as ids from events),
@@ -297,11 +471,12 @@ def method_fields(spark: SparkSession, d: str) -> DataFrame:
 _STATES = "case event_type when 'click' then 'running' when 'view' then 'queued' when 'error' then 'failed' else 'succeeded' end"
 
 
-@query(f"""with e as (select user_id as task_id, event_id, ts, {_STATES} as status from events), n as (select max(ts) as now from e),
-l as (select *, row_number() over (partition by task_id order by ts desc, event_id desc) as k from e), a as (select task_id, count_if(status = 'queued') as attempts from e group by task_id)
+@query(f"""with e as (select user_id as task_id, event_id, ts, {_STATES} as status, case when event_type = 'view' then 1 + event_id % 9 end as attempt from events), n as (select max(ts) as now from e),
+l as (select *, row_number() over (partition by task_id order by ts desc, event_id desc) as k from e), a as (select task_id, coalesce(max(attempt), 0) as attempts from e group by task_id)
 select task_id, case when status = 'running' and ts < now - interval 24 hours then 'failed' else status end as state, attempts, attempts + 1 as next_attempt from l join a using (task_id) cross join n where k = 1""")
 def task_states(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select(F.col("user_id").alias("task_id"), "event_id", F.col("ts").alias("at"), F.expr(_STATES).alias("status"))
+    attempt = F.when(F.col("event_type") == "view", 1 + F.col("event_id") % 9)
+    events = table(spark, d, "events").select(F.col("user_id").alias("task_id"), "event_id", F.col("ts").alias("at"), F.expr(_STATES).alias("status"), attempt.alias("attempt"))
     return lifecycle.task_states(events)
 
 
@@ -321,9 +496,9 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.without(table(spark, d, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey")
 
 
-@query("""select doc_id, regexp_replace(regexp_replace('api_key=' || doc_id || ', authorization: bearer t' || doc_id || ' ' || left(text, 40), '(api[_-]?key\\s*[=:]\\s*)[^\\s,;]+', '\\1[REDACTED]', 'gi'), '(authorization\\s*[=:]\\s*bearer\\s+)[^\\s,;]+', '\\1[REDACTED]', 'gi') as safe from documents""")
+@query("""select doc_id, regexp_replace(regexp_replace('api_key=' || doc_id || ', authorization: bearer t' || doc_id || ' ' || text, '(api[_-]?key\\s*[=:]\\s*)[^\\s,;]+', '\\1[REDACTED]', 'gi'), '(authorization\\s*[=:]\\s*bearer\\s+)[^\\s,;]+', '\\1[REDACTED]', 'gi') as safe from documents""")
 def redaction(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("api_key="), F.col("doc_id"), F.lit(", authorization: bearer t"), F.col("doc_id"), F.lit(" "), F.substring("text", 1, 40))
+    raw = F.concat(F.lit("api_key="), F.col("doc_id"), F.lit(", authorization: bearer t"), F.col("doc_id"), F.lit(" "), F.col("text"))
     return table(spark, d, "documents").select("doc_id", tx.redacted(raw).alias("safe"))
 
 

@@ -1,4 +1,4 @@
-"""Indexes as tables: generations of Parquet behind a pointer, with a guard on their settings; JSON artifacts."""
+"""Indexes as tables: bucketed generations of Parquet behind a pointer, with a guard on their settings; JSON artifacts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.operators import retrieval, seams
 
 
 class SettingsMismatch(ValueError):
@@ -14,65 +17,149 @@ class SettingsMismatch(ValueError):
 
 
 class IndexTable:
-    """A table of chunks (chunk_id, paper_id, version_id, ...) below ``path``, rewritten as a whole at each change.
+    """A table of chunks (chunk_id, paper_id, version_id, ...) below ``path``, in buckets by chunk_id.
 
-    A change writes a new generation and then replaces the pointer in one rename: readers see the
-    old rows or the new ones, and a lost job leaves the old. Generations that the pointer no
-    longer names stay until ``vacuum``. One writer at a time. ``settings`` (the model, dimension and
-    index version) must be those of the first writer; ``rebuild`` may change them.
+    A change rewrites the buckets that it touches as a new generation and then replaces the
+    pointer in one rename: readers see the old rows or the new ones, and a lost job leaves the old.
+    Files that the pointer no longer names stay until ``vacuum``. One writer at a time. ``settings``
+    (the model, dimension and index version) must be those of the first writer; ``rebuild`` may
+    change them, and the number of buckets.
     """
 
-    def __init__(self, spark: SparkSession, path: str, settings: dict) -> None:
+    def __init__(self, spark: SparkSession, path: str, settings: dict, buckets: int = 16) -> None:
         self.spark, self.path, self.settings = spark, path.rstrip("/"), settings
-        pointer = self._pointer()
+        pointer = self.pointer()
         if pointer and pointer["settings"] != settings:
             raise SettingsMismatch(f"made with {pointer['settings']}, opened with {settings}")
+        self.buckets = pointer["buckets"] if pointer else buckets
 
     def read(self) -> DataFrame | None:
         """The rows, or None where nothing has been written yet."""
-        pointer = self._pointer()
-        return self.spark.read.parquet(f"{self.path}/{pointer['generation']}") if pointer else None
+        pointer = self.pointer()
+        return self._rows(list(pointer["places"]), pointer) if pointer and pointer["places"] else None
 
     def upsert(self, rows: DataFrame) -> None:
         """New rows replace old ones of their chunk_id; of repeated new ids any one stays."""
-        new, old = rows.dropDuplicates(["chunk_id"]), self.read()
-        self._commit(new if old is None else old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new, allowMissingColumns=True))
+        new = self._placed(rows.dropDuplicates(["chunk_id"]))
+        touched = [str(r.bucket) for r in new.select("bucket").distinct().collect()]  # a row per bucket
+        old = self._rows(touched, self.pointer())
+        self._commit(new if old is None else self._placed(old.join(new.select("chunk_id"), "chunk_id", "left_anti")).unionByName(new, allowMissingColumns=True), touched)
 
     def delete(self, papers: list | None = None, versions: list | None = None) -> None:
         """Deletes by papers or by versions, by exactly one of them; rows of a null id stay."""
         if (papers is None) == (versions is None):
             raise ValueError("give papers or versions, one of them")
         column, gone, old = ("paper_id", papers, self.read()) if versions is None else ("version_id", versions, self.read())
-        if old is not None and gone:
-            self._commit(old.where(~old[column].isin(gone) | old[column].isNull()))
+        if old is None or not gone:
+            return
+        touched = [str(r.bucket) for r in self._placed(old.where(old[column].isin(gone))).select("bucket").distinct().collect()]  # a row per bucket
+        if touched:
+            rows = self._rows(touched, self.pointer())
+            self._commit(self._placed(rows.where(~rows[column].isin(gone) | rows[column].isNull())), touched)
 
-    def rebuild(self, rows: DataFrame, settings: dict | None = None) -> None:
-        self.settings = settings or self.settings
-        self._commit(rows.dropDuplicates(["chunk_id"]))
+    def rebuild(self, rows: DataFrame, settings: dict | None = None, buckets: int | None = None) -> None:
+        self.settings, self.buckets = settings or self.settings, buckets or self.buckets
+        self._commit(self._placed(rows.dropDuplicates(["chunk_id"])), None)
 
     def vacuum(self) -> None:
-        """Deletes all generations but the present one."""
-        fs, root, pointer = *self._fs(), self._pointer()
+        """Deletes all generations that the pointer doesn't name."""
+        fs, root, pointer = *self._fs(), self.pointer()
+        used = {p.split("/")[0] for p in (pointer or {}).get("places", {}).values()}
         for status in fs.listStatus(root) if fs.exists(root) else []:
             name = status.getPath().getName()
-            if name.startswith("generation-") and name != (pointer or {}).get("generation"):
+            if name.startswith("generation-") and name not in used:
                 fs.delete(status.getPath(), True)
 
-    def _commit(self, rows: DataFrame) -> None:
-        name = f"generation-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        write_json(self.spark, self.path, "current", {"generation": name, "settings": self.settings})
-
-    def _pointer(self) -> dict | None:
+    def pointer(self) -> dict | None:
+        """What the table is made of: generation, settings, buckets, and the place of each bucket that has rows."""
         fs, root = self._fs()
         place = self.spark._jvm.org.apache.hadoop.fs.Path(root, "current.json")
         return json.loads(self.spark.read.text(str(place.toString()), wholetext=True).first()[0]) if fs.exists(place) else None
 
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.drop("bucket").withColumn("bucket", F.pmod(F.xxhash64(F.col("chunk_id").cast("string")), F.lit(self.buckets)).cast("int"))
+
+    def _rows(self, buckets: list[str], pointer: dict | None) -> DataFrame | None:
+        places = [pointer["places"][b] for b in buckets if b in pointer["places"]] if pointer else []
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{p}" for p in places]) if places else None
+
+    def _commit(self, rows: DataFrame, touched: list[str] | None) -> None:
+        """Write ``rows`` as the new contents of the touched buckets (None: of all)."""
+        pointer, name = self.pointer(), f"generation-{uuid.uuid4().hex}"
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        fs, _ = self._fs()
+        made = {}
+        for status in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")):
+            folder = status.getPath().getName()
+            if folder.startswith("bucket="):
+                made[folder.removeprefix("bucket=")] = f"{name}/{folder}"
+        kept = {b: p for b, p in pointer["places"].items() if b not in touched} if pointer and touched is not None else {}
+        write_json(self.spark, self.path, "current", {"generation": name, "settings": self.settings, "buckets": self.buckets, "places": kept | made})
+
     def _fs(self):
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
 
 
+class VectorStore(IndexTable):
+    """An index table whose texts are embedded as they are written; ``settings`` has model and dimension.
+
+    A vector of another length, or with a component that isn't a finite number, fails the write.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, settings: dict, embed: seams.Embedder, buckets: int = 16) -> None:
+        super().__init__(spark, path, settings, buckets)
+        self.embed = embed
+
+    def upsert(self, rows: DataFrame) -> None:
+        super().upsert(self._embedded(rows))
+
+    def rebuild(self, rows: DataFrame, settings: dict | None = None, buckets: int | None = None) -> None:
+        self.settings = settings or self.settings
+        super().rebuild(self._embedded(rows), self.settings, buckets)
+
+    def search(self, questions: DataFrame, limit: int = 10) -> DataFrame:
+        """Questions (query_id, text, and any scope columns) by the store's own embedder; see ``retrieval.vector_search``."""
+        held = self.read()
+        if held is None:
+            raise ValueError("nothing has been written yet")
+        return retrieval.vector_search(self.embed(questions, "text"), held, limit)
+
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        v = F.col("embedding")
+        sound = (F.size(v) == self.settings["dimension"]) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        checked = F.when(F.coalesce(sound, F.lit(False)), v).otherwise(F.raise_error(F.concat(F.lit("bad vector of chunk "), F.col("chunk_id").cast("string"))))
+        return self.embed(rows, "text").withColumn("embedding", checked)
+
+
+class KeywordStore(IndexTable):
+    """An index table with the inverted index of its present rows, which is made when it is first asked for."""
+
+    def index(self) -> retrieval.KeywordIndex:
+        pointer, held = self.pointer(), self.read()
+        if held is None:
+            raise ValueError("nothing has been written yet")
+        folder = f"{self.path}/postings-{pointer['generation']}"
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/terms/_SUCCESS")
+        if self._fs()[0].exists(place):
+            return retrieval.open_index(self.spark, folder)
+        self._fs()[0].delete(place.getParent().getParent(), True)
+        return retrieval.build_index(held, folder)
+
+    def search(self, questions: DataFrame, limit: int = 10) -> DataFrame:
+        return self.index().search(questions, limit)
+
+
+def simple_ids(index) -> F.Column:
+    """Ids by a chunk's number in its source."""
+    return F.concat(F.lit("doc_"), index.cast("string"))
+
+
+def add_new(old: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``old`` with the rows whose key isn't there yet: adding the same rows twice changes nothing."""
+    return old.unionByName(rows.dropDuplicates([key]).join(old.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
 def write_json(spark: SparkSession, folder: str, name: str, value) -> str:
     """One small JSON artifact, whole or not at all: a temporary file, renamed over the old one.
 
