@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import chunking, grounding, lifecycle, normalize, planner, retrieval, seams
 from folioscope.sources.sinks import KeywordStore, VectorStore
+from folioscope.sources.work import kept
 
 Route = Callable[[DataFrame], DataFrame]
 
@@ -120,9 +121,9 @@ class Answering:
             "question_id", (F.col("ord") * 1000 + F.col("step")).alias("ord"), F.col("chunk_id").alias("item_id"), F.coalesce(self.tokens(F.col("text")), F.lit(0)).alias("tokens"),
             F.col("quality_score").alias("quality"), F.col("text").alias("content"), "paper_id", F.coalesce("known", F.lit(False)).alias("known"),
         )
-        kept = grounding.budgeted(rows, grounding.evidence_budget(self.window, self.ratio)).select("question_id", F.posexplode("items").alias("ord", "chunk_id"))
+        within = grounding.budgeted(rows, grounding.evidence_budget(self.window, self.ratio)).select("question_id", F.posexplode("items").alias("ord", "chunk_id"))
         paper = rows.groupBy("question_id", F.col("item_id").alias("chunk_id")).agg(F.min_by("paper_id", "ord").alias("paper_id"))
-        context = kept.join(paper, ["question_id", "chunk_id"]).join(self.chunks.drop("paper_id"), "chunk_id").withColumnRenamed("quality_score", "quality")
+        context = within.join(paper, ["question_id", "chunk_id"]).join(self.chunks.drop("paper_id"), "chunk_id").withColumnRenamed("quality_score", "quality")
         return grounding.registry(context, self.papers)
 
     def sufficiency(self, plans: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -137,18 +138,19 @@ class Answering:
 
         Plans that need clarification are out of scope; without sufficient evidence nothing is
         generated. A generator's answer that isn't valid is refused, with the reason. Claims are
-        verified against the question's own evidence. Questions with an error come back with it.
+        verified against the question's own evidence. Questions with an error come back with it. The
+        tables between the steps are written, so that a model answers each prompt once.
         """
-        plans = self.plans(questions)
+        plans = kept(self.plans(questions), "plans")
         ready = plans.where("error is null and clarification is null")
-        ranked = self.ranked(ready, self.candidates(ready))
-        evidence = self.evidence(ranked)
-        status = self.sufficiency(ready, evidence)
+        ranked = kept(self.ranked(ready, kept(self.candidates(ready), "candidates")), "ranked")
+        evidence = kept(self.evidence(ranked), "evidence")
+        status = kept(self.sufficiency(ready, evidence), "sufficiency")
         supported = ready.join(status.withColumnRenamed("question_id", "query_id"), "query_id")
         listed = evidence.groupBy(F.col("question_id").alias("query_id")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("ord", "evidence_id", "label", "text")))).alias("evidence"))
         asked = supported.where("status <> 'insufficient_evidence'").join(listed, "query_id")
         prompt = F.to_json(grounding.messages("answer", F.concat(F.lit("Question: "), "resolved"), F.col("evidence")))
-        parsed = grounding.parsed_answers(self.generator(asked.withColumn("prompt", prompt).drop("error")))
+        parsed = kept(grounding.parsed_answers(self.generator(asked.withColumn("prompt", prompt).drop("error"))), "responses")
         given = parsed.where("error is null").select(F.col("query_id").alias("answer_id"), "answer.*", F.col("unanswered_items").alias("plan_unanswered"))
         claims = given.select("answer_id", F.posexplode("claims").alias("claim", "c")).select("answer_id", "claim", "c.*")
         own = evidence.select(F.col("question_id").alias("answer_id"), "evidence_id")
@@ -166,7 +168,7 @@ class Answering:
         ):
             out = out.unionByName(rows, allowMissingColumns=True)
         ids = F.array_distinct(F.flatten(F.transform(F.coalesce("claims", F.array()), lambda c: c["evidence_ids"])))
-        out = out.withColumn("evidence_ids", F.coalesce(ids, none))
+        out = kept(out.withColumn("evidence_ids", F.coalesce(ids, none)), "answers")
         allowed = plans.select(F.col("query_id").alias("question_id"), "paper_ids")
         cited = grounding.resolved(out.select(F.col("answer_id").alias("question_id"), "evidence_ids"), evidence, allowed)
         labels = cited.groupBy(F.col("question_id").alias("answer_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda r: r["label"]).alias("citations"))

@@ -531,4 +531,4 @@ def duplicate_contents(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy(tx.content_key(F.col("text")).alias("k")).agg(F.min("chunk_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("k")
 
 
-from folioscope.plans import library  # noqa: E402,F401  registers the queries of the library
+from folioscope.plans import library, papers  # noqa: E402,F401  register the queries of the library

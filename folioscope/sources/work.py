@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
@@ -20,3 +20,10 @@ def work_folder(spark: SparkSession, label: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/folioscope/{label}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, label: str) -> DataFrame:
+    """``rows``, written once and read back: later steps start from the table, also after an executor is lost."""
+    path = work_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
