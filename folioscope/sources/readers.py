@@ -51,7 +51,7 @@ def pdf_uploads(spark: SparkSession, path: str, most: int = 100 << 20, known: Da
 
     ``problem`` (null: fine) is the first of: the name doesn't end in .pdf, the declared type
     (``kinds``: path, content_type) is another, the file is empty, too large, or doesn't begin as
-    one. Of equal contents, the first path is the upload and the others are duplicates, all of them
+    one; most stores' scans pass over empty files, which then have no row at all. Of equal contents, the first path is the upload and the others are duplicates, all of them
     if the content is ``known`` (sha256).
     """
     files = spark.read.format("binaryFile").load(path)
