@@ -17,10 +17,21 @@ from folioscope.sources import sinks
 from folioscope.sources.readers import page_label, parsed_items, table
 from folioscope.streaming import ingest
 
-_C, _O, _L = F.col("c_custkey"), F.col("o_orderkey"), F.col("l_orderkey")
 _NOW = "2030-01-01 00:00:00"
 
 
+def _c() -> F.Column:
+    return F.col("c_custkey")
+
+
+def _o() -> F.Column:
+    return F.col("o_orderkey")
+
+
+def _l() -> F.Column:
+    return F.col("l_orderkey")
+
+
 def _now() -> F.Column:
     return F.lit(_NOW).cast("timestamp")
 
@@ -37,23 +48,23 @@ _TASKS = """tasks as (select l_orderkey * 10 + l_linenumber as task_id, l_orderk
 
 def _papers(spark, d) -> DataFrame:
     first = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("active_version_id"))
-    place = F.when(_C % 11 == 0, "/data/other/").otherwise("/data/pdf/")
+    place = F.when(_c() % 11 == 0, "/data/other/").otherwise("/data/pdf/")
     return table(spark, d, "customer").join(first, "c_custkey", "left").select(
-        _C.alias("paper_id"), F.col("c_name").alias("title"), _pick(["pending", "parsing", "ready", "partially_ready", "failed"], 1 + _C % 5).alias("status"),
-        F.when(_C % 3 > 0, _pick(["ready", "partially_ready"], 1 + _C % 2)).alias("quality_level"), "active_version_id", F.concat(place, _C.cast("string"), F.lit(".pdf")).alias("file_path"), _C.alias("created_at"),
+        _c().alias("paper_id"), F.col("c_name").alias("title"), _pick(["pending", "parsing", "ready", "partially_ready", "failed"], 1 + _c() % 5).alias("status"),
+        F.when(_c() % 3 > 0, _pick(["ready", "partially_ready"], 1 + _c() % 2)).alias("quality_level"), "active_version_id", F.concat(place, _c().cast("string"), F.lit(".pdf")).alias("file_path"), _c().alias("created_at"),
     )
 
 
 def _versions(spark, d) -> DataFrame:
-    return table(spark, d, "orders").select(_O.alias("version_id"), F.col("o_custkey").alias("paper_id"))
+    return table(spark, d, "orders").select(_o().alias("version_id"), F.col("o_custkey").alias("paper_id"))
 
 
 def _tasks(spark, d) -> DataFrame:
     n = F.col("l_linenumber")
-    failed = (_L + n) % 3 == 0
-    status = F.when((n == 1) & (_L % 5 == 0), "queued").when((n == 2) & (_L % 7 == 0), "running").when(failed, "failed").otherwise("succeeded")
+    failed = (_l() + n) % 3 == 0
+    status = F.when((n == 1) & (_l() % 5 == 0), "queued").when((n == 2) & (_l() % 7 == 0), "running").when(failed, "failed").otherwise("succeeded")
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("l_shipdate")).select(
-        (_L * 10 + n).alias("task_id"), _L.alias("version_id"), status.alias("status"), n.alias("attempt"), F.col("l_shipdate").alias("created_at"), F.col("l_shipdate").alias("updated_at"),
+        (_l() * 10 + n).alias("task_id"), _l().alias("version_id"), status.alias("status"), n.alias("attempt"), F.col("l_shipdate").alias("created_at"), F.col("l_shipdate").alias("updated_at"),
         F.when(failed, F.concat(F.lit("E"), n)).alias("error_message"),
     )
 
@@ -148,7 +159,7 @@ def _registry(spark, d) -> DataFrame:
         "question_id", "ord", i.alias("chunk_id"), (i % 13).alias("paper_id"), F.col("lang").alias("version_id"), (1 + i % 3).alias("page_start"), (1 + i % 3 + i % 2).alias("page_end"),
         F.when(i % 4 > 0, F.array(F.lit("Method"))).otherwise(F.array().cast("array<string>")).alias("section_path"), F.left("text", F.lit(30)).alias("text"), F.lit(None).cast("double").alias("quality"),
     )
-    titles = table(spark, d, "customer").where("c_custkey % 2 = 0").select(_C.alias("paper_id"), F.col("c_name").alias("title"))
+    titles = table(spark, d, "customer").where("c_custkey % 2 = 0").select(_c().alias("paper_id"), F.col("c_name").alias("title"))
     return grounding.registry(context, titles)
 
 
@@ -197,12 +208,12 @@ n as (select unnest({grounding.METHOD_FIELDS}) as name), r as (select m.*, n.nam
 select method_id, role, name, source_status, case when source_status != 'not_stated' then value end as value, (source_status != 'not_stated' and cited)::int as citations,
   case when role = 'other' then 'unknown role' when source_status != 'not_stated' and not cited then 'Stated method fields require Evidence' end as error from r""".replace("l_shipmode as value", "l_returnflag as value"))
 def method_extraction(spark: SparkSession, d: str) -> DataFrame:
-    role = F.when(_O % 6 > 0, _pick(grounding.ROLES, 1 + _O % 5)).otherwise("other")
-    methods = table(spark, d, "orders").select(_O.alias("method_id"), F.lit("m").alias("name"), role.alias("role"))
+    role = F.when(_o() % 6 > 0, _pick(grounding.ROLES, 1 + _o() % 5)).otherwise("other")
+    methods = table(spark, d, "orders").select(_o().alias("method_id"), F.lit("m").alias("name"), role.alias("role"))
     s = F.col("l_suppkey")
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_suppkey").alias("l_suppkey"))
     fields = lines.select(
-        _L.alias("method_id"), _pick(grounding.METHOD_FIELDS, 1 + F.col("l_linenumber") % 9).alias("name"), F.col("l_returnflag").alias("value"), _pick(grounding.SOURCES, 1 + s % 3).alias("source_status"),
+        _l().alias("method_id"), _pick(grounding.METHOD_FIELDS, 1 + F.col("l_linenumber") % 9).alias("name"), F.col("l_returnflag").alias("value"), _pick(grounding.SOURCES, 1 + s % 3).alias("source_status"),
         F.when(s % 4 > 0, F.array(s.cast("string"))).otherwise(F.array().cast("array<string>")).alias("evidence_ids"),
     )
     got = grounding.extracted_methods(methods, fields)
@@ -232,7 +243,7 @@ h as (select summary_id, string_agg(text, chr(10) order by ord) as content, list
 select l.summary_id, level, coalesce(content, '') as content, outside, array_to_string(list_concat([('Missing summary section: ' || x) for x in list_filter(case level when 'quick' then {grounding.SECTIONS['quick']} when 'standard' then {grounding.SECTIONS['standard']} else {grounding.SECTIONS['detailed']} end, lambda x: not list_contains(coalesce(names, []), x))], ['1: low', '1: old']), ';') as warnings
 from l left join h using (summary_id) join o using (summary_id)""")
 def summary_assembly(spark: SparkSession, d: str) -> DataFrame:
-    sections = table(spark, d, "orders").select(F.col("o_custkey").alias("summary_id"), _O.alias("ord"), _pick(grounding.SECTIONS["detailed"], 1 + _O % 6).alias("name"), F.col("o_orderpriority").alias("text"), (_O % 4).alias("paper_id"))
+    sections = table(spark, d, "orders").select(F.col("o_custkey").alias("summary_id"), _o().alias("ord"), _pick(grounding.SECTIONS["detailed"], 1 + _o() % 6).alias("name"), F.col("o_orderpriority").alias("text"), (_o() % 4).alias("paper_id"))
     levels = sections.select("summary_id").distinct().withColumn("level", _pick(["quick", "standard", "detailed"], 1 + F.col("summary_id") % 3))
     scope = levels.select("summary_id", F.explode(F.array(*[F.lit(x).cast("long") for x in range(3)])).alias("paper_id"))
     warnings = _cases(spark, [(1, ["low", "old"])], "paper_id long, warnings array<string>")
@@ -387,7 +398,7 @@ def cascaded_deletion(spark: SparkSession, d: str) -> DataFrame:
     """Papers go with their versions and those's chunks; chunks of others that named one as their parent forget it."""
     tables = {
         "papers": _papers(spark, d).select("paper_id"), "paper_versions": _versions(spark, d),
-        "chunks": table(spark, d, "lineitem").select((_L * 10 + F.col("l_linenumber")).alias("chunk_id"), _L.alias("version_id"), ((_L + 1) * 10 + 1).alias("parent_chunk_id")),
+        "chunks": table(spark, d, "lineitem").select((_l() * 10 + F.col("l_linenumber")).alias("chunk_id"), _l().alias("version_id"), ((_l() + 1) * 10 + 1).alias("parent_chunk_id")),
     }
     left = lifecycle.cascaded(tables, "papers", tables["papers"].where("paper_id % 9 = 0"), "paper_id")
     count = lambda name, link=F.lit(None).cast("long"): left[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), link.alias("links"))
@@ -416,7 +427,7 @@ select message_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(
 def history_deletions(spark: SparkSession, d: str) -> DataFrame:
     """Messages name the deleted papers of their scope, beside those they named before."""
     c = F.col("o_custkey")
-    rows = table(spark, d, "orders").select(_O.alias("message_id"), F.array(c, c + 1).alias("paper_ids"), F.when(_O % 2 == 0, F.array(c)).alias("deleted_paper_ids"))
+    rows = table(spark, d, "orders").select(_o().alias("message_id"), F.array(c, c + 1).alias("paper_ids"), F.when(_o() % 2 == 0, F.array(c)).alias("deleted_paper_ids"))
     gone = spark.range(0, 200_000, 7).select(F.col("id").alias("paper_id"))
     got = lifecycle.marked_history(rows, gone).where("deleted_paper_ids is not null")
     return got.select("message_id", F.array_join(F.sort_array("deleted_paper_ids"), ",").alias("deleted"))
@@ -479,9 +490,9 @@ _ANALYSES = """t as (select o_orderkey as task_id, ['summary', 'methods'][1 + o_
 def _analyses(spark, d) -> DataFrame:
     c = F.col("o_custkey")
     return table(spark, d, "orders").select(
-        _O.alias("task_id"), _pick(["summary", "methods"], 1 + _O % 2).alias("operation"), F.array(c, c + 1).alias("paper_ids"), F.array(c * 3, c * 3 + 3).alias("version_ids"), F.lit("standard").alias("level"),
-        _pick(["queued", "running", "succeeded", "failed", "cancelled"], 1 + _O % 5).alias("status"), (_O % 4 == 1).alias("cancel_requested"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"),
-        F.when(_O % 5 == 2, "{}").alias("result_json"), F.lit(None).cast("string").alias("message"),
+        _o().alias("task_id"), _pick(["summary", "methods"], 1 + _o() % 2).alias("operation"), F.array(c, c + 1).alias("paper_ids"), F.array(c * 3, c * 3 + 3).alias("version_ids"), F.lit("standard").alias("level"),
+        _pick(["queued", "running", "succeeded", "failed", "cancelled"], 1 + _o() % 5).alias("status"), (_o() % 4 == 1).alias("cancel_requested"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"),
+        F.when(_o() % 5 == 2, "{}").alias("result_json"), F.lit(None).cast("string").alias("message"),
     )
 
 
@@ -489,7 +500,7 @@ def _analyses(spark, d) -> DataFrame:
 select id as task_id, held as duplicate_of from w left join a on a.operation = w.operation and a.paper_ids = w.paper_ids""")
 def submitted_analyses(spark: SparkSession, d: str) -> DataFrame:
     """An analysis for each customer; those that equal an active one are its duplicates."""
-    wanted = table(spark, d, "customer").select((-_C).alias("task_id"), _pick(["summary", "methods"], 1 + _C % 2).alias("operation"), F.array(_C, _C + 1).alias("paper_ids"), F.array(_C * 3, _C * 3 + 3).alias("version_ids"), F.lit("standard").alias("level"))
+    wanted = table(spark, d, "customer").select((-_c()).alias("task_id"), _pick(["summary", "methods"], 1 + _c() % 2).alias("operation"), F.array(_c(), _c() + 1).alias("paper_ids"), F.array(_c() * 3, _c() * 3 + 3).alias("version_ids"), F.lit("standard").alias("level"))
     made, duplicates = lifecycle.submitted_analyses(_analyses(spark, d), wanted, _now())
     return made.where("task_id < 0").select("task_id", F.lit(None).cast("long").alias("duplicate_of")).unionByName(duplicates)
 
