@@ -26,6 +26,7 @@ WHITE = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
 SECRETS = [r"(?i)(api[_-]?key\s*[=:]\s*)[^\s,;]+", r"(?i)(authorization\s*[=:]\s*bearer\s+)[^\s,;]+"]
 REDACTED = "$1[REDACTED]"
 
+_NAMED = r"[a-z0-9][-_.][a-z0-9]|[a-z]\d"  # an identifier has one of these
 _LATIN = r"^[\x00-\xB4\xB6-\xFF]*$"  # lower case and ss for sharp s are its whole case folding
 _SIMPLE = r"^[\x00-\x7F¡-§©«¬®°±¶·»¿-ÿ–—‘’“”„]*$"  # and these have no compatibility forms
 
@@ -110,11 +111,28 @@ def tokens_of(value: Column, bare: Column) -> Column:
     """The tokens that a text is indexed under, in order: its words, its identifiers' parts twice more, Han grams."""
     names = F.regexp_extract_all(value, F.lit(IDENTIFIER), F.lit(0))
     part = F.regexp_extract_all(F.array_join(names, " "), F.lit(TOKEN), F.lit(0))
-    more = F.when(value.rlike(IDENTIFIER), F.concat(part, part)).otherwise(F.array().cast("array<string>"))
-    han = F.when(value.rlike(HAN), han_grams(value)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    more = F.when(value.rlike(_NAMED), F.flatten(F.array_repeat(part, 2))).otherwise(none)
+    han = F.when(value.rlike(HAN), han_grams(value)).otherwise(none)
     return F.concat(F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0)), more, han)
 
 
+def is_simple(text: Column) -> Column:
+    """Whether a text's tokens can be had without leaving the JVM (see ``simple_tokens``)."""
+    return text.rlike(_SIMPLE)
+
+
+def simple_key(text: Column) -> Column:
+    """``content_key`` of texts that are simple."""
+    return _lower(F.btrim(F.regexp_replace(text, r"[\x09-\x0D\x1C-\x20]+", " ")))
+
+
+def simple_tokens(text: Column) -> Column:
+    """``search_tokens`` of texts that are simple."""
+    low = _lower(text)
+    return tokens_of(low, F.translate(low, MARKED, PLAIN))
+
+
 def terms_of(value: Column) -> Column:
     """The distinct terms that a question asks for, marks kept: words, whole identifiers, their parts, Han grams."""
     names = F.regexp_extract_all(value, F.lit(IDENTIFIER), F.lit(0))

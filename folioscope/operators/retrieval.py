@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as tx
 from folioscope.functions.arrow import arrow_schema, batch_of
 from folioscope.operators import seams
+from folioscope.sources.work import kept, spread
 
 K1, B = 1.2, 0.75
 ROUTES = ["vector", "keyword"]
-_BLOCK_BYTES, _HOT = 8 << 20, 1000
+_BLOCK_BYTES, _HOT, _SALTS, _FEW = 8 << 20, 1000, 32, 500_000
 
 
 # scopes
@@ -73,7 +74,7 @@ def best(hits: DataFrame, limit: int, order: list[Column] | None = None) -> Data
 
 @dataclass
 class KeywordIndex:
-    """A stored inverted index: ``docs`` (chunk_id, tokens, dl, ...), ``postings`` (term, chunk_id, tf, dl), ``terms`` (term, df)."""
+    """A stored inverted index: ``docs`` (chunk_id, tokens, dl, content_key, ...), ``postings`` (term, chunk_id, tf, dl), ``terms`` (term, df)."""
 
     docs: DataFrame
     postings: DataFrame
@@ -88,26 +89,18 @@ class KeywordIndex:
         return terms.select("query_id", tx.phrase_of(F.col("term")).alias("phrase")).where(F.size("phrase") > 0)
 
     def occurrences(self, phrases: DataFrame) -> DataFrame:
-        """(phrase, chunk_id, tf, dl, df): where each distinct phrase stands.
+        """(phrase, chunk_id, tf, dl, df): where distinct phrases of several tokens stand.
 
-        One token's come from the postings as they are. Of longer phrases, the chunks that hold all
-        tokens are looked through for them side by side.
+        The chunks that hold all tokens are looked through for them side by side.
         """
-        wanted = phrases.select("phrase").distinct()
-        single = wanted.where(F.size("phrase") == 1).select("phrase", F.get("phrase", F.lit(0)).alias("term"))
-        known = self.terms.join(single, "term")
-        one = _met(self.postings, known, self.n_docs).select("phrase", "chunk_id", "tf", "dl", "df")
-        several = wanted.where(F.size("phrase") > 1)
-        if several.isEmpty():
-            return one
+        several = phrases.select("phrase").distinct()
         parts = several.select("phrase", F.explode(F.array_distinct("phrase")).alias("term"))
-        held = _met(self.postings.select("term", "chunk_id"), self.terms.join(parts, "term"), self.n_docs).groupBy("phrase", "chunk_id").agg(F.count("*").alias("n"))
+        held = self._met(parts).groupBy("phrase", "chunk_id").agg(F.count("*").alias("n"))
         whole = held.where(F.col("n") == F.size(F.array_distinct("phrase"))).join(self.docs.select("chunk_id", "tokens", "dl"), "chunk_id")
         starts = F.sequence(F.lit(1), F.size("tokens") - F.size("phrase") + 1)
-        there = F.filter(starts, lambda i: (i > 0) & (F.slice("tokens", i, F.size("phrase")) == F.col("phrase")))
+        there = F.filter(starts, lambda i: F.slice("tokens", i, F.size("phrase")) == F.col("phrase"))
         found = whole.where(F.size("tokens") >= F.size("phrase")).select("phrase", "chunk_id", F.size(there).cast("long").alias("tf"), "dl").where("tf > 0")
-        df = found.groupBy("phrase").agg(F.count("*").alias("df"))
-        return one.unionByName(found.join(df, "phrase"))
+        return found.join(found.groupBy("phrase").agg(F.count("*").alias("df")), "phrase")
 
     def search(self, questions: DataFrame, limit: int = 10, scope: DataFrame | None = None) -> DataFrame:
         """(query_id, chunk_id, score, rank): BM25 of each question's (query_id, text) distinct terms.
@@ -117,41 +110,61 @@ class KeywordIndex:
         may be returned. Terms that most chunks hold get the weight 1e-6. Questions without terms
         (null, empty) return nothing.
         """
-        phrases = self.phrases(questions)
-        plain = F.log((F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.when(plain > 0, plain).otherwise(F.lit(1e-6))
-        norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl))
-        found = self.occurrences(phrases).withColumn("part", idf * F.col("tf") * (K1 + 1) / norm)
+        phrases = kept(self.phrases(questions), "phrases")
+        single = phrases.where(F.size("phrase") == 1).select("query_id", F.get("phrase", F.lit(0)).alias("term"))
+        weighted = single.join(self.terms, "term").select("query_id", "term", "df", self._weight().alias("weight"))
+        found = self._met(weighted).select("query_id", "chunk_id", (F.col("weight") * self._share()).alias("part"))
+        several = phrases.where(F.size("phrase") > 1)
+        if not several.isEmpty():
+            more = self.occurrences(several).withColumn("part", self._weight() * self._share())
+            found = found.unionByName(more.join(several, "phrase").select("query_id", "chunk_id", "part"))
         if scope is not None:
             found = found.join(scope.select("chunk_id"), "chunk_id", "left_semi")
-        hits = found.join(phrases, "phrase").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
+        hits = found.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
         return best(in_scope(hits, questions, self.docs), limit)
 
+    def _weight(self) -> Column:
+        plain = F.log((F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return F.when(plain > 0, plain).otherwise(F.lit(1e-6)) * (K1 + 1)
 
-def _met(postings: DataFrame, known: DataFrame, total: int) -> DataFrame:
-    """Postings joined with ``known`` (term, df, ...): terms that many chunks hold by broadcast, so that they aren't one task's.
+    def _share(self) -> Column:
+        return F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
 
-    Of the asked terms, those in over a thousandth of all chunks are broadcast; there are at most
-    as many as the questions have words.
-    """
-    common = F.col("df") * _HOT > total
-    hot = postings.join(F.broadcast(known.where(common)), "term")
-    return hot.unionByName(postings.join(known.where(~common), "term"))
+    def _met(self, asked: DataFrame) -> DataFrame:
+        """Postings joined with asked terms (term, ...): by broadcast as long as these are few, else by a salted shuffle.
+
+        Salted are the terms that over a thousandth of all chunks hold; there each asked row is
+        repeated for every salt.
+        """
+        if asked.limit(_FEW + 1).count() <= _FEW:
+            return self.postings.join(F.broadcast(asked), "term")
+        common = F.col("df") * _HOT > self.n_docs
+        hot = F.broadcast(self.terms.where(common).select("term", F.lit(True).alias("hot")))  # at most _HOT terms for each token of a mean chunk
+        salted = lambda rows, salt: rows.join(hot, "term", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(F.lit(0)))
+        own = F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS)).cast("int")
+        every = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0))))
+        many = asked.join(hot, "term", "left").withColumn("salt", every).drop("hot")
+        return salted(self.postings, own).drop("hot").join(many, ["term", "salt"]).drop("salt")
 
 
 def build_index(chunks: DataFrame, folder: str) -> KeywordIndex:
     """Write the index of chunks (chunk_id, text, and any of paper_id, version_id, content_type) below ``folder``.
 
-    Texts are tokenised once. Postings are sorted by term within files that are dealt by term, so
-    that a search reads what its terms need. A null text has no tokens.
+    Texts are tokenised once, simple ones in the JVM. Postings are sorted by term in each file, so
+    that a search passes over row groups without its terms. A null text has no tokens.
     """
-    spark = chunks.sparkSession
-    value = chunks.withColumn("value", tx.search_value(F.col("text"))).withColumn("bare", tx.without_marks(F.col("value")))
-    tokens = F.coalesce(tx.tokens_of(F.col("value"), F.col("bare")), F.array().cast("array<string>"))
-    value.select("chunk_id", *[c for c in _META if c in chunks.columns], tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long")).write.parquet(f"{folder}/docs")
+    spark, chunks = chunks.sparkSession, spread(chunks)
+    meta = [c for c in _META if c in chunks.columns]
+    simple = F.coalesce(tx.is_simple(F.col("text")), F.lit(True))
+    none = F.array().cast("array<string>")
+    key = lambda made: F.md5(made).alias("content_key")
+    plain = chunks.where(simple).select("chunk_id", *meta, key(tx.simple_key(F.col("text"))), F.coalesce(tx.simple_tokens(F.col("text")), none).alias("tokens"))
+    value = chunks.where(~simple).withColumn("value", tx.search_value(F.col("text"))).withColumn("bare", tx.without_marks(F.col("value")))
+    rest = value.select("chunk_id", *meta, key(tx.content_key(F.col("text"))), tx.tokens_of(F.col("value"), F.col("bare")).alias("tokens"))
+    plain.unionByName(rest).withColumn("dl", F.size("tokens").cast("long")).write.parquet(f"{folder}/docs")
     docs = spark.read.parquet(f"{folder}/docs")
-    rows = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    rows.select("term", "chunk_id", "tf", "dl").repartition("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
+    rows = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    rows.select("term", "chunk_id", "tf", "dl").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
     spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
     return open_index(spark, folder)
 
@@ -286,25 +299,27 @@ def recall(queries: DataFrame, routes: dict[str, Callable[[DataFrame], DataFrame
 
 
 def fuse(hits: DataFrame, k: int = 60, limit: int = 50) -> DataFrame:
-    """Reciprocal rank fusion of hits (query_id, route, chunk_id, rank, paper_id, content; qord and query where there are several).
+    """Reciprocal rank fusion of hits (query_id, route, chunk_id, rank, paper_id, and content or content_key; qord and query where there are several).
 
     Candidates are ordered by fused score, then chunk_id; of one paper's equal contents the first
     stays; then the limit holds. Paper and content are those of the first hit by question, route
     and rank. Returns query_id, chunk_id, paper_id, rrf, traces (qord, place of the route, route,
     query, rank, in that order), rank.
     """
+    if "content_key" not in hits.columns:
+        hits = hits.withColumn("content_key", tx.content_key(F.col("content")))
     if "qord" not in hits.columns:
         hits = hits.withColumn("qord", F.lit(0)).withColumn("query", F.lit(None).cast("string"))
     place = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROUTES]), F.col("route")), F.lit(0))
     trace = F.struct("qord", F.when(place > 0, place).otherwise(len(ROUTES) + 1).alias("place"), "route", "query", "rank")
     fused = hits.withColumn("trace", trace).groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("rrf"), F.min_by("paper_id", "trace").alias("paper_id"),
-        F.min_by("content", "trace").alias("content"), F.sort_array(F.collect_list("trace")).alias("traces"),
+        F.min_by("content_key", "trace").alias("content_key"), F.sort_array(F.collect_list("trace")).alias("traces"),
     )
     order = [F.desc("rrf"), F.asc("chunk_id")]
-    same = Window.partitionBy("query_id", "paper_id", tx.content_key(F.col("content"))).orderBy(*order)
-    kept = fused.withColumn("copy", F.row_number().over(same)).where("copy = 1")
-    return best(kept, limit, order).select("query_id", "chunk_id", "paper_id", "rrf", "traces", "rank")
+    same = Window.partitionBy("query_id", "paper_id", "content_key").orderBy(*order)
+    single = fused.withColumn("copy", F.row_number().over(same)).where("copy = 1")
+    return best(single, limit, order).select("query_id", "chunk_id", "paper_id", "rrf", "traces", "rank")
 
 
 def rerank(candidates: DataFrame, min_score: float = 0.1, limit: int = 12, by_paper: bool = False, scorer: seams.PairScorer = seams.lexical_score) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as tx
 from folioscope.operators import chunking, grounding, lifecycle, normalize, planner, retrieval, seams
 from folioscope.sources.sinks import KeywordStore, VectorStore
 from folioscope.sources.work import kept
@@ -97,8 +98,9 @@ class Answering:
         """What all routes recall for the question and its sub-questions, fused."""
         queries = retrieval.recall_queries(plans.where("error is null"))
         hits = retrieval.recall(queries, self.routes)
-        known = self.chunks.select("chunk_id", "paper_id", F.col("text").alias("content"))
-        return retrieval.fuse(hits.join(known, "chunk_id"), limit=self.candidate_limit)
+        found = kept(hits, "hits")
+        known = self.chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "paper_id", F.md5(tx.content_key(F.col("text"))).alias("content_key"))
+        return retrieval.fuse(found.join(known, "chunk_id"), limit=self.candidate_limit)
 
     def ranked(self, plans: DataFrame, candidates: DataFrame) -> DataFrame:
         """The best candidates by the scorer, over all queries of their plan."""

@@ -18,7 +18,7 @@ _KEY = "replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')
 select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from pairs) where rank <= 3""")
 def two_stage_recall(spark: SparkSession, d: str) -> DataFrame:
     asked, docs = base._questions(spark, d), base._docs(spark, d)
-    return retrieval.two_stage(base._index(spark, d).search(asked, limit=5), asked, docs)
+    return retrieval.two_stage(base._index(spark, d).search(asked, limit=5), asked, base._index(spark, d).docs.select("chunk_id", F.col("tokens").alias("text")))
 
 
 @query(base._BM25 + """, h as (select query_id, chunk_id, rank, row_number() over (partition by query_id, lang order by rank) = 1 as led from r join documents on doc_id = chunk_id where rank <= 50)

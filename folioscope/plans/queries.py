@@ -160,7 +160,7 @@ def vector_search_scoped(spark: SparkSession, d: str) -> DataFrame:
 def _routes(spark, d) -> DataFrame:
     vectors = retrieval.vector_search(_asked(spark, d), _vectors(spark, d), limit=50).select("query_id", "chunk_id", "rank", F.lit("vector").alias("route"))
     words = _index(spark, d).search(_questions(spark, d), limit=50).select("query_id", "chunk_id", "rank", F.lit("keyword").alias("route"))
-    known = _docs(spark, d).select("chunk_id", F.col("text").alias("content"), (F.col("chunk_id") % 10).alias("paper_id"))
+    known = _index(spark, d).docs.select("chunk_id", "content_key", "paper_id")
     return vectors.unionAll(words).join(known, "chunk_id")
 
 
@@ -191,7 +191,7 @@ l as (select *, row_number() over (partition by query_id, paper_id order by scor
 select * from (select query_id, chunk_id, score, round(rrf, 9) as rrf, paper_id, 1 as matched,
   row_number() over (partition by query_id order by case when lead = 1 then paper_id end nulls last, score desc, l.rrf desc, chunk_id) as rank from l) where rank <= 12""")
 def rerank_comparison(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).select("chunk_id", "text")
+    docs = _index(spark, d).docs.select("chunk_id", F.col("tokens").alias("text"))
     asked = _questions(spark, d).select("query_id", F.col("text").alias("query"))
     candidates = retrieval.fuse(_routes(spark, d), limit=24).join(docs, "chunk_id").join(asked, "query_id")
     return retrieval.rerank(candidates, by_paper=True).drop("degraded").withColumn("matched", F.size("matched")).withColumn("rrf", F.round("rrf", 9))
@@ -234,7 +234,7 @@ def hybrid_subquestions(spark: SparkSession, d: str) -> DataFrame:
         return retrieval.vector_search(own.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id"), vectors, 50)
 
     hits = retrieval.recall(retrieval.recall_queries(plans), {"vector": by_vector, "keyword": lambda q: _index(spark, d).search(q, 50)})
-    known = _docs(spark, d).select("chunk_id", F.col("text").alias("content"), (F.col("chunk_id") % 10).alias("paper_id"))
+    known = _index(spark, d).docs.select("chunk_id", "content_key", "paper_id")
     fused = retrieval.fuse(hits.join(known, "chunk_id"), limit=20)
     first = F.concat_ws(":", F.get("traces", F.lit(0))["qord"], F.get("traces", F.lit(0))["route"], F.get("traces", F.lit(0))["rank"])
     return fused.select("query_id", "chunk_id", "paper_id", F.round("rrf", 9).alias("rrf"), F.size("traces").cast("long").alias("hits"), first.alias("first_trace"), "rank")

@@ -22,6 +22,12 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/folioscope/{label}-{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where they are in fewer partitions than that, as those of one small file are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def kept(rows: DataFrame, label: str) -> DataFrame:
     """``rows``, written once and read back: later steps start from the table, also after an executor is lost."""
     path = work_folder(rows.sparkSession, label)
