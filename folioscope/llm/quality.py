@@ -178,12 +178,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes:
     At most about ``sample`` documents with ``sample_bytes`` of text in all are used, chosen by a
     hash of their id; texts longer than a 16th of the bytes come last, so that they can't displace
     the rest. Rows without a text, an id or a label teach nothing; a document with several labels is
-    used with each. Without any labelled text every line gets 0.5.
+    used with each, repeated labels count once. Where an id has so many rows that over four times
+    ``sample`` are drawn, a hash of id and text thins them out. Without any labelled text (also in
+    empty tables) every line gets 0.5.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     share = min(1.0, sample / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about ``sample`` rows
+    drawn = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))  # about ``sample`` rows
+    rows = docs.where("text is not null").select("doc_id", "text").join(drawn, "doc_id")
+    found = docs.select("doc_id").join(drawn, "doc_id").count()
+    if found > 4 * sample:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(4 * sample / found * (1 << 30)))
     size = F.sum(F.octet_length("text")).over(_running(sample_bytes // 16))
     kept = rows.withColumn("at", size).where(F.col("at") <= sample_bytes)
     got = kept.orderBy(F.xxhash64("doc_id"), "quality", "text").select("text", "quality").toPandas()
@@ -201,7 +206,8 @@ def score(docs: DataFrame, field: LineField, threshold: float = 0.7, id_col: str
 
     ``score`` is the length-weighted mean of P(good) over the lines (a line weighs its characters
     and one more); ``predicted`` is 1 from ``threshold`` on; ``lines`` has P(good) of each line.
-    Null and empty texts are one empty line.
+    Null and empty texts are one empty line. Texts of any length are taken whole, in one task each;
+    repeated rows get the same score each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -221,7 +227,10 @@ def score(docs: DataFrame, field: LineField, threshold: float = 0.7, id_col: str
 
 
 def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score (see ``score``) reaches ``threshold``, all columns as they are."""
+    """The rows of ``docs`` whose score (see ``score``) reaches ``threshold``, all columns as they are.
+
+    Null, empty, long and repeated rows are scored as ``score`` says, each by itself.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

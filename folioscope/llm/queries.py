@@ -18,50 +18,60 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null, zero or not finite take no part; ties go to the smaller id; repeated ids are searched each."""
     return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record a row, repeated rows too; null and empty html are empty payloads, equal ones revisit the smallest page_id."""
     folder = warc.write_warc(table(spark, sf_dir, "pages"), revisit_from=0)
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated ones too; null texts and those without a letter are und; ties go to the first language."""
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs.where(~held_out("doc_id")))
     return language_id.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated ones too; null and empty texts are scored as one empty line."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     field = quality.learn(docs, labels.where(~held_out("doc_id")))
     return quality.score(docs, field, threshold=0.7).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated ones too; null and empty texts have no tokens; long texts are counted whole."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item that leaks; repeated rows give one; null and empty texts and items give none."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated ones too; null and empty texts have the end id alone; equal ids stand in the order of their texts' hash."""
     folder = token_files.write_token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
     return token_files.read_token_files(spark, folder)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated ones too; null and empty texts stay as they are; the smallest doc_id keeps its lines."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
     return out.select("doc_id", F.col("text").alias("kept_text"), "dropped_lines", "dropped_words")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated ones too; texts without words have fingerprint zero and link like any other."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), size=4, distance=4)
     return groups.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a piece; null and empty texts have the end id alone; repeated rows are packed each; long texts are cut at 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
