@@ -36,17 +36,23 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of near duplicates (five words, 0.8)."""
+    """One document, of the smallest doc_id, of each group of near duplicates (five words, 0.8).
+
+    Texts without words (null, empty, blank) are copies of one another; of repeated rows one stays.
+    """
     return near_dups.keep_one(docs, similarity=0.8, size=5)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item: null and empty texts stay, repeated rows are judged alike, long texts whole."""
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids, packed into sequences of 2048."""
+    """Pieces of the documents' ids, packed into sequences of 2048.
+
+    Null and empty texts are one piece with the end id; repeated rows are packed each; long texts are cut.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
