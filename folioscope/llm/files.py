@@ -59,12 +59,16 @@ def even_bounds(rows: DataFrame, column: str, tie: str, parts: int) -> list[tupl
     """Pairs that cut rows, in the order of a long column and a hash, into about equal shares: the same for the same rows.
 
     Nulls of the column are ``LEAST``. The sample holds about 100 pairs a part (2,000 at least),
-    chosen by their hash, equal ones once: many rows of one id are cut by their tie.
+    chosen by their hash, equal ones once. The hash is looked at only where one id has the rows of
+    more than two parts: then these are cut by it.
     """
     if parts < 2:
         return []
-    pairs = rows.select(F.coalesce(F.col(column).cast("long"), F.lit(LEAST)).alias("a"), F.col(tie).alias("b"))
-    share = min(1.0, max(2_000, 100 * parts) / max(1, pairs.count()))
+    own = F.coalesce(F.col(column).cast("long"), F.lit(LEAST))
+    total = max(1, rows.count())
+    crowded = rows.groupBy(own).count().where(F.col("count") > 2 * total // parts).limit(1).collect()
+    pairs = rows.select(own.alias("a"), (F.col(tie) if crowded else F.lit(LEAST)).alias("b"))
+    share = min(1.0, max(2_000, 100 * parts) / total)
     kept = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)) < int(share * (1 << 40)))
     values = sorted(tuple(r) for r in kept.distinct().collect())
     return sorted({values[len(values) * i // parts] for i in range(1, parts)}) if values else []
