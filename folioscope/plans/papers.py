@@ -569,9 +569,9 @@ def page_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", page.alias("page"), page_label(page).alias("page_label"))
 
 
-@query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by all")
+@query("select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by all")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.event_counts(table(spark, d, "events"))
+    return ingest.event_counts(table(spark, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("""select vec_id, label from embeddings where vec_id % 2 = 0 or vec_id % 3 = 0""")
