@@ -12,7 +12,7 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class Settings:
-    """Each field is read from the variable of its upper-case name, after a prefix."""
+    """Each field is read from the variable of its upper-case name, after a prefix. No timeout (none) waits for ever."""
 
     route_limit: int = 50
     candidate_limit: int = 50
@@ -21,7 +21,18 @@ class Settings:
     child_limit: int = 600
     parent_limit: int = 1800
     overlap_ratio: float = 0.1
+    rerank_inputs: int = 24
     model_window: int = 16384
+    evidence_ratio: float = 0.5
+    most_file_bytes: int = 100 << 20
+    most_pages: int = 1000
+    most_uploads: int = 20
+    most_question_chars: int = 8000
+    most_output_tokens: int = 8192
+    answer_timeout: float | None = None
+    tables_path: str = "tables"
+    index_path: str = "index"
+    files_path: str = "files"
     api_key: str = ""
 
     def __repr__(self) -> str:
@@ -29,16 +40,16 @@ class Settings:
         return f"Settings({', '.join(f'{k}={v!r}' for k, v in shown.items())})"
 
 
-_BOUNDS = {"rerank_min_score": (0.0, 1.0), "overlap_ratio": (0.0, 0.5)}
+_BOUNDS = {"rerank_min_score": (0.0, 1.0), "overlap_ratio": (0.0, 0.5), "evidence_ratio": (0.4, 0.6), "answer_timeout": (0.001, float("inf"))}
 
 
 def load(env: Mapping[str, str], prefix: str = "FOLIOSCOPE_") -> Settings:
-    """Blank variables count as unset. Numbers must be positive, or lie within their bounds."""
+    """Blank variables count as unset, and so does ``none`` where there is no default. Numbers must be positive, or lie within their bounds."""
     values, errors = {}, []
     for field in fields(Settings):
-        name, kind = prefix + field.name.upper(), type(field.default)
+        name, kind = prefix + field.name.upper(), type(field.default) if field.default is not None else float
         raw = env.get(name, "").strip()
-        if not raw:
+        if not raw or (field.default is None and raw.lower() == "none"):
             continue
         try:
             values[field.name] = kind(raw)

@@ -18,3 +18,14 @@ def test_all_errors_come_at_once():
 
 def test_the_key_is_not_shown():
     assert "secret" not in repr(load({"FOLIOSCOPE_API_KEY": "secret"}))
+
+
+def test_a_timeout_may_be_none():
+    read = lambda raw: load({"FOLIOSCOPE_ANSWER_TIMEOUT": raw}).answer_timeout
+    assert read("None") is None and read("") is None and read("2.5") == 2.5
+    for raw in ("0", "-1", "soon", "nan"):
+        with pytest.raises(ConfigError):
+            read(raw)
+    assert load({"FOLIOSCOPE_INDEX_PATH": "s3a://b/i"}).index_path == "s3a://b/i"
+    with pytest.raises(ConfigError):
+        load({"FOLIOSCOPE_EVIDENCE_RATIO": "0.7"})
