@@ -24,7 +24,8 @@ from folioscope.llm.common import free_names, map_texts, materialize, meet, ship
 from folioscope.llm.components import components
 from folioscope.llm.simhash import by_group, dealt_pairs, link_batch, near_links, shingle_hashes, span
 
-RECALL, BLOCK, MANY, UNIT = 0.98, 1024, 48, 8192  # UNIT: bytes of text that count as one row of a block
+RECALL, SIGMAS = 0.999, 4  # of a lone pair at the threshold: met in some table, and standing below the distance that still counts
+BLOCK, MANY, UNIT = 1024, 48, 8192  # UNIT: bytes of text that count as one row of a block
 _PART = 1024
 
 
@@ -65,7 +66,7 @@ def layout(count: int, similarity: float) -> tuple[list[tuple[int, int, int, int
     each = 64 // width
     words = -(-tables // each)
     bits = 64 * words
-    most = math.ceil(bits * flip + 3 * math.sqrt(bits * flip * (1 - flip)))
+    most = math.ceil(bits * flip + SIGMAS * math.sqrt(bits * flip * (1 - flip)))
     return [(t // each, t % each * width, width, 1) for t in range(tables)], words, most
 
 
