@@ -26,6 +26,7 @@ from folioscope.llm.components import components
 
 SEED, BLOCK = 42, 512
 _PART = 4096
+_LOOKUPS, _MOST_TASKS = 4 << 20, 50_000  # lookups that a task makes, as far as there aren't too many tasks
 
 
 def shingle_hashes(words: list[bytes], size: int) -> Iterator[list[int]]:
@@ -200,9 +201,12 @@ def near_links(distinct: DataFrame, words: list[str], tables: list[tuple[int, in
     The links reach every pair's component: each crowded lookup returns a spanning forest of its
     verified pairs.
     """
-    rows = distinct.select("id", F.explode(_keys(words, tables)).alias("x")).select("id", "x.key", "x.probe")
+    count = distinct.count()
+    each = sum(sum(comb(width, k) for k in range(radius + 1)) / 2 + 1 for _, _, width, radius in tables if radius >= 0)
+    tasks = max(slots(distinct.sparkSession), min(_MOST_TASKS, int(count * each / _LOOKUPS)))  # a few megabytes of fingerprints make many lookups
+    rows = distinct.repartition(tasks, "id").select("id", F.explode(_keys(words, tables)).alias("x")).select("id", "x.key", "x.probe")
     crowd = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("none")).where("n > 1 and not none").select("key", "n", F.col("n").alias("size"))
-    met = meet(rows.select("id", "key"), ["key"], crowd, distinct.count())
+    met = meet(rows.select("id", "key"), ["key"], crowd, count)
     dealt = dealt_pairs(met.join(distinct.select("id", *words), "id"), "key", "size", BLOCK, "id").select("group", "id", *words)
     dealt = dealt.repartition(slots(distinct.sparkSession), "group").sortWithinPartitions("group")
     return dealt.mapInArrow(tidy(_verify(words, distance)), "a long, b long")
