@@ -9,8 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -120,6 +121,33 @@ def slots(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int, sample_bytes: int) -> tuple[list[str], np.ndarray]:
+    """Whole texts and their labels 0 and 1, of a bounded sample of (doc_id, text) with (doc_id, ``label``).
+
+    At most about ``sample`` documents with ``sample_bytes`` of text in all are used, chosen by a
+    hash of their id; texts longer than a 16th of the bytes come last, so that they can't displace
+    the rest; they are weighed before any text is moved. Rows without a text, an id or a label teach
+    nothing; a document with several labels is used with each, repeated labels and rows count once.
+    Where an id has so many rows that over four times ``sample`` are drawn, a hash of id and text
+    thins them out.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("mark")).distinct()
+    share = min(1.0, sample / max(1, known.count()))
+    drawn = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))  # about ``sample`` rows
+    texts = docs.where("text is not null").select("doc_id", "text")
+    rows = texts.join(drawn, "doc_id").select("doc_id", "mark", F.xxhash64("text").alias("th"), F.octet_length("text").alias("n"))
+    found = docs.select("doc_id").join(drawn, "doc_id").count()
+    if found > 4 * sample:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 30)) < int(4 * sample / found * (1 << 30)))
+    order = [F.xxhash64("doc_id"), "mark", "th"]
+    line = Window.orderBy(F.col("n") > sample_bytes // 16, *order).rowsBetween(Window.unboundedPreceding, 0)  # of the bounded sample, without texts
+    fits = rows.distinct().withColumn("at", F.sum("n").over(line)).where(F.col("at") <= sample_bytes)
+    wanted = F.broadcast(fits.select("doc_id", "mark", "th"))  # about four times ``sample`` rows at most
+    used = texts.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"]).groupBy("doc_id", "mark", "th").agg(F.first("text").alias("text"))
+    got = used.orderBy(*order).select("text", "mark").toPandas()  # ``sample_bytes`` of text at most
+    return got["text"].tolist(), got["mark"].to_numpy()
+
+
 #: What a worker keeps from task to task (caches of encoded words), by name; maps drop what others have left.
 RESIDENT: dict[str, object] = {}
 

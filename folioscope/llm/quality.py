@@ -14,10 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from folioscope.llm.common import ship, sliced, tidy
+from folioscope.llm.common import labelled_texts, ship, sliced, tidy
 
 ROUNDS, RATE, DECAY = 120, 0.1, 1e-3
 #: Characters that count as the punctuation of sentences.
@@ -175,28 +174,10 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> LineField
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 8 << 20) -> LineField:
     """Fit on labelled documents (doc_id, text) and (doc_id, quality 0 or 1).
 
-    At most about ``sample`` documents with ``sample_bytes`` of text in all are used, chosen by a
-    hash of their id; texts longer than a 16th of the bytes come last, so that they can't displace
-    the rest; they are weighed before any text is moved. Rows without a text, an id or a label teach
-    nothing; a document with several labels is used with each, repeated labels and rows count once.
-    Where an id has so many rows that over four times ``sample`` are drawn, a hash of id and text
-    thins them out. Without any labelled text (also in empty tables) every line gets 0.5.
+    At most about ``sample`` documents with ``sample_bytes`` of text in all are used, chosen as
+    ``common.labelled_texts`` says. Without any labelled text (also in empty tables) every line gets 0.5.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    share = min(1.0, sample / max(1, known.count()))
-    drawn = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))  # about ``sample`` rows
-    texts = docs.where("text is not null").select("doc_id", "text")
-    rows = texts.join(drawn, "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("th"), F.octet_length("text").alias("n"))
-    found = docs.select("doc_id").join(drawn, "doc_id").count()
-    if found > 4 * sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 30)) < int(4 * sample / found * (1 << 30)))
-    order = [F.xxhash64("doc_id"), "quality", "th"]
-    line = Window.orderBy(F.col("n") > sample_bytes // 16, *order).rowsBetween(Window.unboundedPreceding, 0)  # of the bounded sample, without texts
-    fits = rows.distinct().withColumn("at", F.sum("n").over(line)).where(F.col("at") <= sample_bytes)
-    wanted = F.broadcast(fits.select("doc_id", "quality", "th"))  # about four times ``sample`` rows at most
-    used = texts.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"]).groupBy("doc_id", "quality", "th").agg(F.first("text").alias("text"))
-    got = used.orderBy(*order).select("text", "quality").toPandas()  # ``sample_bytes`` of text at most
-    return fit(got["text"].tolist(), got["quality"].to_numpy())
+    return fit(*labelled_texts(docs, labels, "quality", sample, sample_bytes))
 
 
 def score(docs: DataFrame, field: LineField, threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:

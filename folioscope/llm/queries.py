@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, decontamination, language_id, line_dedup, packing, quality, simhash, token_counts, token_files, warc
+from folioscope.llm import ann, decontamination, language_id, lexical, line_dedup, packing, quality, simhash, token_counts, token_files, toxicity, vector_codes, warc
 from folioscope.llm.common import held_out, table
 
 
@@ -75,15 +75,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a kept vector, repeated ones too; null, empty and non-finite vectors are dropped; null labels are one label."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    summed = vector_codes.with_label_errors(coded)
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated ones too; null and empty texts are scored as texts without words."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.learn(docs, labels.where(~held_out("doc_id")))
+    return toxicity.score(docs, machine, threshold=0.3).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and documents without terms (null, empty) give no rows; equal scores by ascending doc_id; repeated rows are ranked each."""
+    index = lexical.build(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` over all documents; nulls, empty and repeated rows go as each stage's docstring says."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_warc, op3_language_id, op4_quality, op5_token_counts, op6_decontamination, op7_token_files, op8_line_dedup, op9_simhash, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_ann, op2_warc, op3_language_id, op4_quality, op5_token_counts, op6_decontamination, op7_token_files, op8_line_dedup, op9_simhash, op10_packing, op11_vector_codes, op12_toxicity, op13_lexical, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.oracle(), "op8_line_dedup": line_dedup.oracle() + line_dedup.DIGEST_SQL.format(table="documents")}
+    return {
+        "op2_warc": warc.oracle(),
+        "op8_line_dedup": line_dedup.oracle() + line_dedup.DIGEST_SQL.format(table="documents"),
+        "op11_vector_codes": vector_codes.oracle(),
+        "op13_lexical": lexical.ORACLE,
+    }
