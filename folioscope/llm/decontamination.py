@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so that a question with other values keeps its
-template. Windows of eight canonical words meet in a hash join whose build side is a block of the
-benchmark of limited size (a larger benchmark takes several passes over the documents). Matches on
-one alignment must fill the slots consistently: equal values stay equal, different ones different.
-Windows of the words themselves, case aside, meet too: they find copies in lower case and what has
-too few plain words for a template.
+template. A capital makes a name. Where an item begins a sentence with one, which may be any word,
+its windows are offered in both readings, and the slots' consistency decides. Windows of eight
+canonical words meet in a hash join whose build side is a block of the benchmark of limited size (a
+larger benchmark takes several passes over the documents). Matches on one alignment must fill the
+slots consistently: equal values stay equal, different ones different. Windows of the words
+themselves, case aside, meet too: they find copies in lower case and what has too few plain words
+for a template.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ship, sliced, tidy
+from folioscope.llm.common import materialize, ship, sliced, tidy
 
 WINDOW, LITERALS, RUN, BLOCK_BYTES = 8, 5, 13, 16 << 20
 #: Words taken as units and as numbers.
@@ -72,8 +74,8 @@ class Canon:
             self.hash.append(xxhash.xxh64_intdigest(low))
             self.flag.append(kind | (8 if word[:1].isupper() else 0) | (16 if any(c in ".!?" for c in tail) else 0))
 
-    def sequence(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all words that are not skipped: canonical hash, kind, their text (number), their place there, own hash (case aside)."""
+    def sequence(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words that are not skipped: canonical hash, kind, their text (number), their place there, own hash (case aside), and whether they are capitals at the start of a sentence."""
         if len(self.known) > _CACHED:
             self.__init__()
         self.learn(set().union(*docs).difference(self.known) if docs else set())
@@ -88,10 +90,11 @@ class Canon:
         number = np.zeros(len(ids), bool)
         number[1:] = (kind[:-1] == _NUM) & (doc[1:] == doc[:-1])
         kind = np.where((kind == _UNIT) & ~number, _LITERAL, kind)  # a unit stands behind a number only: "a" is a word else
-        kind = np.where((kind == _LITERAL) & (flag & 8 > 0) & ~start, _NAME, kind)
+        capital = (kind == _LITERAL) & (flag & 8 > 0)
+        kind = np.where(capital, _NAME, kind)
         keep = kind != _SKIP
         canon = np.where(kind == _LITERAL, hashes, _MARKS[kind])
-        return canon[keep], kind[keep], doc[keep], place[keep], hashes[keep]
+        return canon[keep], kind[keep], doc[keep], place[keep], hashes[keep], (capital & start)[keep]
 
 
 def rolled(canon: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,31 +124,35 @@ class Items:
 def prepare(rows: list[tuple[int, str]]) -> Items:
     """All windows as they are, those with ``LITERALS`` plain words at least as templates too.
 
-    An item of fewer than ``WINDOW`` words is one window. A capitalised first word is plain here but
-    a name where the item stands inside a sentence, so its window has a template of either kind.
+    An item of fewer than ``WINDOW`` words is one window. A capital at the start of a sentence is
+    read as a name and as a plain word, in all ways for up to three of them in a window; beyond that,
+    every third is read alike.
     """
-    canon = Canon()
     split = [(t or "").split() for _, t in rows]
-    c, kind, doc, place, raw = canon.sequence(split)
+    canon = Canon()
+    c, kind, doc, place, raw, start = canon.sequence(split)
     items = Items([i for i, _ in rows], np.bincount(doc, minlength=len(rows)).tolist(), [], [])
     first = np.concatenate(([0], np.cumsum(items.lengths))).astype(np.int64)
-    named = c.copy()
     for i in range(len(rows)):
         at = slice(first[i], first[i + 1])
         items.words.append([_EDGE.sub("", split[i][p]).lower() for p in place[at]])
         items.kinds.append(kind[at])
-        if items.lengths[i] and kind[first[i]] == _LITERAL and _EDGE.sub("", split[i][place[first[i]]])[:1].isupper():
-            named[first[i]] = _MARKS[_NAME]
+    turn = (np.cumsum(start) - 1) % 3
     for size in sorted({min(WINDOW, n) for n in items.lengths if n}):
-        h, whole = rolled(c, doc, size)
-        plain = np.convolve(kind == _LITERAL, np.ones(size, np.int64), "valid")[: len(h)]
+        h, whole = rolled(raw, doc, size)
         own = np.array(items.lengths)[doc[: len(h)]]
         fits = whole & (np.minimum(own, WINDOW) == size)
-        enough_plain = fits & (plain >= LITERALS)
-        other = rolled(named, doc, size)[0]
-        at, more, every = np.flatnonzero(enough_plain), np.flatnonzero(enough_plain & (other != h)), np.flatnonzero(fits)
-        own_hash = rolled(raw, doc, size)[0][every]
-        for exact, hashes, at in ((False, np.concatenate([h[at], other[more]]), np.concatenate([at, more])), (True, own_hash, every)):
+        every = np.flatnonzero(fits)
+        own_hash, found = h[every], []
+        for ways in range(8 if start.any() else 1):  # a bit says how every third start is read
+            named = start & ((ways >> turn) & 1 > 0)
+            template, _ = rolled(np.where(start, np.where(named, _MARKS[_NAME], raw), c), doc, size)
+            plain = np.convolve((kind == _LITERAL) | (start & ~named), np.ones(size, np.int64), "valid")[: len(h)]
+            at = np.flatnonzero(fits & (plain >= LITERALS))
+            found.append(np.stack([template[at], at.astype(np.uint64)]))
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        template = both[0], both[1].astype(np.int64)
+        for exact, (hashes, at) in ((False, template), (True, (own_hash, every))):
             if not len(at):
                 continue
             order = np.argsort(hashes, kind="stable")
@@ -174,7 +181,7 @@ def longest(words: set[int]) -> int:
 def matches(items: Items, canon: Canon, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, covered words, first and last word matched) of every leak."""
     docs = [(t or "").split() for t in texts]
-    c, _, doc, place, raw = canon.sequence(docs)
+    c, _, doc, place, raw, _ = canon.sequence(docs)
     found: dict[tuple[int, int], dict[int, list[tuple[int, int, int, bool]]]] = defaultdict(lambda: defaultdict(list))
     for (exact, size), (hashes, item, start) in items.windows.items():
         h, whole = rolled(raw if exact else c, doc, size)
@@ -187,7 +194,6 @@ def matches(items: Items, canon: Canon, texts: list[str | None]) -> list[tuple[i
     for (d, i), diagonals in found.items():
         covered, spots, run = set(), [], 0
         for hits in diagonals.values():
-            hits = [x for x in hits if x[1] or x[3] or items.kinds[i][0] != _LITERAL or _EDGE.sub("", docs[d][place[x[0]]]).lower() == items.words[i][0]]
             ways, back, sound = {}, {}, True
             for p, j, size, exact in hits:
                 for k in range(0 if exact else size):
@@ -244,10 +250,15 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Items]:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that leak no item (see ``leaks``), all columns as they are; nothing is shuffled."""
+    """The rows of ``docs`` that leak no item (see ``leaks``), all columns as they are; nothing is shuffled.
+
+    Blocks of the benchmark are taken in turn, what each has left is written, so that a task never
+    holds more than one of them.
+    """
     ship(docs.sparkSession)
-    for block in _blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(tidy(_filter(docs.sparkSession.sparkContext.broadcast(block))), docs.schema)
+    for n, block in enumerate(_blocks(benchmark, block_bytes)):
+        rows = materialize(docs, "decontaminated") if n else docs
+        docs = rows.mapInArrow(tidy(_filter(docs.sparkSession.sparkContext.broadcast(block))), docs.schema)
     return docs
 
 
@@ -266,7 +277,8 @@ def _pass(docs: DataFrame, block: Items, schema: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)  # a block of limited size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon, items = Canon(), shared.value
+        items = shared.value
+        canon = Canon()
         for batch in batches:
             for part in sliced(batch):
                 hits = matches(items, canon, part.column("text").to_pylist())
