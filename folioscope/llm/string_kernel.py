@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 
-ORDER, GAP, SOFT, RIDGE = 3, 0.7, 0.95, 1e-3
+ORDER, GAP, SOFT, RIDGE = 3, 0.85, 0.95, 1e-3
 #: What a common subsequence of 1, 2, ... characters counts.
 WEIGHTS = np.array([0.2, 1.0, 3.0], np.float32)
 LONGEST = 32  # longer words are taken in pieces of this length that overlap by half

@@ -28,7 +28,7 @@ from folioscope.llm.common import labelled_texts, resident, ship, sliced, tidy
 from folioscope.llm.string_kernel import Landmarks, pieces
 
 LANDMARKS, TURNS, COST, TOLD = 96, 5, 10.0, 4.0
-_CACHED, _SPELLED = 500_000, 3
+_CACHED, _SPELLED, _STEP = 500_000, 3, 16_384
 _ENDS = ".!?…"
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -137,27 +137,40 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip((evidence * self.slopes).sum(1), -50, 50)))
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine, by Newton steps over the vectors within the margin."""
-    wide = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    keep = np.eye(wide.shape[1])
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
+    """Squared-hinge support vector machine on the given rows of ``x``, by Newton steps over those within the margin.
+
+    Rows are taken some at a time, so that no second copy of ``x`` is held.
+    """
+    size = x.shape[1] + 1
+    keep = np.eye(size)
     keep[-1, -1] = 1e-6
-    w = np.zeros(wide.shape[1])
+
+    def wide(at: int) -> np.ndarray:
+        some = x[rows[at : at + _STEP]]
+        return np.hstack([some, np.ones((len(some), 1), some.dtype)]).astype(np.float64)
 
     def loss(w: np.ndarray) -> float:
-        short = np.maximum(0, 1 - y * (wide @ w))
-        return float(w @ keep @ w / 2 + cost * (weight * short * short).sum())
+        total = 0.0
+        for at in range(0, len(rows), _STEP):
+            short = np.maximum(0, 1 - y[at : at + _STEP] * (wide(at) @ w))
+            total += float((weight[at : at + _STEP] * short * short).sum())
+        return float(w @ keep @ w / 2 + cost * total)
 
+    w = np.zeros(size)
     now = loss(w)
     for _ in range(100):
-        inside = y * (wide @ w) < 1
-        a = wide[inside]
-        c = 2 * cost * weight[inside]
-        step = np.linalg.solve(keep + (a * c[:, None]).T @ a, (a * (c * y[inside])[:, None]).sum(0)) - w
-        size = 1.0
-        while size > 1e-4 and loss(w + size * step) > now:
-            size /= 2
-        w = w + size * step
+        square, side = keep.copy(), np.zeros(size)
+        for at in range(0, len(rows), _STEP):
+            a, own = wide(at), y[at : at + _STEP]
+            inside = own * (a @ w) < 1
+            a, c = a[inside], 2 * cost * weight[at : at + _STEP][inside]
+            square += (a * c[:, None]).T @ a
+            side += (a * (c * own[inside])[:, None]).sum(0)
+        step, length = np.linalg.solve(square, side) - w, 1.0
+        while length > 1e-4 and loss(w + length * step) > now:
+            length /= 2
+        w = w + length * step
         now, last = loss(w), now
         if last - now <= 1e-6 * last:
             break
@@ -225,10 +238,9 @@ def fit(texts: list[str], labels: np.ndarray) -> Machine:
         taken = positive
         counts = np.bincount(np.unique(places[positive] * len(texts) + doc[sentences[positive]]) // len(texts), minlength=len(words))  # documents
         yes = np.flatnonzero(counts)
-        both = np.concatenate([x[row[yes]], x[row[negative]]])
         y = np.concatenate([np.ones(len(yes)), -np.ones(len(negative))])
         weight = np.concatenate([counts[yes] * ((1 - labels).sum() / labels.sum()), clean[negative]])
-        w, bias = svm(both, y, weight, COST)
+        w, bias = svm(x, row[np.concatenate([yes, negative])], y, weight, COST)
         margin = np.full(len(words), -np.inf)
         margin[wanted] = x @ w + bias
     machine = Machine(landmarks, root @ w, bias, np.zeros(5))
@@ -266,7 +278,7 @@ def sigmoid(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 8 << 20) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 4 << 20) -> Machine:
     """Train on labelled documents (doc_id, text) and (doc_id, toxic 0 or 1).
 
     At most about ``sample`` documents with ``sample_bytes`` of text in all are used, chosen as
