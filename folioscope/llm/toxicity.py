@@ -178,9 +178,12 @@ def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, cost
 
 
 def told(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """How surely a word in so many toxic and clean documents is one of toxic ones: log odds in units of their deviation."""
-    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-    return odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    """How surely a word in so many toxic and clean documents is one of toxic ones: the signed root of its deviance from the share of toxic documents."""
+    base, n = n_toxic / (n_toxic + n_clean), np.maximum(1, toxic + clean)
+    share = toxic / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        deviance = 2 * (np.where(toxic > 0, toxic * np.log(share / base), 0) + np.where(clean > 0, clean * np.log((1 - share) / (1 - base)), 0))
+    return np.sign(share - base) * np.sqrt(np.maximum(0, deviance))
 
 
 def chosen_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, docs: tuple[int, int], count: int) -> list[str]:
