@@ -1,178 +1,23 @@
-"""Keyword and vector search over batches of questions, fusion, reranking and diversity."""
+"""Vector search over batches of questions, fusion, reranking and diversity; keyword search is in ``keywords``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
 from folioscope.functions.arrow import arrow_schema, batch_of
 from folioscope.operators import seams
-from folioscope.sources.work import kept, spread
+from folioscope.operators.keywords import KeywordIndex, build_index, open_index  # noqa: F401
+from folioscope.operators.scopes import META, SCOPE, best, bundle_condition, conjunction, scope_condition  # noqa: F401
 
-K1, B = 1.2, 0.75
 ROUTES = ["vector", "keyword"]
-_BLOCK_BYTES, _HOT, _SALTS, _FEW = 8 << 20, 1000, 32, 500_000
-
-
-# scopes
-
-
-def conjunction(conditions: list[Column]) -> Column | None:
-    """None of no conditions, the one itself, else all of them."""
-    return reduce(Column.__and__, conditions) if conditions else None
-
-
-def scope_condition(columns: list[str]) -> Column | None:
-    """What a question's scope asks of a chunk, from the scope columns that are there.
-
-    ``paper_ids`` and ``version_ids`` (arrays) name the papers and versions allowed; null or empty
-    ones allow all. Chunks of content type reference are left out unless ``include_references``
-    is true; without that column they stay. A chunk of unknown paper, version or type fits no
-    list, and is no reference.
-    """
-    found = []
-    for ids, own in (("paper_ids", "paper_id"), ("version_ids", "version_id")):
-        if ids in columns:
-            free = F.coalesce(F.size(ids), F.lit(0)) <= 0
-            found.append(free | F.coalesce(F.array_contains(ids, F.col(own)), F.lit(False)))
-    if "include_references" in columns:
-        found.append(F.coalesce("include_references", F.lit(False)) | (F.coalesce("content_type", F.lit("")) != "reference"))
-    return conjunction(found)
-
-
-_SCOPE = ["paper_ids", "version_ids", "include_references"]
-_META = ["paper_id", "version_id", "content_type"]
-
-
-def in_scope(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits (query_id, chunk_id, ...) that their question's scope columns, if any, allow."""
-    scope = [c for c in _SCOPE if c in questions.columns]
-    if not scope:
-        return hits
-    asked = questions.select("query_id", *scope).dropDuplicates(["query_id"])
-    meta = chunks.select("chunk_id", *[c for c in _META if c in chunks.columns])
-    return hits.join(meta, "chunk_id").join(asked, "query_id").where(scope_condition(scope)).select(*hits.columns)
-
-
-def best(hits: DataFrame, limit: int, order: list[Column] | None = None) -> DataFrame:
-    """Hits with their rank among those of their question, up to ``limit``."""
-    if limit <= 0:
-        raise ValueError("a limit must be positive")
-    line = Window.partitionBy("query_id").orderBy(*(order or [F.desc("score"), F.asc("chunk_id")]))
-    return hits.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= limit)
-
-
-# keyword search
-
-
-@dataclass
-class KeywordIndex:
-    """A stored inverted index: ``docs`` (chunk_id, tokens, dl, content_key, ...), ``postings`` (term, chunk_id, tf, dl), ``terms`` (term, df)."""
-
-    docs: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    n_docs: int
-    avgdl: float
-
-    def phrases(self, questions: DataFrame) -> DataFrame:
-        """(query_id, phrase): the distinct terms of each question, each as its tokens side by side."""
-        value = questions.select("query_id", tx.search_value(F.col("text")).alias("value"))
-        terms = value.select("query_id", F.explode(tx.terms_of(F.col("value"))).alias("term"))
-        return terms.select("query_id", tx.phrase_of(F.col("term")).alias("phrase")).where(F.size("phrase") > 0)
-
-    def occurrences(self, phrases: DataFrame) -> DataFrame:
-        """(phrase, chunk_id, tf, dl, df): where distinct phrases of several tokens stand.
-
-        The chunks that hold all tokens are looked through for them side by side.
-        """
-        several = phrases.select("phrase").distinct()
-        parts = several.select("phrase", F.explode(F.array_distinct("phrase")).alias("term"))
-        held = self._met(parts).groupBy("phrase", "chunk_id").agg(F.count("*").alias("n"))
-        whole = held.where(F.col("n") == F.size(F.array_distinct("phrase"))).join(self.docs.select("chunk_id", "tokens", "dl"), "chunk_id")
-        starts = F.sequence(F.lit(1), F.size("tokens") - F.size("phrase") + 1)
-        there = F.filter(starts, lambda i: F.slice("tokens", i, F.size("phrase")) == F.col("phrase"))
-        found = whole.where(F.size("tokens") >= F.size("phrase")).select("phrase", "chunk_id", F.size(there).cast("long").alias("tf"), "dl").where("tf > 0")
-        return found.join(found.groupBy("phrase").agg(F.count("*").alias("df")), "phrase")
-
-    def search(self, questions: DataFrame, limit: int = 10, scope: DataFrame | None = None) -> DataFrame:
-        """(query_id, chunk_id, score, rank): BM25 of each question's (query_id, text) distinct terms.
-
-        A term of several tokens matches them side by side. Statistics are of all chunks; the
-        questions' scope columns (see ``scope_condition``) and ``scope`` (chunk_id) only filter what
-        may be returned. Terms that most chunks hold get the weight 1e-6. Questions without terms
-        (null, empty) return nothing.
-        """
-        phrases = kept(self.phrases(questions), "phrases")
-        single = phrases.where(F.size("phrase") == 1).select("query_id", F.get("phrase", F.lit(0)).alias("term"))
-        weighted = single.join(self.terms, "term").select("query_id", "term", "df", self._weight().alias("weight"))
-        found = self._met(weighted).select("query_id", "chunk_id", (F.col("weight") * self._share()).alias("part"))
-        several = phrases.where(F.size("phrase") > 1)
-        if not several.isEmpty():
-            more = self.occurrences(several).withColumn("part", self._weight() * self._share())
-            found = found.unionByName(more.join(several, "phrase").select("query_id", "chunk_id", "part"))
-        if scope is not None:
-            found = found.join(scope.select("chunk_id"), "chunk_id", "left_semi")
-        hits = found.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
-        return best(in_scope(hits, questions, self.docs), limit)
-
-    def _weight(self) -> Column:
-        plain = F.log((F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return F.when(plain > 0, plain).otherwise(F.lit(1e-6)) * (K1 + 1)
-
-    def _share(self) -> Column:
-        return F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
-
-    def _met(self, asked: DataFrame) -> DataFrame:
-        """Postings joined with asked terms (term, ...): by broadcast as long as these are few, else by a salted shuffle.
-
-        Salted are the terms that over a thousandth of all chunks hold; there each asked row is
-        repeated for every salt.
-        """
-        if asked.limit(_FEW + 1).count() <= _FEW:
-            return self.postings.join(F.broadcast(asked), "term")
-        common = F.col("df") * _HOT > self.n_docs
-        hot = F.broadcast(self.terms.where(common).select("term", F.lit(True).alias("hot")))  # at most _HOT terms for each token of a mean chunk
-        salted = lambda rows, salt: rows.join(hot, "term", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(F.lit(0)))
-        own = F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS)).cast("int")
-        every = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0))))
-        many = asked.join(hot, "term", "left").withColumn("salt", every).drop("hot")
-        return salted(self.postings, own).drop("hot").join(many, ["term", "salt"]).drop("salt")
-
-
-def build_index(chunks: DataFrame, folder: str) -> KeywordIndex:
-    """Write the index of chunks (chunk_id, text, and any of paper_id, version_id, content_type) below ``folder``.
-
-    Texts are tokenised once, simple ones in the JVM. Postings are sorted by term in each file, so
-    that a search passes over row groups without its terms. A null text has no tokens.
-    """
-    spark, chunks = chunks.sparkSession, spread(chunks)
-    meta = [c for c in _META if c in chunks.columns]
-    simple = F.coalesce(tx.is_simple(F.col("text")), F.lit(True))
-    none = F.array().cast("array<string>")
-    key = lambda made: F.md5(made).alias("content_key")
-    plain = chunks.where(simple).select("chunk_id", *meta, key(tx.simple_key(F.col("text"))), F.coalesce(tx.simple_tokens(F.col("text")), none).alias("tokens"))
-    value = chunks.where(~simple).withColumn("value", tx.search_value(F.col("text"))).withColumn("bare", tx.without_marks(F.col("value")))
-    rest = value.select("chunk_id", *meta, key(tx.content_key(F.col("text"))), tx.tokens_of(F.col("value"), F.col("bare")).alias("tokens"))
-    plain.unionByName(rest).withColumn("dl", F.size("tokens").cast("long")).write.parquet(f"{folder}/docs")
-    docs = spark.read.parquet(f"{folder}/docs")
-    rows = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    rows.select("term", "chunk_id", "tf", "dl").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-    spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
-    return open_index(spark, folder)
-
-
-def open_index(spark: SparkSession, folder: str) -> KeywordIndex:
-    docs, postings, terms = (spark.read.parquet(f"{folder}/{name}") for name in ("docs", "postings", "terms"))
-    n, mean = docs.agg(F.count("*"), F.avg("dl")).first()
-    return KeywordIndex(docs, postings, terms, n, mean or 1.0)
+_BLOCK_BYTES = 8 << 20
 
 
 # vector search
@@ -188,8 +33,8 @@ def vector_search(questions: DataFrame, vectors: DataFrame, limit: int = 10, met
     """
     if limit <= 0:
         raise ValueError("a limit must be positive")
-    scope = [c for c in _SCOPE if c in questions.columns]
-    meta = [c for c in _META if c in vectors.columns] if scope else []
+    scope = [c for c in SCOPE if c in questions.columns]
+    meta = [c for c in META if c in vectors.columns] if scope else []
     kinds = dict(vectors.dtypes)
     schema = f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {kinds['chunk_id']}, score double"
     rows = vectors.where("embedding is not null").select("chunk_id", "embedding", *meta)
@@ -203,7 +48,7 @@ def _blocks(questions: DataFrame, scope: list[str]) -> Iterator[list[tuple]]:
     held, size = [], 0
     for r in questions.where("embedding is not null").select("query_id", "embedding", *scope).toLocalIterator():
         got = r.asDict()
-        lists = [frozenset(got[c]) if got.get(c) else None for c in _SCOPE[:2]]
+        lists = [frozenset(got[c]) if got.get(c) else None for c in SCOPE[:2]]
         held.append((r.query_id, np.array(r.embedding, float), *lists, "include_references" not in scope or bool(got["include_references"])))
         size += 8 * len(r.embedding)
         if size >= _BLOCK_BYTES:
@@ -257,7 +102,7 @@ def _allowed(rows: pa.RecordBatch, asked: list[tuple]) -> np.ndarray | None:
     """Questions x rows: what the scopes allow."""
     if "paper_id" not in rows.schema.names and "content_type" not in rows.schema.names and "version_id" not in rows.schema.names:
         return None
-    own = {c: rows.column(c).to_pylist() if c in rows.schema.names else [None] * rows.num_rows for c in _META}
+    own = {c: rows.column(c).to_pylist() if c in rows.schema.names else [None] * rows.num_rows for c in META}
     out = np.ones((len(asked), rows.num_rows), bool)
     plain = np.array([c != "reference" for c in own["content_type"]])
     for row, (_, _, papers, versions, references) in enumerate(asked):

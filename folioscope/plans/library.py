@@ -30,8 +30,8 @@ def facet_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(base._VEC.replace("from q, embeddings v", "from q, embeddings v where label < 4").format(score="round(list_dot_product(e, v.embedding::double[]) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[]))), 9)"))
-def vector_search_scoped(spark: SparkSession, d: str) -> DataFrame:
-    """The scope is a filter inside the search, before the nearest are taken."""
+def vector_search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors are filtered before the nearest are taken."""
     return retrieval.vector_search(base._asked(spark, d), base._vectors(spark, d).where("label < 4")).withColumn("score", F.round("score", 6))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as tx
 from folioscope.operators import chunking, grounding, lifecycle, normalize, planner, retrieval
 from folioscope.sources.readers import page_texts, table
+from folioscope.sources.sinks import KeywordStore
 from folioscope.sources.work import work_folder
 
 QUERIES: dict = {}
@@ -16,6 +17,8 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -123,10 +126,44 @@ def keyword_phrases(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).search(asked).withColumn("score", F.round("score", 6))
 
 
+#: Three words side by side, as a question for an identifier of them all.
+_TRIPLE = "(?:^|[^\\p{L}])([a-z]{2,}) ([a-z]{2,}) ([a-z]{2,})(?:[^\\p{L}]|$)"
+
+
+@query(f"""with t as (select doc_id as chunk_id, {_T} as terms from documents), n as (select count(*) as n_docs, avg(len(terms)) as avgdl from t),
+w as (select item_id as query_id, [regexp_extract(replace(lower(text), 'ß', 'ss'), '{_TRIPLE}', 1), regexp_extract(replace(lower(text), 'ß', 'ss'), '{_TRIPLE}', 2), regexp_extract(replace(lower(text), 'ß', 'ss'), '{_TRIPLE}', 3)] as w from benchmark),
+q as (select distinct query_id, unnest([w[1:1], w[2:2], w[3:3], w]) as phrase from w where w[1] != ''),
+h as (select phrase, chunk_id, len(terms) as dl, len(list_filter(range(1, len(terms) - len(phrase) + 2), lambda i: terms[i:i + len(phrase) - 1] = phrase)) as tf
+  from (select distinct phrase from q) join t on list_has_all(terms, phrase)),
+f as (select phrase, count(*) as df from h where tf > 0 group by phrase),
+s as (select query_id, chunk_id, round(sum(case when ln((n_docs - df + 0.5) / (df + 0.5)) > 0 then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end
+    * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) as score from q join h using (phrase) join f using (phrase) cross join n where tf > 0 group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s)
+select query_id, chunk_id, round(score, 6) as score, rank from r where rank <= 10""")
+def keyword_long_phrases(spark: SparkSession, d: str) -> DataFrame:
+    low = F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))
+    words = [F.regexp_extract(low, _TRIPLE, i) for i in (1, 2, 3)]
+    asked = _questions(spark, d).select("query_id", F.when(words[0] != "", F.concat_ws("-", *words)).alias("text"))
+    return _index(spark, d).search(asked).withColumn("score", F.round("score", 6))
+
+
+@query(_BM25.replace("from documents)", "from documents where doc_id % 10 != 3)", 1) + "select query_id, chunk_id, round(score, 6) as score, rank from r where rank <= 10")
+def keyword_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """A store that took drafts of a fifth of the documents, the whole texts of them in two upserts, and lost a tenth of all; its segments were merged meanwhile."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", (F.col("doc_id") % 10).alias("paper_id"), F.col("lang").alias("version_id"))
+    store = KeywordStore(spark, work_folder(spark, "keyword-store"), {}, tier=2)
+    store.upsert(docs.where("chunk_id % 5 > 0"))
+    store.upsert(docs.where("chunk_id % 5 = 0").withColumn("text", F.concat(F.lit("draft of the "), F.left("text", F.lit(200)))))
+    for part in (0, 1):
+        store.upsert(docs.where(f"chunk_id % 5 = 0 and chunk_id % 2 = {part}"))
+    store.delete(papers=[3])
+    return store.search(_questions(spark, d)).withColumn("score", F.round("score", 6))
+
+
 @query(f"with t as (select {_T} as terms from documents), p as (select unnest(terms) as term from t) select term, count(*) as n, any_value(df) as df from p join (select term, count(*) as df from (select distinct term, i from (select unnest(terms) as term, i from (select terms, row_number() over () as i from t))) group by term) using (term) group by term")
 def keyword_terms(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    return index.postings.groupBy("term").agg(F.sum("tf").alias("n")).join(index.terms, "term")
+    return index.occurrences_of_terms().groupBy("term").agg(F.sum("tf").alias("n")).join(index.terms, "term")
 
 
 _VEC = """with q as (select b.item_id as query_id, e.embedding::double[] as e from benchmark b join embeddings e on e.vec_id = b.item_id),

@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import agents, chunking, grounding, lifecycle, normalize, planner, retrieval, seams
+from folioscope.operators import agents, chunking, grounding, keywords, lifecycle, normalize, planner, retrieval, seams
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -75,7 +75,7 @@ def test_many_asked_terms_are_met_by_salted_joins(spark, tmp_path, monkeypatch):
     index = index_of(spark, tmp_path, [f"common w{i} w{i + 1}" for i in range(40)])
     questions = spark.createDataFrame([(i, f"common w{i}") for i in range(10)], "query_id long, text string")
     want = index.search(questions, 3).collect()
-    monkeypatch.setattr(retrieval, "_FEW", 0)
+    monkeypatch.setattr(keywords, "_FEW", 0)
     assert sorted(index.search(questions, 3).collect()) == sorted(want)
 
 
