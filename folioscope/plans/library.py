@@ -103,19 +103,22 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "part", chunking.source_ids(F.col("source"), F.col("part"), F.col("piece")).alias("chunk_id"))
 
 
-@query(base._CHILDREN + """, hits as (select item_id as question_id, unnest(range(5)) as ord, 'child' as level from benchmark),
+_NEAR = base._VEC.format(score="round(list_dot_product(e, v.embedding::double[]) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[]))), 9)")
+
+
+@query(base._CHILDREN + f""", hits as (select query_id as question_id, (rank - 1)::int as ord, chunk_id as id from ({_NEAR}) where rank <= 5),
 y as (select c.version_id, c.seq, c.chunk_id, p.chunk_id as parent_id, lag(c.chunk_id) over w as previous_id, lead(c.chunk_id) over w as next_id, case when c.kind = 'table' then lead(c.chunk_id) over w end as related
   from c join h using (version_id, seq) join p on p.version_id = c.version_id and p.parent = h.grp window w as (partition by c.version_id order by seq)),
-s as (select question_id, ord, y.* from hits join y on y.version_id = (question_id * 7 + ord) % 100 and y.seq = ord * 2),
+s as (select question_id, ord, y.* from hits join y on y.version_id = hits.id and y.seq = ord),
 o as (select question_id, ord, chunk_id as seed, unnest([chunk_id, parent_id, previous_id, next_id, related]) as id, unnest(range(5)) as step from s),
 k as (select *, row_number() over (partition by question_id, id order by ord, step) as n from o where id is not null)
 select question_id, ord::int as ord, step::int as step, id as chunk_id, ['reranked', 'parent', 'adjacent', 'adjacent', 'special_relation'][step + 1] as reason, seed from k where n = 1""")
 def context_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Five chunks of the documents for each question, with their parents and neighbours; a table is related to what follows it."""
+    """Of the five documents nearest to each question's vector, a chunk each, with its parent and neighbours; a table is related to what follows it."""
     chunks = base._chunked(spark, d)
     kids = chunking.children(chunks).withColumn("related", F.when(F.col("content_type") == "table", F.array_compact(F.array("next_id"))))
-    seeds = base._questions(spark, d).select(F.col("query_id").alias("question_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ord"))
-    place = seeds.select("question_id", "ord", ((F.col("question_id") * 7 + F.col("ord")) % 100).cast("string").alias("version_id"), (F.col("ord") * 2).alias("seq"))
+    seeds = retrieval.vector_search(base._asked(spark, d), base._vectors(spark, d), limit=5).withColumn("ord", F.col("rank") - 1)
+    place = seeds.select(F.col("query_id").alias("question_id"), "ord", F.col("chunk_id").cast("string").alias("version_id"), F.col("ord").alias("seq"))
     chosen = place.join(kids.select("version_id", "seq", "chunk_id"), ["version_id", "seq"]).select("question_id", "ord", "chunk_id")
     return grounding.expanded(chosen, kids.select("chunk_id", F.col("parent_chunk_id").alias("parent_id"), "previous_id", "next_id", "related"))
 

@@ -69,95 +69,27 @@ def _tasks(spark, d) -> DataFrame:
     )
 
 
-# cases with their results written out
-
-
 def _cases(spark, rows, schema) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-@query(f"""select * from (values
-  (1, 'method', 'Which approach is it?', null, null, 'Which approach is it?', false), (2, 'comparison', 'Compare X versus Y？追问：why', null, null, 'x', false), (3, 'related_work', 'List citation sources', null, null, 'x', true),
-  (4, 'factual', 'Where is it used in this paper', '{planner.AMBIGUOUS}', null, '', false), (5, 'factual', 'Plain', '{planner.UNSCOPED}', null, '', false), (6, 'factual', 'Plain', null, null, 'x', false),
-  (7, 'factual', '', null, 'empty_question', '', false), (8, 'factual', 'Plain', null, 'unknown_scope_mode', '', false), (9, 'method', 'Explain the method of this paper [paper_id=p7]', null, null, 'x', false),
-  (10, 'factual', 'this paper', '{planner.AMBIGUOUS}', null, '', false)) as t(id, intent, resolved, clarification, error, kind, include_references) where id > 1
-  union all select 1, 'factual', 'Which approach is it?', null, null, 'x', false""".replace("Compare X versus Y？追问：why", "Compare X versus Y；追问：why"))
-def plan_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Questions of every rule of the planner, against results that are written out."""
-    rows = [
-        (1, "Which approach is it?", ["p1"], "selected", None), (2, "why", ["p1"], "selected", "Compare X versus Y"), (3, "List citation sources", [], "library", None), (4, "Where is it used in this paper", ["p1", "p2"], "selected", None),
-        (5, "Plain", [], "selected", None), (6, "Plain", [], "library", "Before"), (7, " \t", ["p1"], "selected", None), (8, "Plain", ["p1"], "all", None), (9, "  Explain the method of this paper ", ["p7", "p7"], "selected", None), (10, "this paper", [], "selected", None),
-    ]
-    got = planner.plan(_cases(spark, rows, "id int, question string, paper_ids array<string>, scope_mode string, previous string"))
-    return got.select("id", "intent", "resolved", "clarification", "error", F.when(F.size("subqueries") > 0, "x").otherwise("").alias("kind"), "include_references")
-
-
-@query("""select * from (values (1, 9::bigint, '1,4,6', '2,3,7'), (2, 0::bigint, '', '1')) as t(question_id, used, kept, omitted)""")
-def budget_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Unknown and poor items are omitted, repeated contents of a paper skipped, and smaller items still fit."""
-    rows = [
-        (1, 1, 1, 4, 0.9, "One  text", "p", True), (1, 2, 2, 1, 0.1, "poor", "p", True), (1, 3, 3, 0, None, None, "p", False), (1, 4, 1, 4, 0.9, "One  text", "p", True), (1, 5, 5, 1, None, " one TEXT", "p", True),
-        (1, 6, 4, 4, None, "one text", "q", True), (1, 7, 7, 3, 0.5, "too long", "p", True), (1, 8, 6, 1, 0.5, "fits", "p", True), (2, 1, 1, 11, 0.9, "x", "p", True),
-    ]
-    return grounding.budgeted(_cases(spark, rows, "question_id int, ord int, item_id int, tokens int, quality double, content string, paper_id string, known boolean"), 10).drop("items")
-
-
-@query("""select * from (values
-  (1, 'answered', 'a', 'kept', '', '', '', ''), (2, 'partially_answered', 'b', 'good', 'bad', '', 'u1,u2', 'Unknown Evidence ID: e9'), (3, 'conflicted', 'c', 'x', 'y', 'x', '', 'Hidden conflict exposed: x;Claim has no evidence'),
-  (4, 'insufficient_evidence', '现有原文证据不足，无法可靠回答。', '', 'z', '', '', 'Unsupported claim removed: z'), (5, 'conflicted', 'e', 'w', '', 'own', '', 'Claim downgraded to inference: w'), (6, 'answered', 'f', '', '', '', '', ''),
-  (7, 'insufficient_evidence', '现有原文证据不足，无法可靠回答。', '', 'o', '', '', 'Evidence is outside the active paper scope: e3')) as t(answer_id, answer_status, concise_answer, claims, removed, conflicts, unanswered_items, warnings)""")
-def verification_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Answers whose claims are unknown, out of scope, unsupported, inferred or in conflict, against results that are written out."""
-    answers = [(1, "answered", "a", [], [], []), (2, "answered", "b", [], ["u1"], ["u1", "u2"]), (3, "answered", "c", [], [], []), (4, "answered", "d", [], [], []), (5, "answered", "e", ["own"], [], []), (6, "answered", "f", [], [], []), (7, "answered", "g", [], [], [])]
-    claims = [
-        (1, 0, "kept", ["e1"], "direct", "direct"), (2, 0, "good", ["e1"], "inference", "inference"), (2, 1, "bad", ["e1", "e9"], "direct", "direct"), (3, 0, "x", ["e2"], "direct", "conflict"), (3, 1, "y", [], "direct", "direct"),
-        (4, 0, "z", ["e1"], "direct", "insufficient"), (5, 0, "w", ["e1"], "direct", "inference"), (7, 0, "o", ["e3"], "direct", "direct"),
-    ]
-    own = _cases(spark, [("e1", True), ("e2", True), ("e3", False)], "evidence_id string, allowed boolean")
-    got = grounding.verify_answers(
-        _cases(spark, answers, "answer_id int, answer_status string, concise_answer string, conflicts array<string>, unanswered_items array<string>, plan_unanswered array<string>").withColumn("refusal_reason", F.lit(None).cast("string")),
-        _cases(spark, claims, "answer_id int, claim int, text string, evidence_ids array<string>, support string, level string"), own,
-    )
-    texts = F.array_join(F.transform(F.coalesce("claims", F.array()), lambda c: c["text"]), ",")
-    return got.select("answer_id", "answer_status", "concise_answer", F.coalesce(texts, F.lit("")).alias("claims"), *[F.array_join(c, ",").alias(c) for c in ("removed", "conflicts", "unanswered_items")], F.array_join("warnings", ";").alias("warnings"))
-
-
-_GOOD = '{"answer_status": "answered", "concise_answer": "c", "claims": [{"text": "t", "evidence_ids": ["e"], "support": "direct"}], "uncertainty": [], "conflicts": [], "unanswered_items": [], "refusal_reason": null}'
-
-
-@query("""select * from (values (1, 'answered', null), (2, null, 'Missing structured fields: claims, conflicts, refusal_reason, unanswered_items, uncertainty'), (3, null, 'Structured response must be an object'), (4, null, 'Structured response must be an object'),
-  (5, null, 'Invalid answer_status'), (6, null, 'Invalid claim structure'), (7, null, 'Invalid claim support'), (8, null, 'conflicts must be a list'), (9, null, 'empty response'), (10, 'answered', null)) as t(id, status, error)""")
-def answer_json_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Responses of a model, whole and broken, against results that are written out."""
-    rows = [
-        _GOOD, '{"answer_status": "answered", "concise_answer": "c"}', "[1]", "no json", _GOOD.replace('"answered"', '"maybe"'), _GOOD.replace('"evidence_ids": ["e"], ', ""), _GOOD.replace('"direct"', '"strong"'),
-        _GOOD.replace('"conflicts": []', '"conflicts": "none"'), None, _GOOD.replace('[{"text": "t", "evidence_ids": ["e"], "support": "direct"}]', "[]"),
-    ]
-    got = grounding.parsed_answers(_cases(spark, [(i, r) for i, r in enumerate(rows, 1)], "id int, response string"))
-    return got.select("id", F.col("answer.answer_status").alias("status"), "error")
-
-
-@query("""select * from (values (1, 7.0::double), (2, 2.5), (3, -8.0), (4, null), (5, null), (6, null), (7, 1.0), (8, null)) as t(id, value)""")
-def calculation_cases(spark: SparkSession, d: str) -> DataFrame:
-    rows = ["1 + 2 * 3", "(1+4)/2", "-2 ** 3", "__import__('os')", "1 / 0", None, "7 % 3 // 1", "'a' * 3"]
-    return agents.calculations(_cases(spark, [(i, r) for i, r in enumerate(rows, 1)], "id int, text string"), "text").select("id", "value")
-
-
 # evidence
 
 
-_CONTEXT = """x as (select e.vec_id % 40 as question_id, e.vec_id as ord, d.doc_id as chunk_id, d.doc_id % 13 as paper_id, d.lang as version_id, 1 + d.doc_id % 3 as a, 1 + d.doc_id % 3 + d.doc_id % 2 as b, left(d.text, 30) as text from embeddings e join documents d on d.doc_id = e.vec_id % 90),
+_CONTEXT = """x as (select d.doc_id // 25 as question_id, d.doc_id + 10000000000 * again as ord, d.doc_id as chunk_id, d.doc_id % 13 as paper_id, d.lang as version_id, 1 + d.doc_id % 3 as a, 1 + d.doc_id % 3 + d.doc_id % 2 as b, d.text
+  from documents d, (select unnest([0, 1]) as again) where again = 0 or doc_id % 3 = 0),
 k as (select *, 'ev_' || substr(sha256(version_id || chr(31) || chunk_id || chr(31) || a || chr(31) || b), 1, 20) as evidence_id, coalesce((select c_name from customer where c_custkey = paper_id and c_custkey % 2 = 0), paper_id::varchar) as paper_title from x),
 v as (select *, min(ord) over (partition by question_id, evidence_id) as place, row_number() over (partition by question_id, evidence_id order by ord desc) as n from k)
 """
 
 
 def _registry(spark, d) -> DataFrame:
+    """Every document is evidence of the question of its 25, each third twice."""
     i = F.col("doc_id")
-    vectors = table(spark, d, "embeddings").select((F.col("vec_id") % 40).alias("question_id"), F.col("vec_id").alias("ord"), (F.col("vec_id") % 90).alias("doc_id"))
-    context = vectors.join(table(spark, d, "documents"), "doc_id").select(
+    rows = table(spark, d, "documents").withColumn("again", F.explode(F.when(i % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    context = rows.withColumn("question_id", F.floor(i / 25)).withColumn("ord", i + F.lit(10_000_000_000) * F.col("again")).select(
         "question_id", "ord", i.alias("chunk_id"), (i % 13).alias("paper_id"), F.col("lang").alias("version_id"), (1 + i % 3).alias("page_start"), (1 + i % 3 + i % 2).alias("page_end"),
-        F.when(i % 4 > 0, F.array(F.lit("Method"))).otherwise(F.array().cast("array<string>")).alias("section_path"), F.left("text", F.lit(30)).alias("text"), F.lit(None).cast("double").alias("quality"),
+        F.when(i % 4 > 0, F.array(F.lit("Method"))).otherwise(F.array().cast("array<string>")).alias("section_path"), "text", F.lit(None).cast("double").alias("quality"),
     )
     titles = table(spark, d, "customer").where("c_custkey % 2 = 0").select(_c().alias("paper_id"), F.col("c_name").alias("title"))
     return grounding.registry(context, titles)
@@ -168,21 +100,21 @@ def evidence_registry(spark: SparkSession, d: str) -> DataFrame:
     return _registry(spark, d).select("question_id", "ord", "evidence_id", "paper_title", "text", "source_type", "label")
 
 
-@query(f"""with {_CONTEXT}, ids as (select question_id, place, evidence_id, paper_id from v where n = 1 and place < 400), l as (select question_id, list(evidence_id order by place) as ids from ids group by question_id),
+@query(f"""with {_CONTEXT}, ids as (select question_id, place, evidence_id, paper_id from v where n = 1), l as (select question_id, list(evidence_id order by place) as ids from ids group by question_id),
 c as (select question_id, unnest(ids || ['ev_none', ids[1]]) as evidence_id, unnest(range(len(ids) + 2)) as place from l), q as (select question_id, evidence_id, min(place) as spot from c group by all)
 select q.question_id, q.evidence_id, (row_number() over (partition by q.question_id order by spot) - 1)::int as ord, case when paper_id is null then 'Unknown Evidence ID: ' || q.evidence_id when paper_id % 2 = 1 then 'Evidence is outside the active paper scope: ' || q.evidence_id end as error
 from q left join ids on ids.question_id = q.question_id and ids.evidence_id = q.evidence_id""")
 def citation_errors(spark: SparkSession, d: str) -> DataFrame:
     """Every question cites its evidence, an unknown one and the first again; papers of even number are allowed."""
     evidence = _registry(spark, d)
-    own = evidence.where("ord < 400").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "evidence_id"))), lambda x: x["evidence_id"]).alias("ids"))
+    own = evidence.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "evidence_id"))), lambda x: x["evidence_id"]).alias("ids"))
     cited = own.select("question_id", F.concat("ids", F.array(F.lit("ev_none"), F.get("ids", F.lit(0)))).alias("evidence_ids"))
     allowed = own.select("question_id", F.array(*[F.lit(x).cast("long") for x in range(0, 13, 2)]).alias("paper_ids"))
-    return grounding.resolved(cited, evidence.where("ord < 400"), allowed).select("question_id", "evidence_id", "ord", "error")
+    return grounding.resolved(cited, evidence, allowed).select("question_id", "evidence_id", "ord", "error")
 
 
-@query(f"""with a as (select distinct user_id as answer_id from events), c as (select user_id as answer_id, event_id, {base._LEVELS} as level, [event_id % 97, event_id % 89] as ids from events),
-j as (select *, case when ids[1] >= 80 then 'Unknown Evidence ID: ' || ids[1] when ids[2] >= 80 then 'Unknown Evidence ID: ' || ids[2] end as problem from c),
+@query(f"""with a as (select distinct user_id as answer_id from events), c as (select user_id as answer_id, event_id, {base._LEVELS} as level, [1 + event_id % 211, 1 + event_id % 197] as ids from events), e as (select p_partkey as i from part where p_size > 5),
+j as (select *, case when ids[1] not in (from e) then 'Unknown Evidence ID: ' || ids[1] when ids[2] not in (from e) then 'Unknown Evidence ID: ' || ids[2] end as problem from c),
 k as (select *, problem is null and level != 'insufficient' as kept from j)
 select answer_id, case when count_if(kept) = 0 then 'insufficient_evidence' when count_if(kept and level = 'conflict') > 0 then 'conflicted' when count_if(not kept) > 0 then 'partially_answered' else 'answered' end as answer_status,
   count_if(kept) as claims, string_agg(event_id::varchar, ',' order by event_id) filter (kept and level = 'conflict') as conflicts, count_if(not kept or level = 'conflict' or level = 'inference') as warnings,
@@ -190,15 +122,54 @@ select answer_id, case when count_if(kept) = 0 then 'insufficient_evidence' when
 def answer_checks(spark: SparkSession, d: str) -> DataFrame:
     """Events as claims of their user's answer, with a judge that tells by the event's type."""
     i = F.col("event_id")
-    rows = table(spark, d, "events").select(F.col("user_id").alias("answer_id"), i.alias("claim"), i.cast("string").alias("text"), F.array(i % 97, i % 89).alias("evidence_ids"), F.lit("direct").alias("support"), "event_type")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("answer_id"), i.alias("claim"), i.cast("string").alias("text"), F.array(1 + i % 211, 1 + i % 197).alias("evidence_ids"), F.lit("direct").alias("support"), "event_type")
     answers = rows.select("answer_id").distinct().select("answer_id", F.lit("answered").alias("answer_status"), F.lit("").alias("concise_answer"), F.lit(None).cast("string").alias("refusal_reason"))
     none = F.array().cast("array<string>")
     judge = lambda claims: claims.withColumn("level", F.expr(base._LEVELS))
-    got = grounding.verify_answers(answers.withColumn("conflicts", none).withColumn("unanswered_items", none), rows, spark.range(80).select(F.col("id").alias("evidence_id")), judge)
+    got = grounding.verify_answers(answers.withColumn("conflicts", none).withColumn("unanswered_items", none), rows, base._evidence(spark, d), judge)
     problems = F.filter("warnings", lambda w: w.startswith("Unknown"))
     return got.select("answer_id", "answer_status", F.size("claims").cast("long").alias("claims"), F.nullif(F.array_join("conflicts", ","), F.lit("")).alias("conflicts"), F.size("warnings").cast("long").alias("warnings"), F.get(problems, F.lit(0)).alias("first_problem"))
 
 
+@query("""with c as (select o_orderkey as id, o_orderkey % 7 as k, o_custkey % 3 as j from orders)
+select id, case when k in (0, 1) then case when j = 0 then 'partially_answered' else 'answered' end end as status, case k when 2 then 'Invalid answer_status' when 3 then 'Invalid claim support' when 4 then 'conflicts must be a list'
+  when 5 then 'Missing structured fields: claims, conflicts, refusal_reason, unanswered_items, uncertainty' when 6 then case when j = 0 then 'empty response' else 'Structured response must be an object' end end as error from c""")
+def answer_json(spark: SparkSession, d: str) -> DataFrame:
+    """Responses of a model for each order, whole ones and broken ones of every kind."""
+    k, j = _o() % 7, F.col("o_custkey") % 3
+    status = F.when(k == 2, "maybe").when(j == 0, "partially_answered").otherwise("answered")
+    whole = F.concat(
+        F.lit('{"answer_status": "'), status, F.lit('", "concise_answer": "c", "claims": [{"text": "t", "evidence_ids": ["e"], "support": "'), F.when(k == 3, "strong").otherwise("direct"),
+        F.lit('"}], "uncertainty": [], "conflicts": '), F.when(k == 4, '"none"').otherwise("[]"), F.lit(', "unanswered_items": [], "refusal_reason": null}'),
+    )
+    response = F.when(k == 5, '{"answer_status": "answered", "concise_answer": "c"}').when((k == 6) & (j == 1), "[1]").when((k == 6) & (j == 2), "no json").when(k < 5, whole)
+    got = grounding.parsed_answers(table(spark, d, "orders").select(_o().alias("id"), response.alias("response")))
+    return got.select("id", F.col("answer.answer_status").alias("status"), "error")
+
+
+@query("""select o_orderkey as id, case when o_orderkey % 5 = 0 then null when o_custkey % 4 = 0 then null else ((o_orderkey + 2.0 * o_custkey) / (o_custkey % 4) - (o_orderkey % 9) * (o_orderkey % 9))::double end as value from orders""")
+def calculations(spark: SparkSession, d: str) -> DataFrame:
+    """An expression of each order's numbers; some divide by zero, some aren't arithmetic."""
+    o, c = _o(), F.col("o_custkey")
+    good = F.concat(F.lit("("), o, F.lit(" + 2 * "), c, F.lit(") / "), c % 4, F.lit(" - "), o % 9, F.lit(" ** 2"))
+    text = F.when(o % 5 == 0, F.concat(F.lit("open('"), o, F.lit("')"))).otherwise(good)
+    return agents.calculations(table(spark, d, "orders").select(o.alias("id"), text.alias("text")), "text").select("id", "value")
+
+
+@query("""with s as (select s_suppkey as paper_id, s_suppkey % 4 as k from supplier)
+select paper_id, k = 0 as deleted, case k when 0 then 'vector,keyword,file,history,database' when 1 then 'keyword' when 2 then '' else 'vector,keyword' end as completed,
+  case k when 0 then '' when 1 then 'vector: no' when 2 then 'vector: a,keyword: b' else 'file: locked' end as errors from s""")
+def deletion_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of deleting each supplier's paper, with failures in some of them."""
+    k = F.col("s_suppkey") % 4
+    step = F.explode(F.array(*[F.lit(x) for x in ("vector", "keyword", "file", "history", "database")]))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("paper_id"), k.alias("k"), step.alias("step"))
+    is_ = lambda n, name: (F.col("k") == n) & (F.col("step") == name)
+    error = F.when(is_(1, "vector"), "no").when(is_(2, "vector"), "a").when(is_(2, "keyword"), "b").when(is_(3, "file"), "locked")
+    got = lifecycle.deletion_steps(rows.select("paper_id", "step", error.alias("error")))
+    return got.select("paper_id", "deleted", F.array_join("completed", ",").alias("completed"), F.array_join("errors", ",").alias("errors"))
+
+
 # analyses
 
 
@@ -309,19 +280,22 @@ def parser_items(spark: SparkSession, d: str) -> DataFrame:
 def _ingested(spark, d) -> answering.Ingested:
     docs = table(spark, d, "documents")
     own = F.col("doc_id").alias("version_id")
-    pages = docs.select(own, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("page_no")).withColumn("garbled", (F.col("version_id") % 8) / 50.0)
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    pages = docs.select(own, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(lines / 20))).alias("page_no")).withColumn("garbled", (F.col("version_id") % 8) / 50.0)
     versions = docs.select(own, (F.col("doc_id") % 10).alias("paper_id"), F.lit("parsing").alias("parse_status"))
     papers = spark.range(10).select(F.col("id").alias("paper_id"), F.lit(None).cast("long").alias("active_version_id"), F.lit("parsing").alias("status"), F.lit(None).cast("string").alias("quality_level"))
     return answering.ingest(base._blocks(spark, d), pages, versions, papers)
 
 
-@query(base._CHILDREN.replace("with recursive " + base._BLOCKS, "with recursive " + base._BLOCKS.replace("where text != ''", "where text != '' and page_no <= 3")).replace("case when pos % 3 > 0 then (pos % 7) / 10.0 end", "null::double") + """,
-w as (select doc_id as version_id, (select count(distinct page_no) from b where b.version_id = doc_id) as pages from documents),
-l as (select *, round(pages / 3, 9) as coverage, case when pages < 2 then 'failed' when pages < 3 or (version_id % 8) / 50.0 > 0.1 then 'partially_ready' else 'ready' end as level from w)
+_PAGED = "w as (select doc_id as version_id, ceil(len(string_split(coalesce(text, ''), chr(10))) / 20)::bigint as pages, (select count(distinct page_no) from b where b.version_id = doc_id) as held from documents)"
+_LEVELLED = "l as (select *, round(held / pages, 9) as coverage, case when held / pages < 0.5 then 'failed' when held / pages < 0.9 or (version_id % 8) / 50.0 > 0.1 then 'partially_ready' else 'ready' end as level from w)"
+
+
+@query(base._CHILDREN.replace("case when pos % 3 > 0 then (pos % 7) / 10.0 end", "null::double") + f""", {_PAGED}, {_LEVELLED}
 select l.version_id, level, coverage, (select count(*) from b where b.version_id = l.version_id) as blocks, case when level = 'failed' then 0 else (select count(*) from c where c.version_id = l.version_id) end as children,
   case when level = 'failed' then 0 else (select count(*) from p where p.version_id = l.version_id) end as parents from l""")
 def ingested_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of three pages through the whole chain: blocks, quality, and chunks of those that are usable."""
+    """Documents, a page for twenty lines, through the whole chain: blocks, quality, and chunks of those that are usable."""
     got = _ingested(spark, d)
     blocks = got.blocks.groupBy("version_id").agg(F.count("*").alias("blocks"))
     chunks = got.chunks.groupBy(F.col("version_id").cast("long").alias("version_id")).agg(F.count_if(F.col("level") == "child").alias("children"), F.count_if(F.col("level") == "parent").alias("parents"))
@@ -329,10 +303,8 @@ def ingested_documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("version_id", "level", "coverage", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("blocks", "children", "parents")])
 
 
-@query("""with v as (select doc_id as version_id, doc_id % 10 as paper_id from documents), n as (select paper_id, max(version_id) as active_version_id from v group by paper_id),
-b as (select doc_id, count(distinct p // 20) as pages from (select doc_id, unnest(range(len(string_split(text, chr(10))))) as p, unnest(string_split(text, chr(10))) as t from documents) where p < 60 and regexp_replace(t, '\\s', '', 'g') != '' group by doc_id),
-l as (select doc_id, case when coalesce(pages, 0) < 2 then 'failed' when pages < 3 or (doc_id % 8) / 50.0 > 0.1 then 'partially_ready' else 'ready' end as level from documents left join b using (doc_id))
-select paper_id, active_version_id, level as status, level as quality_level from n join l on l.doc_id = active_version_id""")
+@query(f"""with {base._BLOCKS}, {_PAGED}, {_LEVELLED}, n as (select doc_id % 10 as paper_id, max(doc_id) as active_version_id from documents group by 1)
+select paper_id, active_version_id, level as status, level as quality_level from n join l on l.version_id = active_version_id""")
 def paper_states(spark: SparkSession, d: str) -> DataFrame:
     """What ingesting all versions makes of their papers."""
     return _ingested(spark, d).papers.select("paper_id", "active_version_id", "status", "quality_level")
@@ -413,22 +385,14 @@ def paper_deletions(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.deletions(papers, wanted, _versions(spark, d), _tasks(spark, d), "/data/pdf/")
 
 
-@query("""select * from (values (1, true, 'vector,keyword,file,history,database', ''), (2, false, 'keyword', 'vector: no'), (3, false, '', 'vector: a,keyword: b'), (4, false, 'vector,keyword', 'file: locked')) as t(paper_id, deleted, completed, errors)""")
-def deletion_cases(spark: SparkSession, d: str) -> DataFrame:
-    steps = ["vector", "keyword", "file", "history", "database"]
-    bad = {(2, "vector"): "no", (3, "vector"): "a", (3, "keyword"): "b", (4, "file"): "locked"}
-    rows = [(p, s, bad.get((p, s))) for p in range(1, 5) for s in steps]
-    got = lifecycle.deletion_steps(_cases(spark, rows, "paper_id int, step string, error string"))
-    return got.select("paper_id", "deleted", F.array_join("completed", ",").alias("completed"), F.array_join("errors", ",").alias("errors"))
-
-
-@query("""with m as (select o_orderkey as message_id, [o_custkey, o_custkey + 1] as ids, case when o_orderkey % 2 = 0 then [o_custkey] end as held from orders)
-select message_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(held, []), list_filter(ids, lambda x: x % 7 = 0)))), ',') as deleted from m where held is not null or len(list_filter(ids, lambda x: x % 7 = 0)) > 0""")
+@query("""with m as (select o_orderkey as message_id, [o_custkey, o_custkey + 1] as ids, case when o_orderkey % 2 = 0 then [o_custkey] end as held from orders),
+f as (select message_id, list(i) as found from (select message_id, unnest(ids) as i from m) where i in (select c_custkey from customer where c_custkey % 7 = 0) group by message_id)
+select message_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(held, []), coalesce(found, [])))), ',') as deleted from m left join f using (message_id) where held is not null or found is not null""")
 def history_deletions(spark: SparkSession, d: str) -> DataFrame:
     """Messages name the deleted papers of their scope, beside those they named before."""
     c = F.col("o_custkey")
     rows = table(spark, d, "orders").select(_o().alias("message_id"), F.array(c, c + 1).alias("paper_ids"), F.when(_o() % 2 == 0, F.array(c)).alias("deleted_paper_ids"))
-    gone = spark.range(0, 200_000, 7).select(F.col("id").alias("paper_id"))
+    gone = table(spark, d, "customer").where("c_custkey % 7 = 0").select(_c().alias("paper_id"))
     got = lifecycle.marked_history(rows, gone).where("deleted_paper_ids is not null")
     return got.select("message_id", F.array_join(F.sort_array("deleted_paper_ids"), ",").alias("deleted"))
 
@@ -517,11 +481,10 @@ def analysis_steps(spark: SparkSession, d: str) -> DataFrame:
     return done.select("task_id", "status", "cancel_requested")
 
 
-@query(f"with {_ANALYSES} select task_id from t where status = 'succeeded' and paper_ids[1] % 4 < 3 and paper_ids[2] % 4 < 3")
+@query(f"with {_ANALYSES} select task_id from t where status = 'succeeded' and paper_ids[1] % 4 < 3 and paper_ids[2] % 4 < 3 and paper_ids[2] in (select c_custkey from customer)")
 def restored_analyses(spark: SparkSession, d: str) -> DataFrame:
     """Results whose papers all have the versions they were made of: those of every fourth paper are new."""
-    i = F.col("id")
-    papers = spark.range(200_000).select(i.alias("paper_id"), F.when(i % 4 < 3, i * 3).otherwise(-1).alias("active_version_id"))
+    papers = table(spark, d, "customer").select(_c().alias("paper_id"), F.when(_c() % 4 < 3, _c() * 3).otherwise(-1).alias("active_version_id"))
     return lifecycle.restored_analyses(_analyses(spark, d), papers).select("task_id")
 
 

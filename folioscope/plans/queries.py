@@ -484,15 +484,20 @@ def answer_sufficiency(spark: SparkSession, d: str) -> DataFrame:
     return grounding.sufficiency(judged).withColumn("unanswered_items", F.array_join("unanswered_items", ","))
 
 
-@query(f"""with c as (select user_id as answer_id, event_id as claim, {_LEVELS} as level, [event_id % 97, event_id % 89] as ids from events),
-x as (select answer_id, claim, level, bool_and(i < 80) as known from (select *, unnest(ids) as i from c) group by all),
+def _evidence(spark, d) -> DataFrame:
+    """Parts of more than size 5 as the evidence that claims may cite."""
+    return table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("evidence_id"))
+
+
+@query(f"""with c as (select user_id as answer_id, event_id as claim, {_LEVELS} as level, [1 + event_id % 211, 1 + event_id % 197] as ids from events),
+x as (select answer_id, claim, level, bool_and(i in (select p_partkey from part where p_size > 5)) as known from (select *, unnest(ids) as i from c) group by all),
 k as (select *, known and level != 'insufficient' as kept from x)
 select answer_id, case when count_if(not kept) = count(*) then 'insufficient_evidence' when count_if(kept and level = 'conflict') > 0 then 'conflicted' when count_if(not kept) > 0 then 'partially_answered' else 'answered' end as status,
   count(*) as claims, count_if(not kept) as removed, count_if(kept and level = 'inference') as inferred from k group by answer_id""")
 def claim_checks(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
-    claims = table(spark, d, "events").select(F.col("user_id").alias("answer_id"), i.alias("claim"), F.array(i % 97, i % 89).alias("evidence_ids"), F.expr(_LEVELS).alias("level"))
-    return grounding.verify_claims(claims, spark.range(80).select(F.col("id").alias("evidence_id")))
+    claims = table(spark, d, "events").select(F.col("user_id").alias("answer_id"), i.alias("claim"), F.array(1 + i % 211, 1 + i % 197).alias("evidence_ids"), F.expr(_LEVELS).alias("level"))
+    return grounding.verify_claims(claims, _evidence(spark, d))
 
 
 @query(f"""with r(name) as (select unnest({grounding.METHOD_FIELDS})), g as (select c_custkey as id, {grounding.METHOD_FIELDS}[1 + c_custkey % 9] as name, c_name as value from customer)
