@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -15,6 +16,7 @@ from folioscope.functions.arrow import arrow_schema, batch_of
 from folioscope.operators import seams
 from folioscope.operators.normalize import SPECIAL
 from folioscope.operators.seams import CodePoints
+from folioscope.sources.work import kept
 
 BETWEEN = "\n\n"
 CHUNKS = (
@@ -51,7 +53,10 @@ def fixed_windows(rows: DataFrame, width: int = 400, overlap: int = 80) -> DataF
 
 
 def token_windows(rows: DataFrame, tokenizer: seams.Tokenizer, width: int = 500, overlap: int = 80) -> DataFrame:
-    """Rows (id, text) as (id, part, piece): fixed windows of a tokenizer's tokens."""
+    """Rows (id, text) as (id, part, piece): fixed windows of a tokenizer's tokens; those of characters are cut in the JVM."""
+    if isinstance(tokenizer, CodePoints):
+        windows = F.filter(tx.windows(F.col("text"), width, overlap), lambda x, i: (i == 0) | (F.length(x) > overlap))
+        return rows.select("id", F.posexplode(windows).alias("part", "piece"))
 
     @F.pandas_udf("array<string>")
     def pieces(texts):
@@ -229,44 +234,154 @@ def source_ids(source, index, piece) -> F.Column:
 
 
 def semantic(sentences: DataFrame, percentile: float = 0.92) -> DataFrame:
-    """Sentences (doc_id, pos, embedding) to groups, broken where the distance to the next is over the percentile."""
+    """Sentences (doc_id, pos, embedding) to groups, broken where the distance to the next is over the percentile.
+
+    A vector of length zero has no distance to its neighbours, and breaks nothing.
+    """
     line = Window.partitionBy("doc_id").orderBy("pos")
-    far = sentences.withColumn("distance", F.round(1 - tx.cosine(F.col("embedding"), F.lag("embedding").over(line)), 9))
+    own, before = F.col("embedding"), F.lag("embedding").over(line)
+    norm = F.nullif(F.sqrt(tx.dot(own, own)) * F.sqrt(tx.dot(before, before)), F.lit(0.0))
+    far = sentences.withColumn("distance", F.round(1 - tx.dot(own, before) / norm, 9))
     cut = far.withColumn("limit", F.percentile("distance", percentile).over(Window.partitionBy("doc_id")))
     starts = F.coalesce((F.col("distance") > F.col("limit")).cast("int"), F.lit(0))
     return cut.withColumn("group", F.sum(starts).over(line.rowsBetween(Window.unboundedPreceding, 0))).select("doc_id", "pos", "group")
 
 
+#: Fixed value: where a sentence ends.
+SENTENCE_END = r"(?<=[.?!])\s+"
+
+
+def sentences_of(text) -> F.Column:
+    """The sentences of a text in order, blank ones left out."""
+    return F.filter(F.split(text, SENTENCE_END), lambda x: ~x.rlike(r"^\s*$"))
+
+
+def semantic_split(rows: DataFrame, embed: seams.Embedder, percentile: float = 0.92, around: int = 1) -> DataFrame:
+    """Rows (id, text) as (id, part, piece, sentences): texts cut between sentences that are far apart.
+
+    A sentence is embedded with ``around`` neighbours on each side; a piece ends where the cosine
+    distance to the next one is over the percentile of the document's distances. A document of one
+    sentence is one piece; null and blank texts give none; sentences are joined by a blank. Rows with
+    the same id are one document each.
+    """
+    own = rows.select(F.monotonically_increasing_id().alias("doc_id"), "id", sentences_of(F.col("text")).alias("sentences"))
+    held = kept(own, "sentences")  # the ids must not change under the joins below
+    near = F.transform("sentences", lambda x, i: F.array_join(F.slice("sentences", F.greatest(i - around + 1, F.lit(1)), around + 1 + F.least(i, F.lit(around))), " "))
+    flat = held.select("doc_id", F.posexplode(F.arrays_zip(F.col("sentences").alias("sentence"), near.alias("near"))).alias("pos", "s")).select("doc_id", "pos", "s.sentence", F.col("s.near").alias("near"))
+    groups = semantic(embed(flat.select("doc_id", "pos", "near"), "near").select("doc_id", "pos", "embedding"), percentile)
+    pieces = flat.select("doc_id", "pos", "sentence").join(groups, ["doc_id", "pos"]).groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
+    return pieces.join(held.select("doc_id", "id"), "doc_id").select("id", F.col("group").cast("int").alias("part"), F.array_join(F.col("s.sentence"), " ").alias("piece"), F.size("s").alias("sentences"))
+
+
+#: Fixed value: the finer cuts of a sentence that is too long, coarse to fine; characters come last.
+FINER = [r"[^,.;，。；、]+[,.;，。；、]?", r"\S+\s*|\s+"]
+_SENTENCE = re.compile(r"[^.?!。！？]*[.?!。！？]+[)\]\"'”’»]*\s*|[^.?!。！？]+\Z")
+
+
+def sentence_pieces(text: str, count, width: int = 500, overlap: int = 80) -> list[str]:
+    """Chunks of whole sentences, of at most ``width`` tokens by ``count``.
+
+    A sentence keeps the white space behind it. One that is too long alone is cut at phrases, what is
+    still too long at words, then at characters. A new chunk begins with as many of the last pieces of
+    the one before as ``overlap`` tokens hold, as long as the next piece still fits. White space at a
+    chunk's ends goes; blank chunks are left out.
+    """
+    if overlap >= width:
+        raise ValueError("the overlap must be below the width")
+    parts = [(p, count(p)) for s in _SENTENCE.findall(text) for p in _finer(s, count, width, 0)]
+    out, held, total = [], [], 0
+    for part, n in parts:
+        if held and total + n > width:
+            out.append("".join(p for p, _ in held))
+            while held and (total > overlap or total + n > width):
+                total -= held.pop(0)[1]
+        held.append((part, n))
+        total += n
+    out += ["".join(p for p, _ in held)] if held else []
+    return [x for x in (c.strip() for c in out) if x]
+
+
+def _finer(piece: str, count, width: int, level: int) -> list[str]:
+    if count(piece) <= width:
+        return [piece]
+    if level < len(FINER):
+        cut = re.findall(FINER[level], piece)
+        return [p for x in (cut if "".join(cut) == piece else [piece]) for p in _finer(x, count, width, level + 1)]
+    out = [""]
+    for c in piece:  # token counts of texts may not add up, so each is counted
+        if out[-1] and count(out[-1] + c) > width:
+            out.append("")
+        out[-1] += c
+    return out
+
+
+def sentence_windows(rows: DataFrame, tokenizer: seams.Tokenizer, width: int = 500, overlap: int = 80) -> DataFrame:
+    """Rows (id, text) as (id, part, piece) by ``sentence_pieces``; null and blank texts give none."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts):
+        return texts.map(lambda t: sentence_pieces(t, lambda x: len(tokenizer.encode(x)), width, overlap) if t else [])
+
+    return rows.select("id", F.posexplode(pieces("text")).alias("part", "piece"))
+
+
 #: Separators of the recursive splitter, coarse to fine.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", "，", "、", " ", ""]
 
 
-def split_recursively(text: str, size: int = 500, overlap: int = 80, separators: list[str] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the coarsest separator that will do."""
-    mark = next((s for s in separators if not s or s in text), "")
-    finer = separators[separators.index(mark) + 1 :] if mark in separators else []
-    parts = [p for p in (text.split(mark) if mark else list(text)) if p]
-    out: list[str] = []
-    held: list[str] = []
-    for part in parts:
-        if len(part) > size:
-            out += [mark.join(held)] if held else []
-            held = []
-            out += split_recursively(part, size, overlap, finer or [""])
+def split_recursively(text: str, size: int = 500, overlap: int = 80, separators: list[str] = SEPARATORS) -> list[tuple[int, int]]:
+    """Spans (start, end) of pieces, cut at the coarsest separator that the text holds; a separator begins the part behind it.
+
+    Parts shorter than ``size`` are put together as long as they fit, and a new piece begins with the
+    last parts of the one before, up to ``overlap`` characters. Longer parts are cut by the separators
+    that are finer. Nothing is left out: every character is in a span.
+    """
+    return _spans(text, 0, len(text), size, overlap, separators)
+
+
+def _spans(text: str, begin: int, end: int, size: int, overlap: int, separators: list[str]) -> list[tuple[int, int]]:
+    place = next((i for i, s in enumerate(separators) if not s or text.find(s, begin, end) >= 0), len(separators) - 1)
+    mark, finer = separators[place], separators[place + 1 :]
+    if mark:
+        cuts = [begin, *[m.start() for m in re.compile(re.escape(mark)).finditer(text, begin, end)], end]
+    else:
+        cuts = list(range(begin, end + 1))
+    out: list[tuple[int, int]] = []
+    held: list[tuple[int, int]] = []
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        if b - a < size:
+            held.append((a, b))
             continue
-        if held and len(mark.join([*held, part])) > size:
-            out.append(mark.join(held))
-            while held and (len(mark.join(held)) > overlap or len(mark.join([*held, part])) > size):
-                held.pop(0)
-        held.append(part)
-    return out + ([mark.join(held)] if held else [])
+        out += _joined(held, size, overlap)
+        held = []
+        out += _spans(text, a, b, size, overlap, finer) if finer else [(a, b)]
+    return out + _joined(held, size, overlap)
+
+
+def _joined(parts: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int]]:
+    out, first = [], 0
+    for i, (a, b) in enumerate(parts):
+        if i > first and b - parts[first][0] > size:
+            out.append((parts[first][0], a))
+            while first < i and (a - parts[first][0] > overlap or b - parts[first][0] > size):
+                first += 1
+    return out + ([(parts[first][0], parts[-1][1])] if parts else [])
 
 
-def recursive_split(rows: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
-    """Rows (id, text) as (id, part, piece) by ``split_recursively``; null and empty texts give none."""
+def recursive_split(rows: DataFrame, size: int = 500, overlap: int = 80, strip: bool = True) -> DataFrame:
+    """Rows (id, text) as (id, part, piece) by ``split_recursively``; null and empty texts give none.
+
+    ``strip`` takes white space off the pieces' ends, and leaves blank pieces out.
+    """
+
+    def cut(text: str) -> list[str]:
+        own = [text[a:b] for a, b in split_recursively(text, size, overlap)]
+        return [x for x in (p.strip() for p in own) if x] if strip else own
 
     @F.pandas_udf("array<string>")
     def pieces(texts):
-        return texts.map(lambda t: split_recursively(t, size, overlap) if t else [])
+        return texts.map(lambda t: cut(t) if t else [])
 
     return rows.select("id", F.posexplode(pieces("text")).alias("part", "piece"))

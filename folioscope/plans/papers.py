@@ -319,10 +319,22 @@ def token_window_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Recursive splits of whole documents; tested against their definition on small texts."""
+    """Recursive splits of whole documents; tested against their definition."""
     return chunking.recursive_split(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+@query()
+def semantic_text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents cut between sentences that are far apart by the hashed embedder; tested against their definition."""
+    return chunking.semantic_split(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), seams.hashed_embedding(32))
+
+
+@query()
+def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents in chunks of whole sentences, 500 characters with 80 of overlap; tested against their definition."""
+    return chunking.sentence_windows(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), seams.CodePoints())
+
+
 # tables as logs
 
 

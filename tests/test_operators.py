@@ -244,14 +244,6 @@ def test_boxes(spark):
     assert [r.b and tuple(r.b) for r in got] == [(1, 2, 3, 4)] * 3 + [None] * 4
 
 
-def test_recursive_split(spark):
-    text = "one two three. " * 20
-    parts = chunking.split_recursively(text, 60, 10)
-    assert all(len(p) <= 60 for p in parts) and set(" ".join(parts).split()) == {"one", "two", "three."}
-    got = chunking.recursive_split(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string"), 60, 10).orderBy("part").collect()
-    assert [r.piece for r in got] == parts
-
-
 def test_seams(spark):
     rows = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, "gamma"), (4, "")], "id long, text string")
     got = {r.id: r.embedding for r in seams.hashed_embedding(16)(rows, "text").collect()}
