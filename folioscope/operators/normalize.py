@@ -111,15 +111,22 @@ def blocks(items: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 def related(found: DataFrame) -> DataFrame:
     """(version_id, position, related): special blocks and the caption (else text) nearest to them on the page, both ways.
 
-    Nearness counts the blocks that are left, so it follows their order, not their first numbers.
+    Nearness counts the blocks that are left, so it follows their order, not their first numbers; of
+    two that are equally near the one before counts. One sorted pass over a page sees the last and the
+    next caption and text of every block, whatever the page holds.
     """
     line = Window.partitionBy("version_id").orderBy("position")
-    numbered = found.withColumn("place", F.row_number().over(line))
-    page = ["version_id", "page_no"]
-    special = numbered.where(F.col("kind").isin("table", "picture", "formula")).select(*page, F.col("position").alias("a"), F.col("place").alias("pa"))
-    other = numbered.where(F.col("kind").isin("caption", "text")).select(*page, F.col("position").alias("b"), F.col("place").alias("pb"), (F.col("kind") == "caption").alias("caption"))
-    nearest = Window.partitionBy("version_id", "a").orderBy(F.desc("caption"), F.abs(F.col("pa") - F.col("pb")), "pb")
-    pairs = special.join(other, page).withColumn("n", F.row_number().over(nearest)).where("n = 1").select("version_id", "a", "b")
+    page = Window.partitionBy("version_id", "page_no").orderBy("position")
+    before, after = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(1, Window.unboundedFollowing)
+    numbered = found.select("version_id", "page_no", "position", "kind", F.row_number().over(line).alias("place"))
+    spots = []
+    for kind in ("caption", "text"):
+        own = F.when(F.col("kind") == kind, F.struct("place", "position"))
+        last, following = F.last(own, True).over(before), F.first(own, True).over(after)
+        closer = following.isNotNull() & (last.isNull() | (following["place"] - F.col("place") < F.col("place") - last["place"]))
+        spots.append(F.when(closer, following["position"]).otherwise(last["position"]))
+    special = numbered.select("version_id", "kind", F.col("position").alias("a"), F.coalesce(*spots).alias("b"))
+    pairs = special.where(F.col("kind").isin("table", "picture", "formula") & F.col("b").isNotNull()).select("version_id", "a", "b")
     both = pairs.unionAll(pairs.select("version_id", "b", "a"))
     return both.groupBy("version_id", F.col("a").alias("position")).agg(F.sort_array(F.collect_set("b")).alias("related"))
 
