@@ -340,6 +340,15 @@ ANSWER_LABELS = {"answered": "充分", "partially_answered": "部分回答", "co
 READABLE = ["ready", "partially_ready"]
 
 
+def marked_builds(versions: DataFrame, builds: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Versions (version_id, parse_status, ...) after a reprocessing: those whose build (paper_id, version_id) has an error in the outcome (paper_id, error) failed.
+
+    The paper keeps its active version; the failed one can be told from one that was never built.
+    """
+    bad = builds.select("paper_id", "version_id").join(outcome.where("error is not null").select("paper_id"), "paper_id").select("version_id", F.lit("failed").alias("_state")).distinct()
+    return versions.join(bad, "version_id", "left").withColumn("parse_status", F.coalesce("_state", "parse_status")).drop("_state").select(*versions.columns)
+
+
 def label_of(labels: dict, value, default: str = "") -> F.Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), value), F.lit(default))
 

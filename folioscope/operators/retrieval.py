@@ -15,6 +15,7 @@ from folioscope.functions.arrow import arrow_schema, batch_of
 from folioscope.operators import seams
 from folioscope.operators.keywords import KeywordIndex, build_index, open_index  # noqa: F401
 from folioscope.operators.scopes import META, SCOPE, best, bundle_condition, conjunction, scope_condition  # noqa: F401
+from folioscope.sources.work import kept
 
 ROUTES = ["vector", "keyword"]
 _BLOCK_BYTES = 8 << 20
@@ -58,8 +59,8 @@ def _blocks(questions: DataFrame, scope: list[str]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _nearest(block: list[tuple], limit: int, metric: str, schema: str):
-    out = arrow_schema(schema)
+def _nearest(block: list[tuple], limit: int, metric: str, schema: str | pa.Schema):
+    out = arrow_schema(schema) if isinstance(schema, str) else schema  # a DDL needs the session
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple]] = [[] for _ in block]
@@ -134,13 +135,33 @@ def recall(queries: DataFrame, routes: dict[str, Callable[[DataFrame], DataFrame
     A route takes (query_id, text, ...), with one id for each question and sub-question, to
     (query_id, chunk_id, rank).
     """
-    asked = queries.withColumn("own", F.struct("query_id", "qord"))
-    keyed = asked.withColumn("query_id", F.to_json("own"))
-    out = []
+    return reduce(DataFrame.unionByName, [_routed(queries, name, route) for name, route in routes.items()])
+
+
+def _routed(queries: DataFrame, name: str, route: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    keyed = queries.withColumn("own", F.struct("query_id", "qord")).withColumn("query_id", F.to_json("own"))
+    hits = route(keyed).select(F.col("query_id").alias("key"), "chunk_id", "rank")
+    named = keyed.select(F.col("query_id").alias("key"), "own.query_id", "own.qord", F.col("text").alias("query"))
+    return hits.join(named, "key").drop("key").withColumn("route", F.lit(name))
+
+
+def recalled(queries: DataFrame, routes: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
+    """``recall``, with what became of it: (hits, attempts). A route that fails is left out.
+
+    Every route is run on its own and its hits are written, so that a failure is the route's and
+    shows now. Attempts (query_id, route, failed) have a row for each question and route (see
+    ``route_health``). Hits are None where every route failed.
+    """
+    hits, attempts = [], []
+    asked = queries.select("query_id").distinct()
     for name, route in routes.items():
-        hits = route(keyed).select(F.col("query_id").alias("key"), "chunk_id", "rank")
-        out.append(hits.join(keyed.select(F.col("query_id").alias("key"), "own.query_id", "own.qord", F.col("text").alias("query")), "key").drop("key").withColumn("route", F.lit(name)))
-    return reduce(DataFrame.unionByName, out)
+        try:
+            hits.append(kept(_routed(queries, name, route), f"hits-{name}"))
+            failed = False
+        except Exception:  # a route's own: a service that is away, an index that isn't there
+            failed = True
+        attempts.append(asked.withColumn("route", F.lit(name)).withColumn("failed", F.lit(failed)))
+    return reduce(DataFrame.unionByName, hits) if hits else None, reduce(DataFrame.unionByName, attempts)
 
 
 def fuse(hits: DataFrame, k: int = 60, limit: int = 50) -> DataFrame:

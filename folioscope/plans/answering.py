@@ -96,11 +96,18 @@ class Answering:
 
     def candidates(self, plans: DataFrame) -> DataFrame:
         """What all routes recall for the question and its sub-questions, fused."""
-        queries = retrieval.recall_queries(plans.where("error is null"))
-        hits = retrieval.recall(queries, self.routes)
-        found = kept(hits, "hits")
+        return self.recall(plans)[0]
+
+    def recall(self, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``candidates``, and the health of the recall (query_id, failures, degraded): a route that fails is left out."""
+        queries = kept(retrieval.recall_queries(plans.where("error is null")), "queries")
+        found, attempts = retrieval.recalled(queries, self.routes)
+        health = retrieval.route_health(attempts, len(self.routes))
+        if found is None:
+            ids = dict(self.chunks.dtypes)["chunk_id"]
+            found = queries.where("false").select("query_id", "qord", F.col("text").alias("query"), F.lit(None).cast(ids).alias("chunk_id"), F.lit(0).alias("rank"), F.lit("").alias("route"))
         known = self.chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "paper_id", F.md5(tx.content_key(F.col("text"))).alias("content_key"))
-        return retrieval.fuse(found.join(known, "chunk_id"), limit=self.candidate_limit)
+        return retrieval.fuse(found.join(known, "chunk_id"), limit=self.candidate_limit), health
 
     def ranked(self, plans: DataFrame, candidates: DataFrame) -> DataFrame:
         """The best candidates by the scorer, over all queries of their plan."""
@@ -145,7 +152,8 @@ class Answering:
         """
         plans = kept(self.plans(questions), "plans")
         ready = plans.where("error is null and clarification is null")
-        ranked = kept(self.ranked(ready, kept(self.candidates(ready), "candidates")), "ranked")
+        candidates, health = self.recall(ready)
+        ranked = kept(self.ranked(ready, kept(candidates, "candidates")), "ranked")
         evidence = kept(self.evidence(ranked), "evidence")
         status = kept(self.sufficiency(ready, evidence), "sufficiency")
         supported = ready.join(status.withColumnRenamed("question_id", "query_id"), "query_id")
@@ -174,7 +182,8 @@ class Answering:
         allowed = plans.select(F.col("query_id").alias("question_id"), "paper_ids")
         cited = grounding.resolved(out.select(F.col("answer_id").alias("question_id"), "evidence_ids"), evidence, allowed)
         labels = cited.groupBy(F.col("question_id").alias("answer_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda r: r["label"]).alias("citations"))
-        weak = ranked.groupBy(F.col("query_id").alias("answer_id")).agg(F.bool_or("degraded").alias("degraded"))
+        either = ranked.select("query_id", "degraded").unionByName(health.select("query_id", "degraded"))  # of the scorer, or of a route
+        weak = either.groupBy(F.col("query_id").alias("answer_id")).agg(F.bool_or("degraded").alias("degraded"))
         joined = out.join(labels, "answer_id", "left").join(weak, "answer_id", "left").withColumn("degraded", F.coalesce("degraded", F.lit(False)))
         return joined.withColumn("citations", F.coalesce("citations", none)).withColumnRenamed("answer_id", "query_id")
 
@@ -187,6 +196,29 @@ class Answering:
         return lifecycle.paired(asked, told.join(own, "pair_id")).withColumn("created_at", now)
 
 
+def facet_hits(papers: DataFrame, intent: str, routes: dict[str, Route], chunks: DataFrame, scorer: seams.PairScorer = seams.lexical_score, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The intent's canned queries on every paper (paper_id): (hits, attempts).
+
+    Each query is recalled by all routes within its paper, fused, and the best
+    ``retrieval.facet_share`` candidates are scored: (paper_id, facet, chunk_id, score, rrf) of those
+    that the reranking keeps. Attempts are those of ``retrieval.recalled``, by paper.
+    """
+    facets = F.array(*[F.lit(q) for q in retrieval.facet_queries(intent)])
+    queries = papers.select(F.col("paper_id").alias("query_id"), F.posexplode(facets).alias("qord", "text"), F.array("paper_id").alias("paper_ids"), F.lit(False).alias("include_references"))
+    found, attempts = retrieval.recalled(kept(queries, "facets"), routes)
+    kinds = dict(chunks.dtypes)
+    if found is None:
+        return chunks.sparkSession.createDataFrame([], f"paper_id {kinds['paper_id']}, facet string, chunk_id {kinds['chunk_id']}, score double, rrf double"), attempts
+    known = chunks.select("chunk_id", "paper_id", F.md5(tx.content_key(F.col("text"))).alias("content_key"))
+    own = found.withColumn("query_id", F.to_json(F.struct("query_id", "qord"))).select("query_id", "query", "route", "chunk_id", "rank").join(known, "chunk_id")
+    share = retrieval.facet_share(intent)
+    fused = kept(retrieval.fuse(own.drop("query"), limit=limit).where(F.col("rank") <= share), "facet-candidates")
+    texts = own.select("query_id", "query").distinct()
+    pairs = fused.select("query_id", "chunk_id", "paper_id", "rrf").join(texts, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    ranked = retrieval.rerank(pairs, limit=share, scorer=scorer)
+    return ranked.join(texts, "query_id").select("paper_id", F.col("query").alias("facet"), "chunk_id", "score", "rrf"), attempts
+
+
 def facet_registries(paper_hits: DataFrame, chunks: DataFrame, papers: DataFrame, intent: str, limit: int = 12) -> DataFrame:
     """Evidence of each paper for an analysis: reranked hits of its canned queries (paper_id, facet, chunk_id, score, rrf), section candidates, one of each facet first.
 

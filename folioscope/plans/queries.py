@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import chunking, grounding, lifecycle, normalize, planner, retrieval
+from folioscope.operators import chunking, grounding, lifecycle, normalize, planner, retrieval, vectors
 from folioscope.sources.readers import page_texts, table
 from folioscope.sources.sinks import KeywordStore
 from folioscope.sources.work import work_folder
@@ -194,11 +194,18 @@ def vector_search_scoped(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_search(_scoped(_asked(spark, d)), _papers_of(_vectors(spark, d))).withColumn("score", F.round("score", 6))
 
 
+@query()
+def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The scoped questions by the partitioned index, which tests hold against the exact search."""
+    index = vectors.build_vector_index(_papers_of(_vectors(spark, d).drop("label")), work_folder(spark, "vector-index"))
+    return index.search(_scoped(_asked(spark, d))).withColumn("score", F.round("score", 6))
+
+
 def _routes(spark, d) -> DataFrame:
-    vectors = retrieval.vector_search(_asked(spark, d), _vectors(spark, d), limit=50).select("query_id", "chunk_id", "rank", F.lit("vector").alias("route"))
+    near = retrieval.vector_search(_asked(spark, d), _vectors(spark, d), limit=50).select("query_id", "chunk_id", "rank", F.lit("vector").alias("route"))
     words = _index(spark, d).search(_questions(spark, d), limit=50).select("query_id", "chunk_id", "rank", F.lit("keyword").alias("route"))
     known = _index(spark, d).docs.select("chunk_id", "content_key", "paper_id")
-    return vectors.unionAll(words).join(known, "chunk_id")
+    return near.unionAll(words).join(known, "chunk_id")
 
 
 _FUSE = _BM25 + """, ve as (select b.item_id as query_id, e.embedding::double[] as e from benchmark b join embeddings e on e.vec_id = b.item_id),

@@ -56,6 +56,50 @@ def test_questions_become_messages(spark, tmp_path):
     assert silent.answers(questions.where("query_id = 1")).first().refusal_reason == "empty response"
 
 
+def test_a_route_that_fails_is_left_out(spark, tmp_path):
+    made = ingested(spark)
+    keyword = KeywordStore(spark, f"file://{tmp_path}/k", {})
+    keyword.upsert(answering.index_records(made.chunks))
+    late = lambda q: keyword.search(q).withColumn("rank", F.raise_error(F.lit("gone")).cast("int"))  # noqa: E731  fails while it runs
+    chain = answering.Answering(made.chunks, made.papers.select("paper_id", "title"), {"keyword": keyword.search, "vector": late})
+    questions = spark.createDataFrame([(1, "c", "When do red foxes hunt?", ["p2"], "selected", None)], "query_id long, conversation_id string, question string, paper_ids array<string>, scope_mode string, previous string")
+    plans = chain.plans(questions)
+    candidates, health = chain.recall(plans)
+    assert {r.paper_id for r in candidates.collect()} == {"p2"}
+    assert [(r.query_id, r.failures, r.degraded) for r in health.collect()] == [(1, 1, True)]
+    assert chain.answers(questions).first().degraded
+    whole = answering.Answering(made.chunks, made.papers.select("paper_id", "title"), {"keyword": keyword.search})
+    assert not whole.answers(questions).first().degraded
+    dead = answering.Answering(made.chunks, made.papers.select("paper_id", "title"), {"vector": late})
+    assert dead.candidates(plans).count() == 0 and dead.answers(questions).first().answer_status == "insufficient_evidence"
+
+
+def test_facets_are_recalled_query_by_query(spark, tmp_path):
+    texts = [
+        ("a", "p1", "Our novel method is an innovation we proposed."), ("b", "p1", "Against baselines we see improvements by comparison."), ("c", "p1", "The limitations lead to future work."),
+        ("d", "p2", "A proposed method of another paper, novel innovation."), ("e", "p1", "Nothing to be seen."),
+    ]
+    rows = [(c, p, "v", "text", t, 1, 1, [], None, None) for c, p, t in texts]
+    chunks = spark.createDataFrame(rows, "chunk_id string, paper_id string, version_id string, content_type string, text string, page_start int, page_end int, section_path array<string>, quality_score double, parent_chunk_id string")
+    keyword = KeywordStore(spark, f"file://{tmp_path}/k", {})
+    keyword.upsert(chunks)
+    papers = spark.createDataFrame([("p1", "One"), ("p2", "Two")], "paper_id string, title string")
+    hits, attempts = answering.facet_hits(papers, "innovation", {"keyword": keyword.search}, chunks)
+    got = {(r.paper_id, r.facet, r.chunk_id): r.score for r in hits.collect()}
+    assert {k[2] for k in got if k[1] == "novel innovation proposed method" and k[0] == "p1"} == {"a"} and {k[2] for k in got if k[0] == "p2"} == {"d"}
+    assert ("p1", "comparison baselines improvements", "b") in got and ("p1", "limitations future work", "c") in got and not any(k[2] == "e" for k in got)
+    assert attempts.where("failed").count() == 0
+    found = answering.facet_registries(hits, chunks, papers, "innovation")
+    assert {r.chunk_id for r in found.where("question_id = 'p1'").collect()} == {"a", "b", "c"}
+
+
+def test_a_failed_build_marks_its_version(spark):
+    versions = spark.createDataFrame([(1, "ready"), (2, "parsing"), (3, "parsing")], "version_id long, parse_status string")
+    builds = spark.createDataFrame([("p", 2), ("q", 3)], "paper_id string, version_id long")
+    outcome = spark.createDataFrame([("p", "broken"), ("q", None)], "paper_id string, error string")
+    assert sorted(map(tuple, lifecycle.marked_builds(versions, builds, outcome).collect())) == [(1, "ready"), (2, "failed"), (3, "parsing")]
+
+
 def test_lists_labels_and_instructions(spark):
     rows = spark.createDataFrame([("a", 2, "ready"), ("b", 1, "failed"), ("c", 2, "other")], "paper_id string, created_at int, status string")
     assert [r.paper_id for r in lifecycle.listed(rows, "papers").collect()] == ["a", "c", "b"] and [r.paper_id for r in lifecycle.available(rows).collect()] == ["a"]
