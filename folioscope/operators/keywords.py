@@ -72,7 +72,7 @@ class KeywordIndex:
         allow are the phrase's. Texts and tokens aren't read.
         """
         parts = phrases.select("phrase").distinct().select("phrase", F.posexplode("phrase").alias("j", "term"))
-        held = self._entries(self._met(self.postings, parts), [a for a in _ARRAYS if a != "tfs"])
+        held = self._entries(self._met(self.postings, parts, _is_small(parts)), [a for a in _ARRAYS if a != "tfs"])
         starts = F.struct("j", F.transform("positions", lambda p: p - F.col("j")).alias("at"))
         meta = [F.first(c).alias(c) for c in ("dl", *META)]
         whole = held.groupBy("phrase", *_KEY, "chunk_id").agg(F.collect_list(starts).alias("starts"), *meta).where(F.size("starts") == F.size("phrase"))
@@ -91,10 +91,10 @@ class KeywordIndex:
         """
         if limit <= 0:
             raise ValueError("a limit must be positive")
-        weighted, postings = self._weighted(questions)
+        weighted, postings, few = self._weighted(questions)
         asked = [c for c in SCOPE if c in questions.columns]
         scopes = questions.select("query_id", *asked).dropDuplicates(["query_id"]) if asked else None
-        bounds = kept(self._bounds(weighted, postings, scopes), "bounds")
+        bounds = kept(self._bounds(weighted, postings, scopes, few), "bounds")
         line = best(bounds.withColumnRenamed("upper", "score"), _FIRST + limit // BUNDLE, [F.desc("score"), *_KEY])
         first = kept(line.select("query_id", *_KEY), "first")
         led = kept(self._scores(first, weighted, postings, scopes, scope), "scores")
@@ -103,11 +103,13 @@ class KeywordIndex:
         rest = kept(bounds.join(first, ["query_id", *_KEY], "left_anti").join(least, "query_id", "left").where(able).select("query_id", *_KEY), "rest")
         return best(led.unionByName(self._scores(rest, weighted, postings, scopes, scope)), limit)
 
-    def _weighted(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(query_id, term, weight) of all asked terms, and the postings with those of asked phrases."""
+    def _weighted(self, questions: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """(query_id, term, weight) of all asked terms, the postings with those of asked phrases, and whether the terms are few enough to broadcast."""
         phrases = kept(self.phrases(questions), "phrases")
+        few = _is_small(phrases)
         single = phrases.where(F.size("phrase") == 1).select("query_id", F.get("phrase", F.lit(0)).alias("term"))
-        known = self.frequencies.join(_small(single.select("term").distinct()), "term").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        wanted = single.select("term").distinct()
+        known = self.frequencies.join(F.broadcast(wanted) if few else wanted, "term").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         weighted = single.join(known, "term").select("query_id", "term", self._weight().alias("weight"))
         several, postings = phrases.where(F.size("phrase") > 1), self.postings
         if not several.isEmpty():
@@ -119,11 +121,11 @@ class KeywordIndex:
             dfs = found.select("phrase", "df").distinct()
             weighted = weighted.unionByName(several.join(dfs, "phrase").select("query_id", F.array_join("phrase", _MARK).alias("term"), self._weight().alias("weight")))
             postings = postings.drop("positions").unionByName(rows)
-        return kept(weighted, "weighted"), postings
+        return kept(weighted, "weighted"), postings, few
 
-    def _bounds(self, weighted: DataFrame, postings: DataFrame, scopes: DataFrame | None) -> DataFrame:
+    def _bounds(self, weighted: DataFrame, postings: DataFrame, scopes: DataFrame | None, few: bool) -> DataFrame:
         """(query_id, segment, bundle, upper): what no chunk of a bundle scores more than, where the scope may have chunks."""
-        heads = self._met(postings.select(*_KEY, "term", "top_tf", "least_dl"), weighted)
+        heads = self._met(postings.select(*_KEY, "term", "top_tf", "least_dl"), weighted, few)
         found = heads.groupBy("query_id", *_KEY).agg(F.sum(F.col("weight") * self._share("top_tf", "least_dl")).alias("upper"))
         if scopes is None:
             return found
@@ -155,7 +157,11 @@ class KeywordIndex:
         flat = rows.select(*rest, F.explode(zipped).alias("e")).select(*rest, *[F.col(f"e.{c}").alias(c) for c in own])
         if self.gone is None:
             return flat
-        return flat.join(_small(self.gone), ["segment", "chunk_id"], "left_anti")
+        return flat.join(self._absent, ["segment", "chunk_id"], "left_anti")
+
+    @cached_property
+    def _absent(self) -> DataFrame:
+        return _small(self.gone)
 
     def _weight(self) -> Column:
         plain = F.log((F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -164,13 +170,13 @@ class KeywordIndex:
     def _share(self, tf: str, dl: str) -> Column:
         return F.col(tf) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / F.lit(self.avgdl)))
 
-    def _met(self, rows: DataFrame, asked: DataFrame) -> DataFrame:
-        """Posting rows joined with asked terms (term, ...): by broadcast as long as these are small, else by a salted shuffle.
+    def _met(self, rows: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+        """Posting rows joined with asked terms (term, ...): by broadcast if these are ``few``, else by a salted shuffle.
 
         Salted are the terms that over a thousandth of all chunks hold; there each asked row is
         repeated for every salt.
         """
-        if _is_small(asked):
+        if few:
             return rows.join(F.broadcast(asked), "term")
         common = F.col("df") * _HOT > self.n_docs
         hot = F.broadcast(self.terms.where(common).select("term", F.lit(True).alias("hot")))  # at most _HOT terms for each token of a mean chunk
@@ -203,7 +209,8 @@ def tokenised(chunks: DataFrame) -> DataFrame:
     """
     meta = [c for c in META if c in chunks.columns]
     order = [*meta[::-1], F.octet_length("text"), "chunk_id"]
-    parts = max(chunks.rdd.getNumPartitions(), chunks.sparkSession.sparkContext.defaultParallelism)
+    spark = chunks.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = chunks.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     simple = F.coalesce(tx.is_simple(F.col("text")), F.lit(True))
     none = F.array().cast("array<string>")

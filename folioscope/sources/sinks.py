@@ -218,7 +218,8 @@ class KeywordStore(Stored):
 
     def upsert(self, rows: DataFrame) -> None:
         """New rows replace old ones of their chunk_id; of repeated new ids any one stays."""
-        new = kept(keywords.tokenised(rows.dropDuplicates(["chunk_id"])), "new-chunks")
+        rows = kept(rows.dropDuplicates(["chunk_id"]), "rows")  # sorting looks at them twice
+        new = kept(keywords.tokenised(rows), "new-chunks")
 
         def change(pointer: dict | None) -> dict | None:
             made = self._without(pointer, lambda docs: docs.join(keywords._small(new.select("chunk_id")), "chunk_id", "left_semi"))
@@ -241,7 +242,8 @@ class KeywordStore(Stored):
 
     def rebuild(self, rows: DataFrame, settings: dict | None = None) -> None:
         self.settings = settings or self.settings
-        self._change(lambda _: self._with({"segments": {}, "changes": []}, keywords.tokenised(rows.dropDuplicates(["chunk_id"]))))
+        new = kept(rows.dropDuplicates(["chunk_id"]), "rows")
+        self._change(lambda _: self._with({"segments": {}, "changes": []}, keywords.tokenised(new)))
 
     def _used(self, pointer: dict) -> set[str]:
         return {*pointer["segments"], *pointer["changes"]}

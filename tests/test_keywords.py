@@ -102,9 +102,9 @@ def test_scopes_prune_before_scores_are_summed(spark, tmp_path):
     free = {c: s for _, _, c, s in hits(index, asked.select("query_id", "text"), 200)}
     want = sorted(((-s, c) for c, s in free.items() if meta[c][0] in ("p1", "p4") and meta[c][1] == "v0" and meta[c][2] == "text"))[:10]
     assert [(-s, c) for _, _, c, s in hits(index, asked)] == want
-    weighted, postings = index._weighted(asked)
+    weighted, postings, few = index._weighted(asked)
     scopes = asked.drop("text")
-    plan = index._scores(index._bounds(weighted, postings, scopes).select("query_id", "segment", "bundle"), weighted, postings, scopes, None)
+    plan = index._scores(index._bounds(weighted, postings, scopes, few).select("query_id", "segment", "bundle"), weighted, postings, scopes, None)
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("round(sum(") < text.index("filter(arrays_zip")  # a plan is printed from its end
 
