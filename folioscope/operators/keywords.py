@@ -101,6 +101,8 @@ class KeywordIndex:
         least = best(led, limit).where(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
         able = (F.col("least").isNull()) | (F.col("upper") + _SLACK >= F.col("least"))
         rest = kept(bounds.join(first, ["query_id", *_KEY], "left_anti").join(least, "query_id", "left").where(able).select("query_id", *_KEY), "rest")
+        if rest.isEmpty():
+            return best(led, limit)
         return best(led.unionByName(self._scores(rest, weighted, postings, scopes, scope)), limit)
 
     def _weighted(self, questions: DataFrame) -> tuple[DataFrame, DataFrame, bool]:

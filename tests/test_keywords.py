@@ -33,17 +33,17 @@ def test_changes_equal_a_rebuild(spark, tmp_path, questions):
     rng = random.Random(1)
     store = KeywordStore(spark, f"file://{tmp_path}/k", {}, tier=2)
     rows = {}
-    for step in range(5):
-        new = {i: chunk(rng, i) for i in rng.sample(range(80), [60, 10, 8, 1, 12][step])}
+    for step in range(4):
+        new = {i: chunk(rng, i) for i in rng.sample(range(80), [60, 10, 8, 12][step])}
         store.upsert(spark.createDataFrame(list(new.values()), SCHEMA))
         rows |= new
         if step == 2:
             store.delete(papers=["p1"])
             rows = {i: r for i, r in rows.items() if r[2] != "p1"}
-        if step == 3:
+        if step == 1:
             store.delete(versions=["v2"])
             rows = {i: r for i, r in rows.items() if r[3] != "v2"}
-    assert len(store.pointer()["segments"]) < 4 and store.pointer()["number"] >= 7
+    assert len(store.pointer()["segments"]) < 4 and store.pointer()["number"] == 6
     assert sorted(map(tuple, store.read().select(*[c.split()[0] for c in SCHEMA.split(", ")]).collect())) == sorted(rows.values())
     fresh = retrieval.build_index(spark.createDataFrame(list(rows.values()), SCHEMA), f"file://{tmp_path}/fresh")
     changed = store.index()
