@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.arrow import arrow_schema
-from folioscope.operators import retrieval
+from folioscope.operators.retrieval import _nearest
 from folioscope.operators.scopes import META, SCOPE, best, scope_condition
 
 SAMPLE, LISTS, BLOCK, ENOUGH, TARGET, SEED = 20_000, 4096, 4096, 20, 0.97, 11
@@ -81,7 +81,7 @@ class VectorIndex:
                 lists = [frozenset(q[c]) if q.get(c) else None for c in SCOPE[:2]]
                 block.append((q["query_id"], np.array(q["embedding"], float), *lists, "include_references" not in scope or bool(q["include_references"])))
             own = rows.drop_columns(["list", "block"]).combine_chunks().to_batches()
-            return pa.Table.from_batches(list(retrieval._nearest(block, limit, "cosine", out)(iter(own))))
+            return pa.Table.from_batches(list(_nearest(block, limit, "cosine", out)(iter(own))))
 
         out = arrow_schema(schema)
         meta = [c for c in META if c in kinds] if scope else []
