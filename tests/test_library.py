@@ -195,3 +195,14 @@ def test_streams(spark, tmp_path):
     states = ingest.task_states(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     states.awaitTermination()
     assert {(r.task_id, r.state, r.events) for r in spark.table("states").collect()} == {(0, "s6", 3), (1, "s7", 3), (2, "s8", 3)}
+
+
+def test_an_analysis_of_customer_0_is_queued_beside_order_0(spark, tmp_path):
+    from folioscope.plans.queries import QUERIES
+
+    spark.createDataFrame([(0,), (1,), (2,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(0, 7), (5, 2), (6, 1), (4, 0)]  # order 6 runs the analysis that customer 1 wants not, order 5 that of customer 2 not: their operations differ
+    orders += [(11, 1)]  # order 11 runs what customer 1 wants
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").selectExpr("*", "timestamp'1995-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["submitted_analyses"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == [(-1, 11), (-2, None), (0, None)]
