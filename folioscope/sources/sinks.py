@@ -222,7 +222,7 @@ class KeywordStore(Stored):
         new = kept(keywords.tokenised(rows), "new-chunks")
 
         def change(pointer: dict | None) -> dict | None:
-            made = self._without(pointer, lambda docs: docs.join(keywords._small(new.select("chunk_id")), "chunk_id", "left_semi"))
+            made = self._without(pointer, lambda docs: docs.join(keywords.small(new.select("chunk_id")), "chunk_id", "left_semi"))
             return self._merged(self._with(made, new))
 
         if not new.isEmpty():

@@ -141,3 +141,14 @@ def test_writers_at_the_same_time(spark, tmp_path, monkeypatch):
     with pytest.raises(Conflict):
         sinks.write_json(spark, f"file://{tmp_path}", "once", 2, replace=False)
     assert json.loads((tmp_path / "once.json").read_text()) == 1 and not list(tmp_path.glob("*.tmp"))
+
+
+def test_searches_move_posting_rows_once_and_sum_where_they_are(spark, tmp_path):
+    rng = random.Random(8)
+    index = retrieval.build_index(spark.createDataFrame([chunk(rng, i) for i in range(120)], SCHEMA), f"file://{tmp_path}/index")
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w2 w3")], "query_id long, text string")
+    weighted, postings, few = index._weighted(asked)
+    bundles = index._bounds(weighted, postings, None, few).select("query_id", "segment", "bundle")
+    plan = index._scores(bundles, weighted, postings, None, None)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "chunk_id" in line.split("hashpartitioning")[1]]
+    assert few and not moved and "SortMergeJoin" not in plan
