@@ -152,3 +152,16 @@ def test_searches_move_posting_rows_once_and_sum_where_they_are(spark, tmp_path)
     plan = index._scores(bundles, weighted, postings, None, None)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "chunk_id" in line.split("hashpartitioning")[1]]
     assert few and not moved and "SortMergeJoin" not in plan
+    hits = index.search(asked, 5)
+    assert "SortMergeJoin" not in retrieval.of_chunks(hits, index.docs.select("chunk_id", "tokens"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_term_counts_without_taking_chunks_out(spark, tmp_path):
+    store = KeywordStore(spark, f"file://{tmp_path}/k", {}, tier=8)
+    store.upsert(spark.createDataFrame([(i, "a b a" if i % 2 else "b c", "p", "v", "text") for i in range(6)], SCHEMA))
+    store.upsert(spark.createDataFrame([(1, "c", "p", "v", "text")], SCHEMA))
+    index = store.index()
+    assert index.gone is not None
+    assert sorted(map(tuple, index.term_counts().collect())) == [("a", 4, 2), ("b", 5, 5), ("c", 4, 4)]
+    got = index.search(spark.createDataFrame([(1, "a")], "query_id long, text string"))
+    assert sorted(r.chunk_id for r in got.collect()) == [3, 5]
