@@ -206,3 +206,12 @@ def test_an_analysis_of_customer_0_is_queued_beside_order_0(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").selectExpr("*", "timestamp'1995-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     got = QUERIES["submitted_analyses"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=str) == [(-1, 11), (-2, None), (0, None)]
+
+
+def test_new_tasks_look_at_all_tasks_once(spark):
+    tasks = spark.createDataFrame([(1, 7, "failed", 2), (2, 8, "queued", 1), (3, 7, "succeeded", 4)], "task_id long, version_id long, status string, attempt int")
+    wanted = spark.createDataFrame([(-1, 7), (-2, 8), (-3, 9), (-4, 9), (-5, 10), (-6, None), (-7, None)], "task_id long, version_id long")
+    made, conflicts = lifecycle.created_tasks(tasks, wanted, F.current_timestamp())
+    assert sorted(r.version_id for r in conflicts.collect()) == [8, 9]
+    assert sorted(tuple(r)[:4] for r in made.where("task_id < 0").collect()) == [(-7, None, "queued", 1), (-6, None, "queued", 1), (-5, 10, "queued", 1), (-1, 7, "queued", 5)]
+    assert made.where("task_id < 0")._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
