@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from folioscope.operators.seams import CodePoints
 from folioscope.sources.work import kept
 
 BETWEEN = "\n\n"
+_TEXTS = 64  # texts whose pieces a task holds at once
 CHUNKS = (
     "version_id string, level string, seq int, chunk_id string, parent_chunk_id string, previous_id string, next_id string, text string, token_count int, "
     "page_start int, page_end int, section_path array<string>, content_type string, quality_score double, block_ids array<string>, index_version string"
@@ -318,11 +320,19 @@ def _finer(piece: str, count, width: int, level: int) -> list[str]:
 def sentence_windows(rows: DataFrame, tokenizer: seams.Tokenizer, width: int = 500, overlap: int = 80) -> DataFrame:
     """Rows (id, text) as (id, part, piece) by ``sentence_pieces``; null and blank texts give none."""
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts):
-        return texts.map(lambda t: sentence_pieces(t, lambda x: len(tokenizer.encode(x)), width, overlap) if t else [])
+    schema = f"id {dict(rows.dtypes)['id']}, part int, piece string"
+    shape = arrow_schema(schema)
 
-    return rows.select("id", F.posexplode(pieces("text")).alias("part", "piece"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS):  # a batch's pieces aren't held at once
+                some = batch.slice(at, _TEXTS)
+                found = [sentence_pieces(t, lambda x: len(tokenizer.encode(x)), width, overlap) if t else [] for t in some.column("text").to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                columns = [some.column("id").take(row), pa.array([i for x in found for i in range(len(x))], pa.int32()), pa.array([p for x in found for p in x], pa.string())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, shape)], schema=shape)
+
+    return rows.select("id", "text").mapInArrow(cut, schema)
 
 
 #: Separators of the recursive splitter, coarse to fine.

@@ -145,3 +145,11 @@ def test_semantic_splits_equal_the_rule(spark):
             groups[-1].append(s)
         want.setdefault(i, []).extend((g, " ".join(own), len(own)) for g, own in enumerate(groups) if own)
     assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items() if v}
+
+
+def test_sentence_windows_give_their_pieces_by_and_by(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "_TEXTS", 2)
+    rows = spark.createDataFrame([(f"d{i}", f"One {i}. Two {i}." if i % 3 else None) for i in range(7)], "id string, text string")
+    made = chunking.sentence_windows(rows, seams.CodePoints(), 8, 1)
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == sorted((f"d{i}", k, f"{w} {i}.") for i in range(7) if i % 3 for k, w in enumerate(("One", "Two")))
