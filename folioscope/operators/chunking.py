@@ -268,11 +268,23 @@ def semantic_split(rows: DataFrame, embed: seams.Embedder, percentile: float = 0
     """
     own = rows.select(F.monotonically_increasing_id().alias("doc_id"), "id", sentences_of(F.col("text")).alias("sentences"))
     held = kept(own, "sentences")  # the ids must not change under the joins below
+    groups = semantic(_embedded_sentences(held.select("doc_id", "sentences"), embed, around), percentile)
+    spans = groups.groupBy("doc_id", "group").agg(F.min("pos").alias("first"), F.count("*").cast("int").alias("n"))
+    pieces = spans.join(held, "doc_id").withColumn("piece", F.array_join(F.slice("sentences", F.col("first") + 1, F.col("n")), " "))
+    return pieces.select("id", F.col("group").cast("int").alias("part"), "piece", F.col("n").alias("sentences"))
+
+
+def _embedded_sentences(held: DataFrame, embed: seams.Embedder, around: int) -> DataFrame:
+    """Documents (doc_id, sentences) as (doc_id, pos, embedding), each sentence with its neighbours.
+
+    An embedder whose vectors come of counts adds them up, for documents of simple sentences.
+    """
     near = F.transform("sentences", lambda x, i: F.array_join(F.slice("sentences", F.greatest(i - around + 1, F.lit(1)), around + 1 + F.least(i, F.lit(around))), " "))
-    flat = held.select("doc_id", F.posexplode(F.arrays_zip(F.col("sentences").alias("sentence"), near.alias("near"))).alias("pos", "s")).select("doc_id", "pos", "s.sentence", F.col("s.near").alias("near"))
-    groups = semantic(embed(flat.select("doc_id", "pos", "near"), "near").select("doc_id", "pos", "embedding"), percentile)
-    pieces = flat.select("doc_id", "pos", "sentence").join(groups, ["doc_id", "pos"]).groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
-    return pieces.join(held.select("doc_id", "id"), "doc_id").select("id", F.col("group").cast("int").alias("part"), F.array_join(F.col("s.sentence"), " ").alias("piece"), F.size("s").alias("sentences"))
+    each = lambda docs: embed(docs.select("doc_id", F.posexplode(near).alias("pos", "near")), "near").select("doc_id", "pos", "embedding")
+    if not hasattr(embed, "near"):
+        return each(held)
+    simple = F.forall("sentences", tx.is_simple)
+    return embed.near(held.where(simple), "sentences", around).unionByName(each(held.where(~simple)))
 
 
 #: Fixed value: the finer cuts of a sentence that is too long, coarse to fine; characters come last.
