@@ -218,14 +218,14 @@ class KeywordStore(Stored):
 
     def upsert(self, rows: DataFrame) -> None:
         """New rows replace old ones of their chunk_id; of repeated new ids any one stays."""
-        rows = kept(rows.dropDuplicates(["chunk_id"]), "rows")  # sorting looks at them twice
-        new = kept(keywords.tokenised(rows), "new-chunks")
+        name, made = self._written(keywords.tokenised(_one_each(kept(rows, "rows"))))  # sorting looks at them twice
+        new = keywords.small(self.spark.read.parquet(f"{self.path}/{name}/docs").select("chunk_id"))
 
         def change(pointer: dict | None) -> dict | None:
-            made = self._without(pointer, lambda docs: docs.join(keywords.small(new.select("chunk_id")), "chunk_id", "left_semi"))
-            return self._merged(self._with(made, new))
+            left = self._without(pointer, lambda docs: docs.join(new, "chunk_id", "left_semi"))
+            return self._merged(left | {"segments": left["segments"] | made})
 
-        if not new.isEmpty():
+        if made:
             self._change(change)
 
     def delete(self, papers: list | None = None, versions: list | None = None) -> None:
@@ -242,8 +242,8 @@ class KeywordStore(Stored):
 
     def rebuild(self, rows: DataFrame, settings: dict | None = None) -> None:
         self.settings = settings or self.settings
-        new = kept(rows.dropDuplicates(["chunk_id"]), "rows")
-        self._change(lambda _: self._with({"segments": {}, "changes": []}, keywords.tokenised(new)))
+        _, made = self._written(keywords.tokenised(_one_each(kept(rows, "rows"))))
+        self._change(lambda _: {"segments": made, "changes": []})
 
     def _used(self, pointer: dict) -> set[str]:
         return {*pointer["segments"], *pointer["changes"]}
@@ -254,10 +254,11 @@ class KeywordStore(Stored):
         n, length = (sum(x[c] for x in segments.values()) for c in ("n", "length"))
         return keywords.open_segments(self.spark, {s: f"{self.path}/{s}" for s in segments}, n, length, read("gone"), read("terms"))
 
-    def _with(self, pointer: dict, rows: DataFrame) -> dict:
+    def _written(self, rows: DataFrame) -> tuple[str, dict]:
+        """Write tokenised rows as a segment, which no pointer names yet; returns its name and what a pointer says of it, nothing if it is empty."""
         name = f"generation-{uuid.uuid4().hex}"
         n, length = keywords.write_segment(rows, f"{self.path}/{name}")
-        return pointer | {"segments": pointer["segments"] | ({name: {"n": n, "length": length, "written": n}} if n else {})}
+        return name, {name: {"n": n, "length": length, "written": n}} if n else {}
 
     def _without(self, pointer: dict | None, which: Callable[[DataFrame], DataFrame]) -> dict:
         """The pointer with the chunks among the present ones that ``which`` takes marked as gone."""
@@ -289,7 +290,17 @@ class KeywordStore(Stored):
             order = [*[c for c in retrieval.META[::-1] if c in rows.columns], "dl", "chunk_id"]
             parts = self.spark.sparkContext.defaultParallelism
             rest = {s: x for s, x in pointer["segments"].items() if s not in due}
-            pointer = self._with(pointer | {"segments": rest}, rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+            _, made = self._written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+            pointer = pointer | {"segments": rest | made}
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """``rows`` with any one of those of a chunk_id. Only the ids are looked at, and only rows of repeated ones move."""
+    twice = rows.groupBy("chunk_id").count().where("count > 1").select(F.col("chunk_id").alias("_twice"))
+    if twice.isEmpty():
+        return rows
+    twice, same = keywords.small(twice), F.col("chunk_id").eqNullSafe(F.col("_twice"))
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["chunk_id"]))
 
 
 def simple_ids(index) -> F.Column:
