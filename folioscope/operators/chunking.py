@@ -181,7 +181,7 @@ def _id(*parts: str) -> str:
     return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:32]
 
 
-def build(blocks: DataFrame, settings: ChunkSettings = ChunkSettings(), tokenizer: seams.Tokenizer | None = None) -> DataFrame:
+def build(blocks: DataFrame, settings: ChunkSettings = ChunkSettings(), tokenizer: seams.Tokenizer | None = None, parts: int | None = None) -> DataFrame:
     """Children and their parents (see ``CHUNKS``) of blocks (version_id, position, page_no, section_path, kind, text, block_id, quality).
 
     Consecutive ordinary blocks of a section join, with an empty line between, while the text stays
@@ -189,13 +189,15 @@ def build(blocks: DataFrame, settings: ChunkSettings = ChunkSettings(), tokenize
     block over the limit is cut into overlapping windows. Children of a section join likewise into
     parents up to ``parent_max``, special ones alone. Children know their parent and neighbours.
     Blocks are sorted by version and position and go through one pass; a document's chunks are held
-    until its end. Null texts are empty ones; blocks of a null version are one document.
+    until its end. Null texts are empty ones; blocks of a null version are one document. Blocks that
+    are by version in ``parts`` partitions already don't move.
     """
     tokenizer = tokenizer or CodePoints()
     names = ["version_id", "position", "page_no", "section_path", "kind", "text", "block_id", "quality"]
     cast = {"version_id": "string", "position": "long", "page_no": "int", "section_path": "array<string>", "kind": "string", "text": "string", "block_id": "string", "quality": "double"}
     held = [F.col(c).cast(cast[c]).alias(c) if c in blocks.columns else F.lit(None).cast(cast[c]).alias(c) for c in names]
-    dealt = blocks.select(*held).repartition("version_id").sortWithinPartitions("version_id", "position", "block_id")
+    by_version = blocks.repartition(parts, "version_id") if parts else blocks.repartition("version_id")
+    dealt = by_version.select(*held).sortWithinPartitions("version_id", "position", "block_id")
 
     schema = arrow_schema(CHUNKS)
 

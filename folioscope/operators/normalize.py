@@ -77,28 +77,34 @@ def check_versions(pages: DataFrame, ocr: DataFrame) -> None:
         raise ValueError(f"OCR of other versions: {[r.version_id for r in strange]}")
 
 
-def blocks(items: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def blocks(items: DataFrame, pages: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Items (version_id, page_no, pos, label, text; bbox, source, quality) as blocks with section, kind, id and links.
 
     Items are ordered by page, place and label (repeats by text and box) and numbered; then blank
     ones go, and those of pages that aren't in ``pages`` (version_id, page_no). The last heading's
     title is the section; behind a heading of references, other blocks are references. Texts are
     stripped. The id hashes version, page, place, number, kind, text and source. A null text is blank.
+    Items move once, by version, in ``parts`` partitions (see ``parts_for``), and the blocks stay there.
     """
     for name, value in (("bbox", F.lit(None).cast(BOX)), ("source", F.lit(NATIVE)), ("quality", F.lit(None).cast("double"))):
         if name not in items.columns:
             items = items.withColumn(name, value)
+    kind = kind_of(F.col("label"))
+    opens = tx.casefold(F.when(kind == "heading", tx.stripped(F.col("text")))).isin(REFERENCES)  # before the rows move: an Arrow function hides where they are
+    marked = items.withColumn("opens", opens)
+    dealt = marked.repartition(parts, "version_id") if parts else marked
     order = Window.partitionBy("version_id").orderBy("page_no", "pos", "label", "text", "bbox")
-    placed = items.withColumn("position", F.row_number().over(order) - 1).withColumn("text", tx.stripped(F.col("text"))).where("text <> ''")
+    placed = dealt.withColumn("position", F.row_number().over(order) - 1).withColumn("text", tx.stripped(F.col("text"))).where("text <> ''")
     if pages is not None:
-        placed = placed.join(pages.select("version_id", "page_no").distinct(), ["version_id", "page_no"], "left_semi")
+        # one row a version, so that the join leaves the items where they are
+        own = pages.groupBy(F.col("version_id").alias("_version")).agg(F.collect_set("page_no").alias("_pages"))
+        placed = placed.join(own, (F.col("version_id") == F.col("_version")) & F.array_contains("_pages", F.col("page_no")), "left_semi")
     line = Window.partitionBy("version_id").orderBy("position")
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    kind = kind_of(F.col("label"))
-    title = F.last(F.when(kind == "heading", F.col("text")), True).over(upto)
+    title = F.last(F.when(kind == "heading", F.struct("text", "opens")), True).over(upto)
     titled = placed.withColumn("kind", kind).withColumn("title", title)
-    typed = titled.withColumn("kind", F.when(tx.casefold(F.col("title")).isin(REFERENCES) & (F.col("kind") != "heading"), "reference").otherwise(F.col("kind")))
-    section = F.when(F.col("title").isNotNull(), F.array("title")).otherwise(F.array().cast("array<string>"))
+    typed = titled.withColumn("kind", F.when(F.col("title.opens") & (F.col("kind") != "heading"), "reference").otherwise(F.col("kind")))
+    section = F.when(F.col("title").isNotNull(), F.array("title.text")).otherwise(F.array().cast("array<string>"))
     page = F.col("version_id"), F.col("page_no")
     own = tx.stable_id(F.lit("block"), *page, F.col("pos"), F.col("position"), F.col("kind"), tx.squeezed(F.col("text")), F.col("source"))
     named = typed.select(
@@ -131,11 +137,11 @@ def related(found: DataFrame) -> DataFrame:
     return both.groupBy("version_id", F.col("a").alias("position")).agg(F.sort_array(F.collect_set("b")).alias("related"))
 
 
-def document(items: DataFrame, pages: DataFrame, ocr_pages: DataFrame | None = None, ocr_lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def document(items: DataFrame, pages: DataFrame, ocr_pages: DataFrame | None = None, ocr_lines: DataFrame | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(page rows, blocks with related_ids) of whole documents: margins, OCR merge, order, sections, links."""
     kept = without_margins(items)
     merged = with_ocr(kept, ocr_lines) if ocr_lines is not None else kept
-    found = blocks(merged, pages)
+    found = blocks(merged, pages, parts)
     near = related(found).select("version_id", "position", F.explode("related").alias("other"))
     ids = found.select("version_id", F.col("position").alias("other"), F.col("block_id").alias("other_id"))
     links = near.join(ids, ["version_id", "other"]).groupBy("version_id", "position").agg(F.sort_array(F.collect_set("other_id")).alias("related_ids"))
